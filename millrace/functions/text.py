@@ -5,10 +5,17 @@ from pyspark.sql import functions as F
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
 
 
+def standard_base64(raw):
+    """Base64 in one line; depending on its settings Spark breaks lines after 76 characters."""
+    return F.translate(F.base64(raw), "\r\n", "")
+
+
 def text_or_base64(raw):
     """UTF-8 text of the bytes, base64 when they are not valid UTF-8, '' for null."""
     raw = F.coalesce(raw, F.lit(b""))
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.base64(raw))
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(
+        standard_base64(raw)
+    )
 
 
 def parse_integer(text):

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
-from ..functions.text import acknowledgement, is_jpeg, swap_sample_bytes
+from ..functions.text import acknowledgement, is_jpeg, standard_base64, swap_sample_bytes
 from .scans import running, running_count, salted_join
 
 #: Bytes of a frame shown as its thumbnail (fixed value).
@@ -69,7 +69,7 @@ def frame_payload(df, out="payload"):
     size = F.octet_length("body")
     thumbnail = F.when(
         size > THUMBNAIL_BYTES,
-        F.base64(F.substring(F.col("body"), F.lit(1), F.lit(THUMBNAIL_BYTES))),
+        standard_base64(F.substring(F.col("body"), F.lit(1), F.lit(THUMBNAIL_BYTES))),
     )
     return df.withColumn(
         out,

@@ -281,7 +281,7 @@ def annotate_headers(phases, name=None, durations=None):
     if durations is not None:
         ends = phases.filter(
             F.col("phase").isin(RESPONSE_HEADERS, RESPONSE_BODY) & F.col("end_of_stream")
-        )
+        ).select(*columns)
         made.append(
             ends.join(durations.select("stream_id", "duration_ns"), "stream_id").select(
                 *columns,

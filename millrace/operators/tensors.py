@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
+from ..functions.text import standard_base64
 from ..functions.variants import (
     as_bool,
     as_double,
@@ -232,9 +233,9 @@ def encode_bytes_tensors(df, bytes_="bytes", out="data"):
     """Base64 texts for the byte strings of BYTES tensors, null for other data types."""
     source = F.col(bytes_)
     if df.schema[bytes_].dataType.typeName() == "array":
-        text = F.transform(source, lambda b: F.base64(b))
+        text = F.transform(source, standard_base64)
     else:
-        text = F.base64(source)
+        text = standard_base64(source)
     return df.withColumn(out, F.when(F.col("datatype") == "BYTES", text))
 
 

@@ -141,7 +141,7 @@ turns AS (
   FROM conversations
 ),
 phases AS (
-  SELECT stream_id, CASE WHEN reply THEN 2 ELSE 0 END AS seq, CASE WHEN reply THEN 4 ELSE 1 END AS phase,
+  SELECT stream_id, CASE WHEN reply THEN 2::BIGINT ELSE 0 END AS seq, CASE WHEN reply THEN 4 ELSE 1 END AS phase,
          CASE WHEN reply
               THEN ':status=' || CASE WHEN turn % 4 = 1 THEN '200' ELSE '0xc8' END || '&content-type=text/plain'
               ELSE ':authority=chat.example&:method=POST&:path=/' || role || '/' || conv_id || '?turn=' || turn

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import delivery, events as ev, frames
 from ..session import scratch_path
-from ..sources.captures import job_events
+from ..sources.captures import job_events, load_messages
 from ..streaming import rolling, windows
 from .inputs import digest, events, invocations, map_text, messages, page_frames, requests, table
 from .inputs import INVOCATIONS, PAGE_FRAMES
@@ -422,8 +422,6 @@ GROUP BY ALL
 
 def _byte_streams(spark, folder, streaming=False):
     path = f"{folder}/documents*.parquet" if streaming else f"{folder}/documents.parquet"
-    from ..sources.captures import load_messages
-
     return load_messages(
         spark,
         path,
@@ -454,8 +452,17 @@ def snapshots_query(spark, folder):
     )
 
 
-@query("w2_rolling_snapshots_stream")
+@query(
+    "w2_rolling_snapshots_stream",
+    f"""
+    SELECT * FROM ({_SNAPSHOTS}) s
+    WHERE tick_us <= (SELECT (1704067200 + max(doc_id) - 10) * 1000000 FROM documents)
+       OR EXISTS (SELECT 1 FROM documents d
+                  WHERE d.source = s.stream_id AND (1704067200 + d.doc_id) * 1000000 >= s.tick_us)
+    """,
+)
 def snapshots_stream_query(spark, folder):
+    """The ticks a stream closes: followed by a later message, or passed by the watermark."""
     closed = rolling.stream_rolling_snapshots(
         _byte_streams(spark, folder, streaming=True), _CHUNK, _LIMIT, _TRIM, "20 seconds"
     )

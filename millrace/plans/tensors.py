@@ -1 +1,467 @@
-"""Pending."""
+"""Inference requests, tensors and models."""
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
+
+from ..operators import joins, tensors
+from ..sources.inference import parse_infer_requests
+from .inputs import MODELS, models, requests, table
+from .registry import query
+
+
+def _request_texts(spark, folder):
+    """Embeddings as JSON requests; an id ending in 7 lost its last characters."""
+    body = F.to_json(
+        F.struct(
+            F.col("id"),
+            F.struct(
+                F.col("label"), (F.col("label") / 4).alias("rate"), (F.col("label") % 2 == 0).alias("flag")
+            ).alias("parameters"),
+            F.array(
+                F.struct(
+                    F.lit("embedding").alias("name"),
+                    F.array(F.size("embedding")).alias("shape"),
+                    F.lit("FP64").alias("datatype"),
+                    F.transform("embedding", lambda v: v.cast("double")).alias("data"),
+                )
+            ).alias("inputs"),
+        )
+    )
+    return requests(spark, folder).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 10 == 7, F.substring(body, F.lit(1), F.length(body) - 3))
+        .otherwise(body)
+        .alias("value"),
+    )
+
+
+@query(
+    "s5_load_infer_requests",
+    """
+    SELECT vec_id, CASE WHEN vec_id % 10 = 7 THEN '' ELSE CAST(vec_id AS VARCHAR) END AS id, vec_id % 10 = 7 AS rejected,
+           CASE WHEN vec_id % 10 <> 7 THEN CAST(label AS BIGINT) END AS label,
+           CASE WHEN vec_id % 10 <> 7 THEN 'FP64' END AS datatype,
+           CASE WHEN vec_id % 10 <> 7 THEN CAST(len(embedding) AS BIGINT) END AS size,
+           CASE WHEN vec_id % 10 <> 7 THEN CAST(embedding[1] AS DOUBLE) END AS first
+    FROM embeddings
+    """,
+)
+def load_requests_query(spark, folder):
+    parsed = parse_infer_requests(_request_texts(spark, folder))
+    rejected = F.col("rejected").isNotNull()
+    tensor = F.get(F.col("inputs"), F.lit(0))
+    return parsed.select(
+        "vec_id",
+        "id",
+        rejected.alias("rejected"),
+        F.when(~rejected, F.try_variant_get(F.try_element_at("parameters", F.lit("label")), "$", "bigint")).alias("label"),
+        F.when(~rejected, tensor["datatype"]).alias("datatype"),
+        F.when(~rejected, F.get(tensor["shape"], F.lit(0))).alias("size"),
+        F.when(~rejected, F.try_variant_get(tensor["data"], "$[0]", "double")).alias("first"),
+    )
+
+
+def _tensor_table(spark, folder):
+    """Embedding tensors with their values in the float family."""
+    return requests(spark, folder).select(
+        "id",
+        "vec_id",
+        "model_name",
+        F.lit("embedding").alias("name"),
+        F.array(F.lit(4).cast("long"), F.when(F.col("vec_id") % 5 == 0, 15).otherwise(16).cast("long")).alias("shape"),
+        F.lit("FP32").alias("datatype"),
+        F.struct(
+            F.lit(None).cast("array<boolean>").alias("bools"),
+            F.lit(None).cast("array<bigint>").alias("ints"),
+            F.lit(None).cast("array<decimal(20,0)>").alias("uints"),
+            F.transform("embedding", lambda v: v.cast("double")).alias("floats"),
+            F.lit(None).cast("array<binary>").alias("bytes"),
+        ).alias("tensor"),
+    )
+
+
+@query(
+    "t1_explode_tensors",
+    """
+    SELECT CAST(conv_id AS VARCHAR) AS id, p AS position, 'turn' || t AS name, CAST(len(string_split(x, ' ')) AS BIGINT) AS size,
+           'BYTES' AS datatype
+    FROM (SELECT conv_id, unnest(range(0, len(xs))) AS p, unnest(ts) AS t, unnest(xs) AS x FROM
+           (SELECT conv_id, list(turn ORDER BY turn) AS ts, list(text ORDER BY turn) AS xs FROM conversations GROUP BY 1))
+    """,
+)
+def explode_query(spark, folder):
+    """A conversation as one request, a tensor for every turn."""
+    asked = (
+        table(spark, folder, "conversations")
+        .select(
+            F.col("conv_id").cast("string").alias("id"),
+            "turn",
+            F.struct(
+                "turn",
+                F.concat(F.lit("turn"), "turn").alias("name"),
+                F.array(F.size(F.split("text", " ")).cast("long")).alias("shape"),
+                F.lit("BYTES").alias("datatype"),
+            ).alias("tensor"),
+        )
+        .groupBy("id")
+        .agg(F.array_sort(F.collect_list("tensor")).alias("inputs"))
+    )
+    return tensors.explode_tensors(asked).select(
+        "id", F.col("position").cast("bigint"), "name", F.get("shape", F.lit(0)).alias("size"), "datatype"
+    )
+
+
+@F.arrow_udf(T.BinaryType())
+def _float_bytes(values: pa.Array) -> pa.Array:
+    return pa.array([np.asarray(v, dtype="<f4").tobytes() for v in values.to_pylist()], pa.binary())
+
+
+@query(
+    "t2_decode_raw_tensors",
+    """
+    SELECT vec_id, 64 AS elements, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last,
+           NULL::VARCHAR AS error
+    FROM embeddings
+    """,
+)
+def decode_floats_query(spark, folder):
+    df = table(spark, folder, "embeddings").select(
+        "vec_id", F.lit("fp32").alias("datatype"), _float_bytes("embedding").alias("raw")
+    )
+    floats = F.col("tensor.floats")
+    return tensors.decode_raw_tensors(df).select(
+        "vec_id",
+        F.size(floats).alias("elements"),
+        F.get(floats, F.lit(0)).alias("first"),
+        F.get(floats, F.lit(63)).alias("last"),
+        F.col("tensor_error").alias("error"),
+    )
+
+
+# Data types cycled over the documents; UINT64 totals do not fit a BIGINT.
+_CYCLE = ("UINT8", "INT8", "UINT16", "INT16", "UINT32", "INT32", "INT64", "BOOL", "BYTES", "COMPLEX")
+_WIDTH = {"UINT8": 1, "INT8": 1, "UINT16": 2, "INT16": 2, "UINT32": 4, "INT32": 4, "INT64": 8}
+
+
+def _decoded_sql():
+    """Every data type by arithmetic on the hex digits of the bytes."""
+    names = list(_CYCLE)
+    width = "CASE dt " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _WIDTH.items()) + " ELSE 1 END"
+    return f"""
+    WITH d AS (
+      SELECT doc_id, list_extract({names}, CAST(doc_id % {len(names)} + 1 AS BIGINT)) AS dt, hex(encode(text)) AS h,
+             octet_length(encode(text)) AS n
+      FROM documents),
+    w AS (SELECT *, {width} AS width FROM d),
+    b AS (
+      SELECT doc_id, dt, width, i, CAST('0x' || h[i * 2 + 1:i * 2 + 2] AS BIGINT) AS byte
+      FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS i FROM w WHERE n % width = 0 AND dt NOT IN ('BOOL', 'BYTES', 'COMPLEX'))),
+    v AS (
+      SELECT doc_id, dt, width, i // width AS pos,
+             CAST(sum(CASE WHEN i % width = width - 1 AND dt LIKE 'INT%' AND byte > 127 THEN byte - 256 ELSE byte END
+                      * CAST(power(256, i % width) AS HUGEINT)) AS HUGEINT) AS value
+      FROM b GROUP BY ALL),
+    s AS (SELECT doc_id, CAST(sum(value % 1000003) AS BIGINT) AS total, count(*) AS elements FROM v GROUP BY 1)
+    SELECT w.doc_id, dt AS datatype,
+           CAST(CASE WHEN dt = 'COMPLEX' OR n % width > 0 THEN NULL WHEN dt = 'BYTES' THEN 1 WHEN dt = 'BOOL' THEN n
+                ELSE coalesce(elements, 0) END AS INTEGER) AS elements,
+           CASE WHEN dt NOT IN ('BOOL', 'BYTES', 'COMPLEX') AND n % width = 0 THEN coalesce(total, 0) END AS total,
+           CASE WHEN dt = 'COMPLEX' THEN 'tensor: unsupported data type ''COMPLEX''. Supported types: {tensors.SUPPORTED}'
+                WHEN n % width > 0 THEN 'tensor: data length ' || n || ' is not a multiple of ' || width || ' for ' || dt
+                END AS error
+    FROM w LEFT JOIN s ON s.doc_id = w.doc_id
+    """
+
+
+@query("t2_decode_raw_types", _decoded_sql())
+def decode_types_query(spark, folder):
+    names = F.array(*[F.lit(name) for name in _CYCLE])
+    df = table(spark, folder, "documents").select(
+        "doc_id",
+        F.get(names, (F.col("doc_id") % len(_CYCLE)).cast("int")).alias("datatype"),
+        F.col("text").cast("binary").alias("raw"),
+    )
+    value = F.col("tensor")
+    counts = [F.when(value[f].isNotNull(), F.size(value[f])) for f in tensors.FAMILIES]
+    return tensors.decode_raw_tensors(df).select(
+        "doc_id",
+        "datatype",
+        F.coalesce(*counts).alias("elements"),
+        F.aggregate(value["ints"], F.lit(0).cast("bigint"), lambda a, x: a + x % 1000003).alias("total"),
+        F.col("tensor_error").alias("error"),
+    )
+
+
+@query(
+    "t3_select_contents",
+    """
+    SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN CAST(embedding[1] AS DOUBLE) WHEN 1 THEN CAST(embedding[1] AS DOUBLE)
+                        END AS first,
+           vec_id % 4 > 1 AS nothing
+    FROM embeddings
+    """,
+)
+def select_contents_query(spark, folder):
+    """By id: typed contents, raw bytes, a raw list that is too short, FP16 with typed contents."""
+    pick = F.col("vec_id") % 4
+    empty = {
+        "bool_contents": "array<boolean>",
+        "int_contents": "array<int>",
+        "int64_contents": "array<bigint>",
+        "uint_contents": "array<bigint>",
+        "uint64_contents": "array<decimal(20,0)>",
+        "fp64_contents": "array<double>",
+        "bytes_contents": "array<binary>",
+    }
+    contents = F.struct(
+        F.col("embedding").alias("fp32_contents"),
+        *[F.lit(None).cast(kind).alias(name) for name, kind in empty.items()],
+    )
+    df = table(spark, folder, "embeddings").select(
+        "vec_id",
+        F.when(pick.isin(0, 3), contents).alias("contents"),
+        F.when(pick == 3, "FP16").when(pick == 1, "fp32").otherwise("FP32").alias("datatype"),
+        F.array(_float_bytes("embedding")).alias("raw"),
+        F.when(pick == 2, 5).otherwise(0).alias("position"),
+    )
+    return tensors.select_contents(df).select(
+        "vec_id",
+        F.get(F.col("tensor.floats"), F.lit(0)).alias("first"),
+        F.col("tensor.floats").isNull().alias("nothing"),
+    )
+
+
+@query(
+    "t4_coerce_outputs",
+    """
+    WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 1000) AS d FROM embeddings)
+    SELECT vec_id,
+           CASE WHEN vec_id % 4 = 0 THEN CAST(list_sum(list_transform(d, lambda v: CAST(trunc(v) AS BIGINT))) AS BIGINT) + label END
+             AS int_total,
+           CASE WHEN vec_id % 4 = 1 THEN d[2] END AS second_float, CASE WHEN vec_id % 4 = 1 THEN 0.0::DOUBLE END AS no_number,
+           CASE WHEN vec_id % 4 = 2 THEN 'word' || label END AS text,
+           vec_id % 4 = 3 AS empty
+    FROM x
+    """,
+)
+def coerce_query(spark, folder):
+    """By id: whole numbers, floats with a text among them, byte texts, booleans."""
+    pick = F.col("vec_id") % 4
+    scaled = F.transform("embedding", lambda v: v.cast("double") * 1000)
+    # plain decimal texts: the JSON numbers are then exactly the doubles they came from
+    numbers = F.to_json(scaled)
+    df = table(spark, folder, "embeddings").select(
+        "vec_id",
+        F.when(pick == 0, "INT32").when(pick == 1, "FP64").when(pick == 2, "BYTES").otherwise("BOOL").alias("datatype"),
+        F.parse_json(
+            F.when(pick == 0, F.concat(F.regexp_replace(numbers, "]$", ","), "label", F.lit("]")))
+            .when(pick == 1, F.concat(F.regexp_replace(numbers, "]$", ',"none"]')))
+            .when(pick == 2, F.concat(F.lit('["word'), "label", F.lit('", 1]')))
+            .otherwise(F.lit("[true, false]"))
+        ).alias("data"),
+    )
+    value = F.col("tensor")
+    families = [value[f].isNull() for f in tensors.FAMILIES]
+    return tensors.coerce_outputs(df).select(
+        "vec_id",
+        F.aggregate(value["ints"], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("int_total"),
+        F.get(value["floats"], F.lit(1)).alias("second_float"),
+        F.get(value["floats"], F.lit(64)).alias("no_number"),
+        F.get(value["bytes"], F.lit(0)).cast("string").alias("text"),
+        (families[0] & families[1] & families[2] & families[3] & families[4]).alias("empty"),
+    )
+
+
+@query(
+    "t5_encode_bytes_tensors",
+    """
+    SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN md5(to_base64(encode(text)) || ',' || to_base64(encode(lang))) END AS data
+    FROM documents
+    """,
+)
+def encode_query(spark, folder):
+    df = table(spark, folder, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 > 0, "BYTES").otherwise("FP32").alias("datatype"),
+        F.array(F.col("text").cast("binary"), F.col("lang").cast("binary")).alias("bytes"),
+    )
+    coded = tensors.encode_bytes_tensors(df)
+    return coded.select("doc_id", F.md5(F.array_join("data", ",").cast("binary")).alias("data"))
+
+
+@query(
+    "t5_decode_bytes_tensors",
+    """
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(text) END AS decoded,
+           CASE WHEN doc_id % 4 = 1 THEN 'illegal base64 data' END AS error, doc_id % 4 = 2 AS still_a_list
+    FROM documents
+    """,
+)
+def decode_bytes_query(spark, folder):
+    """By id: one text, a broken text, a list, another data type."""
+    pick = F.col("doc_id") % 4
+    coded = F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")
+    quoted = F.concat(F.lit('"'), coded, F.lit('"'))
+    df = table(spark, folder, "documents").select(
+        "doc_id",
+        F.when(pick == 3, "FP32").otherwise("BYTES").alias("datatype"),
+        F.parse_json(
+            F.when(pick == 1, F.concat(F.lit('"%'), coded, F.lit('"')))
+            .when(pick == 2, F.concat(F.lit("["), quoted, F.lit("]")))
+            .otherwise(quoted)
+        ).alias("data"),
+    )
+    return tensors.decode_bytes_tensors(df).select(
+        "doc_id",
+        F.md5("decoded").alias("decoded"),
+        F.col("decoded_error").alias("error"),
+        F.schema_of_variant("data").startswith("ARRAY").alias("still_a_list"),
+    )
+
+
+@query(
+    "t6_map_parameters",
+    """
+    SELECT event_id, user_id % 2 = 0 AS flag, user_id AS whole, CAST(trunc(value) AS BIGINT) AS cut, event_type AS text,
+           CAST(4 AS INTEGER) AS kept
+    FROM events
+    """,
+)
+def parameters_query(spark, folder):
+    """Choices to values and back; a parameter without a choice and a list are lost on the way."""
+    choice = lambda b=None, i=None, s=None: F.struct(
+        (F.lit(None) if b is None else b).cast("boolean").alias("b"),
+        (F.lit(None) if i is None else i).cast("bigint").alias("i"),
+        (F.lit(None) if s is None else s).cast("string").alias("s"),
+    )
+    df = table(spark, folder, "events").select(
+        "event_id",
+        "value",
+        F.create_map(
+            F.lit("flag"), choice(b=F.col("user_id") % 2 == 0),
+            F.lit("whole"), choice(i=F.col("user_id")),
+            F.lit("text"), choice(s=F.col("event_type")),
+            F.lit("none"), choice(),
+        ).alias("parameters"),
+    )
+    values = tensors.map_parameters(df, "to_values")
+    extra = F.create_map(
+        F.lit("cut"), F.parse_json(F.col("value").cast("string")), F.lit("list"), F.parse_json(F.lit("[1]"))
+    )
+    back = tensors.map_parameters(
+        values.withColumn("parameters", F.map_concat("parameters", extra)), "to_choices"
+    )
+    get = lambda name, part: F.element_at("parameters", F.lit(name))[part].alias(name)
+    return back.select(
+        "event_id", get("flag", "b"), get("whole", "i"), get("cut", "i"), get("text", "s"),
+        F.size("parameters").alias("kept"),
+    )
+
+
+@query(
+    "t7_elementwise_model",
+    """
+    SELECT vec_id, 'output_embedding' AS name, 'FP32' AS datatype, CAST(embedding[1] AS DOUBLE) * 2 AS first,
+           CAST(embedding[64] AS DOUBLE) * 2 AS last
+    FROM embeddings
+    """,
+)
+def model_query(spark, folder):
+    answered = tensors.elementwise_model(_tensor_table(spark, folder))
+    floats = F.col("tensor.floats")
+    return answered.select(
+        "vec_id",
+        "name",
+        "datatype",
+        F.get(floats, F.lit(0)).alias("first"),
+        F.get(floats, F.lit(63)).alias("last"),
+    )
+
+
+@query(
+    "t8_default_response",
+    """
+    SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'given' ELSE 'm' END AS model_name,
+           CASE WHEN label % 2 = 0 THEN CAST(label AS VARCHAR) ELSE '1' END AS model_version,
+           CASE WHEN vec_id % 3 = 0 THEN 'own' ELSE CAST(vec_id AS VARCHAR) END AS id
+    FROM embeddings
+    """,
+)
+def default_response_query(spark, folder):
+    vec, label = F.col("vec_id"), F.col("label")
+    df = table(spark, folder, "embeddings").select(
+        "vec_id",
+        vec.cast("string").alias("request_id"),
+        F.when(vec % 2 == 0, "given").otherwise("").alias("model_name"),
+        F.when(label % 2 == 0, label.cast("string")).alias("model_version"),
+        F.when(vec % 3 == 0, "own").otherwise("").alias("id"),
+    )
+    return tensors.default_response(df, "m", "1").drop("request_id")
+
+
+@query(
+    "t9_check_shapes",
+    """
+    SELECT vec_id, CAST(len(embedding) AS BIGINT) AS elements, CASE WHEN vec_id % 5 = 0 THEN 60 ELSE 64 END::BIGINT AS expected,
+           vec_id % 5 > 0 AS shape_ok
+    FROM embeddings
+    """,
+)
+def shapes_query(spark, folder):
+    return tensors.check_shapes(_tensor_table(spark, folder)).select("vec_id", "elements", "expected", "shape_ok")
+
+
+@query(
+    "t9_shape_report",
+    """
+    SELECT 'model-' || (label % 4) AS model_name, count(*) AS tensors, count(*) FILTER (vec_id % 5 = 0) AS mismatches
+    FROM embeddings GROUP BY 1
+    """,
+)
+def shape_report_query(spark, folder):
+    return tensors.shape_report(tensors.check_shapes(_tensor_table(spark, folder)))
+
+
+@query(
+    "j2_model_readiness",
+    f"""
+    WITH {MODELS}
+    SELECT a.id, a.model_name, a.model_version,
+           EXISTS (SELECT 1 FROM models m WHERE m.model_name = a.model_name
+                   AND (a.model_version = '' OR a.model_version = m.model_version)) AS ready
+    FROM asked a
+    """,
+)
+def readiness_query(spark, folder):
+    return joins.model_readiness(requests(spark, folder), models(spark, folder)).select(
+        "id", "model_name", "model_version", "ready"
+    )
+
+
+@query(
+    "j3_model_metadata",
+    f"""
+    WITH {MODELS},
+    t AS (SELECT id, model_name, 'embedding' AS name FROM asked
+          UNION ALL SELECT id, model_name, 'extra' FROM asked WHERE vec_id % 7 = 0),
+    d AS (SELECT a.id, a.model_name, n.name, m.dim FROM asked a JOIN models m USING (model_name)
+          CROSS JOIN (VALUES ('embedding'), ('mask')) n(name))
+    SELECT id, model_name, name,
+           CASE WHEN t.name IS NULL THEN 'missing' WHEN d.name IS NULL THEN 'undeclared'
+                WHEN d.dim NOT IN (-1, 64) THEN 'shape' ELSE 'ok' END AS verdict
+    FROM t FULL JOIN d USING (id, model_name, name)
+    """,
+)
+def metadata_query(spark, folder):
+    names = F.when(
+        F.col("vec_id") % 7 == 0, F.array(F.lit("embedding"), F.lit("extra"))
+    ).otherwise(F.array(F.lit("embedding")))
+    sent = requests(spark, folder).select(
+        "id",
+        "model_name",
+        F.explode(names).alias("name"),
+        F.lit("FP32").alias("datatype"),
+        F.array(F.size("embedding").cast("long")).alias("shape"),
+    )
+    return joins.model_metadata(sent, models(spark, folder)).select("id", "model_name", "name", "verdict")

@@ -117,6 +117,9 @@ class _Exchange(StatefulProcessor):
                     else:
                         whole_response = whole_response or ends
                 ended = ended or (ends and row.phase in (RESPONSE_HEADERS, RESPONSE_BODY))
+        if first is None:
+            yield pd.DataFrame()
+            return
         for phase, chunks in added.items():
             if chunks:
                 self.chunks[phase].appendList(chunks)

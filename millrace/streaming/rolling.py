@@ -174,9 +174,13 @@ class _RollingBuffer(StatefulProcessor):
         chunk, limit, trim = self.sizes
         waiting, buffer, received, start, fresh, tick = self._load()
         # a micro-batch arrives unordered: its rows of one stream are put in order first
-        arrived = pd.concat(list(rows)).sort_values(["__tick", "seq"], kind="stable")
+        batches = [batch for batch in rows if len(batch)]
+        if not batches:
+            yield self._frame(key, [])
+            return
+        arrived = pd.concat(batches).sort_values(["now", "seq"], kind="stable")
         out = []
-        for now, data in zip(arrived["__tick"], arrived["data"]):
+        for now, data in zip(arrived["now"], arrived["data"]):
             now = int(now)
             if tick is not None and now > tick and fresh:
                 out.append((tick, start, start + len(buffer), bytes(buffer)))
@@ -227,7 +231,7 @@ def stream_rolling_snapshots(
         raise ValueError("interval must be whole milliseconds")
     use_rocksdb(df.sparkSession)
     return (
-        df.select("stream_id", "seq", "ts", "data", tick_of(F.col("ts"), interval).alias("__tick"))
+        df.select("stream_id", "seq", "ts", "data", tick_of(F.col("ts"), interval).alias("now"))
         .withWatermark("ts", delay)
         .groupBy("stream_id")
         .transformWithStateInPandas(
