@@ -23,32 +23,45 @@ def parse_integer(text):
     return F.when(text.rlike(INTEGER_TEXT), text.try_cast("bigint"))
 
 
-def plain_number(value):
-    """DOUBLE as text without exponent: the digits of the short form, point moved into place."""
+def short_number(value):
+    """DOUBLE as its shortest digits, possibly with an exponent."""
     short = value.cast("string")
-    sign = F.when(short.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.split_part(short, F.lit("E"), F.lit(1)), "-", "")
-    exponent = F.split_part(short, F.lit("E"), F.lit(2)).try_cast("int")
-    whole = F.split_part(mantissa, F.lit("."), F.lit(1))
-    part = F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(2)), "0+$", "")
-    digits = F.concat(whole, part)
-    large = F.when(
-        F.length(part) <= exponent,
-        F.concat(whole, F.rpad(part, exponent, F.lit("0"))),
-    ).otherwise(
-        F.concat(
-            whole,
-            F.substring(part, F.lit(1), exponent),
-            F.lit("."),
-            F.substring(part, exponent + 1, F.length(part)),
-        )
+    # Java before 19 sometimes gives 17 digits where 16 say the same number
+    sixteen = F.format_string("%.15E", value)
+    exact = F.contains(short, F.lit("E")) & (sixteen.try_cast("double") == value)
+    return F.when(exact, sixteen).otherwise(short)
+
+
+def number_digits(short):
+    """Significant digits of a number text with an exponent, without trailing zeros."""
+    return F.concat(
+        F.regexp_extract(short, "([0-9])\\.", 1), F.regexp_extract(short, "\\.([0-9]*?)0*E", 1)
+    )
+
+
+def number_exponent(short):
+    """Exponent of a number text, null when it has none."""
+    return F.split_part(short, F.lit("E"), F.lit(2)).try_cast("int")
+
+
+def plain_number(short, digits, exponent):
+    """Number text without its exponent: the digits padded with zeros, the point put in."""
+    large = F.when(F.length(digits) <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))).otherwise(
+        F.concat(F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + 2))
     )
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    plain = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    body = (
-        F.when(exponent.isNull(), plain).when(exponent >= 0, large).otherwise(small)
+    sign = F.when(F.startswith(short, F.lit("-")), "-").otherwise("")
+    return (
+        F.when(exponent.isNull(), F.regexp_replace(short, "\\.0$", ""))
+        .when(exponent >= 0, F.concat(sign, large))
+        .otherwise(F.concat(sign, small))
     )
-    return F.when(short.isin("NaN", "Infinity", "-Infinity"), short).otherwise(F.concat(sign, body))
+
+
+def number_text(value):
+    """DOUBLE as its shortest digits without an exponent, in one expression."""
+    short = short_number(value)
+    return plain_number(short, number_digits(short), number_exponent(short))
 
 
 def acknowledgement(data):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .text import parse_integer, plain_number
+from .text import parse_integer
 
 _FLOATS = r"^(DECIMAL|FLOAT|DOUBLE)"
 _NUMBERS = r"^(DECIMAL|FLOAT|DOUBLE|BIGINT|INT|SMALLINT|TINYINT)"
@@ -64,33 +64,31 @@ def whole(value):
     )
 
 
-def field_text(value, trigger):
-    """Field as text by the trigger's rule; '' when the rule gives nothing."""
-    kind = kind_of(value)
+def field_text(value, kind, trigger, number):
+    """Field as text by the trigger's rule; '' when the rule gives nothing.
+
+    ``number`` is the plain text of a field that is a float.
+    """
     text = F.when(kind == "string", as_text(value))
     if trigger == "job":
         text = (
-            F.when(kind == "string", as_text(value))
-            .when(kind == "int", as_long(value).cast("string"))
-            .when(kind == "float", plain_number(as_double(value)))
+            text.when(kind == "int", as_long(value).cast("string"))
+            .when(kind == "float", number)
             .when(kind == "bool", as_bool(value).cast("string"))
         )
     return F.coalesce(text, F.lit(""))
 
 
-def field_integer(value, trigger):
+def field_integer(value, kind, trigger):
     """Field as BIGINT by the trigger's rule; null where the rule raises."""
-    kind = kind_of(value)
     if trigger == "job":
         raise ValueError("job events have no integer fields")
     if trigger == "openinference":
         # only a native integer counts, and neither JSON nor a protobuf map holds one
         return F.lit(0).cast("bigint")
-    number = F.when(kind.isin("int", "float"), whole(value))
-    if trigger == "mjpeg":
-        return F.when(kind.isin("int", "float"), number).otherwise(F.lit(0).cast("bigint"))
-    return (
-        F.when(kind.isin("int", "float"), number)
-        .when(kind == "string", parse_integer(as_text(value)))
-        .otherwise(F.lit(0).cast("bigint"))
+    number = F.when(kind == "int", as_long(value)).when(
+        kind == "float", as_double(value).try_cast("bigint")
     )
+    if trigger != "mjpeg":
+        number = number.when(kind == "string", parse_integer(as_text(value)))
+    return number.when(kind.isNull() | kind.isin("string", "bool", "other"), F.lit(0).cast("bigint"))

@@ -6,9 +6,24 @@ from pyspark.sql import functions as F
 
 from ..envelope import ENVELOPE
 from ..functions.headers import EMPTY_TEXT, merge_maps
-from ..functions.text import parse_integer
-from ..functions.variants import as_bool, as_double, as_long, as_text, field_integer, field_text, kind_of, member
-from ..functions.text import plain_number
+from ..functions.text import (
+    number_digits,
+    number_exponent,
+    number_text,
+    parse_integer,
+    plain_number,
+    short_number,
+)
+from ..functions.variants import (
+    as_bool,
+    as_double,
+    as_long,
+    as_text,
+    field_integer,
+    field_text,
+    kind_of,
+    member,
+)
 from .scans import salted_join
 
 # Trigger kinds and their class (fixed values).
@@ -28,7 +43,7 @@ def _text_of(value):
     return (
         F.when(kind == "string", as_text(value))
         .when(kind == "int", as_long(value).cast("string"))
-        .when(kind == "float", plain_number(as_double(value)))
+        .when(kind == "float", number_text(as_double(value)))
         .when(kind == "bool", as_bool(value).cast("string"))
         .when(kind == "other", F.to_json(value))
     )
@@ -166,7 +181,6 @@ def typed_field(df, key, as_, trigger, column="fields", out="field"):
         raise ValueError(f"as_ must be 'string' or 'int': {as_}")
     if trigger not in _SHAPES:
         raise ValueError(f"unknown trigger: {trigger}")
-    holds = df.schema[column].dataType.typeName()
     if trigger == "extproc":
         values = F.try_element_at(F.col(column), F.lit(key))
         if as_ == "string":
@@ -175,14 +189,31 @@ def typed_field(df, key, as_, trigger, column="fields", out="field"):
             value = F.when(
                 F.coalesce(F.size(values), F.lit(0)) > 0, parse_integer(F.get(values, F.lit(0)))
             ).otherwise(F.lit(0).cast("bigint"))
-    else:
-        source = (
-            F.try_element_at(F.col(column), F.lit(key))
-            if holds == "map"
-            else member(F.col(column), key)
+        return df.withColumn(out, value)
+    holds = df.schema[column].dataType.typeName()
+    source = (
+        F.try_element_at(F.col(column), F.lit(key))
+        if holds == "map"
+        else member(F.col(column), key)
+    )
+    # one projection a step, so that what later steps use several times is computed once
+    found = df.withColumn("__value", source).withColumn("__kind", kind_of(F.col("__value")))
+    value, kind, number = F.col("__value"), F.col("__kind"), None
+    if as_ == "string" and trigger == "job":
+        found = found.withColumn("__short", short_number(F.when(kind == "float", as_double(value))))
+        short = F.col("__short")
+        found = found.withColumns(
+            {"__digits": number_digits(short), "__exponent": number_exponent(short)}
         )
-        value = field_text(source, trigger) if as_ == "string" else field_integer(source, trigger)
-    return df.withColumn(out, value)
+        number = plain_number(short, F.col("__digits"), F.col("__exponent"))
+    result = (
+        field_text(value, kind, trigger, number)
+        if as_ == "string"
+        else field_integer(value, kind, trigger)
+    )
+    return found.withColumn(out, result).drop(
+        "__value", "__kind", "__short", "__digits", "__exponent"
+    )
 
 
 def union_events(*dfs):

@@ -132,8 +132,7 @@ def jpeg_query(spark, folder):
     f"""
     WITH {PAGE_FRAMES}
     SELECT seq, '{{"frame_number":' || frame_num || ',"timestamp":"' ||
-           strftime(make_timestamp(ts_us + CASE WHEN seq % 2 = 0 THEN 0 ELSE 179500 END),
-                    CASE WHEN seq % 2 = 0 THEN '%Y-%m-%dT%H:%M:%SZ' ELSE '%Y-%m-%dT%H:%M:%S.%fZ' END)
+           strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN seq % 2 = 0 THEN 'Z' ELSE '.179500Z' END
            || '","source_url":"' || url || '","frame_size_bytes":' || octet_length(encode(html))
            || ',"analysis":{{"processed":true}},"thumbnail":'
            || CASE WHEN octet_length(encode(html)) > 1000
@@ -163,9 +162,9 @@ def swap_query(spark, folder):
 @query(
     "p24_pcm_to_float",
     """
-    WITH w AS (SELECT doc_id, octet_length(encode(text)) // 2 AS n, hex(encode(text)) AS h FROM documents),
-    s AS (SELECT doc_id, n, unnest(list_transform(range(0, CAST(n AS BIGINT)),
-                 lambda i: CAST('0x' || h[i * 4 + 3:i * 4 + 4] || h[i * 4 + 1:i * 4 + 2] AS BIGINT))) AS u FROM w)
+    WITH w AS (SELECT doc_id, octet_length(encode(text)) // 2 AS n,
+                      unnest(regexp_extract_all(hex(encode(text)), '....')) AS h FROM documents),
+    s AS (SELECT doc_id, n, CAST('0x' || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS u FROM w)
     SELECT doc_id, CAST(n AS INTEGER) AS samples, CAST(sum(CASE WHEN u > 32767 THEN u - 65536 ELSE u END) AS BIGINT) AS total,
            min(CASE WHEN u > 32767 THEN u - 65536 ELSE u END) / 32768 AS low
     FROM s GROUP BY doc_id, n

@@ -123,13 +123,13 @@ def job_query(spark, folder):
     """
     SELECT conv_id, turn,
            'http.request.body.size=' || octet_length(encode(text)) || '&http.request.header.user-agent=probe'
-           || '&http.request.method=POST&http.route=/' || role
+           || '&http.request.method=POST'
            || CASE role WHEN 'user' THEN '&http.response.body.size=' || (octet_length(encode(text)) + 7)
                                          || '&http.response.header.x-greeter=yes'
                         WHEN 'assistant' THEN '&http.response.body.size=' || length('{"size": ' || octet_length(encode(text)) || '}')
                         ELSE '' END
            || '&http.response.status_code=' || CASE role WHEN 'system' THEN 500 WHEN 'assistant' THEN 200 ELSE 201 END
-           || '&server.address=chat.example&server.port=8080&url.full=http://chat.example:8080/' || role
+           || '&http.route=/' || role || '&server.address=chat.example&server.port=8080&url.full=http://chat.example:8080/' || role
            || '&url.path=/' || role || '&url.scheme=http&user_agent.original=probe' AS attributes
     FROM conversations
     """,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.targets import query_of
 from ..operators import delivery, events as ev, frames
 from ..session import scratch_path
 from ..sources.captures import job_events, load_messages
@@ -256,27 +257,16 @@ def unrouted_table_query(spark, folder):
     )
 
 
-@query(
-    "p2_typed_field",
-    r"""
-    WITH v AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, value,
-                      CAST(round(value * 100) AS BIGINT) AS cents, event_type FROM events)
-    SELECT event_id,
-           CAST(k AS VARCHAR) AS job_int,
-           CASE WHEN cents % 100 = 0 THEN CAST(cents // 100 AS VARCHAR)
-                WHEN cents % 10 = 0 THEN (cents // 100) || '.' || ((cents % 100) // 10)
-                ELSE (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS job_float,
-           CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS job_bool,
-           event_type AS job_text, '' AS job_missing,
-           event_type AS frame_text, '' AS frame_of_number, cents // 100 AS frame_int, 0::BIGINT AS frame_int_of_text,
-           k AS socket_int, k AS socket_int_of_text, NULL::BIGINT AS socket_int_of_word, 0::BIGINT AS socket_missing,
-           0::BIGINT AS infer_int, event_type AS infer_text
-    FROM v
-    """,
-)
-def typed_field_query(spark, folder):
+_FIELDS = """
+v AS (SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, CAST(round(value * 100) AS BIGINT) AS cents, event_type
+      FROM events)
+"""
+
+
+def _with_fields(spark, folder):
+    """Events with a document of one field of every type."""
     k = F.get_json_object("props", "$.k")
-    df = events(spark, folder).select(
+    return events(spark, folder).select(
         "event_id",
         F.parse_json(
             F.concat(
@@ -288,27 +278,92 @@ def typed_field_query(spark, folder):
             )
         ).alias("fields"),
     )
-    for key, as_, trigger, out in (
-        ("n", "string", "job", "job_int"),
-        ("f", "string", "job", "job_float"),
-        ("b", "string", "job", "job_bool"),
-        ("t", "string", "job", "job_text"),
-        ("none", "string", "job", "job_missing"),
-        ("t", "string", "mjpeg", "frame_text"),
-        ("n", "string", "mjpeg", "frame_of_number"),
-        ("f", "int", "mjpeg", "frame_int"),
-        ("d", "int", "mjpeg", "frame_int_of_text"),
-        ("n", "int", "websocket", "socket_int"),
-        ("d", "int", "rtsp", "socket_int_of_text"),
-        ("t", "int", "websocket", "socket_int_of_word"),
-        ("none", "int", "rtsp", "socket_missing"),
-        ("n", "int", "openinference", "infer_int"),
-        ("t", "string", "openinference", "infer_text"),
-    ):
+
+
+def _read_fields(df, as_, reads):
+    for key, trigger, out in reads:
         df = ev.typed_field(df, key, as_, trigger, out=out)
     return df.drop("fields")
 
 
+@query(
+    "p2_typed_field_text",
+    f"""
+    WITH {_FIELDS}
+    SELECT event_id,
+           CAST(k AS VARCHAR) AS job_int,
+           CASE WHEN cents % 100 = 0 THEN CAST(cents // 100 AS VARCHAR)
+                WHEN cents % 10 = 0 THEN (cents // 100) || '.' || ((cents % 100) // 10)
+                ELSE (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') END AS job_float,
+           CASE WHEN k % 2 = 0 THEN 'true' ELSE 'false' END AS job_bool, event_type AS job_text, '' AS job_missing,
+           event_type AS frame_text, '' AS frame_of_number, event_type AS infer_text
+    FROM v
+    """,
+)
+def typed_text_query(spark, folder):
+    return _read_fields(
+        _with_fields(spark, folder),
+        "string",
+        (
+            ("n", "job", "job_int"),
+            ("f", "job", "job_float"),
+            ("b", "job", "job_bool"),
+            ("t", "job", "job_text"),
+            ("none", "job", "job_missing"),
+            ("t", "mjpeg", "frame_text"),
+            ("n", "mjpeg", "frame_of_number"),
+            ("t", "openinference", "infer_text"),
+        ),
+    )
+
+
+@query(
+    "p2_typed_field_int",
+    f"""
+    WITH {_FIELDS}
+    SELECT event_id, cents // 100 AS frame_int, 0::BIGINT AS frame_int_of_text,
+           k AS socket_int, k AS socket_int_of_text, NULL::BIGINT AS socket_int_of_word, 0::BIGINT AS socket_missing,
+           0::BIGINT AS infer_int
+    FROM v
+    """,
+)
+def typed_int_query(spark, folder):
+    return _read_fields(
+        _with_fields(spark, folder),
+        "int",
+        (
+            ("f", "mjpeg", "frame_int"),
+            ("d", "mjpeg", "frame_int_of_text"),
+            ("n", "websocket", "socket_int"),
+            ("d", "rtsp", "socket_int_of_text"),
+            ("t", "websocket", "socket_int_of_word"),
+            ("none", "rtsp", "socket_missing"),
+            ("n", "openinference", "infer_int"),
+        ),
+    )
+
+
+@query(
+    "p2_typed_field_query",
+    """
+    SELECT page_id, CASE WHEN url LIKE '%page=%' THEN regexp_extract(url, 'page=([0-9]+)', 1)::BIGINT ELSE 0::BIGINT END AS page,
+           CASE WHEN url LIKE '%page=%' THEN regexp_extract(url, 'page=([0-9]+)', 1) || ',' || page_id ELSE '' END AS pages,
+           CASE WHEN url LIKE '%ref=%' THEN NULL ELSE 0::BIGINT END AS ref
+    FROM pages
+    """,
+)
+def typed_query_query(spark, folder):
+    df = table(spark, folder, "pages").select(
+        "page_id",
+        query_of(
+            F.when(F.col("url").contains("page="), F.concat("url", F.lit("&page="), "page_id")).otherwise(F.col("url"))
+        ).alias("fields"),
+    )
+    for key, as_, out in (("page", "int", "page"), ("page", "string", "pages"), ("ref", "int", "ref")):
+        df = ev.typed_field(df, key, as_, "extproc", out=out)
+    return df.drop("fields")
+
+
 @query(
     "w1_conflate_latest",
     """

@@ -155,8 +155,9 @@ def _decoded_sql():
       FROM documents),
     w AS (SELECT *, {width} AS width FROM d),
     b AS (
-      SELECT doc_id, dt, width, i, CAST('0x' || h[i * 2 + 1:i * 2 + 2] AS BIGINT) AS byte
-      FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS i FROM w WHERE n % width = 0 AND dt NOT IN ('BOOL', 'BYTES', 'COMPLEX'))),
+      SELECT doc_id, dt, width, i, CAST('0x' || x AS BIGINT) AS byte
+      FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT))) AS i, unnest(regexp_extract_all(h, '..')) AS x
+            FROM w WHERE n % width = 0 AND dt NOT IN ('BOOL', 'BYTES', 'COMPLEX'))),
     v AS (
       SELECT doc_id, dt, width, i // width AS pos,
              CAST(sum(CASE WHEN i % width = width - 1 AND dt LIKE 'INT%' AND byte > 127 THEN byte - 256 ELSE byte END
