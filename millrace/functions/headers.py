@@ -1,7 +1,6 @@
 """Header maps: MAP<STRING,STRING> beside MAP<STRING,BINARY>.
 
-Names are case-sensitive throughout. Maps are merged without relying on the session's
-duplicate-key policy: the loser's entries are filtered out first.
+Names are case-sensitive throughout. Nothing relies on the session's duplicate-key policy.
 """
 
 from pyspark.sql import functions as F
@@ -22,18 +21,20 @@ def raw_map(column):
 
 def merge_maps(base, override):
     """Entries of both maps; ``override`` wins."""
-    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(override, k))
-    return F.map_concat(kept, override)
+    return F.map_zip_with(base, override, lambda _, b, o: F.coalesce(o, b))
 
 
-def last_wins(entries):
+def last_wins(entries, kind="string"):
     """Map from an array of (key, value) structs, the later duplicate winning."""
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(
+    empty = F.expr(f"cast(map() as map<string,{kind}>)")
+    return F.aggregate(
         entries,
-        lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["key"]),
+        empty,
+        lambda found, e: F.map_concat(
+            F.map_filter(found, lambda k, _: k != e["key"]),
+            F.create_map(e["key"], e["value"]),
+        ),
     )
-    return F.map_from_entries(last)
 
 
 def lower_keys(mapping, prefix=""):
@@ -59,7 +60,7 @@ def split_pairs(pairs):
         F.filter(pairs, lambda p: ~has_text(p)),
         lambda p: F.struct(p["name"].alias("key"), p["raw"].alias("value")),
     )
-    return text_map(last_wins(text)), raw_map(last_wins(raw))
+    return text_map(last_wins(text)), raw_map(last_wins(raw, "binary"))
 
 
 def stringified(headers, raw_headers):

@@ -12,15 +12,15 @@ def path_of(target):
     return F.split_part(F.coalesce(target, F.lit("")), F.lit("?"), F.lit(1))
 
 
-def query_of(target):
-    """Query map from the text between the first and the second ``?``.
-
-    Null without a ``?`` and when any pair is bad: a broken escape, or a ``;``.
-    """
-    target = F.coalesce(target, F.lit(""))
-    raw = F.split_part(target, F.lit("?"), F.lit(2))
-    pairs = F.transform(
-        F.filter(F.split(raw, "&"), lambda p: p != ""),
+def query_text(target):
+    """Text between the first and the second ``?``, null without a ``?``."""
+    return F.when(F.contains(target, F.lit("?")), F.split_part(target, F.lit("?"), F.lit(2)))
+
+
+def query_pairs(text):
+    """Decoded (k, v) pairs of a query text; a part that does not decode is null."""
+    return F.transform(
+        F.filter(F.split(text, "&"), lambda p: p != ""),
         lambda p: F.struct(
             F.try_url_decode(F.split_part(p, F.lit("="), F.lit(1))).alias("k"),
             F.when(
@@ -31,7 +31,11 @@ def query_of(target):
             .alias("v"),
         ),
     )
-    bad = F.contains(raw, F.lit(";")) | F.exists(
+
+
+def query_map(text, pairs):
+    """Name to list of values; null for a bad pair (broken escape, or a ``;``)."""
+    bad = F.contains(text, F.lit(";")) | F.exists(
         pairs, lambda p: p["k"].isNull() | p["v"].isNull()
     )
     names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
@@ -39,9 +43,7 @@ def query_of(target):
         names,
         lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]),
     )
-    return F.when(F.contains(target, F.lit("?")) & ~bad, F.map_from_arrays(names, values)).cast(
-        _QUERY_TYPE
-    )
+    return F.when(~bad, F.map_from_arrays(names, values)).cast(_QUERY_TYPE)
 
 
 def status_number(text):
@@ -104,7 +106,9 @@ def url_parts(url):
     return F.struct(
         F.lower(piece(2)).alias("scheme"),
         F.lower(F.regexp_replace(authority, ":[0-9]*$", "")).alias("host"),
-        F.regexp_extract(authority, ":([0-9]+)$", 1).try_cast("int").alias("port"),
+        F.when(
+            authority.rlike(":[0-9]+$"), F.regexp_extract(authority, ":([0-9]+)$", 1).cast("bigint")
+        ).alias("port"),
         F.regexp_replace(piece(5), ";[^/]*$", "").alias("path"),
         piece(7).alias("query"),
     )

@@ -28,7 +28,7 @@ def short_number(value):
     short = value.cast("string")
     # Java before 19 sometimes gives 17 digits where 16 say the same number
     sixteen = F.format_string("%.15E", value)
-    exact = F.contains(short, F.lit("E")) & (sixteen.try_cast("double") == value)
+    exact = F.when(F.contains(short, F.lit("E")), sixteen.cast("double") == value)
     return F.when(exact, sixteen).otherwise(short)
 
 
@@ -41,7 +41,10 @@ def number_digits(short):
 
 def number_exponent(short):
     """Exponent of a number text, null when it has none."""
-    return F.split_part(short, F.lit("E"), F.lit(2)).try_cast("int")
+    # no failing cast: Spark answers each with a caught exception
+    return F.when(
+        F.contains(short, F.lit("E")), F.split_part(short, F.lit("E"), F.lit(2)).cast("int")
+    )
 
 
 def plain_number(short, digits, exponent):

@@ -4,26 +4,25 @@ from pyspark.sql import functions as F
 
 from .text import parse_integer
 
-_FLOATS = r"^(DECIMAL|FLOAT|DOUBLE)"
-_NUMBERS = r"^(DECIMAL|FLOAT|DOUBLE|BIGINT|INT|SMALLINT|TINYINT)"
-
-
-def kind_of(value):
-    """string / bool / int / float / other, null for an absent value.
+def kind_of_schema(schema):
+    """Kind of a VARIANT from its ``schema_of_variant`` text.
 
     JSON 1.5 is stored as a decimal, so decimals count as floats.
     """
-    kind = F.schema_of_variant(value)
     return (
-        F.when(value.isNull() | (kind == "VOID"), F.lit(None))
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind.rlike(_FLOATS), "float")
-        .when(kind.rlike(_NUMBERS), "int")
-        .otherwise("other")
+        F.when(schema == "STRING", "string")
+        .when(schema == "BIGINT", "int")
+        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float")
+        .when(schema == "BOOLEAN", "bool")
+        .when(schema != "VOID", "other")
     )
 
 
+def kind_of(value):
+    """string / bool / int / float / other, null for an absent value or a JSON null."""
+    return kind_of_schema(F.schema_of_variant(value))
+
+
 def member(document, key):
     """One member of a VARIANT object."""
     return F.try_variant_get(document, "$['" + key.replace("'", "\\'") + "']", "variant")
@@ -38,6 +37,7 @@ def as_double(value):
 
 
 def as_long(value):
+    """BIGINT of a number, cut toward zero; null where it does not fit."""
     return F.try_variant_get(value, "$", "bigint")
 
 
@@ -47,20 +47,25 @@ def as_bool(value):
 
 def elements(value):
     """ARRAY<VARIANT> of a JSON array, null for anything else."""
-    return F.when(
-        F.schema_of_variant(value).startswith("ARRAY"),
-        F.try_variant_get(value, "$", "array<variant>"),
-    )
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def is_number(value):
-    return F.coalesce(F.schema_of_variant(value).rlike(_NUMBERS), F.lit(False))
+    return F.coalesce(
+        F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False)
+    )
 
 
-def whole(value):
-    """Number cut toward zero to BIGINT; null where it does not fit."""
-    return F.coalesce(
-        F.when(kind_of(value) == "int", as_long(value)), as_double(value).try_cast("bigint")
+def with_kind(mapping):
+    """Map values as structs (kind, value), so that a kind is read once per value."""
+    named = F.transform_values(
+        mapping, lambda _, v: F.struct(F.schema_of_variant(v).alias("schema"), v.alias("value"))
+    )
+    return F.transform_values(
+        named,
+        lambda _, v: F.struct(
+            kind_of_schema(v["schema"]).alias("kind"), v["value"].alias("value")
+        ),
     )
 
 
@@ -86,9 +91,7 @@ def field_integer(value, kind, trigger):
     if trigger == "openinference":
         # only a native integer counts, and neither JSON nor a protobuf map holds one
         return F.lit(0).cast("bigint")
-    number = F.when(kind == "int", as_long(value)).when(
-        kind == "float", as_double(value).try_cast("bigint")
-    )
+    number = F.when(kind.isin("int", "float"), as_long(value))
     if trigger != "mjpeg":
         number = number.when(kind == "string", parse_integer(as_text(value)))
     return number.when(kind.isNull() | kind.isin("string", "bool", "other"), F.lit(0).cast("bigint"))

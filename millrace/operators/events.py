@@ -21,8 +21,9 @@ from ..functions.variants import (
     as_text,
     field_integer,
     field_text,
-    kind_of,
+    kind_of_schema,
     member,
+    with_kind,
 )
 from .scans import salted_join
 
@@ -37,16 +38,19 @@ TRIGGER_CLASS = {
 }
 
 
-def _text_of(value):
-    """Any VARIANT as text, for the envelope's text-only field map."""
-    kind = kind_of(value)
-    return (
-        F.when(kind == "string", as_text(value))
-        .when(kind == "int", as_long(value).cast("string"))
-        .when(kind == "float", number_text(as_double(value)))
-        .when(kind == "bool", as_bool(value).cast("string"))
-        .when(kind == "other", F.to_json(value))
-    )
+def _texts_of(mapping):
+    """VARIANT values as text, for the envelope's text-only field map."""
+
+    def text(value, kind):
+        return (
+            F.when(kind == "string", as_text(value))
+            .when(kind == "int", as_long(value).cast("string"))
+            .when(kind == "float", number_text(as_double(value)))
+            .when(kind == "bool", as_bool(value).cast("string"))
+            .when(kind == "other", F.to_json(value))
+        )
+
+    return F.transform_values(with_kind(mapping), lambda _, v: text(v["value"], v["kind"]))
 
 
 def _job(has):
@@ -117,7 +121,7 @@ def _openinference(has):
         "url": F.lit(""),
         "content_type": F.lit("application/json"),
         "headers": headers,
-        "fields": F.transform_values("parameters", lambda _, v: _text_of(v)),
+        "fields": _texts_of(F.col("parameters")),
         "body": F.col("body"),
     }
 
@@ -197,10 +201,15 @@ def typed_field(df, key, as_, trigger, column="fields", out="field"):
         else member(F.col(column), key)
     )
     # one projection a step, so that what later steps use several times is computed once
-    found = df.withColumn("__value", source).withColumn("__kind", kind_of(F.col("__value")))
+    found = (
+        df.withColumn("__value", source)
+        .withColumn("__schema", F.schema_of_variant("__value"))
+        .withColumn("__kind", kind_of_schema(F.col("__schema")))
+    )
     value, kind, number = F.col("__value"), F.col("__kind"), None
     if as_ == "string" and trigger == "job":
-        found = found.withColumn("__short", short_number(F.when(kind == "float", as_double(value))))
+        found = found.withColumn("__double", F.when(kind == "float", as_double(value)))
+        found = found.withColumn("__short", short_number(F.col("__double")))
         short = F.col("__short")
         found = found.withColumns(
             {"__digits": number_digits(short), "__exponent": number_exponent(short)}
@@ -212,7 +221,7 @@ def typed_field(df, key, as_, trigger, column="fields", out="field"):
         else field_integer(value, kind, trigger)
     )
     return found.withColumn(out, result).drop(
-        "__value", "__kind", "__short", "__digits", "__exponent"
+        "__value", "__schema", "__kind", "__double", "__short", "__digits", "__exponent"
     )
 
 

@@ -12,7 +12,7 @@ from ..envelope import (
 )
 from ..functions import headers as H, targets
 from ..functions.text import parse_integer
-from ..functions.variants import as_text, is_number, kind_of, whole
+from ..functions.variants import as_long, as_text, is_number, kind_of
 from .scans import running, running_last
 
 # Message kinds and their phase numbers (fixed values).
@@ -74,10 +74,22 @@ def request_target(df):
             ("full_path", ":path"),
         )
     }
-    read = df.withColumns(pseudo).withColumns(
-        {"path": targets.path_of(F.col("full_path")), "query": targets.query_of(F.col("full_path"))}
+    read = df.withColumns(pseudo).withColumn("path", targets.path_of(F.col("full_path")))
+    return drop_headers(parse_query(read, "full_path"), prefix=":")
+
+
+def parse_query(df, target, out="query"):
+    """Append the query map of a request target (name to list of values).
+
+    Only the text up to a second ``?`` counts; null without a ``?`` and when any pair is bad.
+    """
+    # a projection a step: the pairs are decoded once, however often the last step uses them
+    return (
+        df.withColumn("__text", targets.query_text(F.col(target)))
+        .withColumn("__pairs", targets.query_pairs(F.col("__text")))
+        .withColumn(out, targets.query_map(F.col("__text"), F.col("__pairs")))
+        .drop("__text", "__pairs")
     )
-    return drop_headers(read, prefix=":")
 
 
 def request_id(df, header="x-request-id", fallback=""):
@@ -147,7 +159,7 @@ def resolve_status(df, status="status", headers="headers"):
     """
     value = F.try_element_at(F.col(headers), F.lit(STATUS_HEADER))
     if df.schema[headers].dataType.valueType.typeName() == "variant":
-        override = F.when(is_number(value), whole(value)).when(
+        override = F.when(is_number(value), as_long(value)).when(
             kind_of(value) == "string", parse_integer(as_text(value))
         )
     else:

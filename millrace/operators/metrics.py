@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..envelope import RESPONSE_BODY, RESPONSE_HEADERS, RESPONSE_TRAILERS
 from ..functions.headers import lower_keys, merge_maps, text_map
 from ..functions.targets import url_parts
+from ..functions.text import parse_integer
 from ..functions.timing import tick_of
 from .scans import running, running_sum
 
@@ -198,7 +199,7 @@ def request_attributes(df, content=False, out="attributes"):
         "client.address": client,
         "network.peer.address": client,
         "network.protocol.version": get("X-Forwarded-Proto"),
-        "network.peer.port": F.trim(get("X-Forwarded-Port")).try_cast("int"),
+        "network.peer.port": parse_integer(F.trim(get("X-Forwarded-Port"))),
     }
     named = lower_keys(headers, "http.request.header.")
     return df.withColumn(out, merge_maps(named, _present(pairs)))

@@ -18,8 +18,7 @@ from ..functions.variants import (
     as_text,
     elements,
     is_number,
-    kind_of,
-    whole,
+    with_kind,
 )
 
 TENSOR = (
@@ -197,17 +196,13 @@ def coerce_outputs(df, data="data", out="tensor"):
     kind, items = F.col("datatype"), elements(F.col(data))
     ints = F.transform(
         items,
-        lambda v: F.when(is_number(v), whole(v)).otherwise(F.lit(0).cast("bigint")),
+        lambda v: F.when(is_number(v), as_long(v)).otherwise(F.lit(0).cast("bigint")),
     )
     uints = F.transform(
         items,
         lambda v: F.when(
             is_number(v),
-            F.coalesce(
-                F.when(kind_of(v) == "int", as_long(v).cast("decimal(20,0)")),
-                F.try_variant_get(v, "$", "decimal(38,0)"),
-                as_double(v).try_cast("decimal(20,0)"),
-            ).try_cast("decimal(20,0)"),
+            F.floor(F.try_variant_get(v, "$", "decimal(38,10)")).try_cast("decimal(20,0)"),
         ).otherwise(F.lit(0).cast("decimal(20,0)")),
     )
     doubles = F.transform(
@@ -216,7 +211,7 @@ def coerce_outputs(df, data="data", out="tensor"):
     singles = F.transform(doubles, lambda v: v.cast("float").cast("double"))
     texts = F.transform(
         items,
-        lambda v: F.when(kind_of(v) == "string", as_text(v).cast("binary")),
+        lambda v: F.when(F.schema_of_variant(v) == "STRING", as_text(v).cast("binary")),
     )
     return df.withColumn(
         out,
@@ -244,7 +239,7 @@ def decode_bytes_tensors(df, data="data", out="decoded"):
 
     Bad base64 fails the row: ``<out>_error`` is set and the value is null.
     """
-    scalar = (F.col("datatype") == "BYTES") & (kind_of(F.col(data)) == "string")
+    scalar = (F.col("datatype") == "BYTES") & (F.schema_of_variant(F.col(data)) == "STRING")
     value = F.try_to_binary(as_text(F.col(data)), F.lit("base64"))
     return df.withColumns(
         {
@@ -268,23 +263,19 @@ def map_parameters(df, direction, column="parameters"):
         result = F.transform_values(
             chosen,
             lambda _, p: F.coalesce(
-                F.when(p["b"].isNotNull(), F.parse_json(p["b"].cast("string"))),
-                F.when(p["i"].isNotNull(), F.parse_json(p["i"].cast("string"))),
-                F.variant_get(
-                    F.parse_json(F.to_json(F.struct(p["s"].alias("s")))), "$.s", "variant"
-                ),
+                p["b"].cast("variant"), p["i"].cast("variant"), p["s"].cast("variant")
             ),
         )
     elif direction == "to_choices":
         known = F.map_filter(
-            source, lambda _, v: kind_of(v).isin("bool", "int", "float", "string")
+            with_kind(source), lambda _, v: v["kind"].isin("bool", "int", "float", "string")
         )
         result = F.transform_values(
             known,
             lambda _, v: F.struct(
-                F.when(kind_of(v) == "bool", as_bool(v)).alias("b"),
-                F.when(kind_of(v).isin("int", "float"), whole(v)).alias("i"),
-                F.when(kind_of(v) == "string", as_text(v)).alias("s"),
+                F.when(v["kind"] == "bool", as_bool(v["value"])).alias("b"),
+                F.when(v["kind"].isin("int", "float"), as_long(v["value"])).alias("i"),
+                F.when(v["kind"] == "string", as_text(v["value"])).alias("s"),
             ),
         )
     else:

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.targets import query_of
 from ..operators import delivery, events as ev, frames
+from ..operators.http import parse_query
 from ..session import scratch_path
 from ..sources.captures import job_events, load_messages
 from ..streaming import rolling, windows
@@ -353,12 +353,12 @@ def typed_int_query(spark, folder):
     """,
 )
 def typed_query_query(spark, folder):
-    df = table(spark, folder, "pages").select(
-        "page_id",
-        query_of(
-            F.when(F.col("url").contains("page="), F.concat("url", F.lit("&page="), "page_id")).otherwise(F.col("url"))
-        ).alias("fields"),
-    )
+    target = F.when(
+        F.col("url").contains("page="), F.concat("url", F.lit("&page="), "page_id")
+    ).otherwise(F.col("url"))
+    df = parse_query(
+        table(spark, folder, "pages").select("page_id", target.alias("target")), "target", "fields"
+    ).drop("target")
     for key, as_, out in (("page", "int", "page"), ("page", "string", "pages"), ("ref", "int", "ref")):
         df = ev.typed_field(df, key, as_, "extproc", out=out)
     return df.drop("fields")
