@@ -114,11 +114,14 @@ def deliver(
             names=["delivered", "attempts", "last_status", "error"],
         )
 
-    # a call has effects: it is never repeated or dropped by the optimizer
+    # calls have effects: none is repeated by the optimizer, and the filter, true of every
+    # row, keeps them in the plan when nobody reads how they went
     outcome = told.asNondeterministic()(F.col(payload))
-    return df.withColumn("__told", outcome).select(
-        *df.columns, *[F.col(f"__told.{name}").alias(name) for name in
-                       ("delivered", "attempts", "last_status", "error")]
+    parts = ("delivered", "attempts", "last_status", "error")
+    return (
+        df.withColumn("__told", outcome)
+        .filter(F.col("__told").isNotNull())
+        .select(*df.columns, *[F.col(f"__told.{name}").alias(name) for name in parts])
     )
 
 

@@ -140,7 +140,7 @@ def _calls(fn, init):
     def annotated(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield from run(batches)
 
-    # the calls may have effects: never repeat, drop or reorder them
+    # the calls may have effects: the optimizer must not repeat them
     return F.arrow_udf(annotated, _ANSWER).asNondeterministic()
 
 
@@ -163,10 +163,12 @@ EVENT_COLUMNS = (
 
 def _answered(df, fn, init, only=None):
     seen = [F.col(c) for c in EVENT_COLUMNS if c in df.columns]
-    called = F.lit(True) if only is None else only
+    called = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
     # only what the handler sees goes to Python; the row's other columns stay in the JVM
     event = F.when(called, F.struct(*seen))
-    return df.withColumn("__answer", _calls(fn, init)(event, called))
+    answered = df.withColumn("__answer", _calls(fn, init)(event, called))
+    # true of every row; it keeps the calls in the plan when nobody reads their answers
+    return answered.filter(F.col("__answer").isNotNull() | ~called)
 
 
 def _spread(df, prefix=""):

@@ -39,63 +39,80 @@ def running_last(value):
     return Running("last", value)
 
 
-def running(df, keys, order, values, slices=None, slice_rows=SLICE_ROWS):
+def running(
+    df, keys, order, values, slices=None, slice_rows=SLICE_ROWS, with_summaries=False
+):
     """Append running values, current row included.
 
     ``order`` must be unique within ``keys`` and numeric when ``slices`` is not given;
     sequence slices then hold at most ``slice_rows`` rows of one stream each. ``slices``
     replaces them by named columns that sort the same way as ``order`` does.
+
+    ``with_summaries`` returns the slice summaries too: (``__key``, slice columns, and for
+    every value ``__own_<name>`` of the slice and ``__pre_<name>`` of all slices before it).
     """
     if slices is None:
         slices = {"__slice": F.floor(F.col(order) / F.lit(slice_rows)).cast("long")}
     names = list(slices)
+    # a struct key compares null fields as equal, so rows with null keys keep their carry
     cut = df.select(
         "*",
         F.struct(*keys).alias("__key"),
         *[column.alias(name) for name, column in slices.items()],
         *[spec.value.alias(f"__in_{out}") for out, spec in values.items()],
     )
+    summaries = _summaries(cut, names, order, values)
 
-    partial = {"sum": F.sum, "max": F.max}
+    # values inside a slice come before the join: its rows are then sorted only once
+    inside = Window.partitionBy("__key", *names).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    local = cut.select(
+        *df.columns,
+        "__key",
+        *names,
+        *[_over(spec, F.col(f"__in_{out}"), inside).alias(f"__loc_{out}") for out, spec in values.items()],
+    )
+    carry = summaries.select("__key", *names, *[f"__pre_{out}" for out in values])
 
-    def summary(out, spec):
-        value = F.col(f"__in_{out}")
+    def total(out, spec):
+        here, before = F.col(f"__loc_{out}"), F.col(f"__pre_{out}")
         if spec.how == "last":
-            return F.max_by(value, F.when(value.isNotNull(), F.col(order))).alias(out)
-        return partial[spec.how](value).alias(out)
+            return F.coalesce(here, before)
+        if spec.how == "max":
+            return F.greatest(here, before)
+        return here + F.coalesce(before, F.lit(0))
 
-    before = Window.partitionBy("__key").orderBy(*names).rowsBetween(
-        Window.unboundedPreceding, -1
+    result = local.join(carry, ["__key", *names], "left").select(
+        *df.columns, *[total(out, spec).alias(out) for out, spec in values.items()]
     )
+    return (result, summaries) if with_summaries else result
 
-    def carried(out, spec):
-        if spec.how == "last":
-            return F.last(out, ignorenulls=True).over(before).alias(f"__pre_{out}")
-        return partial[spec.how](out).over(before).alias(f"__pre_{out}")
 
-    carry = (
-        cut.groupBy("__key", *names)
-        .agg(*[summary(out, spec) for out, spec in values.items()])
-        .select("__key", *names, *[carried(out, spec) for out, spec in values.items()])
-    )
+def _over(spec, value, window):
+    if spec.how == "last":
+        return F.last(value, ignorenulls=True).over(window)
+    return (F.max if spec.how == "max" else F.sum)(value).over(window)
 
-    inside = Window.partitionBy("__key", *names).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
 
-    def total(out, spec):
-        value, pre = F.col(f"__in_{out}"), F.col(f"__pre_{out}")
+def _summaries(cut, names, order, values):
+    """One row per slice: its own value, and the value carried in from the slices before."""
+
+    def own(out, spec):
+        value = F.col(f"__in_{out}")
         if spec.how == "last":
-            return F.coalesce(F.last(value, ignorenulls=True).over(inside), pre)
-        if spec.how == "max":
-            return F.greatest(F.max(value).over(inside), pre)
-        return F.sum(value).over(inside) + F.coalesce(pre, F.lit(0))
+            return F.max_by(value, F.when(value.isNotNull(), F.col(order)))
+        return (F.max if spec.how == "max" else F.sum)(value)
 
-    # a struct key compares null fields as equal, so rows with null keys keep their carry
-    return (
-        cut.join(carry, ["__key", *names], "left")
-        .select("*", *[total(out, spec).alias(out) for out, spec in values.items()])
-        .drop("__key", *names, *[f"__in_{out}" for out in values], *[f"__pre_{out}" for out in values])
+    before = Window.partitionBy("__key").orderBy(*names).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    folded = cut.groupBy("__key", *names).agg(
+        *[own(out, spec).alias(f"__own_{out}") for out, spec in values.items()]
+    )
+    return folded.select(
+        "*",
+        *[_over(spec, F.col(f"__own_{out}"), before).alias(f"__pre_{out}") for out, spec in values.items()],
     )
 
 

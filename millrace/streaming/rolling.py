@@ -61,14 +61,7 @@ def rolling_snapshots(
         F.octet_length("data").cast("long").alias("n"),
     )
 
-    snapshots = _grown(messages, chunk_bytes).select(
-        "stream_id",
-        "tick",
-        buffer_start(F.col("chunks"), chunk_bytes, max_bytes, trim_bytes).alias("start"),
-        (F.col("chunks") * chunk_bytes).alias("end"),
-    )
-
-    placed = running(
+    placed, sums = running(
         messages,
         ["stream_id"],
         "seq",
@@ -77,7 +70,15 @@ def rolling_snapshots(
             "__tick": F.col("tick"),
             "__slice": F.floor(F.col("seq") / F.lit(SLICE_ROWS)).cast("long"),
         },
-    ).withColumn("from", F.col("upto") - F.col("n"))
+        with_summaries=True,
+    )
+    placed = placed.withColumn("from", F.col("upto") - F.col("n"))
+    snapshots = _grown(sums, chunk_bytes).select(
+        "stream_id",
+        "tick",
+        buffer_start(F.col("chunks"), chunk_bytes, max_bytes, trim_bytes).alias("start"),
+        (F.col("chunks") * chunk_bytes).alias("end"),
+    )
 
     def blocks(start, end):
         return F.explode(
@@ -130,15 +131,13 @@ def rolling_snapshots(
     )
 
 
-def _grown(messages, chunk_bytes):
-    """(stream, tick, chunks) of the ticks that completed a chunk."""
+def _grown(sums, chunk_bytes):
+    """(stream, tick, chunks) of the ticks that completed a chunk, from the slice sums."""
     history = Window.partitionBy("stream_id").orderBy("tick")
-    so_far = history.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.max(F.coalesce("__pre_upto", F.lit(0)) + F.col("__own_upto"))
     counted = (
-        messages.groupBy("stream_id", "tick")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("total", F.sum("n").over(so_far))
-        .withColumn("chunks", F.floor(F.col("total") / chunk_bytes).cast("long"))
+        sums.groupBy(F.col("__key.stream_id").alias("stream_id"), F.col("__tick").alias("tick"))
+        .agg(F.floor(total / chunk_bytes).cast("long").alias("chunks"))
         .withColumn("before", F.lag("chunks", 1, 0).over(history))
     )
     return counted.filter(F.col("chunks") > F.col("before"))
