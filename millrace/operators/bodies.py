@@ -58,13 +58,13 @@ def _accepted(chunks, max_size):
     return fits.select(*_KEY, "seq").unionByName(late)
 
 
-def assemble_bodies(chunks, max_size=-1, segment_rows=1024):
+def assemble_bodies(chunks, max_size=-1, segment_rows=256):
     """Body of every (stream_id, phase), its chunks joined in ``seq`` order.
 
     A body is ``segments`` rows, a segment for every ``segment_rows`` sequence numbers;
-    ``seq`` counts the messages of one exchange, so bodies of ordinary size are one row. The
-    bytes are shuffled once, by (body, segment); totals and offsets are computed from the
-    sizes alone.
+    ``seq`` counts the messages of one exchange, so bodies of ordinary size are one row, and
+    256 messages of the 4 MB a message may have still fit one value. The bytes are shuffled
+    once, by (body, segment); totals and offsets are computed from the sizes alone.
 
     ``complete`` tells that the end_of_stream chunk was accepted. With ``max_size`` > 0 a
     chunk that would exceed it is refused, and chunks after it that still fit are kept.

@@ -99,20 +99,17 @@ def swap_pcm(df, pcm="pcm"):
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def _samples(pcm: pa.Array) -> pa.Array:
-    # two bytes a sample: an odd tail cannot be a sample and raises in the source as well
+    # two bytes a sample: a buffer with an odd tail holds none that can be read
     lengths = pc.fill_null(pc.binary_length(pcm), 0).to_numpy(zero_copy_only=False)
-    if (lengths % 2).any():
-        raise ValueError("buffer size must be a multiple of element size")
-    joined = b"".join(part for part in pcm.to_pylist() if part)
-    values = np.frombuffer(joined, dtype="<i2").astype(np.float32) / np.float32(32768.0)
-    ends = np.concatenate([[0], np.cumsum(lengths // 2)]).astype(np.int32)
-    return pa.ListArray.from_arrays(
-        pa.array(ends), pa.array(values), mask=pc.is_null(pcm)
-    )
+    readable = pc.is_valid(pcm).to_numpy(zero_copy_only=False) & (lengths % 2 == 0)
+    kept = pcm.take(pa.array(np.nonzero(readable)[0])).to_pylist()
+    values = np.frombuffer(b"".join(kept), dtype="<i2").astype(np.float32) / np.float32(32768.0)
+    ends = np.concatenate([[0], np.cumsum(np.where(readable, lengths // 2, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array(~readable))
 
 
 def pcm_to_float(df, pcm="pcm", out="samples"):
-    """Little-endian 16-bit samples to numbers in [-1, 1)."""
+    """Little-endian 16-bit samples to numbers in [-1, 1); null for an odd number of bytes."""
     return df.withColumn(out, _samples(F.col(pcm)))
 
 

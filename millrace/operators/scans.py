@@ -9,7 +9,7 @@ stream holding a third of the table is spread over as many tasks as it has slice
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, Window, functions as F, types as T
 
 #: Rows of one stream a slice may hold when it is cut by sequence number.
 SLICE_ROWS = 1 << 20
@@ -48,32 +48,31 @@ def running(
     sequence slices then hold at most ``slice_rows`` rows of one stream each. ``slices``
     replaces them by named columns that sort the same way as ``order`` does.
 
-    ``with_summaries`` returns the slice summaries too: (``__key``, slice columns, and for
-    every value ``__own_<name>`` of the slice and ``__pre_<name>`` of all slices before it).
+    ``with_summaries`` returns the slice summaries too: (keys, slice columns, and for every
+    value ``__own_<name>`` of the slice and ``__pre_<name>`` of all slices before it).
     """
     if slices is None:
         slices = {"__slice": F.floor(F.col(order) / F.lit(slice_rows)).cast("long")}
-    names = list(slices)
-    # a struct key compares null fields as equal, so rows with null keys keep their carry
-    cut = df.select(
-        "*",
-        F.struct(*keys).alias("__key"),
+    part = [*keys, "__nulls", *slices]
+    cut = _solid(df, keys).select(
+        *df.columns,
+        "__nulls",
         *[column.alias(name) for name, column in slices.items()],
         *[spec.value.alias(f"__in_{out}") for out, spec in values.items()],
     )
-    summaries = _summaries(cut, names, order, values)
+    summaries = _summaries(cut, [*keys, "__nulls"], list(slices), order, values)
 
     # values inside a slice come before the join: its rows are then sorted only once
-    inside = Window.partitionBy("__key", *names).orderBy(order).rowsBetween(
+    inside = Window.partitionBy(*part).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = cut.select(
         *df.columns,
-        "__key",
-        *names,
+        "__nulls",
+        *slices,
         *[_over(spec, F.col(f"__in_{out}"), inside).alias(f"__loc_{out}") for out, spec in values.items()],
     )
-    carry = summaries.select("__key", *names, *[f"__pre_{out}" for out in values])
+    carry = summaries.select(*part, *[f"__pre_{out}" for out in values])
 
     def total(out, spec):
         here, before = F.col(f"__loc_{out}"), F.col(f"__pre_{out}")
@@ -83,10 +82,42 @@ def running(
             return F.greatest(here, before)
         return here + F.coalesce(before, F.lit(0))
 
-    result = local.join(carry, ["__key", *names], "left").select(
-        *df.columns, *[total(out, spec).alias(out) for out, spec in values.items()]
+    joined = local.join(carry, part, "left")
+    result = joined.select(
+        *_hollow(df.columns, keys),
+        *[total(out, spec).alias(out) for out, spec in values.items()],
+    )
+    if not with_summaries:
+        return result
+    return result, summaries.select(
+        *_hollow(keys, keys), *[c for c in summaries.columns if c not in part[: len(keys) + 1]]
     )
-    return (result, summaries) if with_summaries else result
+
+
+def _solid(df, keys):
+    """Keys without nulls, which no equi join would match, and a mask of where they were."""
+    mask, filled = F.lit(0), {}
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType
+        if isinstance(kind, T.StringType):
+            zero = F.lit("")
+        elif isinstance(kind, T.NumericType):
+            zero = F.lit(0).cast(kind)
+        else:
+            raise TypeError(f"key {key} must be text or a number, not {kind.simpleString()}")
+        mask = mask + F.when(F.col(key).isNull(), 1 << i).otherwise(0)
+        filled[key] = F.coalesce(F.col(key), zero)
+    return df.withColumn("__nulls", mask).withColumns(filled)
+
+
+def _hollow(columns, keys):
+    """The columns with the nulls of the keys put back."""
+    return [
+        F.when(F.col("__nulls").bitwiseAND(1 << keys.index(c)) == 0, F.col(c)).alias(c)
+        if c in keys
+        else F.col(c)
+        for c in columns
+    ]
 
 
 def _over(spec, value, window):
@@ -95,7 +126,7 @@ def _over(spec, value, window):
     return (F.max if spec.how == "max" else F.sum)(value).over(window)
 
 
-def _summaries(cut, names, order, values):
+def _summaries(cut, keys, names, order, values):
     """One row per slice: its own value, and the value carried in from the slices before."""
 
     def own(out, spec):
@@ -104,10 +135,10 @@ def _summaries(cut, names, order, values):
             return F.max_by(value, F.when(value.isNotNull(), F.col(order)))
         return (F.max if spec.how == "max" else F.sum)(value)
 
-    before = Window.partitionBy("__key").orderBy(*names).rowsBetween(
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    folded = cut.groupBy("__key", *names).agg(
+    folded = cut.groupBy(*keys, *names).agg(
         *[own(out, spec).alias(f"__own_{out}") for out, spec in values.items()]
     )
     return folded.select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import frames
 from ..sources.captures import load_packets
 from ..sources.multipart import demux_frames, mux_frames
-from .inputs import PAGE_FRAMES, digest, page_frames, table
+from .inputs import PAGE_FRAMES, digest, map_text, page_frames, table
 from .registry import query
 
 
@@ -81,8 +81,8 @@ def mux_query(spark, folder):
     "s4_demux_captures",
     f"""
     WITH {PAGE_FRAMES}
-    SELECT url || '#' || ((frame_num - 1) // 16) AS url, (frame_num - 1) % 16 + 1 AS frame_num,
-           'Content-Length=' || octet_length(encode(html)) || '&Content-Type=image/jpeg' AS headers, md5(html) AS body
+    SELECT url, frame_num, 'Content-Length=' || octet_length(encode(html)) || '&Content-Type=image/jpeg' AS headers,
+           md5(html) AS body
     FROM page_frames
     """,
 )
@@ -92,19 +92,14 @@ def demux_query(spark, folder):
         frames.number_frames(page_frames(spark, folder)), boundary="cut here", segment_frames=16
     )
     captures = muxed.select(
-        F.concat("url", F.lit("#"), "segment").alias("path"),
+        F.col("url").alias("path"),
+        "segment",
         "content",
         F.lit("multipart/x-mixed-replace; boundary = cut here").alias("content_type"),
     )
-    found = demux_frames(captures)
-    headers = F.array_join(
-        F.transform(
-            F.array_sort(F.map_entries("headers")),
-            lambda e: F.concat(e["key"], F.lit("="), e["value"]),
-        ),
-        "&",
+    return demux_frames(captures).select(
+        "url", "frame_num", map_text("headers").alias("headers"), digest("body").alias("body")
     )
-    return found.select("url", "frame_num", headers.alias("headers"), digest("body").alias("body"))
 
 
 def _images(spark, folder):

@@ -608,18 +608,18 @@ def assemble_segments_query(spark, folder):
     f"""
     SELECT CAST(doc_id AS VARCHAR) AS stream_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 5 END AS phase,
            kept AS body_size,
-           doc_id % 10 <> 3 AND (n <= 2000 OR (n % {CHUNK} > 0 AND n % {CHUNK} <= 2000 - {CHUNK} * 3)) AS complete,
-           CASE WHEN n > 2000 AND NOT (n % {CHUNK} > 0 AND n % {CHUNK} <= 2000 - {CHUNK} * 3 AND n < {CHUNK} * 4)
+           doc_id % 10 <> 3 AND (n <= 4000 OR (n % {CHUNK} > 0 AND n % {CHUNK} <= 4000 - {CHUNK} * 3)) AS complete,
+           CASE WHEN n > 4000 AND NOT (n % {CHUNK} > 0 AND n % {CHUNK} <= 4000 - {CHUNK} * 3 AND n < {CHUNK} * 4)
                 THEN 'appending chunk would violate size limit' END AS error
     FROM (SELECT doc_id, octet_length(encode(text)) AS n,
-                 CAST(CASE WHEN n <= 2000 THEN n
-                      WHEN n % {CHUNK} > 0 AND n % {CHUNK} <= 2000 - {CHUNK} * 3 THEN {CHUNK} * 3 + n % {CHUNK}
+                 CAST(CASE WHEN n <= 4000 THEN n
+                      WHEN n % {CHUNK} > 0 AND n % {CHUNK} <= 4000 - {CHUNK} * 3 THEN {CHUNK} * 3 + n % {CHUNK}
                       ELSE {CHUNK} * 3 END AS BIGINT) AS kept
           FROM documents)
     """,
 )
 def assemble_limited_query(spark, folder):
-    limited = bodies.assemble_bodies(doc_chunks(spark, folder), max_size=2000)
+    limited = bodies.assemble_bodies(doc_chunks(spark, folder), max_size=4000)
     return limited.select("stream_id", "phase", "body_size", "complete", "error")
 
 

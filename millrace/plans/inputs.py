@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.timing import as_instant
 from ..sources.captures import load_exchanges, load_messages
 
-CHUNK = 512
+CHUNK = 1024
 
 
 def table(spark, folder, name):
@@ -16,6 +16,10 @@ def events(spark, folder):
     return table(spark, folder, "events").withColumn("ts", as_instant(F.col("ts")))
 
 
+# A micro-batch takes so many files: what a stateful operator orders per key and batch stays
+# bounded by them. Files are expected in time order, as a recorder writes them.
+TRIGGER = {"maxFilesPerTrigger": 8}
+
 MESSAGE_COLUMNS = {
     "stream_id": "cast(user_id as string)",
     "conn_id": "concat(cast(user_id as string), '-', event_type)",
@@ -27,7 +31,7 @@ MESSAGE_COLUMNS = {
 def messages(spark, folder, streaming=False):
     """Every event as a message of its user's stream."""
     path = f"{folder}/events*.parquet" if streaming else f"{folder}/events.parquet"
-    return load_messages(spark, path, streaming, MESSAGE_COLUMNS)
+    return load_messages(spark, path, streaming, MESSAGE_COLUMNS, **(TRIGGER if streaming else {}))
 
 
 def digest(body):
@@ -114,6 +118,7 @@ def phases(spark, folder, streaming=False):
             "ts": "timestamp_micros((1704067200 + conv_id * 60 + turn) * 1000000)",
             "duration_ns": "octet_length(text) * 1000",
         },
+        **(TRIGGER if streaming else {}),
     )
     header = F.struct(
         "seq", "phase", "headers", F.lit(None).cast("binary").alias("chunk"), "end_of_stream", "duration_ns"

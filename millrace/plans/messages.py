@@ -8,7 +8,7 @@ from ..session import scratch_path
 from ..sources.captures import job_events, load_messages
 from ..streaming import rolling, windows
 from .inputs import digest, events, invocations, map_text, messages, page_frames, requests, table
-from .inputs import INVOCATIONS, PAGE_FRAMES
+from .inputs import INVOCATIONS, PAGE_FRAMES, TRIGGER
 from .registry import query
 
 
@@ -487,6 +487,7 @@ def _byte_streams(spark, folder, streaming=False):
             "ts": "timestamp_micros((1704067200 + doc_id) * 1000000)",
             "data": "cast(text as binary)",
         },
+        **(TRIGGER if streaming else {}),
     )
 
 

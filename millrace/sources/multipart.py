@@ -1,11 +1,11 @@
 """Recorded multipart streams to frames, and frames back to multipart segments."""
 
-import io
 import re
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+FRAME_COLUMNS = ["url", "frame_num", "headers", "body"]
 FRAMES = "url string, frame_num bigint, headers map<string,string>, body binary"
 
 #: Used when a capture's content type names no boundary (fixed value).
@@ -30,67 +30,92 @@ def declared_length(headers):
     return 0
 
 
-def part_headers(capture):
-    """Header lines up to the blank line; None when the capture ends before it."""
-    found = {}
-    for line in capture:
-        if not line.endswith(b"\n"):
-            return None
-        if not line.strip():
-            return found
-        name, colon, value = line.strip().partition(b":")
-        if colon:
-            found[name.strip().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    return None
-
-
-def frames_in(content, boundary):
-    """Yield (headers, body) of every whole part; a truncated tail ends the capture."""
-    capture, mark = io.BytesIO(content), b"--" + boundary.encode()
-    while True:
-        line = next((part for part in capture if mark in part), b"")
-        if not line.endswith(b"\n"):
-            return
-        headers = part_headers(capture)
-        if headers is None:
-            return
-        length = declared_length(headers)
-        if not length:
-            continue
-        body = capture.read(length)
-        if len(body) < length:
-            return
-        yield headers, body
+class PartReader:
+    """Takes a multipart stream apart as its bytes come in, holding at most one part."""
+
+    def __init__(self, boundary):
+        self.mark = b"--" + boundary.encode()
+        self.rest = bytearray()
+        self.headers = None  # not None while inside a part's header
+        self.length = 0  # not 0 while inside a part's body
+
+    def feed(self, data):
+        """Yield (headers, body) of every part that is whole now."""
+        self.rest += data
+        at = 0
+        while True:
+            if self.length:
+                if len(self.rest) - at < self.length:
+                    break
+                body = bytes(self.rest[at : at + self.length])
+                at += self.length
+                yield self.headers, body
+                self.headers, self.length = None, 0
+                continue
+            end = self.rest.find(b"\n", at) + 1
+            if not end:
+                break
+            line = bytes(self.rest[at:end])
+            at = end
+            if self.headers is None:
+                # anything before a line that contains the mark is skipped
+                self.headers = {} if self.mark in line else None
+            elif line.strip():
+                name, colon, value = line.strip().partition(b":")
+                if colon:
+                    self.headers[_text(name)] = _text(value)
+            else:
+                self.length = declared_length(self.headers)
+                if not self.length:
+                    self.headers = None
+        del self.rest[:at]
+
+
+def _text(raw):
+    return raw.strip().decode("utf-8", "replace")
 
 
 def demux_frames(captures, boundary=None):
-    """Frame rows of a table (path, content[, content_type]) of whole captures.
+    """Frame rows of a table (path, content[, content_type]) of recorded captures.
 
-    Frames are numbered from 1 per capture; a part without a valid length has no number.
+    Frames are numbered from 1 per capture; a part without a valid length has no number and
+    a truncated tail ends the capture. With a ``segment`` column a capture is the segments
+    of its path in order, however long: they are read one after another and only the part
+    that is being read is held.
     """
-    named = "content_type" in captures.columns
+    named, cut = "content_type" in captures.columns, "segment" in captures.columns
+    columns = ["path", "content"] + (["content_type"] if named else [])
+    rows = captures.select(*columns, *(["segment"] if cut else []))
+    if cut:
+        rows = rows.repartition("path").sortWithinPartitions("path", "segment")
 
     def run(batches):
+        path, reader, number, block = None, None, 0, []
         for batch in batches:
             types = batch["content_type"] if named else [None] * len(batch)
-            for path, content, kind in zip(batch["path"], batch["content"], types):
-                mark = boundary or boundary_of(kind) or DEFAULT_BOUNDARY
-                # a few frames at a time: a capture may be much larger than one Arrow batch
-                block = []
-                for number, (headers, body) in enumerate(frames_in(content, mark), 1):
-                    block.append((path, number, headers, body))
+            for here, content, kind in zip(batch["path"], batch["content"], types):
+                if reader is None or not cut or here != path:
+                    path, number = here, 0
+                    reader = PartReader(boundary or boundary_of(kind) or DEFAULT_BOUNDARY)
+                for headers, body in reader.feed(content):
+                    number += 1
+                    block.append((here, number, headers, body))
+                    # a few frames at a time: a capture may be larger than one Arrow batch
                     if len(block) == 256:
-                        yield pd.DataFrame(block, columns=["url", "frame_num", "headers", "body"])
+                        yield pd.DataFrame(block, columns=FRAME_COLUMNS)
                         block = []
-                if block:
-                    yield pd.DataFrame(block, columns=["url", "frame_num", "headers", "body"])
+        if block:
+            yield pd.DataFrame(block, columns=FRAME_COLUMNS)
 
-    columns = ["path", "content"] + (["content_type"] if named else [])
-    return captures.select(*columns).mapInPandas(run, FRAMES)
+    return rows.mapInPandas(run, FRAMES)
 
 
 def demux_captures(spark, glob, boundary=None):
-    """Frames of capture files, one file per row and files spread over the tasks."""
+    """Frames of capture files, one file per row and files spread over the tasks.
+
+    Spark reads a file as one value, so a file may hold up to 2 GB; a longer capture comes
+    as a table of segments, which is how :func:`mux_frames` writes it.
+    """
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
     return demux_frames(files, boundary)
 
@@ -107,7 +132,7 @@ def multipart_part(body, boundary="frame"):
     )
 
 
-def mux_frames(df, boundary="frame", segment_frames=256):
+def mux_frames(df, boundary="frame", segment_frames=64):
     """The multipart byte stream of every url, as consecutive segments.
 
     A stream has no largest size, so it is not put into one value: a segment holds the parts

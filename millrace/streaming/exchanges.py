@@ -92,9 +92,9 @@ class _Exchange(StatefulProcessor):
             whole_request = whole_response = False
             messages = spent = 0
             first = last = None
-        added = {phase: [] for phase in self.chunks}
         ended = False
         for batch in rows:
+            added = {phase: [] for phase in self.chunks}
             for row in batch.itertuples(index=False):
                 messages += 1
                 at = row.ts_us
@@ -117,12 +117,12 @@ class _Exchange(StatefulProcessor):
                     else:
                         whole_response = whole_response or ends
                 ended = ended or (ends and row.phase in (RESPONSE_HEADERS, RESPONSE_BODY))
+            for phase, chunks in added.items():
+                if chunks:
+                    self.chunks[phase].appendList(chunks)
         if first is None:
             yield pd.DataFrame()
             return
-        for phase, chunks in added.items():
-            if chunks:
-                self.chunks[phase].appendList(chunks)
         state = (
             request, response, whole_request, whole_response, messages, spent, int(first), int(last),
         )
@@ -150,8 +150,9 @@ class _Exchange(StatefulProcessor):
 def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
     """One row per exchange, when its response ends or after ``timeout`` without a message.
 
-    The messages of one exchange meet in one state row; header sets, both bodies in ``seq``
-    order and the processing time come out together.
+    The messages of one exchange meet in one state; header sets, both bodies in ``seq``
+    order and the processing time come out together. A body is one value here; exchanges
+    with bodies beyond that go through ``assemble_bodies``, which cuts them in segments.
     """
     use_rocksdb(stream.sparkSession)
     return (

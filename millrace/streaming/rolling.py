@@ -48,8 +48,9 @@ def rolling_snapshots(
 
     Batch form: which bytes of the stream a snapshot holds follows from the byte counts, so
     only offsets are accumulated. Messages are then cut at block borders (a block is
-    ``max_bytes`` long) and joined to the snapshots on (stream, block): a busy stream is
-    spread over its blocks, and no buffer is carried from row to row.
+    ``max_bytes`` long), put together per block, and joined to the snapshots on (stream,
+    block): a busy stream is spread over its blocks, a snapshot meets two or three of them,
+    and no buffer is carried from row to row.
     """
     _check(chunk_bytes, max_bytes, trim_bytes)
     width = micros(interval)
@@ -102,20 +103,26 @@ def rolling_snapshots(
         ),
     )
 
+    content = pieces.groupBy("stream_id", "block").agg(
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.expr("listagg(piece) within group (order by low)").alias("content"),
+    )
+
     wanted = snapshots.filter(F.col("end") > F.col("start")).select(
         "*", blocks(F.col("start"), F.col("end")).alias("block")
     )
     cut_from = F.greatest(F.col("low"), F.col("start"))
     cut_to = F.least(F.col("high"), F.col("end"))
     parts = (
-        wanted.join(pieces, ["stream_id", "block"])
+        wanted.join(content, ["stream_id", "block"])
         .filter(cut_to > cut_from)
         .select(
             "stream_id",
             "tick",
             cut_from.alias("at"),
             F.substring(
-                F.col("piece"), (cut_from - F.col("low") + 1).cast("int"), (cut_to - cut_from).cast("int")
+                F.col("content"), (cut_from - F.col("low") + 1).cast("int"), (cut_to - cut_from).cast("int")
             ).alias("part"),
         )
     )
@@ -136,7 +143,7 @@ def _grown(sums, chunk_bytes):
     history = Window.partitionBy("stream_id").orderBy("tick")
     total = F.max(F.coalesce("__pre_upto", F.lit(0)) + F.col("__own_upto"))
     counted = (
-        sums.groupBy(F.col("__key.stream_id").alias("stream_id"), F.col("__tick").alias("tick"))
+        sums.groupBy("stream_id", F.col("__tick").alias("tick"))
         .agg(F.floor(total / chunk_bytes).cast("long").alias("chunks"))
         .withColumn("before", F.lag("chunks", 1, 0).over(history))
     )
@@ -222,7 +229,9 @@ def stream_rolling_snapshots(
     """The same snapshots from a stream, with one state row per stream.
 
     A tick is given out when a later tick's message arrives or the watermark passes it.
-    The interval must be whole milliseconds, the resolution of timers.
+    The interval must be whole milliseconds, the resolution of timers. The messages of one
+    stream are put in order per micro-batch, so bound the micro-batches at the source
+    (``maxFilesPerTrigger``); a table at rest is served by :func:`rolling_snapshots`.
     """
     _check(chunk_bytes, max_bytes, trim_bytes)
     width = micros(interval)

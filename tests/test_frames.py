@@ -38,6 +38,15 @@ def test_length(headers, length):
     assert multipart.declared_length(headers) == length
 
 
+def test_part_headers():
+    reader = multipart.PartReader("b")
+    data = b"--b\r\nContent-Type: image/jpeg\r\nContent-Length: 3\r\n\r\nabc"
+    # byte by byte gives what one piece gives
+    found = [part for i in range(len(data)) for part in reader.feed(data[i : i + 1])]
+    assert found == [({"Content-Type": "image/jpeg", "Content-Length": "3"}, b"abc")]
+    assert list(multipart.PartReader("b").feed(data)) == found
+
+
 def part(body, headers=None):
     lines = headers if headers is not None else f"Content-Length: {len(body)}\r\n"
     return b"--b\r\n" + lines.encode() + b"\r\n" + body + b"\r\n"
@@ -69,10 +78,15 @@ def test_mux_then_demux_is_the_identity(spark):
     rows = [("u", n, bytes([n % 256]) * (n * 7 % 50 + 1)) for n in range(1, 600)]
     df = spark.createDataFrame(rows, "url string, frame_num bigint, body binary")
     segments = multipart.mux_frames(df)
-    assert [r.frames for r in segments.orderBy("segment").collect()] == [256, 256, 87]
+    assert [r.frames for r in segments.orderBy("segment").collect()] == [64] * 9 + [23]
     whole = b"".join(bytes(r.content) for r in segments.orderBy("segment").collect())
     back = multipart.demux_frames(spark.createDataFrame([("u", whole)], "path string, content binary"), "frame")
     assert [(r.frame_num, bytes(r.body)) for r in back.orderBy("frame_num").collect()] == [(n, b) for _, n, b in rows]
+    # and from segments cut anywhere
+    pieces = [("u", i, whole[at : at + 100]) for i, at in enumerate(range(0, len(whole), 100))]
+    cut = spark.createDataFrame(pieces, "path string, segment bigint, content binary")
+    back = multipart.demux_frames(cut, "frame")
+    assert [(r.frame_num, bytes(r.body)) for r in back.orderBy("frame_num").collect()] == [(n, b) for _, n, b in rows]
 
 
 def test_factor(spark):
@@ -126,9 +140,9 @@ def test_keyframe_gate(spark):
 
 
 def test_samples(spark):
-    df = spark.createDataFrame([(b"\x01\x00\x00\x80\xff\x7f",), (b"",), (None,)], "pcm binary")
+    df = spark.createDataFrame([(b"\x01\x00\x00\x80\xff\x7f",), (b"",), (None,), (b"odd",)], "pcm binary")
     got = [r.samples for r in frames.pcm_to_float(df).collect()]
-    assert got == [[1 / 32768, -1.0, 32767 / 32768], [], None]
+    assert got == [[1 / 32768, -1.0, 32767 / 32768], [], None, None]
     swapped = spark.createDataFrame([(b"\x12\x34\x56",), (b"",)], "pcm binary")
     assert [bytes(r.pcm) for r in frames.swap_pcm(swapped).collect()] == [b"\x34\x12\x00", b""]
 
