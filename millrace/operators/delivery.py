@@ -3,6 +3,7 @@
 import time
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F, types as T
 
 from ..functions.timing import tick_of
@@ -49,6 +50,11 @@ def route_outputs(df, routes):
         write(df.filter(F.col("sink_kind") == kind))
 
 
+def save_outputs(df, path, kinds, mode="append"):
+    """Write all routed rows in one pass, a folder per sink kind."""
+    checked_kinds(df, kinds).write.mode(mode).partitionBy("sink_kind").parquet(path)
+
+
 def stream_outputs(df, routes, checkpoint):
     """Route every micro-batch of a stream; returns the unstarted writer.
 
@@ -125,6 +131,23 @@ def deliver(
     )
 
 
+def stream_deliveries(df, send, log, checkpoint, **options):
+    """Deliver every micro-batch of a stream and keep its outcomes under ``log``.
+
+    The log of a batch appears as a whole once all its rows were sent, so a batch that comes
+    again after that is not sent again. Returns the unstarted writer.
+    """
+
+    def write(batch, batch_id):
+        path = f"{log}/batch_id={batch_id}"
+        try:
+            batch.sparkSession.read.parquet(path)
+        except AnalysisException:
+            deliver(batch, send, **options).write.mode("overwrite").parquet(path)
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def delivery_outcomes(attempts, max_retries=3):
     """One row per delivery from its attempt log.
 

@@ -35,6 +35,18 @@ _ANSWER = T.StructType(
 )
 
 
+_STATUS = T.StructType(
+    [
+        T.StructField("run_id", T.StringType()),
+        T.StructField("state", T.StringType()),
+        T.StructField("started", T.TimestampType()),
+        T.StructField("ended", T.TimestampType()),
+        T.StructField("outputs", T.ArrayType(T.StringType())),
+        T.StructField("error", T.StringType()),
+    ]
+)
+
+
 @dataclass
 class Response:
     """What a handler may return besides text, bytes and JSON values."""
@@ -294,3 +306,9 @@ def run_job(fn, inputs, params=None, run_id="job", stored_status=None, save=None
     finally:
         status["ended"] = now()
     return outputs, {**status, **(stored_status or {})}
+
+
+def status_row(spark, status):
+    """A run's status as a one-row table, to be appended to the status table."""
+    row = {name: status.get(name) for name in _STATUS.fieldNames()}
+    return spark.createDataFrame([row], _STATUS)

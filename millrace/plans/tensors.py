@@ -466,3 +466,30 @@ def metadata_query(spark, folder):
         F.array(F.size("embedding").cast("long")).alias("shape"),
     )
     return joins.model_metadata(sent, models(spark, folder)).select("id", "model_name", "name", "verdict")
+
+
+@query(
+    "inference_round_trip",
+    """
+    SELECT CAST(vec_id AS VARCHAR) AS id, 'm' AS model_name, '1' AS model_version, 'output_embedding' AS name,
+           CAST(len(embedding) AS BIGINT) AS elements, true AS shape_ok, CAST(embedding[1] AS DOUBLE) * 2 AS first
+    FROM embeddings WHERE vec_id % 10 <> 7
+    """,
+)
+def round_trip_query(spark, folder):
+    """JSON requests through the demo model: parsed, exploded, typed, answered, checked."""
+    parsed = parse_infer_requests(_request_texts(spark, folder)).filter("rejected is null")
+    typed = tensors.coerce_outputs(tensors.explode_tensors(parsed))
+    answered = tensors.check_shapes(tensors.elementwise_model(typed))
+    named = answered.withColumns(
+        {"request_id": F.col("id"), "model_name": F.lit(""), "model_version": F.lit(None).cast("string")}
+    )
+    return tensors.default_response(named, "m", "1").select(
+        "id",
+        "model_name",
+        "model_version",
+        "name",
+        "elements",
+        "shape_ok",
+        F.get(F.col("tensor.floats"), F.lit(0)).alias("first"),
+    )

@@ -25,8 +25,8 @@ _CLOSED = (
     ("response_complete", "boolean"),
     ("messages", "bigint"),
     ("duration_ns", "bigint"),
-    ("first_ts", "timestamp"),
-    ("last_ts", "timestamp"),
+    ("first_us", "bigint"),
+    ("last_us", "bigint"),
 )
 CLOSED_EXCHANGE = ", ".join(f"{name} {kind}" for name, kind in _CLOSED)
 
@@ -75,8 +75,8 @@ class _Exchange(StatefulProcessor):
                     whole_response,
                     messages,
                     spent,
-                    pd.Timestamp(first, unit="us"),
-                    pd.Timestamp(last, unit="us"),
+                    first,
+                    last,
                 )
             ],
             columns=[name for name, _ in _CLOSED],
@@ -155,7 +155,7 @@ def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
     with bodies beyond that go through ``assemble_bodies``, which cuts them in segments.
     """
     use_rocksdb(stream.sparkSession)
-    return (
+    closed = (
         stream.select(
             "stream_id",
             "seq",
@@ -176,3 +176,6 @@ def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
             timeMode="EventTime",
         )
     )
+    return closed.withColumns(
+        {"first_ts": F.timestamp_micros("first_us"), "last_ts": F.timestamp_micros("last_us")}
+    ).drop("first_us", "last_us")

@@ -172,8 +172,8 @@ class _RollingBuffer(StatefulProcessor):
 
     def _frame(self, key, rows):
         return pd.DataFrame(
-            [(key[0], pd.Timestamp((t + 1) * self.width, unit="us"), s, e, b) for t, s, e, b in rows],
-            columns=["stream_id", "tick", "buffer_start", "buffer_end", "body"],
+            [(key[0], (t + 1) * self.width, s, e, b) for t, s, e, b in rows],
+            columns=["stream_id", "tick_us", "buffer_start", "buffer_end", "body"],
         )
 
     def handleInputRows(self, key, rows, timerValues):
@@ -238,16 +238,19 @@ def stream_rolling_snapshots(
     if width % 1000:
         raise ValueError("interval must be whole milliseconds")
     use_rocksdb(df.sparkSession)
-    return (
+    closed = (
         df.select("stream_id", "seq", "ts", "data", tick_of(F.col("ts"), interval).alias("now"))
         .withWatermark("ts", delay)
         .groupBy("stream_id")
         .transformWithStateInPandas(
             _RollingBuffer(chunk_bytes, max_bytes, trim_bytes, width),
             outputStructType=(
-                "stream_id string, tick timestamp, buffer_start bigint, buffer_end bigint, body binary"
+                "stream_id string, tick_us bigint, buffer_start bigint, buffer_end bigint, body binary"
             ),
             outputMode="Append",
             timeMode="EventTime",
         )
     )
+    return closed.select(
+        "stream_id", F.timestamp_micros("tick_us").alias("tick"), "buffer_start", "buffer_end", "body"
+    )

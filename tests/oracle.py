@@ -73,7 +73,18 @@ if __name__ == "__main__":
     from millrace.session import build_session
 
     folder, wanted = sys.argv[1], sys.argv[2:]
-    session = build_session("local[8]")
+    if os.environ.get("PLAIN_SESSION"):
+        # a session that knows nothing of the library, in a time zone far from UTC
+        from pyspark.sql import SparkSession
+
+        session = (
+            SparkSession.builder.master("local[8]")
+            .config("spark.sql.session.timeZone", "America/New_York")
+            .config("spark.sql.shuffle.partitions", "8")
+            .getOrCreate()
+        )
+    else:
+        session = build_session("local[8]")
     session.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     for name, fn in QUERIES.items():

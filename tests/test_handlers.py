@@ -90,6 +90,8 @@ def test_job_run(spark):
     with pytest.raises(RuntimeError) as caught:
         handlers.run_job(fail, {"numbers": table})
     assert caught.value.status["state"] == "ERROR" and "ended" in caught.value.status
+    row = handlers.status_row(spark, caught.value.status).first()
+    assert (row.run_id, row.state, row.error) == ("job", "ERROR", "no") and row.ended >= row.started
 
 
 def test_observed_attributes_feed_the_metrics(spark):
@@ -147,6 +149,27 @@ def test_delivery(spark):
         delivery.deliver(df, send, message_type="invalid")
 
 
+def test_stream_delivery_sends_a_finished_batch_once(spark, tmp_path):
+    sent = tmp_path / "sent"
+    sent.mkdir()
+
+    def send(payload, headers):
+        import uuid
+
+        (sent / uuid.uuid4().hex).write_bytes(payload)
+        return 200
+
+    path, log = str(tmp_path / "in"), str(tmp_path / "log")
+    spark.createDataFrame([(i, b"%d" % i) for i in range(5)], "id int, payload binary").write.parquet(path)
+    for attempt in ("first", "again"):
+        # a new checkpoint gives the same batch again
+        stream = spark.readStream.schema("id int, payload binary").parquet(path)
+        writer = delivery.stream_deliveries(stream, send, log, str(tmp_path / attempt), retry_delay=0)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    assert len(list(sent.iterdir())) == 5
+    assert spark.read.parquet(log).filter("delivered").count() == 5
+
+
 def test_outcomes(spark):
     rows = [(1, 1, 500, "a"), (1, 2, 201, None), (1, 3, 500, "late"), (2, 1, None, "x"), (2, 2, 503, "y"), (3, 5, 200, None), (3, 1, 500, "z")]
     df = spark.createDataFrame(rows, "delivery_id bigint, attempt int, status int, error string")
@@ -164,6 +187,9 @@ def test_routing(spark, tmp_path):
         delivery.route_outputs(df, {"webhook": print})
     with pytest.raises(Exception, match="sink factory not found: mjpeg"):
         delivery.checked_kinds(df, ["webhook"]).collect()
+    delivery.save_outputs(df, str(tmp_path / "saved"), ["webhook", "mjpeg"])
+    saved = spark.read.parquet(str(tmp_path / "saved")).collect()
+    assert sorted((r.id, r.sink_kind) for r in saved) == [(1, "webhook"), (2, "mjpeg")]
     # the same on a stream
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     df.write.parquet(path)
