@@ -1,7 +1,6 @@
 """Keyed state of HTTP exchanges on a stream: one row per exchange when it ends."""
 
-import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..envelope import (
@@ -30,123 +29,132 @@ _CLOSED = (
 )
 CLOSED_EXCHANGE = ", ".join(f"{name} {kind}" for name, kind in _CLOSED)
 
-_STATE = (
-    "request_headers map<string,string>, response_headers map<string,string>, "
-    "request_complete boolean, response_complete boolean, messages bigint, duration_ns bigint, "
-    "first_us bigint, last_us bigint"
+_TOTALS = (
+    ("request_headers", "map<string,string>"),
+    ("response_headers", "map<string,string>"),
+    ("request_complete", "boolean"),
+    ("response_complete", "boolean"),
+    ("messages", "bigint"),
+    ("duration_ns", "bigint"),
+    ("first_us", "bigint"),
+    ("last_us", "bigint"),
+    ("timer_ms", "bigint"),
 )
 
+#: Body bytes of one exchange kept in the worker before they go to the state store.
+_HELD_BYTES = 8 << 20
+
 
 class _Exchange(StatefulProcessor):
-    """Headers and totals in one value, body chunks in two lists that are only appended to."""
+    """Headers and totals in one value, body chunks in lists that are only appended to.
+
+    Every access to the state is a round trip to the JVM: an exchange that begins and ends in
+    one micro-batch makes just one, to find that there is nothing.
+    """
 
     def __init__(self, timeout_us):
         self.timeout_us = timeout_us
 
     def init(self, handle):
         self.handle = handle
-        self.state = handle.getValueState("exchange", _STATE)
-        self.chunks = {
-            REQUEST_BODY: handle.getListState("request_chunks", "seq bigint, chunk binary"),
-            RESPONSE_BODY: handle.getListState("response_chunks", "seq bigint, chunk binary"),
-        }
-
-    def _close(self, key, outcome, state):
-        request, response, whole_request, whole_response, messages, spent, first, last = state
-        bodies = {
-            phase: b"".join(
-                bytes(chunk) for _, chunk in sorted(chunks.get(), key=lambda row: row[0])
-            )
-            for phase, chunks in self.chunks.items()
-        }
-        self.state.clear()
-        for chunks in self.chunks.values():
-            chunks.clear()
-        return pd.DataFrame(
-            [
-                (
-                    key[0],
-                    outcome,
-                    request,
-                    response,
-                    bodies[REQUEST_BODY],
-                    bodies[RESPONSE_BODY],
-                    whole_request,
-                    whole_response,
-                    messages,
-                    spent,
-                    first,
-                    last,
-                )
-            ],
-            columns=[name for name, _ in _CLOSED],
+        self.state = handle.getValueState(
+            "exchange", ", ".join(f"{name} {kind}" for name, kind in _TOTALS)
         )
+        self.chunks = handle.getListState("chunks", "phase int, seq bigint, chunk binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.state.exists():
-            request, response, whole_request, whole_response, messages, spent, first, last = (
-                self.state.get()
-            )
-        else:
-            request = response = None
-            whole_request = whole_response = False
-            messages = spent = 0
-            first = last = None
-        ended = False
-        for batch in rows:
-            added = {phase: [] for phase in self.chunks}
-            for row in batch.itertuples(index=False):
-                messages += 1
-                at = row.ts_us
-                first = at if first is None else min(first, at)
-                last = at if last is None else max(last, at)
-                if row.phase != RESPONSE_TRAILERS and pd.notna(row.duration_ns):
-                    spent += int(row.duration_ns)
-                ends = bool(row.ends)
-                if row.phase == REQUEST_HEADERS:
-                    request = dict(row.headers) if row.headers is not None else {}
-                    whole_request = whole_request or ends
-                elif row.phase == RESPONSE_HEADERS:
-                    response = dict(row.headers) if row.headers is not None else {}
-                    whole_response = whole_response or ends
-                elif row.phase in added:
-                    if row.chunk is not None and len(row.chunk):
-                        added[row.phase].append((int(row.seq), bytes(row.chunk)))
-                    if row.phase == REQUEST_BODY:
-                        whole_request = whole_request or ends
-                    else:
-                        whole_response = whole_response or ends
-                ended = ended or (ends and row.phase in (RESPONSE_HEADERS, RESPONSE_BODY))
-            for phase, chunks in added.items():
-                if chunks:
-                    self.chunks[phase].appendList(chunks)
-        if first is None:
-            yield pd.DataFrame()
+        known = self.state.exists()
+        totals = dict(zip([name for name, _ in _TOTALS], self.state.get())) if known else None
+        stored, held, size, ended = known, [], 0, False
+        for row in rows:
+            if totals is None:
+                totals = _opened(row.ts_us)
+            ended = _count(totals, row) or ended
+            if row.phase in (REQUEST_BODY, RESPONSE_BODY) and row.chunk:
+                held.append((int(row.phase), int(row.seq), bytes(row.chunk)))
+                size += len(row.chunk)
+            if size > _HELD_BYTES:
+                self.chunks.appendList(held)
+                stored, held, size = True, [], 0
+        if totals is None:
             return
-        state = (
-            request, response, whole_request, whole_response, messages, spent, int(first), int(last),
-        )
+        if totals["timer_ms"]:
+            self.handle.deleteTimer(totals["timer_ms"])
         if ended:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            yield self._close(key, "ended", state)
+            if stored:
+                held = [tuple(row) for row in self.chunks.get()] + held
+                self._forget()
+            yield _closed(key, "ended", totals, held)
             return
-        self.state.update(state)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((int(last) + self.timeout_us) // 1000)
-        yield pd.DataFrame()
+        if held:
+            self.chunks.appendList(held)
+        totals["timer_ms"] = (totals["last_us"] + self.timeout_us) // 1000
+        self.state.update(tuple(totals.values()))
+        self.handle.registerTimer(totals["timer_ms"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.state.exists():
-            yield self._close(key, "timeout", self.state.get())
-        else:
-            yield pd.DataFrame()
+        totals = dict(zip([name for name, _ in _TOTALS], self.state.get()))
+        held = [tuple(row) for row in self.chunks.get()]
+        self._forget()
+        yield _closed(key, "timeout", totals, held)
+
+    def _forget(self):
+        self.state.clear()
+        self.chunks.clear()
 
     def close(self):
         pass
 
 
+def _opened(ts_us):
+    return {
+        "request_headers": None,
+        "response_headers": None,
+        "request_complete": False,
+        "response_complete": False,
+        "messages": 0,
+        "duration_ns": 0,
+        "first_us": int(ts_us),
+        "last_us": int(ts_us),
+        "timer_ms": 0,
+    }
+
+
+def _count(totals, row):
+    """Add one message to the totals; whether it ends the exchange."""
+    totals["messages"] += 1
+    totals["first_us"] = min(totals["first_us"], int(row.ts_us))
+    totals["last_us"] = max(totals["last_us"], int(row.ts_us))
+    if row.phase != RESPONSE_TRAILERS and row.duration_ns is not None:
+        totals["duration_ns"] += int(row.duration_ns)
+    if row.phase == REQUEST_HEADERS:
+        totals["request_headers"] = dict(row.headers) if row.headers is not None else {}
+    elif row.phase == RESPONSE_HEADERS:
+        totals["response_headers"] = dict(row.headers) if row.headers is not None else {}
+    if row.ends and row.phase in (REQUEST_HEADERS, REQUEST_BODY):
+        totals["request_complete"] = True
+    answered = bool(row.ends) and row.phase in (RESPONSE_HEADERS, RESPONSE_BODY)
+    totals["response_complete"] = totals["response_complete"] or answered
+    return answered
+
+
+def _closed(key, outcome, totals, chunks):
+    body = {
+        phase: b"".join(
+            bytes(chunk) for _, _, chunk in sorted(c for c in chunks if c[0] == phase)
+        )
+        for phase in (REQUEST_BODY, RESPONSE_BODY)
+    }
+    values = {
+        **totals,
+        "stream_id": key[0],
+        "outcome": outcome,
+        "request_body": body[REQUEST_BODY],
+        "response_body": body[RESPONSE_BODY],
+    }
+    return Row(**{name: values[name] for name, _ in _CLOSED})
+
+
 def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
     """One row per exchange, when its response ends or after ``timeout`` without a message.
 
@@ -169,7 +177,7 @@ def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
         )
         .withWatermark("ts", delay)
         .groupBy("stream_id")
-        .transformWithStateInPandas(
+        .transformWithState(
             _Exchange(micros(timeout)),
             outputStructType=CLOSED_EXCHANGE,
             outputMode="Append",
