@@ -83,32 +83,35 @@ def _tensor_table(spark, folder):
 
 @query(
     "t1_explode_tensors",
-    """
-    SELECT CAST(conv_id AS VARCHAR) AS id, p AS position, 'turn' || t AS name, CAST(len(string_split(x, ' ')) AS BIGINT) AS size,
-           'BYTES' AS datatype
-    FROM (SELECT conv_id, unnest(range(0, len(xs))) AS p, unnest(ts) AS t, unnest(xs) AS x FROM
-           (SELECT conv_id, list(turn ORDER BY turn) AS ts, list(text ORDER BY turn) AS xs FROM conversations GROUP BY 1))
+    r"""
+    SELECT CAST(doc_id AS VARCHAR) AS id, p AS position, 'line' || p AS name,
+           CAST(len(string_split(lines[p + 1], ' ')) AS BIGINT) AS size, 'BYTES' AS datatype, lang AS parameter
+    FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS lines, unnest(range(0, len(string_split(text, chr(10))))) AS p
+          FROM documents)
     """,
 )
 def explode_query(spark, folder):
-    """A conversation as one request, a tensor for every turn."""
-    asked = (
-        table(spark, folder, "conversations")
-        .select(
-            F.col("conv_id").cast("string").alias("id"),
-            "turn",
-            F.struct(
-                "turn",
-                F.concat(F.lit("turn"), "turn").alias("name"),
-                F.array(F.size(F.split("text", " ")).cast("long")).alias("shape"),
+    """A document as one request, a tensor for every line."""
+    lines = F.split("text", "\n")
+    asked = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.transform(
+            lines,
+            lambda line, i: F.struct(
+                F.concat(F.lit("line"), i).alias("name"),
+                F.array(F.size(F.split(line, " ")).cast("long")).alias("shape"),
                 F.lit("BYTES").alias("datatype"),
-            ).alias("tensor"),
-        )
-        .groupBy("id")
-        .agg(F.array_sort(F.collect_list("tensor")).alias("inputs"))
+                F.create_map(F.lit("lang"), F.col("lang")).alias("parameters"),
+            ),
+        ).alias("inputs"),
     )
     return tensors.explode_tensors(asked).select(
-        "id", F.col("position").cast("bigint"), "name", F.get("shape", F.lit(0)).alias("size"), "datatype"
+        "id",
+        F.col("position").cast("bigint"),
+        "name",
+        F.get("shape", F.lit(0)).alias("size"),
+        "datatype",
+        F.element_at("parameters", F.lit("lang")).alias("parameter"),
     )
 
 
