@@ -60,11 +60,11 @@ def status_number(text):
         )
 
     size = F.coalesce(
-        digits(r"^[1-9](_?[0-9])*$", "^$", 10, 5),
-        digits(r"^0x(_?[0-9a-f])+$", "^0x", 16, 4),
-        digits(r"^0b(_?[01])+$", "^0b", 2, 16),
-        digits(r"^0o(_?[0-7])+$", "^0o", 8, 6),
-        digits(r"^0(_?[0-7])*$", "^$", 8, 6),
+        digits(r"^[1-9](_?[0-9])*\z", "^$", 10, 5),
+        digits(r"^0x(_?[0-9a-f])+\z", "^0x", 16, 4),
+        digits(r"^0b(_?[01])+\z", "^0b", 2, 16),
+        digits(r"^0o(_?[0-7])+\z", "^0o", 8, 6),
+        digits(r"^0(_?[0-7])*\z", "^$", 8, 6),
     )
     value = F.when(text.startswith("-"), -size).otherwise(size)
     return (
@@ -105,7 +105,9 @@ def url_parts(url):
     authority = F.regexp_replace(piece(4), "^.*@", "")
     return F.struct(
         F.lower(piece(2)).alias("scheme"),
-        F.lower(F.regexp_replace(authority, ":[0-9]*$", "")).alias("host"),
+        F.lower(
+            F.regexp_replace(F.regexp_replace(authority, ":[0-9]*$", ""), r"^\[(.*)\]$", "$1")
+        ).alias("host"),
         F.when(
             authority.rlike(":[0-9]+$"), F.regexp_extract(authority, ":([0-9]+)$", 1).cast("bigint")
         ).alias("port"),

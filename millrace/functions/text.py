@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
+INTEGER_TEXT = r"\A[+-]?[0-9]+\z"
 
 
 def standard_base64(raw):

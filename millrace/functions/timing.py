@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from .numbers import divided
+
 _UNIT_MICROS = {
     "microsecond": 1,
     "millisecond": 1_000,
@@ -34,6 +36,6 @@ def as_instant(column):
 
 def tick_of(column, interval):
     """Number of the epoch-aligned tick an instant falls into (integer arithmetic)."""
-    width = F.lit(micros(interval))
+    width = micros(interval)
     value = F.unix_micros(column)
-    return ((value - F.pmod(value, width)) / width).cast("long")
+    return divided(value - F.pmod(value, F.lit(width)), width)

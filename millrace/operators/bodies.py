@@ -5,6 +5,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Window, functions as F, types as T
 
+from ..functions.numbers import divided
 from .scans import running, running_sum
 
 SIZE_ERROR = "appending chunk would violate size limit"
@@ -75,7 +76,7 @@ def assemble_bodies(chunks, max_size=-1, segment_rows=256):
         "seq",
         "chunk",
         F.coalesce("end_of_stream", F.lit(False)).alias("ends"),
-        F.floor(F.col("seq") / F.lit(segment_rows)).cast("long").alias("segment"),
+        divided(F.col("seq"), segment_rows).alias("segment"),
         size.alias("n"),
     )
     if max_size > 0:

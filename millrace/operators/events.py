@@ -178,7 +178,7 @@ def normalize_events(df, trigger):
 def typed_field(df, key, as_, trigger, column="fields", out="field"):
     """Append one event field, coerced by its trigger's rule.
 
-    ``column`` is a VARIANT object or a map of VARIANT; for *extproc* it is the query map
+    ``column`` is a VARIANT object or a map of VARIANT or of text; for *extproc* it is the query map
     (name to list of text values).
     """
     if as_ not in ("string", "int"):
@@ -200,6 +200,9 @@ def typed_field(df, key, as_, trigger, column="fields", out="field"):
         if holds == "map"
         else member(F.col(column), key)
     )
+    if holds == "map" and df.schema[column].dataType.valueType.typeName() == "string":
+        # a field map of texts only, as the envelope has it
+        source = source.cast("variant")
     # one projection a step, so that what later steps use several times is computed once
     found = (
         df.withColumn("__value", source)

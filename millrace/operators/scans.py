@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, Window, functions as F, types as T
 
+from ..functions.numbers import divided
+
 #: Rows of one stream a slice may hold when it is cut by sequence number.
 SLICE_ROWS = 1 << 20
 
@@ -52,7 +54,7 @@ def running(
     value ``__own_<name>`` of the slice and ``__pre_<name>`` of all slices before it).
     """
     if slices is None:
-        slices = {"__slice": F.floor(F.col(order) / F.lit(slice_rows)).cast("long")}
+        slices = {"__slice": divided(F.col(order), slice_rows)}
     part = [*keys, "__nulls", *slices]
     cut = _solid(df, keys).select(
         *df.columns,

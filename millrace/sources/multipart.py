@@ -5,6 +5,8 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.numbers import divided
+
 FRAME_COLUMNS = ["url", "frame_num", "headers", "body"]
 FRAMES = "url string, frame_num bigint, headers map<string,string>, body binary"
 
@@ -141,7 +143,7 @@ def mux_frames(df, boundary="frame", segment_frames=64):
     """
     parts = df.select(
         "url",
-        F.floor((F.col("frame_num") - 1) / F.lit(segment_frames)).cast("long").alias("segment"),
+        divided(F.col("frame_num") - 1, segment_frames).alias("segment"),
         "frame_num",
         multipart_part(F.col("body"), boundary).alias("part"),
     )

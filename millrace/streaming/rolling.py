@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from ..functions.numbers import divided
 from ..functions.timing import micros, tick_of
 from ..operators.scans import SLICE_ROWS, running, running_sum
 from ..session import use_rocksdb
@@ -31,7 +32,7 @@ def buffer_start(chunks, chunk_bytes, max_bytes, trim_bytes):
     """
     if trim_bytes >= chunk_bytes:
         over = chunks * chunk_bytes - max_bytes
-        trims = (over + F.pmod(-over, F.lit(trim_bytes))) / trim_bytes
+        trims = divided(over + F.pmod(-over, F.lit(trim_bytes)), trim_bytes)
     else:
         trims = chunks - max_bytes // chunk_bytes
     return (F.greatest(trims.cast("long"), F.lit(0).cast("long")) * trim_bytes).cast("long")
@@ -69,7 +70,7 @@ def rolling_snapshots(
         {"upto": running_sum(F.col("n"))},
         slices={
             "__tick": F.col("tick"),
-            "__slice": F.floor(F.col("seq") / F.lit(SLICE_ROWS)).cast("long"),
+            "__slice": divided(F.col("seq"), SLICE_ROWS),
         },
         with_summaries=True,
     )
@@ -83,10 +84,7 @@ def rolling_snapshots(
 
     def blocks(start, end):
         return F.explode(
-            F.sequence(
-                F.floor(start / max_bytes).cast("long"),
-                F.floor((end - 1) / max_bytes).cast("long"),
-            )
+            F.sequence(divided(start, max_bytes), divided(end - 1, max_bytes))
         )
 
     low = F.greatest(F.col("from"), F.col("block") * max_bytes)
@@ -144,7 +142,7 @@ def _grown(sums, chunk_bytes):
     total = F.max(F.coalesce("__pre_upto", F.lit(0)) + F.col("__own_upto"))
     counted = (
         sums.groupBy("stream_id", F.col("__tick").alias("tick"))
-        .agg(F.floor(total / chunk_bytes).cast("long").alias("chunks"))
+        .agg(divided(total, chunk_bytes).alias("chunks"))
         .withColumn("before", F.lag("chunks", 1, 0).over(history))
     )
     return counted.filter(F.col("chunks") > F.col("before"))

@@ -235,6 +235,28 @@ def test_job_number_texts(spark):
         events.typed_field(df, "a", "int", "job")
 
 
+def test_fields_of_an_envelope_are_texts(spark):
+    df = spark.createDataFrame([({"n": "7", "w": "x7", "l": "7\n"},)], "fields map<string,string>")
+    read = lambda key, as_, trigger: events.typed_field(df, key, as_, trigger).first().field
+    assert read("n", "string", "job") == "7" and read("n", "int", "websocket") == 7
+    assert read("n", "int", "mjpeg") == 0 and read("w", "int", "rtsp") is None
+    assert read("l", "int", "rtsp") is None and read("none", "int", "rtsp") == 0
+
+
+def test_addresses(spark):
+    from millrace.functions.targets import url_parts
+
+    df = spark.createDataFrame(
+        [("http://u:p@Host:80/a/b;c?d=e#f",), ("HTTPS://[::1]:8443/x",), ("//h/p",), ("/only/path?q",)], "url string"
+    ).select(url_parts(F.col("url")).alias("p"))
+    assert [tuple(r.p) for r in df.collect()] == [
+        ("http", "host", 80, "/a/b", "d=e"),
+        ("https", "::1", 8443, "/x", ""),
+        ("", "h", None, "/p", ""),
+        ("", "", None, "/only/path", "q"),
+    ]
+
+
 def test_job_status_and_stats(spark):
     df = spark.createDataFrame(
         [("r1", "job", 200, None, None, False), ("r1", "job", 201, None, None, False), ("r2", "job", None, None, None, None), ("r3", "mjpeg", 200, "s", None, False), ("r4", "mjpeg", 200, None, "p", True)],

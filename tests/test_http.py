@@ -74,6 +74,11 @@ def test_encodings(spark, headers, encoding, compressed, chunked):
     assert (row.encoding, row.compressed, row.chunked) == (encoding, compressed, chunked)
 
 
+@pytest.mark.parametrize("text,number", [("200", 200), ("200\n", 0), (" 200", 0), ("0", 0), ("0x7fff", 32767), ("0x8000", 0), ("-0x8000", 32768)])
+def test_status_texts(spark, text, number):
+    assert http.response_status(exchange(spark, {":status": text})).first().status == number
+
+
 def test_unknown_phase_fails(spark):
     df = spark.createDataFrame([("999", {})], "kind string, headers map<string,string>")
     with pytest.raises(Exception, match="unknown request phase: 999"):

@@ -185,6 +185,14 @@ def test_requests_from_json(spark):
     ]
 
 
+def test_request_files(spark, tmp_path):
+    (tmp_path / "requests.jsonl").write_text(REQUEST + "\n{broken\n")
+    from millrace.sources.inference import load_infer_requests
+
+    rows = load_infer_requests(spark, str(tmp_path)).select("id", "rejected").collect()
+    assert sorted((r.id, r.rejected) for r in rows) == [("", "{broken"), ("1", None)]
+
+
 def test_request_without_tensors_keeps_its_row(spark):
     df = parse_infer_requests(spark.createDataFrame([('{"id":"1","inputs":[]}',)], "value string"))
     assert tensors.explode_tensors(df).select("id", "position").collect() == [("1", None)]
