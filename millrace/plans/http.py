@@ -627,13 +627,22 @@ def assemble_limited_query(spark, folder):
     "n4_running_bodies",
     f"""
     WITH {DOC_CHUNKS}
-    SELECT stream_id, phase, seq, CAST(octet_length(unhex(h)) AS BIGINT) AS body_end, md5(unhex(h)) AS body
-    FROM (SELECT *, string_agg(chunk_hex, '') OVER (PARTITION BY stream_id, phase ORDER BY seq) AS h FROM doc_chunks)
+    SELECT stream_id, phase, seq,
+           CAST(sum(octet_length(unhex(chunk_hex))) OVER (PARTITION BY stream_id, phase ORDER BY seq) AS BIGINT) AS buffered_end,
+           md5(unhex(chunk_hex)) AS unbuffered
+    FROM doc_chunks
     """,
 )
 def running_bodies_query(spark, folder):
-    seen = bodies.running_bodies(doc_chunks(spark, folder), materialise=True)
-    return seen.select("stream_id", "phase", "seq", "body_end", digest("body").alias("body"))
+    """What a handler sees at each chunk: with buffering the body up to there, else the chunk.
+
+    The buffered view is an offset into the assembled body; writing every prefix out would
+    multiply the bytes by the number of chunks.
+    """
+    seen = bodies.running_bodies(doc_chunks(spark, folder))
+    return seen.select(
+        "stream_id", "phase", "seq", F.col("body_end").alias("buffered_end"), digest("chunk").alias("unbuffered")
+    )
 
 
 @query(
