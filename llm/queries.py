@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cosine, imatch, packing, quality, repeats, secrets, sharding, simhash
+from . import bpe, cosine, extraction, imatch, packing, quality, repeats, secrets, sharding, simhash
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{k:03d}" for k in range(96)]
@@ -56,6 +56,11 @@ def op4_resample(spark, sf_dir):
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark, sf_dir):
     """Near-duplicate groups of all documents."""
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"), words=4, distance=4).select(
@@ -97,8 +102,8 @@ def op10_packing(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_byte_bpe, op2_secrets, op3_cosine_groups, op4_resample, op6_simhash, op7_repeats, op8_slots, op9_imatch,
-        op10_packing,
+        op1_byte_bpe, op2_secrets, op3_cosine_groups, op4_resample, op5_main_text, op6_simhash, op7_repeats, op8_slots,
+        op9_imatch, op10_packing,
     )
 }
 ORACLE: dict[str, str] = {}
