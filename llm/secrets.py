@@ -171,11 +171,13 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFra
     Spans that overlap or touch become one mark. Texts without spans, null ones too, stay as they are.
     """
     found = find_secrets(docs, reach).filter(F.size("spans") > 0)
-    found = found.groupBy("row", F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.first("spans").alias("__spans"))
+    found = found.groupBy(F.col("row").alias("__found_row"), F.coalesce("doc_id", F.lit(-1)).alias("__found_id")).agg(
+        F.first("spans").alias("__spans")
+    )
     keyed = docs.withColumns(
         {"__row": F.xxhash64(F.coalesce("text", F.lit(""))), "__id": F.coalesce("doc_id", F.lit(-1))}
     )
-    joined = keyed.join(found, (F.col("__row") == F.col("row")) & (F.col("__id") == F.col("id")), "left")
+    joined = keyed.join(found, (F.col("__row") == F.col("__found_row")) & (F.col("__id") == F.col("__found_id")), "left")
     # what is left of the text: between the farthest end so far and the next start
     far = F.aggregate(
         "__spans",
