@@ -77,11 +77,3 @@ def acknowledgement(data):
 def is_jpeg(body):
     """Non-empty and opening with the JPEG start-of-image marker."""
     return F.coalesce(F.startswith(body, F.lit(b"\xff\xd8")), F.lit(False))
-
-
-def swap_sample_bytes(pcm):
-    """16-bit big-endian samples to little-endian; an odd last byte becomes 00."""
-    size = F.octet_length(pcm)
-    even = F.substring(pcm, F.lit(1), size - size % 2)
-    swapped = F.unhex(F.regexp_replace(F.hex(even), "(..)(..)", "$2$1"))
-    return F.when(size % 2 == 1, F.concat(swapped, F.lit(b"\x00"))).otherwise(swapped)

@@ -2,8 +2,8 @@
 
 import zlib
 
-import pandas as pd
-from pyspark.sql import Window, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Window, functions as F
 
 from ..functions.numbers import divided
 from .scans import running, running_sum
@@ -12,6 +12,12 @@ SIZE_ERROR = "appending chunk would violate size limit"
 INCOMPLETE_ERROR = "cannot decompress an incomplete body"
 GZIP_ERROR = "gzip decompression failed"
 ENCODING_ERROR = "unsupported encoding/compression strategy"
+PIECE_ERROR = "the body is cut into several segments, of which a handler must not see one alone"
+
+#: Bytes of a body that are one row; larger bodies are cut into segments.
+SEGMENT_BYTES = 64 << 20
+#: Inflated bytes that are one row: a small gzip body may inflate a thousandfold.
+INFLATED_BYTES = 64 << 20
 
 _KEY = ["stream_id", "phase"]
 
@@ -59,25 +65,37 @@ def _accepted(chunks, max_size):
     return fits.select(*_KEY, "seq").unionByName(late)
 
 
-def assemble_bodies(chunks, max_size=-1, segment_rows=256):
+def _segments(chunks, segment_bytes):
+    """(stream_id, phase, seq, segment) of the chunks of bodies larger than one segment.
+
+    A segment begins with the first chunk past a multiple of ``segment_bytes`` of its own body.
+    Only sizes are looked at, and only those of large bodies are summed up in order.
+    """
+    sizes = chunks.select(*_KEY, "seq", F.coalesce(F.octet_length("chunk"), F.lit(0)).cast("long").alias("n"))
+    large = sizes.groupBy(*_KEY).agg(F.sum("n").alias("total")).filter(F.col("total") > segment_bytes)
+    summed = running(
+        sizes.join(large.select(*_KEY), _KEY, "left_semi"), _KEY, "seq", {"upto": running_sum(F.col("n"))}
+    )
+    return summed.select(*_KEY, "seq", divided(F.col("upto") - F.col("n"), segment_bytes).alias("segment"))
+
+
+def assemble_bodies(chunks, max_size=-1, segment_bytes=SEGMENT_BYTES):
     """Body of every (stream_id, phase), its chunks joined in ``seq`` order.
 
-    A body is ``segments`` rows, a segment for every ``segment_rows`` sequence numbers;
-    ``seq`` counts the messages of one exchange, so bodies of ordinary size are one row, and
-    256 messages of the 4 MB a message may have still fit one value. The bytes are shuffled
-    once, by (body, segment); totals and offsets are computed from the sizes alone.
+    A body of up to ``segment_bytes`` is one row, wherever its chunks stand in the exchange; a
+    larger one is several ``segments``, cut between chunks by its own bytes. The bytes are
+    shuffled once, by (body, segment); totals and offsets are computed from the sizes alone.
 
     ``complete`` tells that the end_of_stream chunk was accepted. With ``max_size`` > 0 a
     chunk that would exceed it is refused, and chunks after it that still fit are kept.
     """
     size = F.coalesce(F.octet_length("chunk"), F.lit(0)).cast("long")
-    cut = chunks.select(
-        *_KEY,
-        "seq",
-        "chunk",
-        F.coalesce("end_of_stream", F.lit(False)).alias("ends"),
-        divided(F.col("seq"), segment_rows).alias("segment"),
-        size.alias("n"),
+    cut = (
+        chunks.select(
+            *_KEY, "seq", "chunk", F.coalesce("end_of_stream", F.lit(False)).alias("ends"), size.alias("n")
+        )
+        .join(_segments(chunks, segment_bytes), [*_KEY, "seq"], "left")
+        .withColumn("segment", F.coalesce("segment", F.lit(0).cast("long")))
     )
     if max_size > 0:
         kept = _accepted(chunks, max_size).withColumn("kept", F.lit(True))
@@ -88,59 +106,58 @@ def assemble_bodies(chunks, max_size=-1, segment_rows=256):
         cut = cut.withColumn("refused", F.lit(False))
     accepted = ~F.col("refused")
 
-    meta = cut.groupBy(*_KEY, "segment").agg(
-        F.sum(F.when(accepted, F.col("n")).otherwise(0)).alias("segment_bytes"),
+    # the filter sits inside the aggregate: a segment of empty chunks still is a row
+    parts = cut.groupBy(*_KEY, "segment").agg(
+        F.coalesce(
+            F.expr("listagg(if(n > 0 and not refused, chunk, null)) within group (order by seq)"),
+            F.lit(b""),
+        ).alias("body"),
         F.max(F.col("ends") & accepted).alias("segment_ends"),
         F.sum(F.col("refused").cast("long")).alias("segment_refused"),
     )
+    own = F.octet_length("body").cast("long")
     body = Window.partitionBy(*_KEY)
     before = body.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    totals = meta.select(
+    return parts.select(
         *_KEY,
         "segment",
-        F.coalesce(F.sum("segment_bytes").over(before), F.lit(0)).alias("offset"),
-        F.sum("segment_bytes").over(body).alias("body_size"),
+        "body",
+        F.coalesce(F.sum(own).over(before), F.lit(0)).alias("offset"),
+        F.sum(own).over(body).alias("body_size"),
         F.max("segment_ends").over(body).alias("complete"),
         F.when(F.sum("segment_refused").over(body) > 0, F.lit(SIZE_ERROR)).alias("error"),
         F.count("*").over(body).alias("segments"),
     )
-    # the filter sits inside the aggregate: a segment of empty chunks still is a row
-    parts = cut.groupBy(*_KEY, "segment").agg(
-        F.coalesce(
-            F.expr("listagg(if(n > 0 and not refused, chunk, null)) within group (order by seq)"),
-            F.lit(b""),
-        ).alias("body")
-    )
-    return parts.join(totals, [*_KEY, "segment"])
 
 
-def running_bodies(chunks, buffered=True, materialise=False):
+def running_bodies(chunks, buffered=True):
     """What the handler sees at each chunk: the first ``body_end`` bytes of the body.
 
-    Without buffering that is the chunk itself. With buffering it is everything so far,
-    which is quadratic in bytes when written out, so by default only the end offset into
-    the assembled body is given; ``materialise`` writes the bytes, for bodies that fit one
-    binary value.
+    Without buffering that is the chunk itself. With buffering it is everything so far, given
+    as the end offset into the assembled body; :func:`body_so_far` cuts it out.
     """
     size = F.coalesce(F.octet_length("chunk"), F.lit(0)).cast("long")
     if not buffered:
         return chunks.withColumns({"body_end": size, "body": F.col("chunk")})
-    seen = running(chunks, _KEY, "seq", {"body_end": running_sum(size)})
-    if not materialise:
-        return seen
-    fits = F.when(
-        F.col("body_end") > (1 << 31) - 1, F.raise_error(F.lit("body exceeds one binary value"))
-    ).otherwise(F.col("chunk"))
-    so_far = Window.partitionBy(*_KEY).orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    return running(chunks, _KEY, "seq", {"body_end": running_sum(size)})
+
+
+def body_so_far(seen, bodies):
+    """Append ``body``, the bytes up to ``body_end``, to the chunks of :func:`running_bodies`.
+
+    ``bodies`` are the assembled bodies, each one segment. The result holds every prefix of
+    every body: that is quadratic in the chunks of a body, and meant for bodies of few chunks.
+    """
+    whole = bodies.select(
+        *_KEY,
+        F.when(F.col("segments") == 1, F.col("body"))
+        .otherwise(F.raise_error(F.lit(PIECE_ERROR)).cast("binary"))
+        .alias("__whole"),
     )
-    return seen.withColumn(
-        "body",
-        F.aggregate(
-            F.collect_list(fits.cast("binary")).over(so_far),
-            F.lit(b""),
-            lambda whole, part: F.concat(whole, part),
-        ),
+    return (
+        seen.join(whole, _KEY)
+        .withColumn("body", F.substring(F.col("__whole"), F.lit(1), F.col("body_end").cast("int")))
+        .drop("__whole")
     )
 
 
@@ -150,40 +167,59 @@ class Inflater:
     def __init__(self):
         self.member, self.good, self.started = None, True, False
 
-    def feed(self, data):
-        out = []
+    def pieces(self, data, limit=INFLATED_BYTES):
+        """What ``data`` adds to the output, in pieces of at most ``limit`` bytes."""
         while data and self.good:
             if self.member is None:
                 self.member = zlib.decompressobj(wbits=31)
                 self.started = True
             try:
-                out.append(self.member.decompress(data))
+                out = self.member.decompress(data, limit)
+                data = self.member.unconsumed_tail
+                yield out
+                # output may be left when all input is taken
+                while not data and not self.member.eof and len(out) == limit:
+                    out = self.member.decompress(b"", limit)
+                    yield out
             except zlib.error:
                 self.good = False
-                break
-            data = self.member.unused_data
+                return
             if self.member.eof:
+                data = self.member.unused_data
                 self.member = None
-        return b"".join(out)
 
     def finished(self):
         """Whether everything fed was whole members, at least one."""
         return self.good and self.started and self.member is None
 
 
-def gunzip(data):
-    """Inflated bytes, None when they are not whole gzip."""
-    inflater = Inflater()
-    out = inflater.feed(data)
-    return out if inflater.finished() else None
+def gunzip(data, limit=INFLATED_BYTES):
+    """(bytes, outcome): the inflated bytes with ``good``, none with ``bad`` or ``large``.
 
+    ``large`` are bodies that inflate to more than ``limit`` bytes; they are not inflated whole.
+    """
+    inflater, out, size = Inflater(), [], 0
+    for piece in inflater.pieces(data, limit):
+        size += len(piece)
+        if size > limit:
+            return None, "large"
+        out.append(piece)
+    return (b"".join(out), "good") if inflater.finished() else (None, "bad")
+
+
+def _inflate(limit):
+    @F.arrow_udf("body binary, outcome string")
+    def inflate(bodies: pa.Array) -> pa.Array:
+        found = [(None, None) if b is None else gunzip(b, limit) for b in bodies.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([b for b, _ in found], pa.binary()), pa.array([o for _, o in found], pa.string())],
+            names=["body", "outcome"],
+        )
 
-@F.pandas_udf(T.BinaryType())
-def _inflate(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: None if b is None else gunzip(bytes(b)))
+    return inflate
 
 
-def _outcome(df):
+def _outcome():
     needs = F.col("compressed") & F.col("complete") & (F.col("encoding") == "gzip")
     early = (
         F.when(~F.col("compressed"), F.lit(None))
@@ -193,69 +229,94 @@ def _outcome(df):
     return needs, early
 
 
-def _decode_whole(df):
-    needs, early = _outcome(df)
-    # rows that are not gzip send a null to Python and stay in the JVM otherwise
-    opened = df.withColumn("__out", _inflate(F.when(needs, F.col("body"))))
-    failed = needs & F.col("__out").isNull()
-    return opened.withColumns(
-        {
-            "decode_error": F.when(failed, F.lit(GZIP_ERROR)).otherwise(early),
-            "body": F.coalesce("__out", "body"),
-        }
-    ).withColumn("decompressed", F.col("decode_error").isNull()).drop("__out")
-
-
-def inflate_segments(df):
-    """Inflate gzip bodies of several segments, each walked in order with bounded memory.
+def inflate_segments(df, piece_bytes=INFLATED_BYTES):
+    """Inflate gzip bodies of one or several segments, each walked in order with bounded memory.
 
     Deflate data can only be entered at its start, so the segments of one body pass through
-    one task one after another; none is held longer than its own turn. Rows are
-    (stream_id, phase, segment, body, ok): ``ok`` on the last segment tells whether the whole
-    body was good.
+    one task one after another. Rows are (stream_id, phase, segment, piece, body, ok): a
+    segment gives as many pieces of at most ``piece_bytes`` as it inflates to, one at least;
+    ``ok`` on the last of a body tells whether the whole body was good.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def walk(batches):
         key, inflater = None, None
         for batch in batches:
-            bodies, oks = [], []
-            for stream, phase, body in zip(batch["stream_id"], batch["phase"], batch["body"]):
-                if (stream, phase) != key:
-                    key, inflater = (stream, phase), Inflater()
-                bodies.append(inflater.feed(bytes(body)))
-                oks.append(inflater.finished())
-            yield batch[["stream_id", "phase", "segment"]].assign(body=bodies, ok=oks)
-
+            columns = [batch.column(name).to_pylist() for name in ("stream_id", "phase", "segment")]
+            for k, at in enumerate(zip(*columns)):
+                if at[:2] != key:
+                    key, inflater = at[:2], Inflater()
+                n, last = 0, b""
+                for piece in inflater.pieces(batch.column("body")[k].as_py() or b"", piece_bytes):
+                    if n:
+                        yield row(at, n - 1, last, False)
+                    n, last = n + 1, piece
+                yield row(at, max(n - 1, 0), last, inflater.finished())
+
+    def row(at, piece, body, ok):
+        values = [[at[0]], [at[1]], [at[2]], [piece], [body], [ok]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
+
+    names = ["stream_id", "phase", "segment", "piece", "body", "ok"]
+    arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+    kinds = [arrow[types["stream_id"]], arrow[types["phase"]], pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     return (
-        df.select(*_KEY, "segment", "body")
+        df.select(*_KEY, F.col("segment").cast("bigint"), "body")
         .repartition(*_KEY)
         .sortWithinPartitions(*_KEY, "segment")
-        .mapInPandas(
+        .mapInArrow(
             walk,
-            f"stream_id {types['stream_id']}, phase {types['phase']}, segment bigint, "
+            f"stream_id {types['stream_id']}, phase {types['phase']}, segment bigint, piece bigint, "
             "body binary, ok boolean",
         )
     )
 
 
-def decode_bodies(df):
+def _decode_whole(df, limit):
+    needs, early = _outcome()
+    # rows that are not gzip send a null to Python and stay in the JVM otherwise
+    opened = df.withColumn("__in", _inflate(limit)(F.when(needs, F.col("body"))))
+    outcome = F.col("__in.outcome")
+    too_large = F.raise_error(F.lit(f"a body inflates to more than {limit} bytes: give it with its segments")).cast("string")
+    return (
+        opened.withColumn(
+            "decode_error",
+            F.when(outcome == "bad", F.lit(GZIP_ERROR)).when(outcome == "large", too_large).otherwise(early),
+        )
+        .withColumns(
+            {
+                "body": F.coalesce("__in.body", "body"),
+                "decompressed": F.col("decode_error").isNull(),
+            }
+        )
+        .drop("__in")
+    )
+
+
+def decode_bodies(df, piece_bytes=INFLATED_BYTES):
     """Decompress complete gzip bodies; on any failure the raw bytes go on.
 
-    Reads body, complete, compressed and encoding, and segments where bodies may have
-    several; appends ``decompressed`` and ``decode_error``.
+    Reads body, complete, compressed and encoding; appends ``decompressed`` and
+    ``decode_error``. Without segments a body that inflates to more than ``piece_bytes`` is an
+    error. Bodies that come with stream_id, phase, segment and segments are inflated in order
+    and come out in ``piece`` rows, ordered by (segment, piece), however large they become.
     """
     if "segments" not in df.columns:
-        return _decode_whole(df)
-    needs, _ = _outcome(df)
-    split = needs & (F.col("segments") > 1)
-    whole = _decode_whole(df.filter(~split))
-    long = df.filter(split)
-    inflated = inflate_segments(long)
-    good = inflated.groupBy(*_KEY).agg(F.max_by("ok", "segment").alias("ok"))
+        return _decode_whole(df, piece_bytes)
+    needs, early = _outcome()
+    zipped, others = df.filter(needs), df.filter(~F.coalesce(needs, F.lit(False)))
+    untouched = others.withColumns(
+        {"piece": F.lit(0).cast("long"), "decode_error": early, "decompressed": early.isNull()}
+    )
+    inflated = inflate_segments(zipped, piece_bytes)
+    good = inflated.groupBy(*_KEY).agg(F.max_by("ok", F.struct("segment", "piece")).alias("ok"))
+    # one row a segment stays where the whole was bad: its raw bytes
     opened = (
-        long.join(inflated.select(*_KEY, "segment", F.col("body").alias("__out")), [*_KEY, "segment"])
+        inflated.drop("ok")
+        .withColumnRenamed("body", "__out")
         .join(good, _KEY)
+        .filter("ok or piece = 0")
+        .join(zipped.withColumn("segment", F.col("segment").cast("bigint")), [*_KEY, "segment"])
         .withColumns(
             {
                 "body": F.when(F.col("ok"), F.col("__out")).otherwise(F.col("body")),
@@ -263,9 +324,9 @@ def decode_bodies(df):
                 "decompressed": F.col("ok"),
             }
         )
-        .drop("__out", "ok")
+        .select(*untouched.columns)
     )
-    return whole.unionByName(opened)
+    return untouched.unionByName(opened)
 
 
 def decode_report(decoded):

@@ -36,8 +36,10 @@ def checked_kinds(df, kinds):
 def route_outputs(df, routes):
     """Give the rows of each sink kind to its writer, ``routes[kind](rows)``.
 
-    Rows without a sink are dropped; an unknown kind raises before anything is written. A
-    streaming table is written by :func:`stream_outputs`.
+    Rows without a sink are dropped; an unknown kind raises before anything is written. The
+    rows are read once for the check and once per kind, so give a table that is kept, such as
+    a micro-batch in :func:`stream_outputs`; a batch is written in one pass by
+    :func:`save_outputs`.
     """
     unknown = (
         df.filter(F.col("sink_kind").isNotNull() & ~F.col("sink_kind").isin(list(routes)))
@@ -173,15 +175,17 @@ def fan_out(frames, clients, bucket="1 hour"):
     """Every frame with every client connected to its stream at that time.
 
     A client is connected from ``connect_ts`` up to but not including ``disconnect_ts`` (null
-    while it still is). Connections are cut at bucket borders, so frames meet only clients of
-    their own stream and bucket, and a busy bucket is spread by frame time.
+    while it still is). Connections that ended are cut at bucket borders, so frames meet only
+    clients of their own stream and bucket. Open ones are not cut, they would reach into every
+    bucket to come: they meet the frames of their stream, nearly all of which they get. A busy
+    stream or bucket is spread by frame time.
     """
     until = frames.groupBy("stream_id").agg(F.max("ts").alias("__until"))
     first = tick_of(F.col("connect_ts"), bucket)
-    ends = F.least(F.coalesce("disconnect_ts", "__until"), F.col("__until"))
-    last = tick_of(ends, bucket)
+    last = tick_of(F.least("disconnect_ts", "__until"), bucket)
+    open_ = F.col("disconnect_ts").isNull()
     present = (
-        salted_join(clients, until, ["stream_id"], ["client_id"])
+        salted_join(clients.filter(~open_), until, ["stream_id"], ["client_id"])
         .filter(last >= first)
         .select(
             "stream_id",
@@ -192,11 +196,14 @@ def fan_out(frames, clients, bucket="1 hour"):
         )
     )
     seen = frames.withColumn("__bucket", tick_of(F.col("ts"), bucket))
-    connected = (F.col("ts") >= F.col("connect_ts")) & (
-        F.col("disconnect_ts").isNull() | (F.col("ts") < F.col("disconnect_ts"))
-    )
-    return (
-        salted_join(seen, present, ["stream_id", "__bucket"], ["ts"], salts=8)
+    connected = (F.col("ts") >= F.col("connect_ts")) & (F.col("ts") < F.col("disconnect_ts"))
+    ended = (
+        salted_join(seen, present, ["stream_id", "__bucket"], ["ts"])
         .filter(connected)
         .drop("__bucket")
     )
+    staying = clients.filter(open_).select("stream_id", "client_id", "connect_ts", "disconnect_ts")
+    still = salted_join(frames, staying, ["stream_id"], ["ts"]).filter(
+        F.col("ts") >= F.col("connect_ts")
+    )
+    return ended.unionByName(still)

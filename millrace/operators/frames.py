@@ -5,7 +5,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F, types as T
 
-from ..functions.text import acknowledgement, is_jpeg, standard_base64, swap_sample_bytes
+from ..functions.text import acknowledgement, is_jpeg, standard_base64
 from .scans import running, running_count, salted_join
 
 #: Bytes of a frame shown as its thumbnail (fixed value).
@@ -92,9 +92,22 @@ def ack_text(df, data="data", out="ack"):
     return df.withColumn(out, acknowledgement(F.col(data)))
 
 
+@F.arrow_udf(T.BinaryType())
+def _swapped(pcm: pa.Array) -> pa.Array:
+    # every buffer is filled up to whole samples; of a swapped last byte only the 00 is kept
+    rows = pcm.to_pylist()
+    filled = b"".join((b if len(b) % 2 == 0 else b + b"\0") for b in rows if b is not None)
+    swapped = np.frombuffer(filled, dtype=">u2").astype("<u2").tobytes()
+    out, at = [], 0
+    for b in rows:
+        out.append(None if b is None else swapped[at : at + len(b)])
+        at += 0 if b is None else len(b) + len(b) % 2
+    return pa.array(out, pa.binary())
+
+
 def swap_pcm(df, pcm="pcm"):
-    """16-bit samples from big to little endian."""
-    return df.withColumn(pcm, swap_sample_bytes(F.col(pcm)))
+    """16-bit samples from big to little endian; an odd last byte becomes 00."""
+    return df.withColumn(pcm, _swapped(F.col(pcm)))
 
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))

@@ -15,6 +15,7 @@ from typing import Any, Iterator, Tuple
 import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
+from .bodies import PIECE_ERROR
 from .http import apply_response, handles_phase, resolve_status
 from .metrics import request_attributes, response_attributes
 
@@ -220,9 +221,9 @@ def apply_batched(df, fn, init=None):
 
 
 def flatten_batched(df, responses="responses"):
-    """One row per response of a batched answer, in order; an empty answer keeps its row."""
+    """One row per response of a batched answer, in order; an empty answer gives none."""
     others = [c for c in df.columns if c != responses]
-    flat = df.select(*others, F.posexplode_outer(responses).alias("response_pos", "__r"))
+    flat = df.select(*others, F.posexplode(responses).alias("response_pos", "__r"))
     return flat.select(
         *others,
         "response_pos",
@@ -253,8 +254,12 @@ def apply_operator(df, fn, mode, init=None):
     """Call a handler on the phases its mode handles and apply its answers to the flow.
 
     Reads the event columns, ``phase`` and ``has_body``; other phases continue untouched and
-    are not sent to the handler.
+    are not sent to the handler. A body the table says is cut into several ``segments`` is an
+    error: a handler never sees a piece unnoticed.
     """
+    if "segments" in df.columns:
+        whole = F.when(F.col("segments") > 1, F.raise_error(F.lit(PIECE_ERROR)).cast("binary")).otherwise(F.col("body"))
+        df = df.withColumn("body", whole)
     answered = _spread(_answered(df, fn, init, handles_phase(mode)))
     resolved = resolve_status(answered, "status", "response_headers")
     return apply_response(resolved, mode)
@@ -277,14 +282,15 @@ def observe(df, fn, content=False, init=None):
     )
 
 
-def run_job(fn, inputs, params=None, run_id="job", stored_status=None, save=None):
+def run_job(fn, inputs, save, params=None, run_id="job", stored_status=None):
     """Run a batch job: named input tables and parameters to named output tables.
 
     ``fn`` gets what it names of the inputs and parameters and returns a dict of DataFrames
-    (or one DataFrame, named ``output``). ``save(name, df)`` writes an output. Returns
-    (outputs, status row); the status already stored wins over the new one. An exception
-    fails the run: it is raised with the status row as its ``status`` attribute, end time
-    included.
+    (or one DataFrame, named ``output``). ``save(name, df)`` writes an output and returns it
+    read back; writing is part of the run, so COMPLETED means that everything was computed.
+    Returns (outputs, status); the status already stored wins over the new one. An exception,
+    in ``fn`` or while an output is computed, fails the run: it is raised with the status as
+    its ``status`` attribute, end time included.
     """
     now = lambda: datetime.now(timezone.utc)
     status = {"run_id": run_id, "state": "RUNNING", "started": now()}
@@ -294,10 +300,8 @@ def run_job(fn, inputs, params=None, run_id="job", stored_status=None, save=None
         names = inspect.signature(fn).parameters
         takes_any = any(p.kind is p.VAR_KEYWORD for p in names.values())
         value = fn(**{k: v for k, v in available.items() if takes_any or k in names})
-        outputs = value if isinstance(value, dict) else {"output": value}
-        for name, df in outputs.items():
-            if save is not None:
-                save(name, df)
+        made = value if isinstance(value, dict) else {"output": value}
+        outputs = {name: save(name, df) for name, df in made.items()}
         status.update(state="COMPLETED", outputs=sorted(outputs))
     except Exception as exc:
         status.update(state="ERROR", error=str(exc))

@@ -313,10 +313,16 @@ def annotate_headers(phases, name=None, durations=None):
 
 
 def current_headers(phases):
-    """Header set in force at each phase: the request's until the response's replace them."""
+    """Header set in force at each phase: the request's until the response's replace them.
+
+    Pseudo headers (names that begin with a colon) are not part of it.
+    """
     own = F.when(
         F.col("phase").isin(REQUEST_HEADERS, RESPONSE_HEADERS),
-        F.struct(F.col("headers"), F.col("raw_headers")),
+        F.struct(
+            H.without(F.col("headers"), prefix=":").alias("headers"),
+            H.without(F.col("raw_headers"), prefix=":").alias("raw_headers"),
+        ),
     )
     found = running(phases, ["stream_id"], "seq", {"__force": running_last(own)})
     return found.withColumns(

@@ -5,6 +5,18 @@ from pyspark.sql import functions as F
 from .scans import salted_join
 
 
+def declared_metadata(models):
+    """A model's answer to a metadata request: its versions, and its inputs and outputs by name."""
+    tensor = F.struct(F.col("tensor").alias("name"), "datatype", "shape")
+    return models.groupBy("model_name").agg(
+        F.sort_array(F.collect_set("model_version")).alias("versions"),
+        *[
+            F.sort_array(F.collect_set(F.when(F.col("side") == side, tensor))).alias(side)
+            for side in ("inputs", "outputs")
+        ],
+    )
+
+
 def correlate(requests, responses, key="stream_id"):
     """One row per request with its response; unanswered requests are kept.
 
@@ -46,8 +58,12 @@ def correlate_streams(requests, responses, within="1 hour", delay="10 minutes",
     )
 
 
-def model_readiness(requests, models, salt_by=("id",)):
-    """Append ``ready``: the model exists, and in the asked version unless none was asked."""
+def model_readiness(requests, models, key):
+    """Append ``ready``: the model exists, and in the asked version unless none was asked.
+
+    ``key`` names a row id of the request that is never empty (its own ``id`` may be): a model
+    that everybody asks for is spread by it.
+    """
     # a model answers to its version and to the empty version, which keeps this an equi join
     known = (
         models.select(
@@ -59,15 +75,16 @@ def model_readiness(requests, models, salt_by=("id",)):
     )
     asked = requests.withColumn("model_version", F.coalesce("model_version", F.lit("")))
     return salted_join(
-        asked, known, ["model_name", "model_version"], salt_by, "left"
+        asked, known, ["model_name", "model_version"], [key], "left"
     ).withColumn("ready", F.coalesce("ready", F.lit(False)))
 
 
-def model_metadata(tensors, models, side="inputs"):
+def model_metadata(tensors, models, key, side="inputs"):
     """Request tensors beside the declared ones.
 
-    ``tensors`` has (id, model_name, name, datatype, shape), ``models`` (model_name, tensor,
-    datatype, shape, side). ``verdict`` is ok, datatype, shape, missing or undeclared.
+    ``tensors`` has (key, id, model_name, name, datatype, shape), ``models`` (model_name, tensor,
+    datatype, shape, side). ``key`` names a row id of the request; ``id``, which requests may
+    leave empty, is carried along. ``verdict`` is ok, datatype, shape, missing or undeclared.
     A declared dimension of -1 matches any size.
     """
     declared = models.filter(F.col("side") == side).select(
@@ -76,13 +93,13 @@ def model_metadata(tensors, models, side="inputs"):
         F.col("datatype").alias("declared_datatype"),
         F.col("shape").alias("declared_shape"),
     )
-    ids = tensors.select("id", "model_name").distinct()
-    expected = salted_join(ids, declared, ["model_name"], ["id"])
-    found = tensors.select("id", "model_name", "name", "datatype", "shape").withColumn(
+    asked = tensors.select(key, "id", "model_name").distinct()
+    expected = salted_join(asked, declared, ["model_name"], [key])
+    found = tensors.select(key, "id", "model_name", "name", "datatype", "shape").withColumn(
         "__found", F.lit(True)
     )
     both = found.join(
-        expected.withColumn("__declared", F.lit(True)), ["id", "model_name", "name"], "full"
+        expected.withColumn("__declared", F.lit(True)), [key, "id", "model_name", "name"], "full"
     )
     shape_ok = (F.size("shape") == F.size("declared_shape")) & F.forall(
         F.arrays_zip("shape", "declared_shape"),

@@ -50,12 +50,18 @@ def running(
     sequence slices then hold at most ``slice_rows`` rows of one stream each. ``slices``
     replaces them by named columns that sort the same way as ``order`` does.
 
+    A row without ``order`` has no place in a stream and is an error.
+
     ``with_summaries`` returns the slice summaries too: (keys, slice columns, and for every
     value ``__own_<name>`` of the slice and ``__pre_<name>`` of all slices before it).
     """
     if slices is None:
         slices = {"__slice": divided(F.col(order), slice_rows)}
     part = [*keys, "__nulls", *slices]
+    known = F.when(
+        F.col(order).isNull(), F.raise_error(F.lit(f"{order} is null")).cast(df.schema[order].dataType)
+    ).otherwise(F.col(order))
+    df = df.withColumn(order, known)
     cut = _solid(df, keys).select(
         *df.columns,
         "__nulls",
@@ -149,13 +155,15 @@ def _summaries(cut, keys, names, order, values):
     )
 
 
-def salted_join(facts, lookup, keys, salt_by, how="inner", salts=16):
+def salted_join(facts, lookup, keys, salt_by, how="inner", salts=None):
     """Equi join of a large table with a smaller one on keys that may be hot.
 
     The lookup is copied ``salts`` times and the facts of one key are spread over the copies
-    by ``salt_by``, so no task receives a hot key whole. No broadcast is forced: adaptive
-    execution turns this into one by itself when the lookup's measured size allows it.
+    by ``salt_by``, so no task receives a hot key whole. There are as many copies as shuffle
+    partitions unless ``salts`` says otherwise. No broadcast is forced: adaptive execution
+    turns this into one by itself when the lookup's measured size allows it.
     """
+    salts = salts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     return (

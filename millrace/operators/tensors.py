@@ -189,21 +189,31 @@ def select_contents(df, out="tensor"):
 def coerce_outputs(df, data="data", out="tensor"):
     """JSON output data to its data type's family.
 
-    Numbers are cut toward zero, elements that are no numbers become 0. Data that is not a
-    list gives an empty tensor, and so does every BOOL list: JSON never yields the native
-    list of booleans that is asked for.
+    Numbers are cut toward zero, elements that are no numbers become 0. A number its list
+    cannot hold is null: the lists are of 32 bits for the types up to 32 bits, signed or
+    unsigned, and of 64 bits for INT64 and UINT64. Data that is not a list gives an empty
+    tensor, and so does every BOOL list: JSON never yields the native list of booleans that is
+    asked for.
     """
     kind, items = F.col("datatype"), elements(F.col(data))
-    ints = F.transform(
+    zero = F.lit(0).cast("bigint")
+    low = F.when(kind.isin(*INT_TYPES), -(1 << 31)).when(kind.isin(*UINT_TYPES), 0).otherwise(-(1 << 63))
+    high = F.when(kind.isin(*INT_TYPES), (1 << 31) - 1).when(kind.isin(*UINT_TYPES), (1 << 32) - 1).otherwise((1 << 63) - 1)
+    longs = F.transform(items, lambda v: F.when(is_number(v), as_long(v)).otherwise(zero))
+    ints = F.transform(longs, lambda v: F.when(v.between(low.cast("bigint"), high.cast("bigint")), v))
+    exact = F.transform(
         items,
-        lambda v: F.when(is_number(v), as_long(v)).otherwise(F.lit(0).cast("bigint")),
+        lambda v: F.when(is_number(v), F.try_variant_get(v, "$", "decimal(38,10)")).otherwise(
+            F.lit(0).cast("decimal(38,10)")
+        ),
     )
+    # the floor is the cut toward zero for all that may be kept
     uints = F.transform(
-        items,
+        exact,
         lambda v: F.when(
-            is_number(v),
-            F.floor(F.try_variant_get(v, "$", "decimal(38,10)")).try_cast("decimal(20,0)"),
-        ).otherwise(F.lit(0).cast("decimal(20,0)")),
+            (v > -1) & (v < F.lit(str(1 << 64)).cast("decimal(38,10)")),
+            F.floor(F.greatest(v, F.lit(0).cast("decimal(38,10)"))).cast("decimal(20,0)"),
+        ),
     )
     doubles = F.transform(
         items, lambda v: F.when(is_number(v), as_double(v)).otherwise(F.lit(0.0))
@@ -237,10 +247,13 @@ def encode_bytes_tensors(df, bytes_="bytes", out="data"):
 def decode_bytes_tensors(df, data="data", out="decoded"):
     """Base64 of a BYTES output that is one text; a list stays as it is.
 
-    Bad base64 fails the row: ``<out>_error`` is set and the value is null.
+    Bad base64 fails the row: ``<out>_error`` is set and the value is null. Bad is whatever the
+    standard alphabet with padding does not allow; only line breaks are passed over.
     """
     scalar = (F.col("datatype") == "BYTES") & (F.schema_of_variant(F.col(data)) == "STRING")
-    value = F.try_to_binary(as_text(F.col(data)), F.lit("base64"))
+    text = F.translate(as_text(F.col(data)), "\r\n", "")
+    standard = (F.length(text) % 4 == 0) & text.rlike("\\A[A-Za-z0-9+/]*={0,2}\\z")
+    value = F.when(standard, F.try_to_binary(text, F.lit("base64")))
     return df.withColumns(
         {
             out: F.when(scalar, value),

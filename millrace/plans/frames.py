@@ -157,25 +157,24 @@ def swap_query(spark, folder):
 @query(
     "p24_pcm_to_float",
     """
-    WITH w AS (SELECT doc_id, octet_length(encode(text)) // 2 AS n,
-                      unnest(regexp_extract_all(hex(encode(text)), '....')) AS h FROM documents),
-    s AS (SELECT doc_id, n, CAST('0x' || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS u FROM w)
-    SELECT doc_id, CAST(n AS INTEGER) AS samples, CAST(sum(CASE WHEN u > 32767 THEN u - 65536 ELSE u END) AS BIGINT) AS total,
-           min(CASE WHEN u > 32767 THEN u - 65536 ELSE u END) / 32768 AS low
-    FROM s GROUP BY doc_id, n
+    WITH d AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents),
+    w AS (SELECT doc_id, unnest(regexp_extract_all(h, '....')) AS h FROM d WHERE n % 2 = 0),
+    s AS (SELECT doc_id, CAST('0x' || substr(h, 3, 2) || substr(h, 1, 2) AS BIGINT) AS u FROM w),
+    t AS (SELECT doc_id, CAST(sum(CASE WHEN u > 32767 THEN u - 65536 ELSE u END) AS BIGINT) AS total,
+                 min(CASE WHEN u > 32767 THEN u - 65536 ELSE u END) / 32768 AS low FROM s GROUP BY 1)
+    SELECT doc_id, CASE WHEN n % 2 = 0 THEN CAST(n // 2 AS INTEGER) END AS samples,
+           CASE WHEN n % 2 = 0 THEN coalesce(total, 0) END AS total, low
+    FROM d LEFT JOIN t USING (doc_id)
     """,
 )
 def samples_query(spark, folder):
-    text = F.col("text").cast("binary")
-    even = F.octet_length(text) - F.octet_length(text) % 2
-    df = table(spark, folder, "documents").select(
-        "doc_id", F.substring(text, F.lit(1), even).alias("pcm")
-    )
+    """Whole texts; an odd number of bytes gives no samples."""
+    df = table(spark, folder, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"))
     heard = frames.pcm_to_float(df)
     steps = F.transform("samples", lambda v: (v.cast("double") * 32768).cast("bigint"))
     return heard.select(
         "doc_id",
-        F.size("samples").alias("samples"),
+        F.when(F.col("samples").isNotNull(), F.size("samples")).alias("samples"),
         F.aggregate(steps, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
         F.array_min("samples").cast("double").alias("low"),
     )

@@ -1,8 +1,10 @@
 """User functions over events."""
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import handlers
+from ..session import scratch_path
 from .inputs import digest, map_text, table
 from .registry import query
 
@@ -93,29 +95,55 @@ def serve_query(spark, folder):
     return served.select("conv_id", "turn", digest("response_body").alias("body"))
 
 
+def orders_by_segment(orders, customers, state):
+    """Orders of one state and what they cost, by market segment."""
+    placed = orders.filter(F.col("o_orderstatus") == state)
+    return (
+        placed.join(customers, placed["o_custkey"] == customers["c_custkey"])
+        .groupBy(F.col("c_mktsegment").alias("segment"))
+        .agg(
+            F.count("*").alias("orders"),
+            F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
+        )
+    )
+
+
+def _broken(orders):
+    """Plans well and fails when it is computed."""
+    return orders.select(F.raise_error(F.lit("no such order")).cast("string").alias("segment"))
+
+
 @query(
     "u5_run_job",
     """
-    SELECT c_mktsegment AS segment, count(*) AS orders,
+    SELECT 'by-segment' AS run_id, 'COMPLETED' AS state, 'output' AS outputs, c_mktsegment AS segment, count(*) AS orders,
            CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
-    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY c_mktsegment
+    UNION ALL SELECT 'broken', 'ERROR', NULL, NULL, NULL, NULL
     """,
 )
 def job_query(spark, folder):
-    def by_segment(orders, customers, state):
-        placed = orders.filter(F.col("o_orderstatus") == state)
-        return (
-            placed.join(customers, placed["o_custkey"] == customers["c_custkey"])
-            .groupBy(F.col("c_mktsegment").alias("segment"))
-            .agg(
-                F.count("*").alias("orders"),
-                F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
-            )
-        )
+    """A run with its status beside every row it wrote, and one that fails while it is computed."""
+    path = scratch_path(spark, "job")
+
+    def save(name, df):
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     tables = {"orders": table(spark, folder, "orders"), "customers": table(spark, folder, "customer")}
-    outputs, _ = handlers.run_job(by_segment, tables, {"state": "F", "unused": 1})
-    return outputs["output"]
+    outputs, done = handlers.run_job(
+        orders_by_segment, tables, save, {"state": "F", "unused": 1}, run_id="by-segment"
+    )
+    try:
+        handlers.run_job(_broken, tables, lambda name, df: save("broken", df), run_id="broken")
+        raise AssertionError("the broken run must fail")
+    except PySparkException as failed:
+        broken = failed.status
+    runs = handlers.status_row(spark, done).unionByName(handlers.status_row(spark, broken)).select(
+        "run_id", "state", F.array_join("outputs", ",").alias("outputs")
+    )
+    written = outputs["output"].withColumn("run_id", F.lit("by-segment"))
+    return runs.join(written, "run_id", "left").select("run_id", "state", "outputs", "segment", "orders", "cents")
 
 
 @query(

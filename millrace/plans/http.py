@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from ..operators import bodies, handlers, http, joins, metrics
-from ..streaming.exchanges import exchange_state
-from .inputs import CHUNK, DOC_CHUNKS, PHASES, digest, doc_chunks, map_text, phases, table
-from .messages import run_to_table
+from ..streaming.at_rest import run_table_as_stream
+from ..streaming.exchanges import exchange_state, with_bodies
+from .inputs import CHUNK, DOC_CHUNKS, PHASES, digest, doc_chunks, map_text, phases, plain_headers, table
 from .registry import query
 
 
@@ -45,8 +45,8 @@ def _pairs(spark, folder):
             pair(":path", F.col("url"), none),
             pair("x-page", page, none),
             pair("x-page", page + 1, none),
-            pair("x-raw", F.lit(""), F.substring("html", 1, 5)),
-            pair("x-raw", F.lit(None), F.substring("html", 1, 4)),
+            pair("x-raw", F.lit(""), F.concat("html", F.lit("!"))),
+            pair("x-raw", F.lit(None), F.col("html")),
             pair("x-bytes", F.lit(""), F.concat(F.lit(b"\xff"), F.col("url").cast("binary"))),
             pair("x-both", F.lit("text"), none),
             pair("x-both", F.lit(""), F.lit(b"raw")),
@@ -59,7 +59,7 @@ def _pairs(spark, folder):
     """
     SELECT page_id, ':path=' || url || '&x-both=text&x-page=' || (page_id + 1) AS headers,
            'x-both=' || hex(encode('raw')) || '&x-bytes=FF' || hex(encode(url)) || '&x-raw='
-             || hex(encode(substr(html, 1, 4))) AS raw_headers
+             || hex(encode(html)) AS raw_headers
     FROM pages
     """,
 )
@@ -76,7 +76,7 @@ def split_headers_query(spark, folder):
     "p4_stringify_headers",
     """
     SELECT page_id, ':path=' || url || '&x-both=raw&x-bytes=' || to_base64(unhex('FF' || hex(encode(url))))
-           || '&x-page=' || (page_id + 1) || '&x-raw=' || substr(html, 1, 4) AS all_headers
+           || '&x-page=' || (page_id + 1) || '&x-raw=' || html AS all_headers
     FROM pages
     """,
 )
@@ -103,7 +103,7 @@ def header_query(spark, folder):
 @query(
     "p6_drop_headers",
     """
-    SELECT page_id, 'x-page=' || (page_id + 1) AS headers, 'x-raw=' || substr(html, 1, 4) AS raw_headers FROM pages
+    SELECT page_id, 'x-page=' || (page_id + 1) AS headers, 'x-raw=' || html AS raw_headers FROM pages
     """,
 )
 def drop_headers_query(spark, folder):
@@ -194,65 +194,53 @@ def has_body_query(spark, folder):
 
 
 # Status texts and the number each is read as.
-_STATUS = {
-    "200": 200,
-    "0xC8": 200,
-    "0b11001000": 200,
-    "0o310": 200,
-    "0310": 200,
-    "4_04": 404,
-    "+503": 503,
-    "-1": 65535,
-    "70000": 0,
-    "08": 0,
-    "_1": 0,
-    "1__0": 0,
-    "2e2": 0,
-    "": 0,
-}
-
-
 @query(
     "p10_response_status",
-    "SELECT event_id, CASE event_id % 15 "
-    + " ".join(f"WHEN {i} THEN {number}" for i, number in enumerate(_STATUS.values()))
-    + " ELSE 0 END AS status FROM events",
+    """
+    SELECT l_orderkey, l_linenumber,
+           CASE WHEN l_returnflag IN ('A', 'R') THEN l_partkey ELSE 0 END::INTEGER AS status
+    FROM lineitem
+    """,
 )
 def response_status_query(spark, folder):
-    text = F.get(F.array(*[F.lit(t) for t in _STATUS]), (F.col("event_id") % 15).cast("int"))
-    as_text = F.col("event_id") % 2 == 0
-    df = table(spark, folder, "events").select(
-        "event_id",
-        F.when(text.isNotNull() & as_text, F.create_map(F.lit(":status"), text)).alias("headers"),
-        F.when(text.isNotNull() & ~as_text, F.create_map(F.lit(":status"), text.cast("binary"))).alias("raw_headers"),
+    """Numbers in decimal and in hex, as text and as bytes, and texts that are no number."""
+    flag, number = F.col("l_returnflag"), F.col("l_partkey")
+    text = (
+        F.when(flag == "A", number.cast("string"))
+        .when(flag == "R", F.concat(F.lit("0x"), F.lower(F.hex(number))))
+        .otherwise(F.col("l_linestatus"))
     )
-    return http.response_status(df).select("event_id", "status")
+    df = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_quantity") < 25, F.create_map(F.lit(":status"), text)).alias("headers"),
+        F.when(F.col("l_quantity") >= 25, F.create_map(F.lit(":status"), text.cast("binary"))).alias("raw_headers"),
+    )
+    return http.response_status(df).select("l_orderkey", "l_linenumber", "status")
 
 
 @query(
     "p11_body_type",
     """
-    SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'text/plain' ELSE '' END AS content_type,
-           CASE event_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'gzip' WHEN 2 THEN 'deflate' WHEN 3 THEN 'none'
-                ELSE 'br' END AS encoding,
-           event_id % 5 IN (3, 4) AS chunked, event_id % 5 IN (1, 2, 4) AS compressed
-    FROM events
+    SELECT o_orderkey, o_orderpriority AS content_type,
+           CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority) WHEN o_orderstatus = 'O' AND o_totalprice >= 200000 THEN o_orderpriority
+                ELSE 'none' END AS encoding,
+           o_totalprice < 200000 AS chunked,
+           o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_totalprice >= 200000) AS compressed
+    FROM orders
     """,
 )
 def body_type_query(spark, folder):
-    pick, id_ = F.col("event_id") % 5, F.col("event_id")
-    none = "cast(map() as map<string,string>)"
-    part = lambda when, name, value: F.when(when, F.create_map(F.lit(name), F.lit(value))).otherwise(F.expr(none))
-    df = table(spark, folder, "events").select(
-        "event_id",
+    """The priority of an order as its type, and as its content or transfer encoding."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    none = F.expr("cast(map() as map<string,string>)")
+    transfer = F.when(F.col("o_totalprice") < 200000, F.lit("chunked")).when(status == "O", priority)
+    df = table(spark, folder, "orders").select(
+        "o_orderkey",
         F.map_concat(
-            part(id_ % 2 == 0, "content-type", "text/plain"),
-            F.when(pick == 1, F.create_map(F.lit("content-encoding"), F.lit("gzip")))
-            .when(pick == 4, F.create_map(F.lit("content-encoding"), F.lit("br")))
-            .otherwise(F.expr(none)),
-            F.when(pick == 2, F.create_map(F.lit("transfer-encoding"), F.lit("deflate")))
-            .when(pick.isin(3, 4), F.create_map(F.lit("transfer-encoding"), F.lit("chunked")))
-            .otherwise(F.expr(none)),
+            F.create_map(F.lit("content-type"), priority),
+            F.when(status == "F", F.create_map(F.lit("content-encoding"), F.lower(priority))).otherwise(none),
+            F.when(transfer.isNotNull(), F.create_map(F.lit("transfer-encoding"), transfer)).otherwise(none),
         ).alias("headers"),
         F.lit(None).cast("map<string,binary>").alias("raw_headers"),
     )
@@ -405,43 +393,38 @@ def replace_body_query(spark, folder):
 
 
 # Paths of a model-serving endpoint; the last stands for everything else.
-_ROUTES = (
-    "/v2",
-    "/v2/health/live",
-    "/v2/health/ready",
-    "/v2/models/m",
-    "/v2/models/m/versions/1",
-    "/v2/models/m/ready",
-    "/v2/models/m/infer",
-    "/v2/models/other",
-    "/v2x",
-)
-
-
 @query(
     "p17_classify_route",
-    f"""
+    """
     WITH r AS (
-      SELECT event_id, list_extract({list(_ROUTES)}, CAST(event_id % {len(_ROUTES)} + 1 AS BIGINT)) AS path,
-             CASE WHEN event_type = 'view' THEN 'GET' ELSE 'POST' END AS method
-      FROM events)
-    SELECT event_id, CASE path WHEN '/v2' THEN 'server_metadata' WHEN '/v2/health/live' THEN 'server_live'
-             WHEN '/v2/health/ready' THEN 'server_ready' WHEN '/v2/models/m' THEN 'model_metadata'
-             WHEN '/v2/models/m/versions/1' THEN 'model_metadata' WHEN '/v2/models/m/ready' THEN 'model_ready'
-             WHEN '/v2/models/m/infer' THEN 'model_infer' ELSE 'not_found' END AS endpoint,
-           CASE WHEN path IN ('/v2/models/other', '/v2x') THEN 404
-                WHEN path = '/v2/models/m/infer' AND method <> 'POST' THEN 405 ELSE 200 END AS route_status
-    FROM r
+      SELECT p_partkey, p_type, CASE WHEN p_retailprice < 1000 THEN 'GET' ELSE 'POST' END AS method,
+             CASE WHEN p_size < 16 THEN 'infer' WHEN p_size < 32 THEN 'ready' WHEN p_size < 46 THEN 'model' ELSE 'server' END AS kind,
+             p_brand
+      FROM part),
+    e AS (
+      SELECT *, CASE WHEN kind = 'infer' THEN 'model_infer' WHEN kind = 'ready' THEN 'model_ready'
+                     WHEN kind = 'server' THEN CASE WHEN p_brand < 'Brand#3' THEN 'server_live' ELSE 'server_metadata' END
+                     WHEN p_type = 'ECONOMY' THEN 'model_metadata' ELSE 'not_found' END AS endpoint
+      FROM r)
+    SELECT p_partkey, endpoint, CASE WHEN endpoint = 'not_found' THEN 404
+             WHEN endpoint = 'model_infer' AND method <> 'POST' THEN 405 ELSE 200 END AS route_status
+    FROM e
     """,
 )
 def classify_route_query(spark, folder):
-    paths = F.array(*[F.lit(path) for path in _ROUTES])
-    df = table(spark, folder, "events").select(
-        "event_id",
-        F.get(paths, (F.col("event_id") % len(_ROUTES)).cast("int")).alias("path"),
-        F.when(F.col("event_type") == "view", "GET").otherwise("POST").alias("method"),
+    """Parts as models under their type; only ECONOMY is the model that serves."""
+    size, model = F.col("p_size"), F.concat(F.lit("/v2/models/"), F.col("p_type"))
+    df = table(spark, folder, "part").select(
+        "p_partkey",
+        F.when(size < 16, F.concat(model, F.lit("/infer")))
+        .when(size < 32, F.concat(model, F.lit("/ready")))
+        .when(size < 46, model)
+        .when(F.col("p_brand") < "Brand#3", F.lit("/v2/health/live"))
+        .otherwise(F.lit("/v2"))
+        .alias("path"),
+        F.when(F.col("p_retailprice") < 1000, "GET").otherwise("POST").alias("method"),
     )
-    return http.classify_route(df, "m", "1").select("event_id", "endpoint", "route_status")
+    return http.classify_route(df, "ECONOMY", "1").select("p_partkey", "endpoint", "route_status")
 
 
 @query(
@@ -546,10 +529,11 @@ def annotate_query(spark, folder):
     "n6_current_headers",
     f"""
     WITH {PHASES}
-    SELECT p.stream_id, p.seq, p.phase,
-           (SELECT arg_max(h.headers, h.seq) FROM phases h
-            WHERE h.stream_id = p.stream_id AND h.headers IS NOT NULL AND h.seq <= p.seq) AS headers
-    FROM phases p
+    SELECT stream_id, seq, phase, {plain_headers("headers")} AS headers
+    FROM (SELECT p.stream_id, p.seq, p.phase,
+                 (SELECT arg_max(h.headers, h.seq) FROM phases h
+                  WHERE h.stream_id = p.stream_id AND h.headers IS NOT NULL AND h.seq <= p.seq) AS headers
+          FROM phases p)
     """,
 )
 def current_headers_query(spark, folder):
@@ -592,14 +576,14 @@ def assemble_query(spark, folder):
     f"""
     WITH {DOC_CHUNKS}
     SELECT stream_id, phase, seq // 4 AS segment, CAST(min(seq) * {CHUNK} AS BIGINT) AS "offset",
-           md5(unhex(string_agg(chunk_hex, '' ORDER BY seq))) AS body
-    FROM doc_chunks GROUP BY ALL
+           md5(unhex(string_agg(chunk_hex, '' ORDER BY seq))) AS body, count(*) OVER (PARTITION BY stream_id) AS segments
+    FROM doc_chunks GROUP BY stream_id, phase, seq // 4
     """,
 )
 def assemble_segments_query(spark, folder):
     """Long bodies come in several rows; here a row is four chunks."""
-    return bodies.assemble_bodies(doc_chunks(spark, folder), segment_rows=4).select(
-        "stream_id", "phase", "segment", "offset", digest("body").alias("body")
+    return bodies.assemble_bodies(doc_chunks(spark, folder), segment_bytes=4 * CHUNK).select(
+        "stream_id", "phase", "segment", "offset", digest("body").alias("body"), "segments"
     )
 
 
@@ -627,36 +611,26 @@ def assemble_limited_query(spark, folder):
     "n4_running_bodies",
     f"""
     WITH {DOC_CHUNKS}
-    SELECT stream_id, phase, seq,
-           CAST(sum(octet_length(unhex(chunk_hex))) OVER (PARTITION BY stream_id, phase ORDER BY seq) AS BIGINT) AS buffered_end,
-           md5(unhex(chunk_hex)) AS unbuffered
-    FROM doc_chunks
+    SELECT stream_id, phase, seq, md5(unhex(chunk_hex)) AS unbuffered,
+           CAST(sum(octet_length(unhex(chunk_hex))) OVER upto AS BIGINT) AS buffered_end,
+           md5(unhex(string_agg(chunk_hex, '') OVER upto)) AS buffered
+    FROM doc_chunks WINDOW upto AS (PARTITION BY stream_id, phase ORDER BY seq)
     """,
 )
 def running_bodies_query(spark, folder):
-    """What a handler sees at each chunk: with buffering the body up to there, else the chunk.
-
-    The buffered view is an offset into the assembled body; writing every prefix out would
-    multiply the bytes by the number of chunks.
-    """
-    seen = bodies.running_bodies(doc_chunks(spark, folder))
-    return seen.select(
-        "stream_id", "phase", "seq", F.col("body_end").alias("buffered_end"), digest("chunk").alias("unbuffered")
+    """What a handler sees at each chunk: with buffering the body up to there, else the chunk."""
+    chunks = doc_chunks(spark, folder)
+    seen = bodies.running_bodies(chunks)
+    return bodies.body_so_far(seen, bodies.assemble_bodies(chunks)).select(
+        "stream_id",
+        "phase",
+        "seq",
+        digest("chunk").alias("unbuffered"),
+        F.col("body_end").alias("buffered_end"),
+        digest("body").alias("buffered"),
     )
 
 
-@query(
-    "n4_running_offsets",
-    f"""
-    SELECT stream_id, phase, seq, CAST(sum(octet_length(unhex(chunk_hex))) OVER
-             (PARTITION BY stream_id, phase ORDER BY seq) AS BIGINT) AS body_end
-    FROM (WITH {DOC_CHUNKS} SELECT * FROM doc_chunks)
-    """,
-)
-def running_offsets_query(spark, folder):
-    return bodies.running_bodies(doc_chunks(spark, folder)).select("stream_id", "phase", "seq", "body_end")
-
-
 @F.pandas_udf(T.BinaryType())
 def _pack(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: gzip.compress(text.encode(), mtime=0))
@@ -711,19 +685,64 @@ def decode_segments_query(spark, folder):
         F.substring(F.col("bytes"), (F.col("seq") * 64 + 1).cast("int"), F.lit(64)).alias("chunk"),
         ((F.col("seq") + 1) * 64 >= F.octet_length("bytes")).alias("end_of_stream"),
     )
-    segments = bodies.assemble_bodies(chunks, segment_rows=4).withColumns(
+    segments = bodies.assemble_bodies(chunks, segment_bytes=256).withColumns(
         {"encoding": F.lit("gzip"), "compressed": F.lit(True)}
     )
     return (
-        bodies.decode_bodies(segments)
+        bodies.decode_bodies(segments, piece_bytes=4096)
         .groupBy("stream_id")
         .agg(
-            F.md5(F.expr("listagg(body) within group (order by segment)")).alias("body"),
+            F.md5(F.expr("listagg(body) within group (order by struct(segment, piece))")).alias("body"),
             F.min("decompressed").alias("decompressed"),
         )
     )
 
 
+def _shout(context, event):
+    """Upper case for requests, a refusal for what is empty."""
+    return event.body.upper() if event.body else context.Response(status_code=403)
+
+
+@query(
+    "body_path",
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS stream_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 5 END AS phase,
+           doc_id % 3 = 0 AS decompressed,
+           CASE WHEN doc_id % 3 = 1 THEN 'unsupported encoding/compression strategy' END AS decode_error,
+           CASE WHEN octet_length(encode(text)) = 0 THEN 'immediate' ELSE 'replace' END AS decision,
+           md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS body,
+           octet_length(encode(text))::INTEGER AS content_length
+    FROM documents WHERE doc_id % 3 < 2
+    """,
+)
+def body_path_query(spark, folder):
+    """The whole way of a body: chunks, assembled, decompressed, handled, replaced."""
+    pick = F.col("doc_id") % 3
+    packed = table(spark, folder, "documents").filter(pick < 2).select(
+        F.col("doc_id").cast("string").alias("stream_id"),
+        F.when(F.col("doc_id") % 2 == 0, 2).otherwise(5).alias("phase"),
+        F.when(pick == 0, "gzip").otherwise("br").alias("encoding"),
+        F.when(pick == 0, _pack("text")).otherwise(F.col("text").cast("binary")).alias("bytes"),
+    )
+    count = F.greatest(F.ceil(F.octet_length("bytes") / F.lit(CHUNK)), F.lit(1)).cast("long")
+    chunks = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("at"), count.alias("n")).select(
+        "stream_id",
+        "phase",
+        # chunks follow the messages that came before them in the exchange
+        (F.col("at") + 250).alias("seq"),
+        F.substring(F.col("bytes"), (F.col("at") * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("chunk"),
+        (F.col("at") == F.col("n") - 1).alias("end_of_stream"),
+    )
+    whole = bodies.assemble_bodies(chunks).join(packed.select("stream_id", "encoding"), "stream_id")
+    opened = bodies.decode_bodies(whole.withColumn("compressed", F.lit(True)))
+    seen = opened.withColumns({"has_body": F.lit(True), "seq": F.col("segment"), "original": F.col("body")})
+    decided = handlers.apply_operator(seen, _shout, "wrapprocessor")
+    answered = http.replace_body(decided.withColumn("replacement", F.col("new_body")), body="original")
+    return answered.select(
+        "stream_id", "phase", "decompressed", "decode_error", "decision", digest("original").alias("body"), "content_length"
+    )
+
+
 @query(
     "b1_decode_report",
     """
@@ -772,23 +791,30 @@ def stored_values_query(spark, folder):
     f"""
     WITH {PHASES},
     closed AS (
-      SELECT stream_id, bool_or(phase = 5) AS ended, max(ts_us) AS last_us, count(*) AS messages,
+      SELECT stream_id, bool_or(phase = 5) AS ended, count(*) AS messages,
              CAST(sum(duration_ns) AS BIGINT) AS duration_ns, max(CASE WHEN phase = 1 THEN headers END) AS request_headers,
              max(CASE WHEN phase = 4 THEN headers END) AS response_headers,
              max(CASE WHEN phase = 2 THEN body END) AS request, max(CASE WHEN phase = 5 THEN body END) AS response,
              bool_or(phase IN (1, 2) AND end_of_stream) AS request_complete
       FROM phases GROUP BY 1)
-    SELECT stream_id, CASE WHEN ended THEN 'ended' ELSE 'timeout' END AS outcome, request_headers, response_headers,
+    SELECT stream_id, CASE WHEN ended THEN 'ended' ELSE 'timeout' END AS outcome,
+           {plain_headers("request_headers")} AS request_headers, {plain_headers("response_headers")} AS response_headers,
            md5(coalesce(request, '')) AS request_body, md5(coalesce(response, '')) AS response_body,
            request_complete, ended AS response_complete, messages, duration_ns
     FROM closed
-    WHERE ended OR last_us + 60000000 <= (SELECT max(ts_us) FROM phases) - 600000000
     """,
 )
 def exchange_state_query(spark, folder):
-    """Exchanges a stream closes: ended, or a minute without a message at the watermark."""
-    closed = exchange_state(phases(spark, folder, streaming=True), "1 minute")
-    return run_to_table(closed, spark, "exchanges").select(
+    """All exchanges from a stream: ended, or a minute without a message."""
+    seen = phases(spark, folder)
+    columns = ("stream_id", "seq", "phase", "headers", "end_of_stream", "ts", "duration_ns")
+    closed = run_table_as_stream(
+        seen.select(*columns),
+        lambda stream: exchange_state(stream, "1 minute", "1 second"),
+        "exchanges",
+        ("1 minute", "1 second"),
+    )
+    return with_bodies(closed, seen).select(
         "stream_id",
         "outcome",
         map_text("request_headers").alias("request_headers"),

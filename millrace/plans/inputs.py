@@ -16,10 +16,6 @@ def events(spark, folder):
     return table(spark, folder, "events").withColumn("ts", as_instant(F.col("ts")))
 
 
-# A micro-batch takes so many files: what a stateful operator orders per key and batch stays
-# bounded by them. Files are expected in time order, as a recorder writes them.
-TRIGGER = {"maxFilesPerTrigger": 8}
-
 MESSAGE_COLUMNS = {
     "stream_id": "cast(user_id as string)",
     "conn_id": "concat(cast(user_id as string), '-', event_type)",
@@ -28,10 +24,23 @@ MESSAGE_COLUMNS = {
 }
 
 
-def messages(spark, folder, streaming=False):
+def messages(spark, folder):
     """Every event as a message of its user's stream."""
-    path = f"{folder}/events*.parquet" if streaming else f"{folder}/events.parquet"
-    return load_messages(spark, path, streaming, MESSAGE_COLUMNS, **(TRIGGER if streaming else {}))
+    return load_messages(spark, f"{folder}/events.parquet", columns=MESSAGE_COLUMNS)
+
+
+def weighted(values):
+    """One number that every value of a list and its place count in."""
+    parts = F.transform(values, lambda v, i: F.floor(v.cast("double") * 1000).cast("bigint") * (i + 1))
+    return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def weighted_sql(values):
+    """The same in SQL."""
+    return (
+        f"CAST(coalesce(list_sum(list_transform({values}, lambda v, i:"
+        f" CAST(floor(CAST(v AS DOUBLE) * 1000) AS BIGINT) * i)), 0) AS BIGINT)"
+    )
 
 
 def digest(body):
@@ -91,19 +100,17 @@ doc_chunks AS (
 """
 
 
-def phases(spark, folder, streaming=False):
+def phases(spark, folder):
     """Conversations as exchanges: a user turn is a request, the next assistant turn its response.
 
     Every turn is a header message and a body message; a system turn is a request without
     a body. Nothing answers a last user turn.
     """
-    path = f"{folder}/conversations*.parquet" if streaming else f"{folder}/conversations.parquet"
     reply = "role = 'assistant'"
     turn = load_exchanges(
         spark,
-        path,
-        streaming,
-        {
+        f"{folder}/conversations.parquet",
+        columns={
             "stream_id": f"concat(conv_id, '-', if({reply}, turn - 1, turn))",
             "seq": f"if({reply}, 2, 0)",
             "phase": f"if({reply}, 4, 1)",
@@ -118,7 +125,6 @@ def phases(spark, folder, streaming=False):
             "ts": "timestamp_micros((1704067200 + conv_id * 60 + turn) * 1000000)",
             "duration_ns": "octet_length(text) * 1000",
         },
-        **(TRIGGER if streaming else {}),
     )
     header = F.struct(
         "seq", "phase", "headers", F.lit(None).cast("binary").alias("chunk"), "end_of_stream", "duration_ns"
@@ -162,6 +168,11 @@ phases AS (
 """
 
 
+def plain_headers(column):
+    """SQL for a header text without its pseudo headers (names that begin with a colon)."""
+    return f"array_to_string(list_filter(string_split({column}, '&'), lambda h: h NOT LIKE ':%'), '&')"
+
+
 def page_frames(spark, folder):
     """Pages as frames of their host's stream."""
     return table(spark, folder, "pages").select(

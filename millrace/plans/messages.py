@@ -4,29 +4,15 @@ from pyspark.sql import functions as F
 
 from ..operators import delivery, events as ev, frames
 from ..operators.http import parse_query
-from ..session import scratch_path
 from ..sources.captures import job_events, load_messages
+from ..session import scratch_path
 from ..streaming import rolling, windows
+from ..streaming.at_rest import run_table_as_stream
 from .inputs import digest, events, invocations, map_text, messages, page_frames, requests, table
-from .inputs import INVOCATIONS, PAGE_FRAMES, TRIGGER
+from .inputs import INVOCATIONS, PAGE_FRAMES
 from .registry import query
 
 
-def run_to_table(stream, spark, label, mode="append"):
-    """Run a stream over everything there is and read what it wrote."""
-    out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.schema(stream.schema).parquet(out)
-
-
 @query(
     "flagship_hourly_acknowledgements",
     """
@@ -364,17 +350,16 @@ def typed_query_query(spark, folder):
     return df.drop("fields")
 
 
-@query(
-    "w1_conflate_latest",
-    """
-    SELECT CAST(user_id AS VARCHAR) AS stream_id,
-           epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) + 3600000000 AS tick_us,
-           max(event_id) AS seq, arg_max(event_type, event_id) AS data, count(*) AS messages
-    FROM events GROUP BY 1, 2
-    """,
-)
-def conflate_query(spark, folder):
-    return windows.conflate_latest(messages(spark, folder), "1 hour").select(
+_LATEST = """
+SELECT CAST(user_id AS VARCHAR) AS stream_id,
+       epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) + 3600000000 AS tick_us,
+       max(event_id) AS seq, arg_max(event_type, event_id) AS data, count(*) AS messages
+FROM events GROUP BY 1, 2
+"""
+
+
+def _latest_columns(df):
+    return df.select(
         "stream_id",
         F.unix_micros("tick").alias("tick_us"),
         "seq",
@@ -383,26 +368,21 @@ def conflate_query(spark, folder):
     )
 
 
-@query(
-    "w1_conflate_latest_stream",
-    """
-    SELECT * FROM (
-      SELECT CAST(user_id AS VARCHAR) AS stream_id,
-             epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) + 3600000000 AS tick_us,
-             max(event_id) AS seq, arg_max(event_type, event_id) AS data, count(*) AS messages
-      FROM events GROUP BY 1, 2)
-    WHERE tick_us <= (SELECT epoch_us(max(ts)) // 1000 * 1000 - 600000000 FROM events)
-    """,
-)
+@query("w1_conflate_latest", _LATEST)
+def conflate_query(spark, folder):
+    return _latest_columns(windows.conflate_latest(messages(spark, folder), "1 hour"))
+
+
+@query("w1_conflate_latest_stream", _LATEST)
 def conflate_stream_query(spark, folder):
-    """The windows a stream closes: those the watermark, ten minutes behind, has passed."""
-    closed = windows.conflate_latest(messages(spark, folder, streaming=True), "1 hour")
-    return run_to_table(closed, spark, "conflated").select(
-        "stream_id",
-        F.unix_micros("tick").alias("tick_us"),
-        "seq",
-        F.col("data").cast("string").alias("data"),
-        "messages",
+    """The same windows from a stream: all of them, whatever files the table has."""
+    return _latest_columns(
+        run_table_as_stream(
+            messages(spark, folder),
+            lambda stream: windows.conflate_latest(stream, "1 hour", delay="1 second"),
+            "conflated",
+            ("1 hour", "1 second"),
+        )
     )
 
 
@@ -475,19 +455,16 @@ GROUP BY ALL
 """
 
 
-def _byte_streams(spark, folder, streaming=False):
-    path = f"{folder}/documents*.parquet" if streaming else f"{folder}/documents.parquet"
+def _byte_streams(spark, folder):
     return load_messages(
         spark,
-        path,
-        streaming,
-        {
+        f"{folder}/documents.parquet",
+        columns={
             "stream_id": "source",
             "seq": "doc_id",
             "ts": "timestamp_micros((1704067200 + doc_id) * 1000000)",
             "data": "cast(text as binary)",
         },
-        **(TRIGGER if streaming else {}),
     )
 
 
@@ -508,21 +485,19 @@ def snapshots_query(spark, folder):
     )
 
 
-@query(
-    "w2_rolling_snapshots_stream",
-    f"""
-    SELECT * FROM ({_SNAPSHOTS}) s
-    WHERE tick_us <= (SELECT (1704067200 + max(doc_id) - 10) * 1000000 FROM documents)
-       OR EXISTS (SELECT 1 FROM documents d
-                  WHERE d.source = s.stream_id AND (1704067200 + d.doc_id) * 1000000 >= s.tick_us)
-    """,
-)
+@query("w2_rolling_snapshots_stream", _SNAPSHOTS)
 def snapshots_stream_query(spark, folder):
-    """The ticks a stream closes: followed by a later message, or passed by the watermark."""
-    closed = rolling.stream_rolling_snapshots(
-        _byte_streams(spark, folder, streaming=True), _CHUNK, _LIMIT, _TRIM, "20 seconds"
+    """The same snapshots from a stream: it sums up the ticks, the bytes come from the table."""
+    sent = _byte_streams(spark, folder)
+    ticks = run_table_as_stream(
+        sent.select("stream_id", "seq", "ts", "data"),
+        lambda stream: rolling.stream_tick_bytes(stream, "20 seconds", "1 second"),
+        "ticks",
+        ("20 seconds", "1 second"),
+    )
+    return _snapshot_columns(
+        rolling.snapshots_of_ticks(ticks, sent, _CHUNK, _LIMIT, _TRIM, "20 seconds")
     )
-    return _snapshot_columns(run_to_table(closed, spark, "snapshots"))
 
 
 @query(
@@ -578,13 +553,13 @@ def sample_query(spark, folder):
     "j4_attach_frame_metadata",
     f"""
     WITH {PAGE_FRAMES}
-    SELECT url, frame_num AS frame_number, ts_us, upper(substr(md5(html), 1, 8)) AS output FROM page_frames
+    SELECT url, frame_num AS frame_number, ts_us, upper(md5(html)) AS output FROM page_frames
     """,
 )
 def metadata_query(spark, folder):
     numbered = frames.number_frames(page_frames(spark, folder))
     outputs = numbered.select(
-        "url", "frame_num", F.upper(F.substring(F.md5("body"), 1, 8)).alias("output")
+        "url", "frame_num", F.upper(F.md5("body")).alias("output")
     )
     return frames.attach_frame_metadata(outputs, numbered).select(
         "url", "frame_number", F.unix_micros("timestamp").alias("ts_us"), "output"
@@ -600,6 +575,7 @@ def metadata_query(spark, folder):
     """,
 )
 def route_query(spark, folder):
+    """Written in one pass, a folder per sink, and read back."""
     kind = F.col("event_type")
     df = events(spark, folder).select(
         "event_id",
@@ -609,32 +585,9 @@ def route_query(spark, folder):
         .when(kind == "signup", "rtsp")
         .alias("sink_kind"),
     )
-    return delivery.checked_kinds(df, ["mjpeg", "rtsp", "webhook", "websocket"])
-
-
-def _receiver(payload, headers):
-    """Stands for the receiver: what it answers depends on the payload's size only."""
-    if len(payload) % 7 == 0:
-        raise ConnectionError("refused")
-    return 503 if len(payload) % 5 == 0 else 204
-
-
-@query(
-    "k2_deliver",
-    """
-    SELECT conv_id, turn, n % 7 <> 0 AND n % 5 <> 0 AS delivered,
-           CASE WHEN n % 7 = 0 OR n % 5 = 0 THEN 3 ELSE 1 END AS attempts,
-           CASE WHEN n % 7 = 0 THEN NULL WHEN n % 5 = 0 THEN 503 ELSE 204 END AS last_status,
-           CASE WHEN n % 7 = 0 THEN 'webhook failed after 3 attempts: failed to send request: refused'
-                WHEN n % 5 = 0 THEN 'webhook failed after 3 attempts: webhook returned status 503' END AS error
-    FROM (SELECT *, octet_length(encode(text)) AS n FROM conversations)
-    """,
-)
-def deliver_query(spark, folder):
-    df = table(spark, folder, "conversations").select(
-        "conv_id", "turn", F.col("text").cast("binary").alias("payload")
-    )
-    return delivery.deliver(df, _receiver, max_retries=2, retry_delay=0).drop("payload")
+    path = scratch_path(spark, "routed")
+    delivery.save_outputs(df, path, ["mjpeg", "rtsp", "webhook", "websocket"])
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query(

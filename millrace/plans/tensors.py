@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from ..operators import joins, tensors
 from ..sources.inference import parse_infer_requests
-from .inputs import MODELS, models, requests, table
+from .inputs import MODELS, models, requests, table, weighted, weighted_sql
 from .registry import query
 
 
@@ -38,12 +38,12 @@ def _request_texts(spark, folder):
 
 @query(
     "s5_load_infer_requests",
-    """
+    f"""
     SELECT vec_id, CASE WHEN vec_id % 10 = 7 THEN '' ELSE CAST(vec_id AS VARCHAR) END AS id, vec_id % 10 = 7 AS rejected,
            CASE WHEN vec_id % 10 <> 7 THEN CAST(label AS BIGINT) END AS label,
            CASE WHEN vec_id % 10 <> 7 THEN 'FP64' END AS datatype,
            CASE WHEN vec_id % 10 <> 7 THEN CAST(len(embedding) AS BIGINT) END AS size,
-           CASE WHEN vec_id % 10 <> 7 THEN CAST(embedding[1] AS DOUBLE) END AS first
+           CASE WHEN vec_id % 10 <> 7 THEN {weighted_sql("embedding")} END AS data
     FROM embeddings
     """,
 )
@@ -58,7 +58,7 @@ def load_requests_query(spark, folder):
         F.when(~rejected, F.try_variant_get(F.try_element_at("parameters", F.lit("label")), "$", "bigint")).alias("label"),
         F.when(~rejected, tensor["datatype"]).alias("datatype"),
         F.when(~rejected, F.get(tensor["shape"], F.lit(0))).alias("size"),
-        F.when(~rejected, F.try_variant_get(tensor["data"], "$[0]", "double")).alias("first"),
+        F.when(~rejected, weighted(F.try_variant_get(tensor["data"], "$", "array<double>"))).alias("data"),
     )
 
 
@@ -115,34 +115,128 @@ def explode_query(spark, folder):
     )
 
 
+def _bytes_of(kind):
+    """Lists of numbers as little-endian bytes of one numpy type, from the flat Arrow values."""
+
+    @F.arrow_udf(T.BinaryType())
+    def packed(values: pa.Array) -> pa.Array:
+        flat = values.flatten().to_numpy(zero_copy_only=False).astype(kind)
+        raw, width = flat.tobytes(), flat.dtype.itemsize
+        ends = np.cumsum([len(v) if v.is_valid else 0 for v in values]) * width
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        return pa.array([raw[a:b] for a, b in zip(starts, ends)], pa.binary())
+
+    return packed
+
+
+# Every data type with values made of an embedding: steps of an eighth for the float types,
+# whole tenths for the others, and no sign where the type has none.
+_ALL_TYPES = tensors.SUPPORTED.split(", ")
+
+
+def _typed_vectors(spark, folder):
+    """Embeddings with the data type of their turn and the family lists of their values."""
+    turn = (F.col("vec_id") % len(_ALL_TYPES)).cast("int")
+    kind = F.col("datatype")
+    tenths = F.transform("embedding", lambda v: F.floor(v.cast("double") * 10).cast("bigint"))
+    unsigned = kind.startswith("UINT")
+    small = F.transform("tenths", lambda v: F.when(unsigned, F.abs(v)).otherwise(v) % 128)
+    lists = {
+        "bools": (kind == "BOOL", F.transform("tenths", lambda v: v % 2 == 0)),
+        "ints": (kind.startswith("INT") | (unsigned & (kind != "UINT64")), small),
+        "uints": (
+            kind == "UINT64",
+            F.transform("tenths", lambda v: (F.abs(v) + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")),
+        ),
+        "floats": (kind.startswith("FP"), F.transform("tenths", lambda v: v / 8)),
+        "bytes": (kind == "BYTES", F.transform("tenths", lambda v: F.concat(F.lit("b"), v).cast("binary"))),
+    }
+    return (
+        requests(spark, folder)
+        .withColumn("datatype", F.get(F.array(*[F.lit(t) for t in _ALL_TYPES]), turn))
+        .withColumn("tenths", tenths)
+        .withColumn("tensor", F.struct(*[F.when(w, v).alias(n) for n, (w, v) in lists.items()]))
+    )
+
+
+_TYPED = f"""
+typed AS (
+  SELECT *, list_extract({_ALL_TYPES}, CAST(vec_id % {len(_ALL_TYPES)} + 1 AS BIGINT)) AS datatype,
+         list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 10) AS BIGINT)) AS tenths
+  FROM embeddings),
+listed AS (
+  SELECT *, CASE WHEN datatype = 'BOOL' THEN list_transform(tenths, lambda v: CASE WHEN v % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END)
+                 WHEN datatype = 'UINT64' THEN list_transform(tenths, lambda v: abs(v)::DOUBLE)
+                 WHEN datatype LIKE 'UINT%' THEN list_transform(tenths, lambda v: (abs(v) % 128)::DOUBLE)
+                 WHEN datatype LIKE 'INT%' THEN list_transform(tenths, lambda v: (v % 128)::DOUBLE)
+                 WHEN datatype LIKE 'FP%' THEN list_transform(tenths, lambda v: v / 8)
+                 ELSE list_transform(tenths, lambda v: length('b' || v)::DOUBLE) END AS numbers
+  FROM typed)
+"""
+
+
+def _numbers(tensor):
+    """The values of any family as numbers; UINT64 less 2^63, texts by their length."""
+    return F.coalesce(
+        F.transform(tensor["bools"], lambda v: v.cast("int").cast("double")),
+        F.transform(tensor["ints"], lambda v: v.cast("double")),
+        F.transform(tensor["uints"], lambda v: (v - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("double")),
+        tensor["floats"],
+        F.transform(tensor["bytes"], lambda v: F.octet_length(v).cast("double")),
+    )
+
+
+def _raw_bytes(df):
+    """The bytes each type's values have on the wire; a BYTES tensor is one text."""
+    raw = F.when(F.col("datatype") == "BYTES", F.array_join(F.transform("tensor.bytes", lambda b: b.cast("string")), "").cast("binary"))
+    for name, (kind, family) in tensors.LAYOUT.items():
+        values = F.col(f"tensor.{family}")
+        if family == "uints":
+            # numpy reads no decimals: the upper bit is set in the bytes
+            values = F.transform("tenths", lambda v: F.abs(v).cast("bigint"))
+        elif family == "bools":
+            values = F.transform(values, lambda v: v.cast("int"))
+        coded = _bytes_of(kind)(F.when(F.col("datatype") == name, values))
+        if family == "uints":
+            coded = _with_upper_bit(coded)
+        raw = raw.when(F.col("datatype") == name, coded)
+    return raw
+
+
 @F.arrow_udf(T.BinaryType())
-def _float_bytes(values: pa.Array) -> pa.Array:
-    return pa.array([np.asarray(v, dtype="<f4").tobytes() for v in values.to_pylist()], pa.binary())
+def _with_upper_bit(raw: pa.Array) -> pa.Array:
+    bit = np.uint64(1 << 63)
+    return pa.array(
+        [(np.frombuffer(b, "<u8") | bit).tobytes() for b in (x or b"" for x in raw.to_pylist())], pa.binary()
+    )
 
 
 @query(
     "t2_decode_raw_tensors",
-    """
-    SELECT vec_id, 64 AS elements, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last,
+    f"""
+    WITH {_TYPED}
+    SELECT vec_id, datatype, CASE WHEN datatype = 'BYTES' THEN 1 ELSE len(numbers) END::INTEGER AS elements,
+           CASE WHEN datatype = 'BYTES' THEN CAST(list_sum(numbers) * 1000 AS BIGINT) ELSE {weighted_sql("numbers")} END AS data,
            NULL::VARCHAR AS error
-    FROM embeddings
+    FROM listed
     """,
 )
-def decode_floats_query(spark, folder):
-    df = table(spark, folder, "embeddings").select(
-        "vec_id", F.lit("fp32").alias("datatype"), _float_bytes("embedding").alias("raw")
-    )
-    floats = F.col("tensor.floats")
-    return tensors.decode_raw_tensors(df).select(
+def decode_all_query(spark, folder):
+    """All thirteen types, names in lower case, every value counted."""
+    typed = _typed_vectors(spark, folder)
+    df = typed.select("vec_id", F.lower("datatype").alias("datatype"), _raw_bytes(typed).alias("raw"))
+    decoded = tensors.decode_raw_tensors(df)
+    numbers = _numbers(F.col("tensor"))
+    return decoded.select(
         "vec_id",
-        F.size(floats).alias("elements"),
-        F.get(floats, F.lit(0)).alias("first"),
-        F.get(floats, F.lit(63)).alias("last"),
+        F.upper("datatype").alias("datatype"),
+        F.size(numbers).alias("elements"),
+        weighted(numbers).alias("data"),
         F.col("tensor_error").alias("error"),
     )
 
 
-# Data types cycled over the documents; UINT64 totals do not fit a BIGINT.
+# Data types cycled over the documents, whose bytes are taken as they come.
 _CYCLE = ("UINT8", "INT8", "UINT16", "INT16", "UINT32", "INT32", "INT64", "BOOL", "BYTES", "COMPLEX")
 _WIDTH = {"UINT8": 1, "INT8": 1, "UINT16": 2, "INT16": 2, "UINT32": 4, "INT32": 4, "INT64": 8}
 
@@ -199,81 +293,81 @@ def decode_types_query(spark, folder):
 
 @query(
     "t3_select_contents",
-    """
-    SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN CAST(embedding[1] AS DOUBLE) WHEN 1 THEN CAST(embedding[1] AS DOUBLE)
-                        END AS first,
-           vec_id % 4 > 1 AS nothing
-    FROM embeddings
+    f"""
+    WITH {_TYPED}
+    SELECT vec_id, datatype,
+           CASE WHEN vec_id % 3 = 2 OR (vec_id % 3 = 0 AND datatype = 'FP16') THEN NULL
+                WHEN vec_id % 3 = 1 AND datatype = 'BYTES' THEN CAST(list_sum(numbers) * 1000 AS BIGINT)
+                ELSE {weighted_sql("numbers")} END AS data
+    FROM listed
     """,
 )
 def select_contents_query(spark, folder):
-    """By id: typed contents, raw bytes, a raw list that is too short, FP16 with typed contents."""
-    pick = F.col("vec_id") % 4
-    empty = {
-        "bool_contents": "array<boolean>",
-        "int_contents": "array<int>",
-        "int64_contents": "array<bigint>",
-        "uint_contents": "array<bigint>",
-        "uint64_contents": "array<decimal(20,0)>",
-        "fp64_contents": "array<double>",
-        "bytes_contents": "array<binary>",
-    }
+    """All thirteen types by id: typed contents (FP16 has none), raw bytes, a raw list that is too short."""
+    pick = F.col("vec_id") % 3
+    value = F.col("tensor")
     contents = F.struct(
-        F.col("embedding").alias("fp32_contents"),
-        *[F.lit(None).cast(kind).alias(name) for name, kind in empty.items()],
+        value["bools"].alias("bool_contents"),
+        value["ints"].cast("array<int>").alias("int_contents"),
+        value["ints"].alias("int64_contents"),
+        value["ints"].alias("uint_contents"),
+        value["uints"].alias("uint64_contents"),
+        value["floats"].cast("array<float>").alias("fp32_contents"),
+        value["floats"].alias("fp64_contents"),
+        value["bytes"].alias("bytes_contents"),
     )
-    df = table(spark, folder, "embeddings").select(
+    typed = _typed_vectors(spark, folder)
+    df = typed.select(
         "vec_id",
-        F.when(pick.isin(0, 3), contents).alias("contents"),
-        F.when(pick == 3, "FP16").when(pick == 1, "fp32").otherwise("FP32").alias("datatype"),
-        F.array(_float_bytes("embedding")).alias("raw"),
+        "datatype",
+        F.when(pick == 0, contents).alias("contents"),
+        F.array(_raw_bytes(typed)).alias("raw"),
         F.when(pick == 2, 5).otherwise(0).alias("position"),
     )
-    return tensors.select_contents(df).select(
-        "vec_id",
-        F.get(F.col("tensor.floats"), F.lit(0)).alias("first"),
-        F.col("tensor.floats").isNull().alias("nothing"),
-    )
+    return tensors.select_contents(df).select("vec_id", "datatype", weighted(_numbers(F.col("tensor"))).alias("data"))
+
+
+def _coerced_sql():
+    """What becomes of -0.5, -3.7, 2.9, vec_id * 1.5, 3000000000.75, -5000000000, a text and true."""
+    cut = "(vec_id * 3 // 2)"
+    whole = {
+        "('INT8', 'INT16', 'INT32')": f"'0,-3,2,' || {cut} || ',none,none,0,0'",
+        "('UINT8', 'UINT16', 'UINT32')": f"'0,none,2,' || {cut} || ',3000000000,none,0,0'",
+        "('INT64')": f"'0,-3,2,' || {cut} || ',3000000000,-5000000000,0,0'",
+        "('UINT64')": f"'0,none,2,' || {cut} || ',3000000000,none,0,0'",
+        "('BYTES')": "'none,none,none,none,none,none,word,none'",
+    }
+    cases = " ".join(f"WHEN datatype IN {kinds} THEN {text}" for kinds, text in whole.items())
+    numbers = "[-0.5::DOUBLE, -3.7, 2.9, vec_id * 1.5, 3000000000.75, -5000000000, 0, 0]"
+    singles = f"list_transform({numbers}, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE))"
+    return f"""
+    WITH {_TYPED}
+    SELECT vec_id, datatype, CASE {cases} END AS listed,
+           CASE datatype WHEN 'FP64' THEN {weighted_sql(numbers)} WHEN 'FP32' THEN {weighted_sql(singles)} END AS floats
+    FROM typed
+    """
 
 
-@query(
-    "t4_coerce_outputs",
-    """
-    WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 1000) AS d FROM embeddings)
-    SELECT vec_id,
-           CASE WHEN vec_id % 4 = 0 THEN CAST(list_sum(list_transform(d, lambda v: CAST(trunc(v) AS BIGINT))) AS BIGINT) + label END
-             AS int_total,
-           CASE WHEN vec_id % 4 = 1 THEN d[2] END AS second_float, CASE WHEN vec_id % 4 = 1 THEN 0.0::DOUBLE END AS no_number,
-           CASE WHEN vec_id % 4 = 2 THEN 'word' || label END AS text,
-           vec_id % 4 = 3 AS empty
-    FROM x
-    """,
-)
+@query("t4_coerce_outputs", _coerced_sql())
 def coerce_query(spark, folder):
-    """By id: whole numbers, floats with a text among them, byte texts, booleans."""
-    pick = F.col("vec_id") % 4
-    scaled = F.transform("embedding", lambda v: v.cast("double") * 1000)
-    # plain decimal texts: the JSON numbers are then exactly the doubles they came from
-    numbers = F.to_json(scaled)
-    df = table(spark, folder, "embeddings").select(
+    """All thirteen types with negative, fractional, far too large and no numbers; BOOL and FP16 stay empty."""
+    df = _typed_vectors(spark, folder).select(
         "vec_id",
-        F.when(pick == 0, "INT32").when(pick == 1, "FP64").when(pick == 2, "BYTES").otherwise("BOOL").alias("datatype"),
+        "datatype",
         F.parse_json(
-            F.when(pick == 0, F.concat(F.regexp_replace(numbers, "]$", ","), "label", F.lit("]")))
-            .when(pick == 1, F.concat(F.regexp_replace(numbers, "]$", ',"none"]')))
-            .when(pick == 2, F.concat(F.lit('["word'), "label", F.lit('", 1]')))
-            .otherwise(F.lit("[true, false]"))
+            F.concat(
+                F.lit("[-0.5, -3.7, 2.9, "), (F.col("vec_id") * 1.5).cast("decimal(20,1)").cast("string"),
+                F.lit(', 3000000000.75, -5000000000, "word", true]'),
+            )
         ).alias("data"),
     )
     value = F.col("tensor")
-    families = [value[f].isNull() for f in tensors.FAMILIES]
+    shown = lambda family: F.array_join(value[family].cast("array<string>"), ",", "none")
     return tensors.coerce_outputs(df).select(
         "vec_id",
-        F.aggregate(value["ints"], F.lit(0).cast("bigint"), lambda a, x: a + x).alias("int_total"),
-        F.get(value["floats"], F.lit(1)).alias("second_float"),
-        F.get(value["floats"], F.lit(64)).alias("no_number"),
-        F.get(value["bytes"], F.lit(0)).cast("string").alias("text"),
-        (families[0] & families[1] & families[2] & families[3] & families[4]).alias("empty"),
+        "datatype",
+        F.coalesce(shown("ints"), shown("uints"), shown("bytes")).alias("listed"),
+        weighted(value["floats"]).alias("floats"),
     )
 
 
@@ -297,23 +391,26 @@ def encode_query(spark, folder):
 @query(
     "t5_decode_bytes_tensors",
     """
-    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN md5(text) END AS decoded,
-           CASE WHEN doc_id % 4 = 1 THEN 'illegal base64 data' END AS error, doc_id % 4 = 2 AS still_a_list
-    FROM documents
+    SELECT doc_id, CASE WHEN pick = 0 OR (pick = 4 AND n % 3 = 0) THEN md5(text) END AS decoded,
+           CASE WHEN pick = 1 OR (pick = 4 AND n % 3 > 0) OR (pick = 5 AND n > 0) THEN 'illegal base64 data' END AS error,
+           pick = 2 AS still_a_list
+    FROM (SELECT *, doc_id % 6 AS pick, octet_length(encode(text)) AS n FROM documents)
     """,
 )
 def decode_bytes_query(spark, folder):
-    """By id: one text, a broken text, a list, another data type."""
-    pick = F.col("doc_id") % 4
+    """By id: one text, a broken text, a list, another data type, no padding, inner blanks."""
+    pick = F.col("doc_id") % 6
     coded = F.translate(F.base64(F.col("text").cast("binary")), "\r\n", "")
-    quoted = F.concat(F.lit('"'), coded, F.lit('"'))
+    quoted = lambda text: F.concat(F.lit('"'), text, F.lit('"'))
     df = table(spark, folder, "documents").select(
         "doc_id",
         F.when(pick == 3, "FP32").otherwise("BYTES").alias("datatype"),
         F.parse_json(
-            F.when(pick == 1, F.concat(F.lit('"%'), coded, F.lit('"')))
-            .when(pick == 2, F.concat(F.lit("["), quoted, F.lit("]")))
-            .otherwise(quoted)
+            F.when(pick == 1, quoted(F.concat(F.lit("%"), coded)))
+            .when(pick == 2, F.concat(F.lit("["), quoted(coded), F.lit("]")))
+            .when(pick == 4, quoted(F.rtrim(coded, F.lit("="))))
+            .when(pick == 5, quoted(F.concat(F.left(coded, F.lit(1)), F.lit(" "), F.substring(coded, 2, 1 << 30))))
+            .otherwise(quoted(coded))
         ).alias("data"),
     )
     return tensors.decode_bytes_tensors(df).select(
@@ -365,21 +462,32 @@ def parameters_query(spark, folder):
 
 @query(
     "t7_elementwise_model",
-    """
-    SELECT vec_id, 'output_embedding' AS name, 'FP32' AS datatype, CAST(embedding[1] AS DOUBLE) * 2 AS first,
-           CAST(embedding[64] AS DOUBLE) * 2 AS last
-    FROM embeddings
+    f"""
+    WITH {_TYPED},
+    answered AS (
+      SELECT vec_id, datatype,
+             CASE WHEN datatype = 'BOOL' THEN list_transform(numbers, lambda v: 1 - v)
+                  WHEN datatype = 'BYTES' THEN numbers
+                  WHEN datatype = 'UINT64' THEN NULL
+                  WHEN datatype = 'FP16' THEN numbers
+                  ELSE list_transform(numbers, lambda v: v * 2) END AS numbers,
+             CASE WHEN datatype = 'BYTES' THEN md5(upper(array_to_string(list_transform(tenths, lambda v: 'b' || v), ''))) END AS texts
+      FROM listed)
+    SELECT vec_id, 'output_embedding' AS name, datatype,
+           CASE WHEN datatype <> 'UINT64' THEN {weighted_sql("numbers")} END AS data, texts
+    FROM answered
     """,
 )
 def model_query(spark, folder):
-    answered = tensors.elementwise_model(_tensor_table(spark, folder))
-    floats = F.col("tensor.floats")
+    """All thirteen types; twice a UINT64 above 2^63 fits no UINT64, and FP16 stays as it is."""
+    answered = tensors.elementwise_model(_typed_vectors(spark, folder).withColumn("name", F.lit("embedding")))
+    value = F.col("tensor")
     return answered.select(
         "vec_id",
         "name",
         "datatype",
-        F.get(floats, F.lit(0)).alias("first"),
-        F.get(floats, F.lit(63)).alias("last"),
+        F.when(F.col("datatype") != "UINT64", weighted(_numbers(value))).alias("data"),
+        F.md5(F.array_join(F.transform(value["bytes"], lambda b: b.cast("string")), "").cast("binary")).alias("texts"),
     )
 
 
@@ -438,7 +546,7 @@ def shape_report_query(spark, folder):
     """,
 )
 def readiness_query(spark, folder):
-    return joins.model_readiness(requests(spark, folder), models(spark, folder)).select(
+    return joins.model_readiness(requests(spark, folder), models(spark, folder), "vec_id").select(
         "id", "model_name", "model_version", "ready"
     )
 
@@ -447,52 +555,81 @@ def readiness_query(spark, folder):
     "j3_model_metadata",
     f"""
     WITH {MODELS},
-    t AS (SELECT id, model_name, 'embedding' AS name FROM asked
-          UNION ALL SELECT id, model_name, 'extra' FROM asked WHERE vec_id % 7 = 0),
-    d AS (SELECT a.id, a.model_name, n.name, m.dim FROM asked a JOIN models m USING (model_name)
+    r AS (SELECT vec_id, CASE WHEN vec_id % 10 = 3 THEN '' ELSE id END AS id, model_name FROM asked),
+    t AS (SELECT vec_id, id, model_name, 'embedding' AS name FROM r
+          UNION ALL SELECT vec_id, id, model_name, 'extra' FROM r WHERE vec_id % 7 = 0),
+    d AS (SELECT r.vec_id, r.id, r.model_name, n.name, m.dim FROM r JOIN models m USING (model_name)
           CROSS JOIN (VALUES ('embedding'), ('mask')) n(name))
-    SELECT id, model_name, name,
+    SELECT vec_id, id, model_name, name,
            CASE WHEN t.name IS NULL THEN 'missing' WHEN d.name IS NULL THEN 'undeclared'
                 WHEN d.dim NOT IN (-1, 64) THEN 'shape' ELSE 'ok' END AS verdict
-    FROM t FULL JOIN d USING (id, model_name, name)
+    FROM t FULL JOIN d USING (vec_id, id, model_name, name)
     """,
 )
 def metadata_query(spark, folder):
+    """A tenth of the requests have no id; they are told apart by their row."""
     names = F.when(
         F.col("vec_id") % 7 == 0, F.array(F.lit("embedding"), F.lit("extra"))
     ).otherwise(F.array(F.lit("embedding")))
     sent = requests(spark, folder).select(
-        "id",
+        "vec_id",
+        F.when(F.col("vec_id") % 10 == 3, "").otherwise(F.col("id")).alias("id"),
         "model_name",
         F.explode(names).alias("name"),
         F.lit("FP32").alias("datatype"),
         F.array(F.size("embedding").cast("long")).alias("shape"),
     )
-    return joins.model_metadata(sent, models(spark, folder)).select("id", "model_name", "name", "verdict")
+    return joins.model_metadata(sent, models(spark, folder), "vec_id").select(
+        "vec_id", "id", "model_name", "name", "verdict"
+    )
+
+
+@query(
+    "j3_declared_metadata",
+    f"""
+    WITH {MODELS}
+    SELECT model_name, model_version AS versions, 'embedding:FP32:' || dim || ',mask:FP32:' || dim AS inputs, '' AS outputs
+    FROM models
+    """,
+)
+def declared_query(spark, folder):
+    """What a model answers when asked for its metadata."""
+    shown = lambda side: F.array_join(
+        F.transform(side, lambda t: F.concat_ws(":", t["name"], t["datatype"], F.array_join(t["shape"].cast("array<string>"), "x"))), ","
+    ).alias(side)
+    told = joins.declared_metadata(models(spark, folder))
+    return told.select("model_name", F.array_join("versions", ",").alias("versions"), shown("inputs"), shown("outputs"))
 
 
 @query(
     "inference_round_trip",
-    """
-    SELECT CAST(vec_id AS VARCHAR) AS id, 'm' AS model_name, '1' AS model_version, 'output_embedding' AS name,
-           CAST(len(embedding) AS BIGINT) AS elements, true AS shape_ok, CAST(embedding[1] AS DOUBLE) * 2 AS first
-    FROM embeddings WHERE vec_id % 10 <> 7
+    f"""
+    SELECT CASE WHEN vec_id % 10 = 7 THEN '' ELSE CAST(vec_id AS VARCHAR) END AS id, vec_id,
+           CASE WHEN vec_id % 10 = 7 THEN 400 ELSE 200 END AS status, 'm' AS model_name, '1' AS model_version,
+           CASE WHEN vec_id % 10 <> 7 THEN 'output_embedding' END AS name,
+           CASE WHEN vec_id % 10 <> 7 THEN CAST(len(embedding) AS BIGINT) END AS elements,
+           CASE WHEN vec_id % 10 <> 7 THEN true END AS shape_ok,
+           CASE WHEN vec_id % 10 <> 7 THEN {weighted_sql("list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 2)")} END AS data
+    FROM embeddings
     """,
 )
 def round_trip_query(spark, folder):
-    """JSON requests through the demo model: parsed, exploded, typed, answered, checked."""
-    parsed = parse_infer_requests(_request_texts(spark, folder)).filter("rejected is null")
+    """JSON requests through the demo model: parsed, exploded, typed, answered, checked; bad ones answer 400."""
+    parsed = parse_infer_requests(_request_texts(spark, folder))
     typed = tensors.coerce_outputs(tensors.explode_tensors(parsed))
     answered = tensors.check_shapes(tensors.elementwise_model(typed))
     named = answered.withColumns(
         {"request_id": F.col("id"), "model_name": F.lit(""), "model_version": F.lit(None).cast("string")}
     )
+    good = F.col("rejected").isNull()
     return tensors.default_response(named, "m", "1").select(
         "id",
+        "vec_id",
+        F.when(good, 200).otherwise(400).alias("status"),
         "model_name",
         "model_version",
         "name",
-        "elements",
-        "shape_ok",
-        F.get(F.col("tensor.floats"), F.lit(0)).alias("first"),
+        F.when(good, F.col("elements")).alias("elements"),
+        F.when(good, F.col("shape_ok")).alias("shape_ok"),
+        F.when(good, weighted(F.col("tensor.floats"))).alias("data"),
     )

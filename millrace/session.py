@@ -1,6 +1,5 @@
 """Session defaults and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -33,15 +32,10 @@ def build_session(master="local[*]", shuffle_partitions=8, app="millrace", **ext
 
 
 def shared_folder(spark):
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (single-machine tests) a temporary folder is made
-    and remembered in the session, so later calls agree on it.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
@@ -50,8 +44,7 @@ def scratch_path(spark, label):
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def use_rocksdb(spark):
-    """State operators with timers need the RocksDB store; set it if the session has not."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    if "RocksDB" not in spark.conf.get(key, ""):
-        spark.conf.set(key, DEFAULTS[key])
+def remove_path(spark, path):
+    """Delete a scratch folder nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,7 +1,6 @@
-"""Keyed state of HTTP exchanges on a stream: one row per exchange when it ends."""
+"""HTTP exchanges on a stream: one row per exchange, its bodies put together afterwards."""
 
-from pyspark.sql import Row, functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql import functions as F
 
 from ..envelope import (
     REQUEST_BODY,
@@ -10,180 +9,78 @@ from ..envelope import (
     RESPONSE_HEADERS,
     RESPONSE_TRAILERS,
 )
-from ..functions.timing import micros
-from ..session import use_rocksdb
+from ..functions.headers import without
+from ..operators.bodies import assemble_bodies
 
-_CLOSED = (
-    ("stream_id", "string"),
-    ("outcome", "string"),
-    ("request_headers", "map<string,string>"),
-    ("response_headers", "map<string,string>"),
-    ("request_body", "binary"),
-    ("response_body", "binary"),
-    ("request_complete", "boolean"),
-    ("response_complete", "boolean"),
-    ("messages", "bigint"),
-    ("duration_ns", "bigint"),
-    ("first_us", "bigint"),
-    ("last_us", "bigint"),
-)
-CLOSED_EXCHANGE = ", ".join(f"{name} {kind}" for name, kind in _CLOSED)
-
-_TOTALS = (
-    ("request_headers", "map<string,string>"),
-    ("response_headers", "map<string,string>"),
-    ("request_complete", "boolean"),
-    ("response_complete", "boolean"),
-    ("messages", "bigint"),
-    ("duration_ns", "bigint"),
-    ("first_us", "bigint"),
-    ("last_us", "bigint"),
-    ("timer_ms", "bigint"),
-)
 
-#: Body bytes of one exchange kept in the worker before they go to the state store.
-_HELD_BYTES = 8 << 20
+def _headers_of(phase):
+    own = F.when(F.col("phase") == phase, F.struct(F.col("seq"), F.col("headers")))
+    return F.max_by(F.col("headers"), F.when(own.isNotNull(), F.col("seq")))
 
 
-class _Exchange(StatefulProcessor):
-    """Headers and totals in one value, body chunks in lists that are only appended to.
+def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
+    """One row per exchange: outcome, header sets, completeness, message count and duration.
 
-    Every access to the state is a round trip to the JVM: an exchange that begins and ends in
-    one micro-batch makes just one, to find that there is nothing.
+    An exchange is a session of its messages, ended by ``timeout`` without one, so whatever
+    comes after its end still belongs to it and never makes a second row. It ``ended`` if an
+    end flag came on the response's headers or body, or response trailers, which follow a body
+    without one; else it is a ``timeout``. The totals are kept in the JVM by partial sums;
+    body bytes stay where they are, see :func:`with_bodies`.
     """
-
-    def __init__(self, timeout_us):
-        self.timeout_us = timeout_us
-
-    def init(self, handle):
-        self.handle = handle
-        self.state = handle.getValueState(
-            "exchange", ", ".join(f"{name} {kind}" for name, kind in _TOTALS)
+    ends = F.coalesce("end_of_stream", F.lit(False))
+    phase = F.col("phase")
+    trailers = phase == RESPONSE_TRAILERS
+    answered = (ends & phase.isin(RESPONSE_HEADERS, RESPONSE_BODY)) | trailers
+    spent = F.when(~trailers, F.col("duration_ns"))
+    rows = stream.withColumn(
+        "headers",
+        F.when(phase.isin(REQUEST_HEADERS, RESPONSE_HEADERS), F.coalesce(without(F.col("headers"), prefix=":"), F.expr("cast(map() as map<string,string>)"))),
+    )
+    if rows.isStreaming:
+        rows = rows.withWatermark("ts", delay)
+    return (
+        rows.groupBy("stream_id", F.session_window("ts", timeout).alias("__s"))
+        .agg(
+            F.max(answered).alias("response_complete"),
+            _headers_of(REQUEST_HEADERS).alias("request_headers"),
+            _headers_of(RESPONSE_HEADERS).alias("response_headers"),
+            F.max(ends & phase.isin(REQUEST_HEADERS, REQUEST_BODY)).alias("request_complete"),
+            F.count("*").alias("messages"),
+            F.coalesce(F.sum(spent), F.lit(0)).cast("bigint").alias("duration_ns"),
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
         )
-        self.chunks = handle.getListState("chunks", "phase int, seq bigint, chunk binary")
-
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.state.exists()
-        totals = dict(zip([name for name, _ in _TOTALS], self.state.get())) if known else None
-        stored, held, size, ended = known, [], 0, False
-        for row in rows:
-            if totals is None:
-                totals = _opened(row.ts_us)
-            ended = _count(totals, row) or ended
-            if row.phase in (REQUEST_BODY, RESPONSE_BODY) and row.chunk:
-                held.append((int(row.phase), int(row.seq), bytes(row.chunk)))
-                size += len(row.chunk)
-            if size > _HELD_BYTES:
-                self.chunks.appendList(held)
-                stored, held, size = True, [], 0
-        if totals is None:
-            return
-        if totals["timer_ms"]:
-            self.handle.deleteTimer(totals["timer_ms"])
-        if ended:
-            if stored:
-                held = [tuple(row) for row in self.chunks.get()] + held
-                self._forget()
-            yield _closed(key, "ended", totals, held)
-            return
-        if held:
-            self.chunks.appendList(held)
-        totals["timer_ms"] = (totals["last_us"] + self.timeout_us) // 1000
-        self.state.update(tuple(totals.values()))
-        self.handle.registerTimer(totals["timer_ms"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        totals = dict(zip([name for name, _ in _TOTALS], self.state.get()))
-        held = [tuple(row) for row in self.chunks.get()]
-        self._forget()
-        yield _closed(key, "timeout", totals, held)
-
-    def _forget(self):
-        self.state.clear()
-        self.chunks.clear()
-
-    def close(self):
-        pass
-
-
-def _opened(ts_us):
-    return {
-        "request_headers": None,
-        "response_headers": None,
-        "request_complete": False,
-        "response_complete": False,
-        "messages": 0,
-        "duration_ns": 0,
-        "first_us": int(ts_us),
-        "last_us": int(ts_us),
-        "timer_ms": 0,
-    }
-
-
-def _count(totals, row):
-    """Add one message to the totals; whether it ends the exchange."""
-    totals["messages"] += 1
-    totals["first_us"] = min(totals["first_us"], int(row.ts_us))
-    totals["last_us"] = max(totals["last_us"], int(row.ts_us))
-    if row.phase != RESPONSE_TRAILERS and row.duration_ns is not None:
-        totals["duration_ns"] += int(row.duration_ns)
-    if row.phase == REQUEST_HEADERS:
-        totals["request_headers"] = dict(row.headers) if row.headers is not None else {}
-    elif row.phase == RESPONSE_HEADERS:
-        totals["response_headers"] = dict(row.headers) if row.headers is not None else {}
-    if row.ends and row.phase in (REQUEST_HEADERS, REQUEST_BODY):
-        totals["request_complete"] = True
-    answered = bool(row.ends) and row.phase in (RESPONSE_HEADERS, RESPONSE_BODY)
-    totals["response_complete"] = totals["response_complete"] or answered
-    return answered
-
-
-def _closed(key, outcome, totals, chunks):
-    body = {
-        phase: b"".join(
-            bytes(chunk) for _, _, chunk in sorted(c for c in chunks if c[0] == phase)
+        .select(
+            "stream_id",
+            F.when(F.col("response_complete"), "ended").otherwise("timeout").alias("outcome"),
+            "request_headers",
+            "response_headers",
+            "request_complete",
+            "response_complete",
+            "messages",
+            "duration_ns",
+            "first_ts",
+            "last_ts",
         )
-        for phase in (REQUEST_BODY, RESPONSE_BODY)
-    }
-    values = {
-        **totals,
-        "stream_id": key[0],
-        "outcome": outcome,
-        "request_body": body[REQUEST_BODY],
-        "response_body": body[RESPONSE_BODY],
-    }
-    return Row(**{name: values[name] for name, _ in _CLOSED})
+    )
 
 
-def exchange_state(stream, timeout="1 hour", delay="10 minutes"):
-    """One row per exchange, when its response ends or after ``timeout`` without a message.
+def with_bodies(closed, chunks):
+    """Append ``request_body`` and ``response_body`` to closed exchanges, empty where there is none.
 
-    The messages of one exchange meet in one state; header sets, both bodies in ``seq``
-    order and the processing time come out together. A body is one value here; exchanges
-    with bodies beyond that go through ``assemble_bodies``, which cuts them in segments.
+    ``chunks`` is the table of the same messages. The bytes are shuffled once and put together
+    in the JVM; a body of several segments is put together only here, for bodies that fit one value.
     """
-    use_rocksdb(stream.sparkSession)
-    closed = (
-        stream.select(
-            "stream_id",
-            "seq",
-            "phase",
-            "headers",
-            "chunk",
-            "ts",
-            F.unix_micros("ts").alias("ts_us"),
-            F.coalesce("end_of_stream", F.lit(False)).alias("ends"),
-            "duration_ns",
-        )
-        .withWatermark("ts", delay)
-        .groupBy("stream_id")
-        .transformWithState(
-            _Exchange(micros(timeout)),
-            outputStructType=CLOSED_EXCHANGE,
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    sent = chunks.filter(F.col("phase").isin(REQUEST_BODY, RESPONSE_BODY))
+    segments = assemble_bodies(sent.select("stream_id", "phase", "seq", "chunk", "end_of_stream"))
+    side = lambda phase: F.coalesce(
+        F.expr(f"listagg(if(phase = {phase}, body, null)) within group (order by segment)"), F.lit(b"")
+    )
+    bodies = segments.groupBy("stream_id").agg(
+        side(REQUEST_BODY).alias("request_body"), side(RESPONSE_BODY).alias("response_body")
+    )
+    return (
+        closed.join(bodies, "stream_id", "left")
+        .withColumn("request_body", F.coalesce("request_body", F.lit(b"")))
+        .withColumn("response_body", F.coalesce("response_body", F.lit(b"")))
     )
-    return closed.withColumns(
-        {"first_ts": F.timestamp_micros("first_us"), "last_ts": F.timestamp_micros("last_us")}
-    ).drop("first_us", "last_us")

@@ -1,13 +1,10 @@
 """Rolling byte snapshots: a stream cut into chunks, kept in a trimmed buffer, emitted per tick."""
 
-import pandas as pd
 from pyspark.sql import Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.numbers import divided
 from ..functions.timing import micros, tick_of
 from ..operators.scans import SLICE_ROWS, running, running_sum
-from ..session import use_rocksdb
 
 # Default chunk, limit and trim in bytes of the two sources (fixed values).
 MESSAGE_BUFFER = (160_000, 1_440_000, 1_120_000)
@@ -54,7 +51,18 @@ def rolling_snapshots(
     and no buffer is carried from row to row.
     """
     _check(chunk_bytes, max_bytes, trim_bytes)
-    width = micros(interval)
+    placed, sums = _placed(df, interval)
+    snapshots = _grown(sums, chunk_bytes).select(
+        "stream_id",
+        F.timestamp_micros((F.col("tick") + 1) * micros(interval)).alias("tick"),
+        buffer_start(F.col("chunks"), chunk_bytes, max_bytes, trim_bytes).alias("start"),
+        (F.col("chunks") * chunk_bytes).alias("end"),
+    )
+    return _with_content(snapshots, placed, max_bytes)
+
+
+def _placed(df, interval):
+    """Messages with the stream offsets (from, upto) of their bytes, and the slice sums."""
     messages = df.filter(F.octet_length("data") > 0).select(
         "stream_id",
         "seq",
@@ -74,13 +82,11 @@ def rolling_snapshots(
         },
         with_summaries=True,
     )
-    placed = placed.withColumn("from", F.col("upto") - F.col("n"))
-    snapshots = _grown(sums, chunk_bytes).select(
-        "stream_id",
-        "tick",
-        buffer_start(F.col("chunks"), chunk_bytes, max_bytes, trim_bytes).alias("start"),
-        (F.col("chunks") * chunk_bytes).alias("end"),
-    )
+    return placed.withColumn("from", F.col("upto") - F.col("n")), sums
+
+
+def _with_content(snapshots, placed, max_bytes):
+    """The bytes of each snapshot (stream_id, tick, start, end), block by block."""
 
     def blocks(start, end):
         return F.explode(
@@ -129,7 +135,7 @@ def rolling_snapshots(
     )
     return snapshots.join(bodies, ["stream_id", "tick"], "left").select(
         "stream_id",
-        F.timestamp_micros((F.col("tick") + 1) * width).alias("tick"),
+        "tick",
         F.col("start").alias("buffer_start"),
         F.col("end").alias("buffer_end"),
         F.coalesce("body", F.lit(b"")).alias("body"),
@@ -148,107 +154,54 @@ def _grown(sums, chunk_bytes):
     return counted.filter(F.col("chunks") > F.col("before"))
 
 
-class _RollingBuffer(StatefulProcessor):
-    """One buffer per stream: bytes waiting for a whole chunk, and the trimmed rest."""
-
-    def __init__(self, chunk_bytes, max_bytes, trim_bytes, width):
-        self.sizes = (chunk_bytes, max_bytes, trim_bytes)
-        self.width = width
-
-    def init(self, handle):
-        self.handle = handle
-        self.state = handle.getValueState(
-            "buffer",
-            "waiting binary, buffer binary, received bigint, start bigint, fresh boolean, tick bigint",
-        )
+def stream_tick_bytes(df, interval=DEFAULT_INTERVAL, delay="10 seconds"):
+    """(stream_id, tick, bytes): what every tick of a stream received, given out as ticks close.
 
-    def _load(self):
-        if self.state.exists():
-            waiting, buffer, received, start, fresh, tick = self.state.get()
-            return bytearray(waiting), bytearray(buffer), received, start, fresh, tick
-        return bytearray(), bytearray(), 0, 0, False, None
+    This is all a snapshot needs of the stream: sums, kept in the JVM with partial aggregation,
+    so that one busy stream is not one task. The bytes stay in the table of messages.
+    """
+    rows = df.withWatermark("ts", delay) if df.isStreaming else df
+    return (
+        rows.groupBy("stream_id", F.window("ts", interval).alias("__w"))
+        .agg(F.sum(F.coalesce(F.octet_length("data"), F.lit(0)).cast("long")).alias("bytes"))
+        .select("stream_id", F.col("__w.end").alias("tick"), "bytes")
+    )
 
-    def _frame(self, key, rows):
-        return pd.DataFrame(
-            [(key[0], (t + 1) * self.width, s, e, b) for t, s, e, b in rows],
-            columns=["stream_id", "tick_us", "buffer_start", "buffer_end", "body"],
-        )
 
-    def handleInputRows(self, key, rows, timerValues):
-        chunk, limit, trim = self.sizes
-        waiting, buffer, received, start, fresh, tick = self._load()
-        # a micro-batch arrives unordered: its rows of one stream are put in order first
-        batches = [batch for batch in rows if len(batch)]
-        if not batches:
-            yield self._frame(key, [])
-            return
-        arrived = pd.concat(batches).sort_values(["now", "seq"], kind="stable")
-        out = []
-        for now, data in zip(arrived["now"], arrived["data"]):
-            now = int(now)
-            if tick is not None and now > tick and fresh:
-                out.append((tick, start, start + len(buffer), bytes(buffer)))
-                fresh = False
-            tick = now if tick is None else max(tick, now)
-            waiting += data or b""
-            while len(waiting) >= chunk:
-                buffer += waiting[:chunk]
-                del waiting[:chunk]
-                received += chunk
-                fresh = True
-                if len(buffer) > limit:
-                    del buffer[:trim]
-                    start += trim
-        self.state.update((bytes(waiting), bytes(buffer), received, start, fresh, tick))
-        if fresh:
-            self.handle.registerTimer((tick + 1) * self.width // 1000)
-        yield self._frame(key, out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        waiting, buffer, received, start, fresh, tick = self._load()
-        out = []
-        if fresh and expiredTimerInfo.getExpiryTimeInMs() >= (tick + 1) * self.width // 1000:
-            out.append((tick, start, start + len(buffer), bytes(buffer)))
-            self.state.update((bytes(waiting), bytes(buffer), received, start, False, tick))
-        yield self._frame(key, out)
-
-    def close(self):
-        pass
-
-
-def stream_rolling_snapshots(
-    df,
+def ranges_of_ticks(
+    ticks,
     chunk_bytes=MESSAGE_BUFFER[0],
     max_bytes=MESSAGE_BUFFER[1],
     trim_bytes=MESSAGE_BUFFER[2],
-    interval=DEFAULT_INTERVAL,
-    delay="10 seconds",
 ):
-    """The same snapshots from a stream, with one state row per stream.
+    """(stream_id, tick, buffer_start, buffer_end) of the ticks that completed a chunk.
 
-    A tick is given out when a later tick's message arrives or the watermark passes it.
-    The interval must be whole milliseconds, the resolution of timers. The messages of one
-    stream are put in order per micro-batch, so bound the micro-batches at the source
-    (``maxFilesPerTrigger``); a table at rest is served by :func:`rolling_snapshots`.
+    Ordered per stream are the ticks, one row each, however many messages they had.
     """
     _check(chunk_bytes, max_bytes, trim_bytes)
-    width = micros(interval)
-    if width % 1000:
-        raise ValueError("interval must be whole milliseconds")
-    use_rocksdb(df.sparkSession)
-    closed = (
-        df.select("stream_id", "seq", "ts", "data", tick_of(F.col("ts"), interval).alias("now"))
-        .withWatermark("ts", delay)
-        .groupBy("stream_id")
-        .transformWithStateInPandas(
-            _RollingBuffer(chunk_bytes, max_bytes, trim_bytes, width),
-            outputStructType=(
-                "stream_id string, tick_us bigint, buffer_start bigint, buffer_end bigint, body binary"
-            ),
-            outputMode="Append",
-            timeMode="EventTime",
-        )
+    history = Window.partitionBy("stream_id").orderBy("tick")
+    counted = ticks.withColumn("chunks", divided(F.sum("bytes").over(history), chunk_bytes)).withColumn(
+        "before", F.lag("chunks", 1, 0).over(history)
+    )
+    return counted.filter(F.col("chunks") > F.col("before")).select(
+        "stream_id",
+        "tick",
+        buffer_start(F.col("chunks"), chunk_bytes, max_bytes, trim_bytes).alias("buffer_start"),
+        (F.col("chunks") * chunk_bytes).alias("buffer_end"),
     )
-    return closed.select(
-        "stream_id", F.timestamp_micros("tick_us").alias("tick"), "buffer_start", "buffer_end", "body"
+
+
+def snapshots_of_ticks(
+    ticks,
+    messages,
+    chunk_bytes=MESSAGE_BUFFER[0],
+    max_bytes=MESSAGE_BUFFER[1],
+    trim_bytes=MESSAGE_BUFFER[2],
+    interval=DEFAULT_INTERVAL,
+):
+    """The snapshots of closed ticks, their bytes read from the table of messages."""
+    ranges = ranges_of_ticks(ticks, chunk_bytes, max_bytes, trim_bytes).select(
+        "stream_id", "tick", F.col("buffer_start").alias("start"), F.col("buffer_end").alias("end")
     )
+    placed, _ = _placed(messages, interval)
+    return _with_content(ranges, placed, max_bytes)

@@ -1,7 +1,8 @@
 """Latest value per tick, and connection sessions; the same call in batch and on a stream.
 
 A ticker becomes an epoch-aligned event-time window. Rows later than the watermark are
-dropped by Spark, which the ticker, having no late data, never had to.
+dropped by Spark, which the ticker, having no late data, never had to; a table at rest is
+streamed without loss by :mod:`.at_rest`.
 """
 
 from pyspark.sql import Window, functions as F

@@ -67,7 +67,7 @@ def test_batched_answers(spark):
     answered = handlers.apply_batched(bodies(spark, "a b", "c", ""), lambda c, e: e.body.decode().split())
     rows = handlers.flatten_batched(answered).orderBy("seq", "response_pos").collect()
     assert [(r.seq, r.response_pos, r.response_body and bytes(r.response_body)) for r in rows] == [
-        (0, 0, b"a"), (0, 1, b"b"), (1, 0, b"c"), (2, None, None),
+        (0, 0, b"a"), (0, 1, b"b"), (1, 0, b"c"),
     ]
 
 
@@ -78,17 +78,28 @@ def test_job_run(spark):
     def work(numbers, factor):
         return {"scaled": numbers.select((F.col("id") * factor).alias("id"))}
 
-    outputs, status = handlers.run_job(work, {"numbers": table}, {"factor": 3, "other": 1}, save=saved.__setitem__)
+    def save(name, df):
+        saved[name] = spark.createDataFrame(df.collect(), df.schema)
+        return saved[name]
+
+    outputs, status = handlers.run_job(work, {"numbers": table}, save, {"factor": 3, "other": 1})
     assert outputs["scaled"].agg(F.sum("id")).first()[0] == 30 and "scaled" in saved
     assert status["state"] == "COMPLETED" and status["ended"] >= status["started"]
-    _, status = handlers.run_job(work, {"numbers": table}, {"factor": 3}, stored_status={"state": "STOPPED"})
+    _, status = handlers.run_job(work, {"numbers": table}, save, {"factor": 3}, stored_status={"state": "STOPPED"})
     assert status["state"] == "STOPPED"
 
+    def late(numbers):
+        return numbers.select(F.raise_error(F.lit("too late")))
+
+    with pytest.raises(Exception, match="too late") as caught:
+        handlers.run_job(late, {"numbers": table}, save)
+    assert caught.value.status["state"] == "ERROR" and "outputs" not in caught.value.status
+
     def fail(numbers):
         raise RuntimeError("no")
 
     with pytest.raises(RuntimeError) as caught:
-        handlers.run_job(fail, {"numbers": table})
+        handlers.run_job(fail, {"numbers": table}, save)
     assert caught.value.status["state"] == "ERROR" and "ended" in caught.value.status
     row = handlers.status_row(spark, caught.value.status).first()
     assert (row.run_id, row.state, row.error) == ("job", "ERROR", "no") and row.ended >= row.started

@@ -138,8 +138,8 @@ def test_size_limit_equals_a_walk(spark):
             else:
                 body, size, done = body + (data or b""), size + len(data or b""), last
         expected[str(stream)] = (body, done, bool(refused))
-    for segment_rows in (4, 1000):
-        made = bodies.assemble_bodies(chunks(spark, rows), 20, segment_rows)
+    for segment_bytes in (4, 1000):
+        made = bodies.assemble_bodies(chunks(spark, rows), 20, segment_bytes)
         got = {}
         for r in sorted(made.collect(), key=lambda r: r.segment):
             body = got.get(r.stream_id, (b"",))[0]
@@ -150,10 +150,40 @@ def test_size_limit_equals_a_walk(spark):
 
 def test_running_body_is_cumulative(spark):
     df = chunks(spark, [("s", 2, i, c, i == 2) for i, c in enumerate([b"ab", None, b"c"])])
-    rows = bodies.running_bodies(df, materialise=True).orderBy("seq").collect()
+    seen = bodies.body_so_far(bodies.running_bodies(df), bodies.assemble_bodies(df))
+    rows = seen.orderBy("seq").collect()
     assert [(r.body_end, bytes(r.body)) for r in rows] == [(2, b"ab"), (2, b"ab"), (3, b"abc")]
 
 
+def test_segments_follow_the_body(spark):
+    """Where its chunks stand in the exchange does not cut a body; its own size does."""
+    df = chunks(spark, [("s", 5, 250 + i, b"0123456789", i == 19) for i in range(20)])
+    (row,) = bodies.assemble_bodies(df).collect()
+    assert (row.segments, row.body_size, bytes(row.body)) == (1, 200, b"0123456789" * 20)
+    cut = bodies.assemble_bodies(df, segment_bytes=60).orderBy("segment").collect()
+    assert [(r.segment, r.offset, len(r.body), r.segments) for r in cut] == [
+        (0, 0, 60, 4), (1, 60, 60, 4), (2, 120, 60, 4), (3, 180, 20, 4),
+    ]
+    seen = bodies.assemble_bodies(df, segment_bytes=60).withColumn("has_body", F.lit(True)).withColumn("seq", F.lit(0))
+    with pytest.raises(Exception, match="several segments"):
+        handlers.apply_operator(seen, lambda c, e: b"x", "postprocessor").collect()
+
+
+def test_inflated_pieces_are_bounded(spark):
+    data = gzip.compress(b"a" * 5_000_000 + b"b", mtime=0)
+    rows = [("s", 5, i, data[at : at + 1000], at + 1000 >= len(data)) for i, at in enumerate(range(0, len(data), 1000))]
+    whole = bodies.assemble_bodies(chunks(spark, rows), segment_bytes=2000).withColumns(
+        {"encoding": F.lit("gzip"), "compressed": F.lit(True)}
+    )
+    found = bodies.decode_bodies(whole, piece_bytes=100_000).orderBy("segment", "piece").collect()
+    assert max(len(r.body) for r in found) <= 100_000 and len(found) >= 50
+    assert b"".join(bytes(r.body) for r in found) == b"a" * 5_000_000 + b"b"
+    assert bodies.gunzip(data, 1000) == (None, "large")
+    assert bodies.gunzip(data)[1] == "good"
+    with pytest.raises(Exception, match="inflates to more"):
+        bodies.decode_bodies(whole.drop("segments", "segment").limit(1).withColumn("body", F.lit(data)), 1000).collect()
+
+
 def test_decompression_outcomes(spark):
     whole = gzip.compress(b"test")
     cases = [
@@ -181,11 +211,11 @@ def test_bad_gzip_in_segments_keeps_its_bytes(spark):
     for name, body in (("good", data), ("bad", broken)):
         pieces = [body[i : i + 16] for i in range(0, len(body), 16)]
         rows += [(name, 2, i, p, i == len(pieces) - 1) for i, p in enumerate(pieces)]
-    made = bodies.assemble_bodies(chunks(spark, rows), segment_rows=2).withColumns(
+    made = bodies.assemble_bodies(chunks(spark, rows), segment_bytes=32).withColumns(
         {"encoding": F.lit("gzip"), "compressed": F.lit(True)}
     )
     found = {}
-    for r in sorted(bodies.decode_bodies(made).collect(), key=lambda r: r.segment):
+    for r in sorted(bodies.decode_bodies(made).collect(), key=lambda r: (r.segment, r.piece)):
         found.setdefault(r.stream_id, [b"", r.decode_error])[0] += bytes(r.body)
     assert found == {"good": [bytes(range(256)) * 8, None], "bad": [broken, bodies.GZIP_ERROR]}
 

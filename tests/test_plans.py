@@ -7,7 +7,7 @@ import pytest
 from millrace.plans import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-BATCH = sorted(n for n in QUERIES if not n.endswith(("_stream", "_state")))
+BATCH = sorted(n for n in QUERIES if not n.endswith(("_stream", "_state", "_job")))
 
 
 @pytest.fixture
@@ -38,7 +38,7 @@ def test_no_query_pairs_rows_without_a_key(spark, no_broadcast):
         ("n1_number_frames", {"event_id", "user_id"}),
         ("k3_delivery_outcomes", {"l_orderkey", "l_linenumber", "l_returnflag"}),
         ("a7_stored_values", {"event_id", "user_id", "event_type", "value"}),
-        ("p17_classify_route", {"event_id", "event_type"}),
+        ("p17_classify_route", {"p_partkey", "p_type", "p_brand", "p_size", "p_retailprice"}),
     ],
 )
 def test_scans_read_only_what_is_used(spark, name, columns):
@@ -53,7 +53,6 @@ def test_scans_read_only_what_is_used(spark, name, columns):
     "name,pushed",
     [
         ("k3_delivery_outcomes", "LessThanOrEqual(l_linenumber,4)"),
-        ("u5_run_job", "EqualTo(o_orderstatus,F)"),
     ],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
@@ -61,6 +60,14 @@ def test_filters_reach_the_scan(spark, name, pushed):
     assert pushed in plan.replace(" ", "")
 
 
+def test_job_filter_reaches_the_scan(spark):
+    from millrace.plans.handlers import orders_by_segment
+
+    read = lambda name: spark.read.parquet(f"{FOLDER}/{name}.parquet")
+    plan = plan_of(orders_by_segment(read("orders"), read("customer"), "F"))
+    assert "EqualTo(o_orderstatus,F)" in plan.replace(" ", "")
+
+
 def test_running_scan_shuffles_rows_once(spark, no_broadcast):
     """Two exchanges by (stream, slice), rows and carry; the others hold slice sums only."""
     plan = plan_of(QUERIES["n1_number_frames"](spark, FOLDER))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.envelope import MESSAGE
 from millrace.operators.joins import correlate, correlate_streams
-from millrace.plans.messages import run_to_table
 from millrace.sources.captures import load_messages
 from millrace.streaming import rolling, windows
-from millrace.streaming.exchanges import exchange_state
+from millrace.streaming.at_rest import run_table_as_stream, run_to_table
+from millrace.streaming.exchanges import exchange_state, with_bodies
 
 START = datetime(2024, 1, 1)
 
@@ -119,11 +119,48 @@ def test_rolling_stream_equals_batch(spark, tmp_path):
     end = max(t for _, _, t, _ in rows)
     rows += [(s, 10_000, end + 600, b"") for s in ("s0", "s1", "s2")]
     df = messages(spark, rows)
-    stream = rolling.stream_rolling_snapshots(as_stream(spark, df, tmp_path), 5, 20, 12, "2 seconds")
-    got = run_to_table(stream, spark, "rolling")
+    ticks = run_to_table(rolling.stream_tick_bytes(as_stream(spark, df, tmp_path), "2 seconds"), "rolling")
+    got = rolling.snapshots_of_ticks(ticks, df, 5, 20, 12, "2 seconds")
     assert shown(got, 2) == fold(rows, 5, 20, 12, 2)
 
 
+def scattered(spark, df, tmp_path, files=40):
+    """The same rows in many files, in no order."""
+    path = str(tmp_path / "scattered")
+    df.repartition(files, F.rand(seed=5)).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def test_streams_over_forty_files_are_complete(spark, tmp_path):
+    """Nothing is lost and nothing stays open, whatever files a table has."""
+    rng = random.Random(4)
+    rows = [(f"s{i % 5}", i, i * 40 + rng.randrange(2000), b"x" * rng.randrange(9)) for i in range(400)]
+    df = messages(spark, rows)
+    table = scattered(spark, df, tmp_path)
+    key = lambda r: (r.stream_id, r.tick, r.seq, bytes(r.data), r.messages)
+    latest = run_table_as_stream(
+        table, lambda s: windows.conflate_latest(s, "1 hour", delay="1 second"), "latest", ("1 hour", "1 second")
+    )
+    assert sorted(map(key, latest.collect())) == sorted(map(key, windows.conflate_latest(df, "1 hour").collect()))
+    ticks = run_table_as_stream(
+        table, lambda s: rolling.stream_tick_bytes(s, "1 minute", "1 second"), "ticks", ("1 minute", "1 second")
+    )
+    ordered = [(s, q, t, d) for s, q, t, d in sorted(rows, key=lambda r: (r[2], r[1]))]
+    renumbered = messages(spark, [(s, k, t, d) for k, (s, _, t, d) in enumerate(ordered)])
+    got = rolling.snapshots_of_ticks(ticks, renumbered, 5, 20, 12, "1 minute")
+    assert shown(got, 60) == fold([(s, k, t, d) for k, (s, _, t, d) in enumerate(ordered)], 5, 20, 12, 60)
+
+
+def test_dropped_rows_are_an_error(spark, tmp_path):
+    df = messages(spark, [("s", i, t, b"x") for i, t in enumerate([0, 10_000, 20_000, 1, 2, 30_000])])
+    path = str(tmp_path / "in")
+    for lo, hi in ((9_999, 20_001), (29_999, 30_001), (0, 2)):
+        df.filter(F.col("ts").between(at(lo), at(hi))).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    with pytest.raises(RuntimeError, match="3 rows came behind"):
+        run_to_table(windows.conflate_latest(stream, "1 second", delay="1 second"), "late")
+
+
 def test_latest_per_tick(spark):
     df = messages(
         spark,
@@ -148,7 +185,7 @@ def test_latest_stream_equals_batch(spark, tmp_path):
     df = messages(spark, rows)
     batch = windows.conflate_latest(df, "10 seconds").collect()
     stream = windows.conflate_latest(as_stream(spark, df, tmp_path), "10 seconds", delay="5 seconds")
-    got = run_to_table(stream, spark, "latest").collect()
+    got = run_to_table(stream, "latest").collect()
     last = max(r.tick for r in batch)
     key = lambda r: (r.stream_id, r.tick, bytes(r.data), r.messages)
     assert sorted(map(key, got)) == sorted(key(r) for r in batch if r.tick < last)
@@ -166,7 +203,7 @@ def test_sessions(spark, tmp_path):
     ]
     more = messages(spark, rows + [("s", 99, 9000, b"f")])
     stream = windows.connection_sessions(as_stream(spark, more, tmp_path), delay="1 second")
-    got = run_to_table(stream, spark, "sessions").orderBy("session_start").collect()
+    got = run_to_table(stream, "sessions").orderBy("session_start").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in batch]
 
 
@@ -190,22 +227,38 @@ def exchange_rows(spark):
 
 def test_exchange_state(spark, tmp_path):
     seen = exchange_rows(spark)
-    # three files: the first exchange is spread over micro-batches
-    path = str(tmp_path / "in")
-    for lo, hi in ((0, 1.5), (1.6, 10), (11, 9999)):
-        part = seen.filter((F.unix_seconds("ts") >= 0) & F.col("ts").between(at(lo), at(hi)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = {r.stream_id: r for r in run_to_table(exchange_state(stream, "1 minute", "1 second"), spark, "closed").collect()}
-    assert set(got) == {"a", "b"}
+    columns = [c for c in seen.columns if c != "chunk"]
+    closed = run_table_as_stream(
+        scattered(spark, seen.select(*columns), tmp_path, 5),
+        lambda s: exchange_state(s, "1 minute", "1 second"),
+        "closed",
+        ("1 minute", "1 second"),
+    )
+    got = {r.stream_id: r for r in with_bodies(closed, seen).collect()}
+    assert set(got) == {"a", "b", "c"}
     a, b = got["a"], got["b"]
     assert (a.outcome, bytes(a.request_body), bytes(a.response_body), a.duration_ns, a.messages) == (
         "ended", b"hello", b"bye", 25, 5,
     )
-    assert a.request_complete and a.response_complete and a.response_headers == {":status": "200"}
+    # pseudo headers are in no header set
+    assert a.request_complete and a.response_complete and a.response_headers == {} and a.request_headers == {}
     assert (b.outcome, b.response_headers, bytes(b.request_body)) == ("timeout", None, b"")
 
 
+def test_trailers_end_an_exchange_and_late_messages_join_it(spark):
+    rows = [
+        ("t", 0, 1, {":path": "/", "x-a": "1"}, None, False, at(0), 5),
+        ("t", 1, 4, {":status": "200", "x-b": "2"}, None, False, at(1), 5),
+        ("t", 2, 5, None, b"part", False, at(2), 5),
+        ("t", 3, 6, None, None, False, at(3), 9),
+        ("t", 4, 5, None, b" late", False, at(30), 5),
+    ]
+    seen = spark.createDataFrame(rows, exchange_rows(spark).schema)
+    (row,) = with_bodies(exchange_state(seen, "1 minute"), seen).collect()
+    assert (row.outcome, row.messages, row.duration_ns, bytes(row.response_body)) == ("ended", 5, 20, b"part late")
+    assert (row.request_headers, row.response_headers) == ({"x-a": "1"}, {"x-b": "2"})
+
+
 def test_correlation_stream_keeps_unanswered(spark, tmp_path):
     seen = exchange_rows(spark).select("stream_id", "phase", "ts")
     batch = correlate(
@@ -223,7 +276,7 @@ def test_correlation_stream_keeps_unanswered(spark, tmp_path):
         .filter(F.col("phase") == phase).select("stream_id", "ts")
     )
     joined = correlate_streams(source(1), source(4), "1 minute", "1 second")
-    got = {r.stream_id: r.answered for r in run_to_table(joined, spark, "joined").collect()}
+    got = {r.stream_id: r.answered for r in run_to_table(joined, "joined").collect()}
     assert got == {"a": True, "b": False, "c": False, "z": True, "y": True}
 
 
@@ -235,4 +288,4 @@ def test_message_loader_streams_and_maps_columns(spark, tmp_path):
     assert batch.schema.simpleString() == MESSAGE.simpleString()
     stream = load_messages(spark, path, streaming=True, columns=columns)
     assert stream.isStreaming
-    assert run_to_table(stream, spark, "loaded").first().stream_id == "x"
+    assert run_to_table(stream, "loaded").first().stream_id == "x"

@@ -204,7 +204,7 @@ def test_readiness(spark):
         [("1", "test-model", "1.0"), ("2", "wrong-model", "1.0"), ("3", "test-model", ""), ("4", "test-model", "9"), ("5", "test-model", None)],
         "id string, model_name string, model_version string",
     )
-    got = {r.id: r.ready for r in joins.model_readiness(asked, models).collect()}
+    got = {r.id: r.ready for r in joins.model_readiness(asked, models, "id").collect()}
     assert got == {"1": True, "2": False, "3": True, "4": False, "5": True}
 
 
@@ -217,7 +217,39 @@ def test_declared_tensors(spark):
         [("1", "m", "a", "FP32", [1, 7]), ("1", "m", "x", "FP32", [1]), ("2", "m", "a", "FP64", [1, 7]), ("2", "m", "b", "INT8", [3])],
         "id string, model_name string, name string, datatype string, shape array<bigint>",
     )
-    got = {(r.id, r.name): r.verdict for r in joins.model_metadata(sent, models).collect()}
+    rows = sent.withColumn("row", F.col("id")).withColumn("id", F.lit(""))
+    got = {(r.row, r.name): r.verdict for r in joins.model_metadata(rows, models, "row").collect()}
     assert got == {
         ("1", "a"): "ok", ("1", "x"): "undeclared", ("1", "b"): "missing", ("2", "a"): "datatype", ("2", "b"): "shape",
     }
+
+
+def coerced(spark, datatype, data):
+    df = spark.createDataFrame([(datatype, data)], "datatype string, json string")
+    return tensors.coerce_outputs(df.select("datatype", F.parse_json("json").alias("data"))).first().tensor
+
+
+@pytest.mark.parametrize(
+    "datatype,family,expected",
+    [
+        ("INT8", "ints", [0, -3, 2, None, None, 0]),
+        ("UINT16", "ints", [0, None, 2, 3_000_000_000, None, 0]),
+        ("INT64", "ints", [0, -3, 2, 3_000_000_000, None, 0]),
+        ("UINT64", "uints", [0, None, 2, 3_000_000_000, 18446744073709551615, 0]),
+    ],
+)
+def test_numbers_are_cut_toward_zero_and_held_to_their_list(spark, datatype, family, expected):
+    found = coerced(spark, datatype, '[-0.5, -3.7, 2.9, 3000000000.5, 18446744073709551615, "7"]')
+    assert [None if v is None else int(v) for v in found[family]] == expected
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [("YQ==", b"a"), ("YWI=", b"ab"), ("YWJj", b"abc"), ("", b""), ("YW\\r\\nJj", b"abc"),
+     ("YQ", None), ("Y Q==", None), ("YQ=", None), ("=YQ=", None), ("YQ-_", None)],
+)
+def test_base64_is_standard(spark, text, expected):
+    df = spark.createDataFrame([("BYTES", f'"{text}"')], "datatype string, json string")
+    row = tensors.decode_bytes_tensors(df.select("datatype", F.parse_json("json").alias("data"))).first()
+    assert (row.decoded if row.decoded is None else bytes(row.decoded)) == expected
+    assert (row.decoded_error is None) == (expected is not None)
