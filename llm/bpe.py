@@ -18,14 +18,15 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import once_per_process
+from .common import Scratch, kth_largest, once_per_process
 from .transducer import Lexicon, build
 from .words import chunks, mix, powers
 
 _EDGE = 0x110000  # stands between texts, outside of Unicode
 _LETTER, _NUMBER, _OTHER, _SPACE, _BORDER = range(5)
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-_LONG = 1 << 22
+_LONG = 1 << 21
+_CHUNK = 1 << 21  # characters looked at together; arrays take some 50 bytes a character
 
 
 def _classes() -> np.ndarray:
@@ -175,7 +176,7 @@ class Vocabulary:
 
     def _encode_plain(self, texts, lexicon):
         ids, bounds, base = [], [np.zeros(1, np.int64)], 0
-        for a, b in chunks(texts):
+        for a, b in chunks(texts, _CHUNK):
             some, where = self._encode_chunk(texts[a:b], lexicon)
             ids.append(some)
             bounds.append(where[1:] + base)
@@ -252,9 +253,9 @@ def text_batches(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def frequent_words(docs: DataFrame, file: str, words: int = 1 << 16, least: int = 8) -> list[tuple[bytes, int]]:
-    """The most frequent words of all texts, counted where they occur ``least`` times in a chunk of 4 MB.
+    """The most frequent words of all texts, counted where they occur ``least`` times in a chunk of 2 MB.
 
-    A word that makes up two millionths of the bytes of all texts is counted in at least one chunk.
+    A word that makes up some four millionths of the characters of all texts is counted in at least one chunk.
     At most ``words`` rows reach the driver.
     """
     shared = docs.sparkSession.sparkContext.broadcast(file)
@@ -263,7 +264,7 @@ def frequent_words(docs: DataFrame, file: str, words: int = 1 << 16, least: int
         v = vocabulary(shared.value)
         for batch in batches:
             texts = [p for t in text_batches(batch) for p in _cut(t)]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, _CHUNK):
                 found, which, _ = v.words(texts[a:b])
                 count = np.bincount(which, minlength=len(found))
                 rows = np.flatnonzero(count >= least)
@@ -272,8 +273,16 @@ def frequent_words(docs: DataFrame, file: str, words: int = 1 << 16, least: int
                     ["word", "n"],
                 )
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [(bytes(r.word), r.n) for r in counted.orderBy(F.desc("n"), "word").limit(words).collect()]
+    scratch = Scratch(docs.sparkSession, "words")
+    counted = scratch.keep(
+        docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
+    )
+    # more than the count just beyond the last place: at most so many words, without sorting them all
+    beyond = kth_largest(counted, "n", words + 1)
+    top = counted if beyond is None else counted.filter(F.col("n") > beyond)
+    rows = [(bytes(r.word), r.n) for r in top.collect()]
+    scratch.drop(counted)
+    return rows
 
 
 def compile_lexicon(docs: DataFrame, file: str, words: int = 1 << 16) -> bytes:

@@ -194,6 +194,7 @@ def redact(docs: DataFrame, reach: int = 200, mark: str = "[SECRET]") -> DataFra
         lambda acc: F.array_append(acc["keep"], F.struct((acc["at"] + 1).alias("at"), F.lit((1 << 31) - 1).alias("n"))),
     )
     clean = F.array_join(F.transform(far, lambda k: F.substring(F.col("text"), k["at"], k["n"])), mark)
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)
-    out = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    # a column of its own first: beside an alias ``text`` the name would mean that alias inside a lambda
+    joined = joined.withColumn("__clean", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean))
+    out = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
     return joined.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])

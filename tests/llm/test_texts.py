@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from tokenizers import Tokenizer
 
@@ -258,13 +259,30 @@ def test_fingerprints_of_edits(docs, no_docs):
         edited = t[: len(t) - n] + following[:n]
         expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
     assert multiset((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == multiset(expected)
-    parts = defaultdict(set)
+    # the fingerprints by plain Python: a band of terms, and the subsets each term is drawn into
+    def terms(text):
+        return {x for x in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if x}
+
+    def digest(text):
+        return hashlib.md5(text.encode()).hexdigest()[:8]
+
+    count = Counter(x for _, t in TEXTS for x in terms(t or ""))
+    band = {x for x, n in count.items() if 2 <= n <= max(2, len(TEXTS) * 0.5)}
+
+    def fingerprint(text):
+        found = sorted(terms(text) & band, key=str.encode)
+        parts = [digest(" ".join(found) if found else text)]
+        for rate in imatch.RATES:
+            for n in range(imatch.REPEATS):
+                drawn = [x for x in found if int(hashlib.md5(f"{rate}.{n}:{x}".encode()).hexdigest()[:4], 16) < 1 << 16 >> rate]
+                parts.append(digest(" ".join(drawn)) if drawn else "00000000")
+        return parts
+
+    assert len(band) > 50
+    assert multiset((r.doc_id, tuple(r.parts)) for r in rows) == multiset((i, tuple(fingerprint(t or ""))) for i, t in TEXTS)
     for r in rows:
-        parts[dict(((i, t), t or "") for i, t in TEXTS)[next((i, t) for i, t in TEXTS if i == r.doc_id)]].add(tuple(r.parts))
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert (r.near_edited == 1) or r.parts[0] != r.edited_parts[0]
-    assert all(len(p) == 1 for p in parts.values())
-    assert parts[TEXTS[0][1]] == parts[TEXTS[4][1]] and len({next(iter(p)) for p in parts.values()}) == len(parts) - 1
+        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert r.parts[0] != r.edited_parts[0] or r.near_edited == 1
     assert imatch.fingerprint_edits(no_docs).count() == 0
 
 
@@ -304,7 +322,7 @@ def test_windows_use_every_piece_and_little_padding():
             for n, k in pattern.items():
                 left[n] -= k * times
         assert not any(left.values())
-        assert padding <= 0.01 * total + capacity
+        assert padding <= 0.06 * total  # half of the pieces are longer than half a window
 
 
 def test_closest_fill_is_the_best_sum():
