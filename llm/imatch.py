@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Subsets take a term with probability 2 ** -r.
 RATES = (2, 4, 6, 8, 10)
 REPEATS = 8
-RAREST, COMMONEST = 1 / 4000, 1 / 20
+RAREST, COMMONEST = 1 / 2000, 1 / 100
 _SUBSETS = [(rate, n) for rate in RATES for n in range(REPEATS)]
 _EMPTY = "00000000"
 
@@ -45,18 +45,44 @@ def lexicon(texts: DataFrame, rarest: float = RAREST, commonest: float = COMMONE
     )
 
 
-def _parts(found: Column, fallback: Column) -> Column:
-    """The hashes of a sorted list of (term, mask): the whole list and each subset of it."""
+#: What a list without terms hashes to.
+_NOTHING = "d41d8cd9"
 
-    def digest(rows: Column) -> Column:
-        return F.substring(F.md5(F.array_join(F.transform(rows, lambda r: r["term"]), " ")), 1, 8)
 
-    def subset(k: int) -> Column:
-        rows = F.filter(found, lambda r: F.getbit(r["mask"], F.lit(k)) == 1)
-        return F.when(F.size(rows) == 0, F.lit(_EMPTY)).otherwise(digest(rows))
+def _digest(rows: Column, held=None) -> Column:
+    """Hash of the terms of a sorted list; those that are not held are skipped as nulls."""
+    words = F.transform(rows, lambda r: r["term"] if held is None else F.when(held(r["mask"]), r["term"]))
+    return F.substring(F.md5(F.array_join(words, " ")), 1, 8)
 
-    whole = F.when(F.size(found) == 0, fallback).otherwise(digest(found))
-    return F.array(whole, *[subset(k) for k in range(len(_SUBSETS))])
+
+def _with_parts(df: DataFrame, out: str, found: str, fallback: str) -> DataFrame:
+    """Add the hashes of a sorted list of (term, mask): the whole list and each subset of it.
+
+    Subsets of a low rate only look at the terms that any subset of such a rate holds. Each
+    list is a column of its own, as an expression used by many others would be worked out anew
+    by each.
+    """
+    lists = {}
+    for k, rate in enumerate(RATES):
+        name = f"__terms_{rate}"
+        if k == 0:
+            lists[rate] = found
+            continue
+        lower = sum(1 << n for n in range(k * REPEATS, len(_SUBSETS)))
+        df = df.withColumn(name, F.filter(lists[RATES[k - 1]], lambda r: r["mask"].bitwiseAND(F.lit(lower)) != 0))
+        lists[rate] = name
+
+    def subset(k: int, rate: int) -> Column:
+        bit = F.lit(1 << k)
+        return _digest(F.col(lists[rate]), lambda mask: mask.bitwiseAND(bit) != 0)
+
+    hashes = F.array(*[subset(k, rate) for k, (rate, _) in enumerate(_SUBSETS)])
+    whole = F.when(F.size(found) == 0, F.col(fallback)).otherwise(_digest(F.col(found)))
+    df = df.withColumn("__hashes", hashes).withColumn(
+        out,
+        F.concat(F.array(whole), F.transform("__hashes", lambda h: F.when(h == _NOTHING, F.lit(_EMPTY)).otherwise(h))),
+    )
+    return df.drop("__hashes", *[c for c in lists.values() if c != found])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -178,9 +204,11 @@ def fingerprint_edits(docs: DataFrame, rarest: float = RAREST, commonest: float
         "block",
         "place",
         "about.*",
-        _parts(F.filter("found", lambda r: r["form"] == 0), F.col("about.plain")).alias("parts"),
-        _parts(F.filter("found", lambda r: r["form"] == 1), F.col("about.edited_plain")).alias("edited_parts"),
+        F.filter("found", lambda r: r["form"] == 0).alias("own"),
+        F.filter("found", lambda r: r["form"] == 1).alias("changed"),
     )
+    parted = _with_parts(parted, "parts", "own", "plain")
+    parted = _with_parts(parted, "edited_parts", "changed", "edited_plain").drop("own", "changed")
     following = F.lead("parts").over(Window.partitionBy("block").orderBy("place"))
     return (
         parted.withColumn("next_parts", following)
