@@ -175,57 +175,83 @@ def normalize_events(df, trigger):
     return df.select(*columns)
 
 
+def _query_field(column, key, as_):
+    """A field of a query map (name to list of text values)."""
+    values = F.try_element_at(F.col(column), F.lit(key))
+    if as_ == "string":
+        return F.coalesce(F.array_join(values, ","), F.lit(""))
+    return F.when(
+        F.coalesce(F.size(values), F.lit(0)) > 0, parse_integer(F.get(values, F.lit(0)))
+    ).otherwise(F.lit(0).cast("bigint"))
+
+
 def typed_field(df, key, as_, trigger, column="fields", out="field"):
-    """Append one event field, coerced by its trigger's rule.
+    """Append one event field, coerced by its trigger's rule; see :func:`typed_fields`."""
+    return typed_fields(df, [(key, as_, trigger, out)], column)
+
+
+def typed_fields(df, reads, column="fields"):
+    """Append event fields ``(key, as_, trigger, out)``, each coerced by its trigger's rule.
+
+    ``as_`` is string, int or bytes: the UTF-8 of a text, null for what is none. ``column`` is a VARIANT object or a map of
+    VARIANT or of text; for *extproc* it is the query map (name to list of text values).
 
-    ``column`` is a VARIANT object or a map of VARIANT or of text; for *extproc* it is the query map
-    (name to list of text values).
+    A key is read once however many fields are made of it, its kind is found once, and only
+    floats that become text are spelled out. Each step is one projection for all keys, so what
+    later steps use several times is computed once.
     """
-    if as_ not in ("string", "int"):
-        raise ValueError(f"as_ must be 'string' or 'int': {as_}")
-    if trigger not in _SHAPES:
-        raise ValueError(f"unknown trigger: {trigger}")
-    if trigger == "extproc":
-        values = F.try_element_at(F.col(column), F.lit(key))
-        if as_ == "string":
-            value = F.coalesce(F.array_join(values, ","), F.lit(""))
-        else:
-            value = F.when(
-                F.coalesce(F.size(values), F.lit(0)) > 0, parse_integer(F.get(values, F.lit(0)))
-            ).otherwise(F.lit(0).cast("bigint"))
-        return df.withColumn(out, value)
-    holds = df.schema[column].dataType.typeName()
-    source = (
-        F.try_element_at(F.col(column), F.lit(key))
-        if holds == "map"
-        else member(F.col(column), key)
-    )
-    if holds == "map" and df.schema[column].dataType.valueType.typeName() == "string":
+    for _, as_, trigger, _ in reads:
+        if as_ not in ("string", "int", "bytes"):
+            raise ValueError(f"as_ must be 'string', 'int' or 'bytes': {as_}")
+        if trigger not in _SHAPES:
+            raise ValueError(f"unknown trigger: {trigger}")
+    kind_of_column = df.schema[column].dataType
+    is_map = kind_of_column.typeName() == "map"
+
+    def source(key):
+        if not is_map:
+            return member(F.col(column), key)
+        found = F.try_element_at(F.col(column), F.lit(key))
         # a field map of texts only, as the envelope has it
-        source = source.cast("variant")
-    # one projection a step, so that what later steps use several times is computed once
-    found = (
-        df.withColumn("__value", source)
-        .withColumn("__schema", F.schema_of_variant("__value"))
-        .withColumn("__kind", kind_of_schema(F.col("__schema")))
-    )
-    value, kind, number = F.col("__value"), F.col("__kind"), None
-    if as_ == "string" and trigger == "job":
-        found = found.withColumn("__double", F.when(kind == "float", as_double(value)))
-        found = found.withColumn("__short", short_number(F.col("__double")))
-        short = F.col("__short")
-        found = found.withColumns(
-            {"__digits": number_digits(short), "__exponent": number_exponent(short)}
-        )
-        number = plain_number(short, F.col("__digits"), F.col("__exponent"))
-    result = (
-        field_text(value, kind, trigger, number)
-        if as_ == "string"
-        else field_integer(value, kind, trigger)
-    )
-    return found.withColumn(out, result).drop(
-        "__value", "__schema", "__kind", "__double", "__short", "__digits", "__exponent"
-    )
+        return found.cast("variant") if kind_of_column.valueType.typeName() == "string" else found
+
+    plain = [r for r in reads if r[2] != "extproc"]
+    keys = list(dict.fromkeys(r[0] for r in plain))
+    spelled = [k for k, key in enumerate(keys) if any(r[0] == key and r[1] == "string" and r[2] == "job" for r in plain)]
+    every = range(len(keys))
+    name = "__{}_{}".format
+    steps = [
+        {name("value", k): source(keys[k]) for k in every},
+        {name("schema", k): F.schema_of_variant(name("value", k)) for k in every},
+        {name("kind", k): kind_of_schema(F.col(name("schema", k))) for k in every},
+        {name("double", k): F.when(F.col(name("kind", k)) == "float", as_double(F.col(name("value", k)))) for k in spelled},
+        {name("short", k): short_number(F.col(name("double", k))) for k in spelled},
+        {
+            name(part, k): make(F.col(name("short", k)))
+            for k in spelled
+            for part, make in (("digits", number_digits), ("exponent", number_exponent))
+        },
+    ]
+    found = df
+    for step in steps:
+        if step:
+            found = found.withColumns(step)
+
+    def result(key, as_, trigger):
+        if trigger == "extproc":
+            value = _query_field(column, key, "int" if as_ == "int" else "string")
+            return value.cast("binary") if as_ == "bytes" else value
+        k = keys.index(key)
+        own = lambda part: F.col(name(part, k))
+        if as_ == "int":
+            return field_integer(own("value"), own("kind"), trigger)
+        if as_ == "bytes":
+            return F.when(own("kind") == "string", as_text(own("value")).cast("binary"))
+        number = plain_number(own("short"), own("digits"), own("exponent")) if trigger == "job" else None
+        return field_text(own("value"), own("kind"), trigger, number)
+
+    made = found.withColumns({out: result(key, as_, trigger) for key, as_, trigger, out in reads})
+    return made.drop(*[c for step in steps for c in step])
 
 
 def union_events(*dfs):

@@ -252,13 +252,18 @@ def header_mutations(ops):
     return sets.unionByName(removes, allowMissingColumns=True)
 
 
-def replace_body(df, replacement="replacement", body="body"):
-    """Body replaced unless the replacement is empty, with the length header that goes with it."""
+def replace_body(df, replacement="replacement", body="body", clear=None):
+    """Body replaced unless the replacement is empty, with the length header that goes with it.
+
+    ``clear`` names a column of flags: where it is true the body is emptied instead, and its
+    length header stays as it is.
+    """
     size = F.octet_length(F.col(replacement))
-    changed = F.coalesce(size, F.lit(0)) > 0
+    cleared = F.lit(False) if clear is None else F.coalesce(F.col(clear), F.lit(False))
+    changed = (F.coalesce(size, F.lit(0)) > 0) & ~cleared
     return df.withColumns(
         {
-            body: F.when(changed, F.col(replacement)).otherwise(F.col(body)),
+            body: F.when(cleared, F.lit(b"")).when(changed, F.col(replacement)).otherwise(F.col(body)),
             "content_length": F.when(changed, size),
             "length_action": F.when(changed, F.lit(OVERWRITE)),
         }

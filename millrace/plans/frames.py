@@ -77,29 +77,41 @@ def mux_query(spark, folder):
     return muxed.withColumn("content", digest("content"))
 
 
-@query(
-    "s4_demux_captures",
-    f"""
-    WITH {PAGE_FRAMES}
-    SELECT url, frame_num, 'Content-Length=' || octet_length(encode(html)) || '&Content-Type=image/jpeg' AS headers,
-           md5(html) AS body
-    FROM page_frames
-    """,
-)
-def demux_query(spark, folder):
-    """Captures written by the multipart sink, taken apart again."""
+_DEMUXED = f"""
+WITH {PAGE_FRAMES}
+SELECT url, frame_num, 'Content-Length=' || octet_length(encode(html)) || '&Content-Type=image/jpeg' AS headers,
+       md5(html) AS body
+FROM page_frames
+"""
+
+
+def _captures(spark, folder):
     muxed = mux_frames(
         frames.number_frames(page_frames(spark, folder)), boundary="cut here", segment_frames=16
     )
-    captures = muxed.select(
+    return muxed.select(
         F.col("url").alias("path"),
         "segment",
+        "frames",
         "content",
         F.lit("multipart/x-mixed-replace; boundary = cut here").alias("content_type"),
     )
-    return demux_frames(captures).select(
-        "url", "frame_num", map_text("headers").alias("headers"), digest("body").alias("body")
-    )
+
+
+def _frame_columns(df):
+    return df.select("url", "frame_num", map_text("headers").alias("headers"), digest("body").alias("body"))
+
+
+@query("s4_demux_captures", _DEMUXED)
+def demux_query(spark, folder):
+    """Captures written by the multipart sink, taken apart again segment by segment."""
+    return _frame_columns(demux_frames(_captures(spark, folder)))
+
+
+@query("s4_demux_recordings", _DEMUXED)
+def demux_recordings_query(spark, folder):
+    """The same bytes as raw recordings, of which nobody knows where a part begins."""
+    return _frame_columns(demux_frames(_captures(spark, folder).drop("frames")))
 
 
 def _images(spark, folder):

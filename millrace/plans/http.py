@@ -392,7 +392,26 @@ def replace_body_query(spark, folder):
     return http.replace_body(df).withColumn("body", digest("body")).drop("replacement")
 
 
-# Paths of a model-serving endpoint; the last stands for everything else.
+@query(
+    "p16_clear_body",
+    """
+    SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN md5('') ELSE md5(upper(lang) || text) END AS body,
+           CASE WHEN source NOT IN ('src0', 'src1') THEN CAST(octet_length(encode(upper(lang) || text)) AS INTEGER) END AS content_length,
+           CASE WHEN source NOT IN ('src0', 'src1') THEN 'OVERWRITE_IF_EXISTS_OR_ADD' END AS length_action
+    FROM documents
+    """,
+)
+def clear_body_query(spark, folder):
+    """Bodies of some sources emptied, the others replaced."""
+    df = table(spark, folder, "documents").select(
+        "doc_id",
+        F.col("text").cast("binary").alias("body"),
+        F.concat(F.upper("lang"), "text").cast("binary").alias("replacement"),
+        F.col("source").isin("src0", "src1").alias("clear"),
+    )
+    return http.replace_body(df, clear="clear").withColumn("body", digest("body")).drop("replacement", "clear")
+
+
 @query(
     "p17_classify_route",
     """

@@ -267,9 +267,7 @@ def _with_fields(spark, folder):
 
 
 def _read_fields(df, as_, reads):
-    for key, trigger, out in reads:
-        df = ev.typed_field(df, key, as_, trigger, out=out)
-    return df.drop("fields")
+    return ev.typed_fields(df, [(key, as_, trigger, out) for key, trigger, out in reads]).drop("fields")
 
 
 @query(
@@ -329,6 +327,26 @@ def typed_int_query(spark, folder):
     )
 
 
+@query(
+    "p2_typed_field_bytes",
+    f"""
+    WITH {_FIELDS}
+    SELECT event_id, md5(event_type) AS frame_text, NULL::VARCHAR AS frame_of_number, md5(CAST(k AS VARCHAR)) AS socket_digits,
+           NULL::VARCHAR AS infer_missing
+    FROM v
+    """,
+)
+def typed_bytes_query(spark, folder):
+    reads = (
+        ("t", "mjpeg", "frame_text"),
+        ("n", "mjpeg", "frame_of_number"),
+        ("d", "websocket", "socket_digits"),
+        ("none", "openinference", "infer_missing"),
+    )
+    df = _read_fields(_with_fields(spark, folder), "bytes", reads)
+    return df.select("event_id", *[F.md5(out).alias(out) for _, _, out in reads])
+
+
 @query(
     "p2_typed_field_query",
     """

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.numbers import divided
+from ..operators.scans import running, running_sum
 
 FRAME_COLUMNS = ["url", "frame_num", "headers", "body"]
 FRAMES = "url string, frame_num bigint, headers map<string,string>, body binary"
@@ -82,22 +83,34 @@ def demux_frames(captures, boundary=None):
 
     Frames are numbered from 1 per capture; a part without a valid length has no number and
     a truncated tail ends the capture. With a ``segment`` column a capture is the segments
-    of its path in order, however long: they are read one after another and only the part
-    that is being read is held.
+    of its path in order, however long.
+
+    Segments that come with their number of ``frames``, as :func:`mux_frames` writes them,
+    begin at a part: they are read each on its own, by any task, and numbered from the frames
+    before them. Raw recordings may be cut anywhere: their segments are read one after
+    another, and only the part that is being read is held.
     """
-    named, cut = "content_type" in captures.columns, "segment" in captures.columns
+    named, counted = "content_type" in captures.columns, {"segment", "frames"} <= set(captures.columns)
+    cut = "segment" in captures.columns and not counted
     columns = ["path", "content"] + (["content_type"] if named else [])
-    rows = captures.select(*columns, *(["segment"] if cut else []))
-    if cut:
-        rows = rows.repartition("path").sortWithinPartitions("path", "segment")
+    if counted:
+        sizes = captures.select("path", "segment", F.col("frames").cast("long").alias("frames"))
+        summed = running(sizes, ["path"], "segment", {"upto": running_sum(F.col("frames"))})
+        before = summed.select("path", "segment", (F.col("upto") - F.col("frames")).alias("before"))
+        rows = captures.join(before, ["path", "segment"]).select(*columns, "before")
+    elif cut:
+        rows = captures.select(*columns, "segment").repartition("path").sortWithinPartitions("path", "segment")
+    else:
+        rows = captures.select(*columns)
 
     def run(batches):
         path, reader, number, block = None, None, 0, []
         for batch in batches:
             types = batch["content_type"] if named else [None] * len(batch)
-            for here, content, kind in zip(batch["path"], batch["content"], types):
+            starts = batch["before"] if counted else [0] * len(batch)
+            for here, content, kind, start in zip(batch["path"], batch["content"], types, starts):
                 if reader is None or not cut or here != path:
-                    path, number = here, 0
+                    path, number = here, int(start)
                     reader = PartReader(boundary or boundary_of(kind) or DEFAULT_BOUNDARY)
                 for headers, body in reader.feed(content):
                     number += 1
