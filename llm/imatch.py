@@ -26,63 +26,25 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"))
 
 
-def _mask() -> Column:
-    """Which subsets hold a term, one bit each."""
-    mask = F.lit(0).cast("long")
-    for k, (rate, n) in enumerate(_SUBSETS):
-        drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{rate}.{n}:"), "term")), 1, 4), 16, 10).cast("int")
-        mask = mask + F.when(drawn < (1 << 16 >> rate), F.lit(1 << k).cast("long")).otherwise(0)
-    return mask
+def _drawn() -> Column:
+    """The parts of a fingerprint a term counts in: 0, the whole list, and the subsets that draw it."""
+
+    def subset(k: int, rate: int, n: int) -> Column:
+        number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{rate}.{n}:"), "term")), 1, 4), 16, 10).cast("int")
+        return F.when(number < (1 << 16 >> rate), F.lit(k + 1))
+
+    drawn = [subset(k, rate, n) for k, (rate, n) in enumerate(_SUBSETS)]
+    return F.array_compact(F.array(F.lit(0), *drawn))
 
 
 def lexicon(texts: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """(term, mask) of the terms whose share of the rows of ``texts`` (column ``t``) lies in the band."""
+    """(term, drawn) of the terms whose share of the rows of ``texts`` (column ``t``) lies in the band."""
     n = texts.count()
     counted = texts.select(F.explode(terms(F.col("t"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     least, most = max(2, n * rarest), max(2, n * commonest)
     return counted.filter(F.col("df").between(F.lit(least), F.lit(most)) & (F.col("term") != "")).select(
-        "term", _mask().alias("mask")
-    )
-
-
-#: What a list without terms hashes to.
-_NOTHING = "d41d8cd9"
-
-
-def _digest(rows: Column, held=None) -> Column:
-    """Hash of the terms of a sorted list; those that are not held are skipped as nulls."""
-    words = F.transform(rows, lambda r: r["term"] if held is None else F.when(held(r["mask"]), r["term"]))
-    return F.substring(F.md5(F.array_join(words, " ")), 1, 8)
-
-
-def _with_parts(df: DataFrame, out: str, found: str, fallback: str) -> DataFrame:
-    """Add the hashes of a sorted list of (term, mask): the whole list and each subset of it.
-
-    Subsets of a low rate only look at the terms that any subset of such a rate holds. Each
-    list is a column of its own, as an expression used by many others would be worked out anew
-    by each.
-    """
-    lists = {}
-    for k, rate in enumerate(RATES):
-        name = f"__terms_{rate}"
-        if k == 0:
-            lists[rate] = found
-            continue
-        lower = sum(1 << n for n in range(k * REPEATS, len(_SUBSETS)))
-        df = df.withColumn(name, F.filter(lists[RATES[k - 1]], lambda r: r["mask"].bitwiseAND(F.lit(lower)) != 0))
-        lists[rate] = name
-
-    def subset(k: int, rate: int) -> Column:
-        bit = F.lit(1 << k)
-        return _digest(F.col(lists[rate]), lambda mask: mask.bitwiseAND(bit) != 0)
-
-    hashes = F.array(*[subset(k, rate) for k, (rate, _) in enumerate(_SUBSETS)])
-    whole = F.when(F.size(found) == 0, F.col(fallback)).otherwise(_digest(F.col(found)))
-    df = df.withColumn("__hashes", hashes).withColumn(
-        out,
-        F.concat(F.array(whole), F.transform("__hashes", lambda h: F.when(h == _NOTHING, F.lit(_EMPTY)).otherwise(h))),
+        "term", _drawn().alias("drawn")
     )
-    return df.drop("__hashes", *[c for c in lists.values() if c != found])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -171,44 +133,65 @@ def fingerprint_edits(docs: DataFrame, rarest: float = RAREST, commonest: float
     """
     texts = docs.select(F.coalesce("text", F.lit("")).alias("t"))
     band = lexicon(texts, rarest, commonest)
-    # the empty term stands for the row itself, so that texts without any term in the band stay
-    marker = docs.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask"))
     third = F.floor(F.length("t") / 3).cast("int")
     edited = F.concat(
         F.substring(F.col("t"), F.lit(1), F.length("t") - third), F.substring(F.col("next"), F.lit(1), third)
     )
     rows = with_next(docs).withColumn("edited", edited)
-    about = F.struct(
-        "guest",
-        "doc_id",
-        F.length("t").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.substring(F.md5("t"), 1, 8).alias("plain"),
-        F.substring(F.md5("edited"), 1, 8).alias("edited_plain"),
+    # what is known of the row itself leads the list of its terms; no term has a bar in it
+    about = F.concat_ws(
+        "|",
+        F.col("guest").cast("string"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        F.length("t").cast("string"),
+        F.sha2("edited", 256),
+        F.substring(F.md5("t"), 1, 8),
+        F.substring(F.md5("edited"), 1, 8),
     )
-    kind = "struct<guest:boolean,doc_id:bigint,n_chars:bigint,edited_sha256:string,plain:string,edited_plain:string>"
-    none = F.expr(f"cast(null as {kind})")
-
-    def items(text: Column, form: int) -> Column:
-        plain = F.filter(terms(text), lambda x: x != "")
-        return F.transform(plain, lambda x: F.struct(x.alias("term"), F.lit(form).alias("form"), none.alias("about")))
-
-    own = F.array(F.struct(F.lit("").alias("term"), F.lit(2).alias("form"), about.alias("about")))
+    listed = rows.select("block", "place", about.alias("about"), terms(F.col("t")).alias("own"), terms(F.col("edited")).alias("changed"))
+    said = listed.select(
+        "block", "place", F.size("own").alias("n"), F.posexplode(F.concat(F.array("about"), "own", "changed")).alias("pos", "term")
+    )
+    first = F.col("pos") == 0
     found = (
-        rows.select("block", "place", F.inline(F.concat(own, items(F.col("t"), 0), items(F.col("edited"), 1))))
-        .join(F.broadcast(band.unionByName(marker)), "term")
-        .groupBy("block", "place")
-        .agg(F.max("about").alias("about"), F.sort_array(F.collect_list(F.struct("form", "term", "mask"))).alias("found"))
+        said.join(F.broadcast(band), "term", "left")
+        .filter(first | F.col("drawn").isNotNull())
+        .select(
+            "block",
+            "place",
+            "term",
+            F.when(first, 2).when(F.col("pos") <= F.col("n"), 0).otherwise(1).alias("form"),
+            F.explode(F.coalesce("drawn", F.array(F.lit(0)))).alias("part"),
+        )
+        .groupBy("block", "place", "form", "part")
+        .agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    )
+    digest = F.substring(F.md5(F.array_join("terms", " ")), 1, 8)
+    of_form = lambda form: F.map_from_entries(
+        F.collect_list(F.when(F.col("form") == form, F.struct("part", digest.alias("digest"))))
+    )
+    rows = found.groupBy("block", "place").agg(
+        F.split(F.max(F.when(F.col("form") == 2, F.get("terms", F.lit(0)))), "\\|").alias("about"),
+        of_form(0).alias("own"),
+        of_form(1).alias("changed"),
     )
-    parted = found.select(
+
+    def parts(digests: str, fallback: int) -> Column:
+        whole = F.coalesce(F.try_element_at(digests, F.lit(0)), F.get("about", F.lit(fallback)))
+        numbers = F.sequence(F.lit(1), F.lit(len(_SUBSETS)))
+        subsets = F.transform(numbers, lambda k: F.coalesce(F.try_element_at(digests, k), F.lit(_EMPTY)))
+        return F.concat(F.array(whole), subsets)
+
+    parted = rows.select(
         "block",
         "place",
-        "about.*",
-        F.filter("found", lambda r: r["form"] == 0).alias("own"),
-        F.filter("found", lambda r: r["form"] == 1).alias("changed"),
+        (F.get("about", F.lit(0)) == "true").alias("guest"),
+        F.when(F.get("about", F.lit(1)) != "", F.get("about", F.lit(1)).cast("long")).alias("doc_id"),
+        F.get("about", F.lit(2)).cast("long").alias("n_chars"),
+        F.get("about", F.lit(3)).alias("edited_sha256"),
+        parts("own", 4).alias("parts"),
+        parts("changed", 5).alias("edited_parts"),
     )
-    parted = _with_parts(parted, "parts", "own", "plain")
-    parted = _with_parts(parted, "edited_parts", "changed", "edited_plain").drop("own", "changed")
     following = F.lead("parts").over(Window.partitionBy("block").orderBy("place"))
     return (
         parted.withColumn("next_parts", following)
