@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Subsets take a term with probability 2 ** -r.
-RATES = (2, 4, 6, 8, 10)
+RATES = (3, 5, 7, 9, 11)
 REPEATS = 8
 RAREST, COMMONEST = 1 / 2000, 1 / 100
 _SUBSETS = [(rate, n) for rate in RATES for n in range(REPEATS)]
@@ -104,7 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.coalesce("text", F.lit("")).alias("t")
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, top, above = _blocks(rows, parts)
+    rows, top, above = _blocks(rows, 4 * parts)  # several a partition, so that partitions are alike
     head = F.col("id") == F.get(F.array(*[F.lit(x).cast("long") for x in top]), F.col("block"))
     up = F.get(F.array(*[F.lit(x).cast("int") for x in above]), F.col("block"))
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
