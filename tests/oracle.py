@@ -66,6 +66,7 @@ def compare(spark, con, folder, fn, sql):
 
 if __name__ == "__main__":
     import sys
+    import tempfile
     import time
 
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -81,10 +82,11 @@ if __name__ == "__main__":
             SparkSession.builder.master("local[8]")
             .config("spark.sql.session.timeZone", "America/New_York")
             .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="oracle-"))
             .getOrCreate()
         )
     else:
-        session = build_session("local[8]")
+        session = build_session("local[8]", **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="oracle-")})
     session.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     for name, fn in QUERIES.items():
