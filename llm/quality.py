@@ -43,9 +43,15 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0) -> tuple[np.ndarray, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0, sample: int = 50_000
+) -> tuple[np.ndarray, float]:
     """(log ratio of each bucket, share of the target among labelled rows).
 
+    Fitted on about ``sample`` labelled documents, chosen by a hash of doc_id (all if there are
+    fewer). Their labels are some 16 bytes each, a table of bounded size that is broadcast, so
+    no text is shuffled.
+
     ``labels`` has doc_id, quality and toxic; the target are rows of quality 1 that are not
     toxic. Rows without a label, or whose label is null, are not fitted on; a doc_id labelled
     twice counts by its worse label. Without labels every ratio is 1. What reaches the driver
@@ -57,6 +63,8 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0)
         .groupBy("doc_id")
         .agg(F.min(good.cast("int")).alias("good"))
     )
+    share = min(1.0, sample / max(kind.count(), 1))
+    kind = kind.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
 
     def run(batches):
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
@@ -86,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0)
 
     counts = (
         docs.select("doc_id", "text")
-        .join(kind, "doc_id")
+        .join(F.broadcast(kind), "doc_id")
         .select("text", "good")
         .mapInArrow(run, "bucket int, raw long, target long")
         .groupBy("bucket")
@@ -104,19 +112,20 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0)
     return ratio, (n_good / n if n else 1.0)
 
 
-def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, log_ratio): null for a text without words."""
+def score(docs: DataFrame, ratio: np.ndarray, carry: list[str]) -> DataFrame:
+    """(row, log_ratio): ``row`` holds the columns to carry along; null for a text without words."""
     bits = len(ratio).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text")
 
     def run(batches):
         for batch in batches:
             table = shared.value
             found = (features(t, bits) for t in _texts(batch))
             out = [float(table[f].sum()) if len(f) else None for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "log_ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "log_ratio"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_ratio double")
+    return rows.mapInArrow(run, rows.drop("text").schema.add("log_ratio", "double"))
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -125,6 +134,26 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
+def _key(seed: int) -> Column:
+    return F.col("log_ratio") + gumbel(F.coalesce("row.doc_id", F.lit(-1)), seed)
+
+
+def _at_least(key: Column, least: float | None) -> Column:
+    return F.lit(False) if least is None else F.coalesce(key >= F.lit(least), F.lit(False))
+
+
+def _sampled(docs, labels, bits, prior, seed, share):
+    """(ratio of the models, table of log ratios and keys, smallest key that is kept)."""
+    ratio, target = fit(docs, labels, bits, prior)
+    scratch = Scratch(docs.sparkSession, "quality")
+    scored = score(docs, ratio, ["doc_id"])
+    keyed = scratch.keep(scored.select("row.doc_id", "log_ratio", _key(seed).alias("gumbel_key")), "keys")
+    likely = F.least(F.lit(1.0), F.lit(target) * F.exp(F.least("log_ratio", F.lit(50.0))))
+    n, expected = keyed.agg(F.count(F.lit(1)), F.sum(likely)).first()
+    k = round(share * n) if share is not None else round(expected or 0)
+    return ratio, keyed, kth_largest(keyed, "gumbel_key", k), scratch
+
+
 def resample(
     docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0, seed: int = 11, share: float | None = None
 ) -> DataFrame:
@@ -136,23 +165,18 @@ def resample(
     words have a null log_ratio and are rejected. Rows without a doc_id are scored, share one
     noise and are kept like any other. Extra columns are not read.
     """
-    ratio, target = fit(docs, labels, bits, prior)
-    scratch = Scratch(docs.sparkSession, "quality")
-    keyed = scratch.keep(
-        score(docs, ratio).withColumn("gumbel_key", F.col("log_ratio") + gumbel(F.coalesce("doc_id", F.lit(-1)), seed)),
-        "keys",
-    )
-    likely = F.least(F.lit(1.0), F.lit(target) * F.exp(F.least("log_ratio", F.lit(50.0))))
-    n, expected = keyed.agg(F.count(F.lit(1)), F.sum(likely)).first()
-    k = round(share * n) if share is not None else round(expected or 0)
-    least = kth_largest(keyed, "gumbel_key", k)
-    kept = F.lit(False) if least is None else F.coalesce(F.col("gumbel_key") >= F.lit(least), F.lit(False))
-    return keyed.withColumn("kept", kept)
+    _, keyed, least, _ = _sampled(docs, labels, bits, prior, seed, share)
+    return keyed.withColumn("kept", _at_least(F.col("gumbel_key"), least))
 
 
-def keep_target(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that resampling keeps, with all their columns; texts without words go."""
-    kept = resample(docs, labels, **options).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    plain = kept.select(F.col("doc_id").alias("__kept"))
-    worded = docs.filter(F.col("text").rlike("[^ \\t-\\r]"))
-    return worded.join(plain, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+def keep_target(
+    docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0, seed: int = 11, share: float | None = None
+) -> DataFrame:
+    """The documents that :func:`resample` keeps, with all their columns.
+
+    The texts are scored again where they lie, which costs less than to shuffle them to their keys.
+    """
+    ratio, keyed, least, scratch = _sampled(docs, labels, bits, prior, seed, share)
+    scratch.drop(keyed)
+    kept = score(docs, ratio, docs.columns).filter(_at_least(_key(seed), least))
+    return kept.select("row.*")
