@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .imatch import COMMONEST, RAREST, RATES, REPEATS
 from .secrets import _ENDPOINT, _IDENTIFIER, _SECRET, KINDS, STRONG
+from .sharding import SLOTS, slot_table
 
 
 def _text(value: str) -> str:
@@ -164,4 +165,16 @@ join parts n on n.doc_id = f.next_id and n.form = 0 and n.part = a.part
 group by f.doc_id
 """
 
+
+
+def op8_sql(shards: list[str]) -> str:
+    """Slot by hash, shard by the table; the table itself is held to brute force in the tests."""
+    owners = "[" + ", ".join(map(str, slot_table(shards).tolist())) + "]"
+    return f"""
+    SELECT doc_id, slot::INTEGER AS slot, list_extract({shards}, list_extract({owners}, slot + 1) + 1) AS shard
+    FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot
+          FROM documents)
+    """
+
+
 ORACLE = {"op2_secrets": OP2, "op3_cosine_groups": OP3, "op7_repeats": OP7, "op9_imatch": OP9}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, cosine, extraction, imatch, packing, quality, repeats, secrets, sharding, simhash
-from .oracles import ORACLE  # noqa: F401
+from .oracles import ORACLE, op8_sql
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 SHARDS = [f"shard-{k:03d}" for k in range(96)]
@@ -107,3 +107,4 @@ QUERIES = {
         op9_imatch, op10_packing,
     )
 }
+ORACLE = ORACLE | {"op8_slots": op8_sql(SHARDS)}
