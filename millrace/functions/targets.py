@@ -38,12 +38,30 @@ def query_map(text, pairs):
     bad = F.contains(text, F.lit(";")) | F.exists(
         pairs, lambda p: p["k"].isNull() | p["v"].isNull()
     )
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    values = F.transform(
-        names,
-        lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]),
+    # one pass over the pairs in order of name: a name's values stand together then
+    ordered = F.array_sort(
+        F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
     )
-    return F.when(~bad, F.map_from_arrays(names, values)).cast(_QUERY_TYPE)
+    entry = lambda acc: F.struct(acc["k"].alias("k"), acc["vs"].alias("vs"))
+    start = F.struct(
+        F.expr("cast(array() as array<struct<k:string,vs:array<string>>>)").alias("done"),
+        F.lit(None).cast("string").alias("k"),
+        F.expr("cast(array() as array<string>)").alias("vs"),
+    )
+
+    def closed(acc):
+        return F.when(acc["k"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], entry(acc)))
+
+    def step(acc, p):
+        same = acc["k"].eqNullSafe(p["k"])
+        return F.struct(
+            F.when(same, acc["done"]).otherwise(closed(acc)).alias("done"),
+            p["k"].alias("k"),
+            F.when(same, F.array_append(acc["vs"], p["v"])).otherwise(F.array(p["v"])).alias("vs"),
+        )
+
+    entries = F.aggregate(ordered, start, step, closed)
+    return F.when(~bad, F.map_from_entries(entries)).cast(_QUERY_TYPE)
 
 
 def status_number(text):

@@ -98,3 +98,66 @@ def test_a_hot_stream_is_spread(spark, no_broadcast):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(sizes) == 16 and max(r["count"] for r in sizes) < 60_000 / 4
+
+
+def spread(spark, make, partitions=16):
+    """Rows in each partition of what ``make()`` gives, with so many shuffle partitions."""
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        placed = make().select(F.spark_partition_id().alias("p"))
+        return [r["count"] for r in placed.groupBy("p").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def hot(spark, rows=60_000):
+    from pyspark.sql import functions as F
+
+    return spark.range(rows).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id") % 500)).alias("stream_id"),
+        F.col("id").alias("seq"),
+        F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"),
+    )
+
+
+def test_a_hot_lookup_key_is_spread(spark, no_broadcast):
+    from millrace.operators.scans import salted_join
+
+    rows = hot(spark)
+    lookup = rows.select("stream_id").distinct()
+    sizes = spread(spark, lambda: salted_join(rows, lookup, ["stream_id"], ["seq"]))
+    assert sum(sizes) == 60_000 and max(sizes) < 60_000 / 4
+
+
+def test_a_hot_capture_is_spread(spark, no_broadcast):
+    """All segments of one path: written ones are read by many tasks."""
+    from pyspark.sql import functions as F
+
+    from millrace.sources.multipart import demux_frames, mux_frames
+
+    frames = hot(spark, 4_000).select(
+        F.lit("one").alias("url"), (F.col("seq") + 1).alias("frame_num"), F.lit(b"\xff\xd8").alias("body")
+    )
+    captures = mux_frames(frames, segment_frames=16).withColumnRenamed("url", "path")
+    sizes = spread(spark, lambda: demux_frames(captures, "frame"))
+    assert sum(sizes) == 4_000 and len(sizes) == 16 and max(sizes) < 1_000
+    got = demux_frames(captures, "frame").agg(F.min("frame_num"), F.max("frame_num"), F.countDistinct("frame_num")).first()
+    assert tuple(got) == (1, 4_000, 4_000)
+
+
+def test_open_connections_are_not_cut_into_buckets(spark, no_broadcast):
+    """A client that stays for years meets its frames, not a row for every bucket."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators.delivery import fan_out
+
+    frames = hot(spark, 3_000).withColumn("ts", F.timestamp_micros(F.col("seq") * 86_400_000_000))
+    clients = spark.createDataFrame([("hot", "a")], "stream_id string, client_id string").select(
+        "*", F.timestamp_micros(F.lit(0)).alias("connect_ts"), F.lit(None).cast("timestamp").alias("disconnect_ts")
+    )
+    sent = fan_out(frames, clients, "1 second")
+    assert sent.count() == 1_000
