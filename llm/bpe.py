@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, kth_largest, once_per_process
+from .common import Scratch, kth_largest, once_per_process, slices
 from .transducer import Lexicon, build
 from .words import chunks, mix, powers
 
@@ -262,7 +262,7 @@ def frequent_words(docs: DataFrame, file: str, words: int = 1 << 16, least: int
 
     def run(batches):
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [p for t in text_batches(batch) for p in _cut(t)]
             for a, b in chunks(texts, _CHUNK):
                 found, which, _ = v.words(texts[a:b])
@@ -304,7 +304,7 @@ def encode(docs: DataFrame, path: str, lexicon_words: int = 1 << 16) -> DataFram
 
     def run(batches):
         v, lexicon = vocabulary(shared.value[0]), _lexicon(shared.value[1])
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids, at = v.encode(text_batches(batch), lexicon)
             out = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], ["doc_id", "ids"])
@@ -320,7 +320,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             texts = [
                 v.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column("ids")
             ]

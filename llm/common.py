@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,29 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
     return low
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` (texts, lists, or a struct with ``text``) has about ``most`` bytes in each.
+
+    A batch may hold ten thousand long texts; what a worker makes of them should not all be
+    there at once. A single longer value is a slice of its own.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        if pa.types.is_struct(values.type):
+            values = values.field("text")
+        if pa.types.is_list(values.type):
+            size = pc.multiply(pc.list_value_length(values), 4)
+        else:
+            size = pc.binary_length(values)
+        done = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:
+            before = done[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(done, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Re-cut batches sorted by ``keys`` so that no group is split between two of them."""
     held: list[pa.RecordBatch] = []

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -274,7 +276,7 @@ def fit(pages: DataFrame, sample: int = 2000, ridge: float = 0.1) -> np.ndarray:
 
     def run(batches):
         total = np.zeros((2, N_FEATURES, N_FEATURES))
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for page in batch.column("html").to_pylist():
                 blocks = [b for b in read_blocks(page or "") if b.standing in (_CONTENT, _BESIDE, _MAYBE)]
                 if blocks:
@@ -310,7 +312,7 @@ def extract(pages: DataFrame, sample: int = 2000) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(fit(pages, sample))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "html"):
             found = [main_text(page, shared.value) for page in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

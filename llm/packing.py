@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_vocabulary, text_batches, vocabulary
-from .common import Scratch
+from .common import Scratch, slices
 
 
 def closest_fill(counts: dict[int, int], room: int, floor: int = 0) -> dict[int, int]:
@@ -94,7 +94,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1
 
     def run(batches):
         v = vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "text"):
             ids, at = v.encode(text_batches(batch))
             size = np.diff(at) + 1
             # every document's ids with the end put behind them

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, kth_largest
+from .common import Scratch, kth_largest, slices
 from .words import mix, word_hashes
 
 _GRAM = 4
@@ -39,8 +39,8 @@ def features(text: bytes, bits: int = 18) -> np.ndarray:
     return (mix(every) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
+def _texts(column: pa.Array) -> list[bytes]:
+    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
 def fit(
@@ -70,8 +70,8 @@ def fit(
         raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         n = 0
         n_good = 0
-        for batch in batches:
-            for text, is_good in zip(_texts(batch), batch.column("good").to_pylist()):
+        for batch in slices(batches, "text"):
+            for text, is_good in zip(_texts(batch.column("text")), batch.column("good").to_pylist()):
                 f = np.bincount(features(text, bits), minlength=1 << bits) if len(text) > 1 << 14 else features(text, bits)
                 if len(text) > 1 << 14:
                     raw += f
@@ -112,20 +112,35 @@ def fit(
     return ratio, (n_good / n if n else 1.0)
 
 
-def score(docs: DataFrame, ratio: np.ndarray, carry: list[str]) -> DataFrame:
-    """(row, log_ratio): ``row`` holds the columns to carry along; null for a text without words."""
-    bits = len(ratio).bit_length() - 1
+def _scores(texts: pa.Array, table: np.ndarray) -> pa.Array:
+    bits = len(table).bit_length() - 1
+    found = (features(t, bits) for t in _texts(texts))
+    return pa.array([float(table[f].sum()) if len(f) else None for f in found], pa.float64())
+
+
+def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(doc_id, log_ratio), one row per input row: null for a text without words."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            out = _scores(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], ["doc_id", "log_ratio"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_ratio double")
+
+
+def with_score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """(row, log_ratio): ``row`` is the whole input row."""
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches):
-        for batch in batches:
-            table = shared.value
-            found = (features(t, bits) for t in _texts(batch))
-            out = [float(table[f].sum()) if len(f) else None for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "log_ratio"])
+        for batch in slices(batches, "row"):
+            out = _scores(batch.column("row").field("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), out], ["row", "log_ratio"])
 
-    return rows.mapInArrow(run, rows.drop("text").schema.add("log_ratio", "double"))
+    return rows.mapInArrow(run, rows.select("row").schema.add("log_ratio", "double"))
 
 
 def gumbel(key: Column, seed: int) -> Column:
@@ -134,8 +149,8 @@ def gumbel(key: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def _key(seed: int) -> Column:
-    return F.col("log_ratio") + gumbel(F.coalesce("row.doc_id", F.lit(-1)), seed)
+def _key(doc_id: str, seed: int) -> Column:
+    return F.col("log_ratio") + gumbel(F.coalesce(doc_id, F.lit(-1)), seed)
 
 
 def _at_least(key: Column, least: float | None) -> Column:
@@ -146,8 +161,7 @@ def _sampled(docs, labels, bits, prior, seed, share):
     """(ratio of the models, table of log ratios and keys, smallest key that is kept)."""
     ratio, target = fit(docs, labels, bits, prior)
     scratch = Scratch(docs.sparkSession, "quality")
-    scored = score(docs, ratio, ["doc_id"])
-    keyed = scratch.keep(scored.select("row.doc_id", "log_ratio", _key(seed).alias("gumbel_key")), "keys")
+    keyed = scratch.keep(score(docs, ratio).withColumn("gumbel_key", _key("doc_id", seed)), "keys")
     likely = F.least(F.lit(1.0), F.lit(target) * F.exp(F.least("log_ratio", F.lit(50.0))))
     n, expected = keyed.agg(F.count(F.lit(1)), F.sum(likely)).first()
     k = round(share * n) if share is not None else round(expected or 0)
@@ -178,5 +192,4 @@ def keep_target(
     """
     ratio, keyed, least, scratch = _sampled(docs, labels, bits, prior, seed, share)
     scratch.drop(keyed)
-    kept = score(docs, ratio, docs.columns).filter(_at_least(_key(seed), least))
-    return kept.select("row.*")
+    return with_score(docs, ratio).filter(_at_least(_key("row.doc_id", seed), least)).select("row.*")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, cosine, extraction, imatch, packing, quality, repeats, secrets, sharding, simhash
+from .common import slices
 from .oracles import ORACLE, op8_sql
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,7 +28,7 @@ def op1_byte_bpe(spark, sf_dir):
 
     def run(batches):
         v = bpe.vocabulary(shared.value)
-        for batch in batches:
+        for batch in slices(batches, "ids"):
             ids = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [

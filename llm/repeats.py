@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
 from .words import chunks, mix, shingle_hashes, word_hashes
 
 #: Stands for a missing doc_id: such rows come after all others.
@@ -116,7 +117,7 @@ def _unpack(blob: bytes):
 
 def _edges(buckets: int, window: int, anchor: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 23):
             ids = batch.column("doc_id").fill_null(LAST).to_numpy()
             order = np.argsort(ids, kind="stable")
             texts = batch.column("text").cast(pa.binary())
@@ -214,7 +215,7 @@ def repeated_paths(docs: DataFrame, window: int = 20, anchor: int = 8) -> DataFr
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in slices(batches, "t"):
         texts = batch.column("t").cast(pa.binary())
         n_words, n_removed, kept = [], [], []
         for text, spans in zip(texts, batch.column("spans")):
