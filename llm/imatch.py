@@ -66,18 +66,22 @@ def likeness(a: Column, b: Column) -> Column:
     return F.greatest(whole, *[rate(k) for k in range(len(RATES))])
 
 
+def _numbers(values: list[int]) -> Column:
+    """An array of numbers as one literal, not an expression for each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _blocks(docs: DataFrame, count: int) -> tuple[DataFrame, list[int], list[int]]:
     """(rows with ``block``, highest id of each block, block above it).
 
-    Blocks are ranges of ids of about equal size; only one id a block reaches the driver. A
-    block that is empty has no highest id (and no block above).
+    Blocks are ranges of ids of about equal size; only one id a block reaches the driver.
     """
     shares = [k / count for k in range(1, count)]
-    edges = docs.agg(F.percentile_approx("id", shares, 100 * count)).first()[0] if count > 1 else []
+    edges = docs.agg(F.percentile_approx("id", shares, max(10_000, 10 * count))).first()[0] if count > 1 else []
     edges = sorted(set(edges or []))
     steps = [1 << k for k in reversed(range(len(edges).bit_length()))]
     if edges:
-        table = F.array(*[F.lit(e) for e in edges])
+        table = _numbers(edges)
         block = F.aggregate(
             F.array(*[F.lit(s) for s in steps]),
             F.lit(0),
@@ -90,7 +94,8 @@ def _blocks(docs: DataFrame, count: int) -> tuple[DataFrame, list[int], list[int
     filled = sorted(top)
     above = {b: filled[(k + 1) % len(filled)] for k, b in enumerate(filled)}
     numbers = range(len(edges) + 1)
-    return rows, [top.get(b) for b in numbers], [above.get(b) for b in numbers]
+    # blocks without rows are never looked up
+    return rows, [top.get(b, 0) for b in numbers], [above.get(b, 0) for b in numbers]
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -105,8 +110,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, top, above = _blocks(rows, 4 * parts)  # several a partition, so that partitions are alike
-    head = F.col("id") == F.get(F.array(*[F.lit(x).cast("long") for x in top]), F.col("block"))
-    up = F.get(F.array(*[F.lit(x).cast("int") for x in above]), F.col("block"))
+    head = F.col("id") == F.get(_numbers(top), F.col("block"))
+    up = F.get(_numbers(above), F.col("block")).cast("int")
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guest"))
     places = F.when(head, F.array(own, F.struct(up.alias("block"), F.lit(True).alias("guest")))).otherwise(F.array(own))
     order = Window.partitionBy("block").orderBy("guest", F.desc("id"), "t")
