@@ -32,8 +32,8 @@ def build_session(master="local[*]", shuffle_partitions=8, app="millrace", **ext
 
 
 def shared_folder(spark):
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder every executor can reach: the checkpoint folder of the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")

@@ -25,19 +25,21 @@ def _data_files(spark, path):
     return fs, {p.getName(): p for p in found if p.getName().startswith("part-")}
 
 
-def stage(df, label, wait, order="seq"):
+def stage(df, label, wait, order="seq", files=None):
     """Write ``df`` in event-time order to the shared folder; (path, schema).
 
     ``wait`` is how far behind the last event the watermark must come to close everything:
     the operator's interval, gap or timeout and its delay. The closing row has the event time
     only, all its other columns are null; no operator gives it out, as nothing follows it.
-    Rows without an event time have no place in a stream and are left out.
+    Rows without an event time have no place in a stream and are left out. How many files there
+    are follows from the size of the table, unless ``files`` says it.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"{label}-staged")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     timed = df.filter(F.col("ts").isNotNull())
-    timed.repartitionByRange(parts, "ts").sortWithinPartitions("ts", order).write.parquet(path)
+    # without a number adaptive execution joins small ranges: a small table is one micro-batch
+    ranged = timed.repartitionByRange(files, "ts") if files else timed.repartitionByRange("ts")
+    ranged.sortWithinPartitions("ts", order).write.parquet(path)
     fs, first = _data_files(spark, path)
     staged = spark.read.schema(df.schema).parquet(path)
     closing = staged.agg(F.max("ts").alias("ts")).filter("ts is not null").select(
@@ -94,13 +96,13 @@ def run_to_table(stream, label, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_table_as_stream(df, operator, label, wait, order="seq"):
+def run_table_as_stream(df, operator, label, wait, order="seq", files=None):
     """``operator(stream)`` over all rows of a table, complete.
 
     ``wait`` lists the intervals that must pass after the last event, as texts.
     """
     spark = df.sparkSession
-    path, schema = stage(df, label, sum(micros(w) for w in wait), order)
+    path, schema = stage(df, label, sum(micros(w) for w in wait), order, files)
     result = run_to_table(operator(read_staged(spark, path, schema)), label)
     remove_path(spark, path)
     return result

@@ -139,11 +139,11 @@ def test_streams_over_forty_files_are_complete(spark, tmp_path):
     table = scattered(spark, df, tmp_path)
     key = lambda r: (r.stream_id, r.tick, r.seq, bytes(r.data), r.messages)
     latest = run_table_as_stream(
-        table, lambda s: windows.conflate_latest(s, "1 hour", delay="1 second"), "latest", ("1 hour", "1 second")
+        table, lambda s: windows.conflate_latest(s, "1 hour", delay="1 second"), "latest", ("1 hour", "1 second"), files=30
     )
     assert sorted(map(key, latest.collect())) == sorted(map(key, windows.conflate_latest(df, "1 hour").collect()))
     ticks = run_table_as_stream(
-        table, lambda s: rolling.stream_tick_bytes(s, "1 minute", "1 second"), "ticks", ("1 minute", "1 second")
+        table, lambda s: rolling.stream_tick_bytes(s, "1 minute", "1 second"), "ticks", ("1 minute", "1 second"), files=30
     )
     ordered = [(s, q, t, d) for s, q, t, d in sorted(rows, key=lambda r: (r[2], r[1]))]
     renumbered = messages(spark, [(s, k, t, d) for k, (s, _, t, d) in enumerate(ordered)])
