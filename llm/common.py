@@ -16,19 +16,18 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names.
+    """The folder ``spark.checkpoint.dir`` names, or the checkpoint folder of the context.
 
     Only a local session that names none gets a temporary folder of its own; on a cluster
     the executors could not read it, so there it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith(
-            "local-cluster"
-        ):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
