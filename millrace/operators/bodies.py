@@ -240,6 +240,17 @@ def inflate_segments(df, piece_bytes=INFLATED_BYTES):
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def walk(batches):
+        held, size = [], 0
+        for row in rows_of(batches):
+            held.append(row)
+            size += len(row[4])
+            if size >= max(piece_bytes, 8 << 20) or len(held) == 10_000:
+                yield block(held)
+                held, size = [], 0
+        if held:
+            yield block(held)
+
+    def rows_of(batches):
         key, inflater = None, None
         for batch in batches:
             columns = [batch.column(name).to_pylist() for name in ("stream_id", "phase", "segment")]
@@ -249,13 +260,12 @@ def inflate_segments(df, piece_bytes=INFLATED_BYTES):
                 n, last = 0, b""
                 for piece in inflater.pieces(batch.column("body")[k].as_py() or b"", piece_bytes):
                     if n:
-                        yield row(at, n - 1, last, False)
+                        yield (*at, n - 1, last, False)
                     n, last = n + 1, piece
-                yield row(at, max(n - 1, 0), last, inflater.finished())
+                yield (*at, max(n - 1, 0), last, inflater.finished())
 
-    def row(at, piece, body, ok):
-        values = [[at[0]], [at[1]], [at[2]], [piece], [body], [ok]]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds)], names)
+    def block(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], names)
 
     names = ["stream_id", "phase", "segment", "piece", "body", "ok"]
     arrow = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
@@ -308,13 +318,12 @@ def decode_bodies(df, piece_bytes=INFLATED_BYTES):
     untouched = others.withColumns(
         {"piece": F.lit(0).cast("long"), "decode_error": early, "decompressed": early.isNull()}
     )
-    inflated = inflate_segments(zipped, piece_bytes)
-    good = inflated.groupBy(*_KEY).agg(F.max_by("ok", F.struct("segment", "piece")).alias("ok"))
-    # one row a segment stays where the whole was bad: its raw bytes
+    # the last piece knows whether the whole was good; where it was bad, one row a segment stays
+    whole = F.max_by("ok", F.struct("segment", "piece")).over(Window.partitionBy(*_KEY))
     opened = (
-        inflated.drop("ok")
+        inflate_segments(zipped, piece_bytes)
+        .withColumn("ok", whole)
         .withColumnRenamed("body", "__out")
-        .join(good, _KEY)
         .filter("ok or piece = 0")
         .join(zipped.withColumn("segment", F.col("segment").cast("bigint")), [*_KEY, "segment"])
         .withColumns(
