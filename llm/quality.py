@@ -1,10 +1,11 @@
 """Importance resampling: a ratio of hashed n-gram models, sampled by Gumbel top-k.
 
 Both models count hashed features of texts: byte 4-grams, and for every word how far back it
-stood last (which tells prose from text that repeats itself). The target model counts the
-labelled good rows, the raw model all labelled rows, a uniform sample of the raw text of
-which the target is a part; so topics and languages cancel out. A document's log ratio is the
-sum over its features. It is perturbed by Gumbel noise of its doc_id, and the k largest stay,
+stood last (which tells prose from text that repeats itself). The raw model counts all
+documents, labelled or not, and the target model the labelled good rows. A ratio of the two is
+smoothed in two steps, target to labelled rows and labelled rows to raw text: what labels hold
+a little less of by chance costs little, what they hold nothing of counts against a document.
+A document's log ratio is the sum over its features. It is perturbed by Gumbel noise of its doc_id, and the k largest stay,
 where k is the number of documents the models expect to be of the target: the sum of
 min(1, share of the target * ratio).
 """
@@ -43,72 +44,88 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0, sample: int = 50_000
-) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, share of the target among labelled rows).
-
-    Fitted on about ``sample`` labelled documents, chosen by a hash of doc_id (all if there are
-    fewer). Their labels are some 16 bytes each, a table of bounded size that is broadcast, so
-    no text is shuffled.
+def _counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(features of all rows, of good rows, rows, good rows) of a table of ``text, good``.
 
-    ``labels`` has doc_id, quality and toxic; the target are rows of quality 1 that are not
-    toxic. Rows without a label, or whose label is null, are not fitted on; a doc_id labelled
-    twice counts by its worse label. Without labels every ratio is 1. What reaches the driver
-    are 2 ** bits pairs of counts, whatever the size of the table.
+    Tasks sum up before the shuffle, so a task sends 2 ** bits rows at most and no text.
     """
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    kind = (
-        labels.filter("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min(good.cast("int")).alias("good"))
-    )
-    share = min(1.0, sample / max(kind.count(), 1))
-    kind = kind.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
 
     def run(batches):
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        every, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
         n = 0
         n_good = 0
         for batch in slices(batches, "text"):
             for text, is_good in zip(_texts(batch.column("text")), batch.column("good").to_pylist()):
                 f = np.bincount(features(text, bits), minlength=1 << bits) if len(text) > 1 << 14 else features(text, bits)
                 if len(text) > 1 << 14:
-                    raw += f
+                    every += f
                     target += f * is_good
                 else:
-                    np.add.at(raw, f, 1)
+                    np.add.at(every, f, 1)
                     if is_good:
                         np.add.at(target, f, 1)
                 n += 1
                 n_good += is_good
-        rows = np.flatnonzero(raw)
+        found = np.flatnonzero(every)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.append(rows, -1), pa.int32()),
-                pa.array(np.append(raw[rows], n)),
-                pa.array(np.append(target[rows], n_good)),
+                pa.array(np.append(found, -1), pa.int32()),
+                pa.array(np.append(every[found], n)),
+                pa.array(np.append(target[found], n_good)),
             ],
-            ["bucket", "raw", "target"],
+            ["bucket", "every", "target"],
         )
 
-    counts = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(kind), "doc_id")
-        .select("text", "good")
-        .mapInArrow(run, "bucket int, raw long, target long")
+    sums = (
+        rows.mapInArrow(run, "bucket int, every long, target long")
         .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        .agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
         .toArrow()
     )
-    bucket, r, t = (counts.column(c).to_numpy() for c in ("bucket", "raw", "target"))
+    bucket, e, t = (sums.column(c).to_numpy() for c in ("bucket", "every", "target"))
     whole = bucket < 0
-    n, n_good = int(r[whole].sum()), int(t[whole].sum())
+    every, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    every[bucket[~whole]], target[bucket[~whole]] = e[~whole], t[~whole]
+    return every, target, int(e[whole].sum()), int(t[whole].sum())
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    bits: int = 18,
+    prior: float = 4.0,
+    sample: int | None = None,
+    raw_prior: float = 1000.0,
+) -> tuple[np.ndarray, float]:
+    """(log ratio of each bucket, share of the target among labelled rows).
+
+    The raw model counts every row of ``docs``. The labelled rows are all counted too, or about
+    ``sample`` of them, chosen by a hash of doc_id. ``prior`` smooths target to labelled rows,
+    ``raw_prior`` labelled rows to raw text; both are counts a bucket.
+
+    ``labels`` has doc_id, quality and toxic; the target are rows of quality 1 that are not
+    toxic. Rows without a label, or whose label is null, count for the raw model alone; a doc_id
+    labelled twice counts by its worse label. Without labels every ratio is 1. What reaches the
+    driver are twice 2 ** bits pairs of counts, whatever the size of the table.
+    """
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    kind = (
+        labels.filter("doc_id is not null and quality is not null")
+        .groupBy("doc_id")
+        .agg(F.min(good.cast("int")).alias("good"))
+    )
+    if sample is not None:
+        share = min(1.0, sample / max(kind.count(), 1))
+        kind = kind.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
+    # the labels are hashed, so that texts are not sorted
+    marked = docs.select("doc_id", "text").join(kind.hint("shuffle_hash"), "doc_id").select("text", "good")
+    labelled, target, n, n_good = _counts(marked, bits)
     ratio = np.zeros(1 << bits)
-    if n_good:
-        bucket, r, t = bucket[~whole], r[~whole], t[~whole]
-        share = t.sum() / r.sum()
-        ratio[bucket] = np.log((t + prior * share) / ((r + prior) * share))
+    if target.sum():
+        raw, *_ = _counts(docs.select("text", F.lit(0).alias("good")), bits)
+        of_good, of_raw = target.sum() / labelled.sum(), labelled.sum() / raw.sum()
+        ratio = np.log((target + prior * of_good) / ((labelled + prior) * of_good))
+        ratio += np.log((labelled + raw_prior * of_raw) / ((raw + raw_prior) * of_raw))
     return ratio, (n_good / n if n else 1.0)
 
 
@@ -157,9 +174,9 @@ def _at_least(key: Column, least: float | None) -> Column:
     return F.lit(False) if least is None else F.coalesce(key >= F.lit(least), F.lit(False))
 
 
-def _sampled(docs, labels, bits, prior, seed, share):
+def _sampled(docs, labels, bits, prior, seed, share, sample):
     """(ratio of the models, table of log ratios and keys, smallest key that is kept)."""
-    ratio, target = fit(docs, labels, bits, prior)
+    ratio, target = fit(docs, labels, bits, prior, sample)
     scratch = Scratch(docs.sparkSession, "quality")
     keyed = scratch.keep(score(docs, ratio).withColumn("gumbel_key", _key("doc_id", seed)), "keys")
     likely = F.least(F.lit(1.0), F.lit(target) * F.exp(F.least("log_ratio", F.lit(50.0))))
@@ -169,27 +186,39 @@ def _sampled(docs, labels, bits, prior, seed, share):
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0, seed: int = 11, share: float | None = None
+    docs: DataFrame,
+    labels: DataFrame,
+    bits: int = 18,
+    prior: float = 4.0,
+    seed: int = 11,
+    share: float | None = None,
+    sample: int | None = None,
 ) -> DataFrame:
     """``doc_id, log_ratio, gumbel_key, kept``, one row per input row.
 
     Kept are the k largest of log ratio + Gumbel noise; k follows from the models, or is
-    ``share`` of the rows. The noise hangs on the doc_id alone: repeated rows are kept or
+    ``share`` of the rows. ``sample`` is that of :func:`fit`. The noise hangs on the doc_id alone: repeated rows are kept or
     rejected together, and all rows tied with the k-th are kept. Null texts and texts without
     words have a null log_ratio and are rejected. Rows without a doc_id are scored, share one
     noise and are kept like any other. Extra columns are not read.
     """
-    _, keyed, least, _ = _sampled(docs, labels, bits, prior, seed, share)
+    _, keyed, least, _ = _sampled(docs, labels, bits, prior, seed, share, sample)
     return keyed.withColumn("kept", _at_least(F.col("gumbel_key"), least))
 
 
 def keep_target(
-    docs: DataFrame, labels: DataFrame, bits: int = 18, prior: float = 4.0, seed: int = 11, share: float | None = None
+    docs: DataFrame,
+    labels: DataFrame,
+    bits: int = 18,
+    prior: float = 4.0,
+    seed: int = 11,
+    share: float | None = None,
+    sample: int | None = None,
 ) -> DataFrame:
     """The documents that :func:`resample` keeps, with all their columns.
 
     The texts are scored again where they lie, which costs less than to shuffle them to their keys.
     """
-    ratio, keyed, least, scratch = _sampled(docs, labels, bits, prior, seed, share)
+    ratio, keyed, least, scratch = _sampled(docs, labels, bits, prior, seed, share, sample)
     scratch.drop(keyed)
     return with_score(docs, ratio).filter(_at_least(_key("row.doc_id", seed), least)).select("row.*")

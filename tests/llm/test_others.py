@@ -149,6 +149,24 @@ def test_resampling_keeps_the_good(spark):
     assert quality.resample(table, marks.filter("false")).count() == len(rows)
 
 
+def test_raw_model_counts_unlabelled_documents(spark):
+    docs, labels = quality_rows()
+    rng = random.Random(4)
+    words = ["".join(rng.choice("uvwxyzåäö") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    other = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(50, 200)))) for k in range(1000, 1100)]
+    table = spark.createDataFrame(docs + other, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.resample(table, marks).collect()}
+    assert max(rows[k].log_ratio for k, _ in other) < -10 and not any(rows[k].kept for k, _ in other)
+    assert np.mean([rows[k].kept for k in range(400) if k % 5]) > 0.98
+    # all labelled rows are counted unless a sample is asked for
+    ratio, _ = quality.fit(table, marks)
+    some, _ = quality.fit(table, marks, sample=60)
+    assert np.abs(ratio - some).max() > 0.1
+    sampled = {r.doc_id: r.log_ratio for r in quality.resample(table, marks, sample=60).collect()}
+    assert sampled[3] == pytest.approx(some[quality.features(docs[3][1].encode())].sum())
+
+
 def test_kth_largest_is_exact(spark):
     rng = np.random.default_rng(5)
     values = np.concatenate([rng.standard_normal(500), [1e9, -1e9, 0.0, 0.0, 0.0], rng.standard_normal(50) * 1e-9])
