@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Subsets take a term with probability 2 ** -r.
-RATES = (3, 5, 7, 9, 11)
+RATES = (2, 4, 6, 8, 10)
 REPEATS = 8
-RAREST, COMMONEST = 1 / 2000, 1 / 100
+RAREST, COMMONEST = 1 / 4000, 1 / 20
 _SUBSETS = [(rate, n) for rate in RATES for n in range(REPEATS)]
 _EMPTY = "00000000"
 
@@ -124,6 +124,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
+def _by_part(found: str) -> Column:
+    """(part, term) in order, out of a list of terms and the parts that draw them."""
+    pairs = F.transform(
+        found, lambda x: F.transform(x["drawn"], lambda part: F.struct(part.alias("part"), x["term"].alias("term")))
+    )
+    return F.sort_array(F.flatten(pairs))
+
+
+def _terms_of_parts(pairs: str) -> Column:
+    """A map of each part to its terms, joined by a blank, out of the column of :func:`_by_part`."""
+
+    def written(x: Column, at: Column) -> Column:
+        again = F.get(pairs, at - 1)["part"] == x["part"]
+        return F.concat(F.when(again, F.lit(" ")).otherwise(F.concat(F.lit("\n"), x["part"], F.lit(":"))), x["term"])
+
+    # terms are letters and digits: neither line break nor colon is in one
+    lines = F.substr(F.array_join(F.transform(pairs, written), ""), F.lit(2))
+    return F.str_to_map(lines, F.lit("\n"), F.lit(":"))
+
+
 def fingerprint_edits(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
     """Fingerprints of texts and of their edited forms, one row per input row.
 
@@ -157,35 +177,30 @@ def fingerprint_edits(docs: DataFrame, rarest: float = RAREST, commonest: float
     said = listed.select(
         "block", "place", F.size("own").alias("n"), F.posexplode(F.concat(F.array("about"), "own", "changed")).alias("pos", "term")
     )
-    first = F.col("pos") == 0
-    found = (
+    first, drawn = F.col("pos") == 0, F.struct("term", "drawn")
+    # one row a term until here: its parts are told apart inside the list of its text
+    rows = (
         said.join(F.broadcast(band), "term", "left")
         .filter(first | F.col("drawn").isNotNull())
-        .select(
-            "block",
-            "place",
-            "term",
-            F.when(first, 2).when(F.col("pos") <= F.col("n"), 0).otherwise(1).alias("form"),
-            F.explode(F.coalesce("drawn", F.array(F.lit(0)))).alias("part"),
+        .groupBy("block", "place")
+        .agg(
+            F.split(F.max(F.when(first, F.col("term"))), "\\|").alias("about"),
+            F.collect_list(F.when(~first & (F.col("pos") <= F.col("n")), drawn)).alias("own"),
+            F.collect_list(F.when(~first & (F.col("pos") > F.col("n")), drawn)).alias("changed"),
         )
-        .groupBy("block", "place", "form", "part")
-        .agg(F.sort_array(F.collect_list("term")).alias("terms"))
-    )
-    digest = F.substring(F.md5(F.array_join("terms", " ")), 1, 8)
-    of_form = lambda form: F.map_from_entries(
-        F.collect_list(F.when(F.col("form") == form, F.struct("part", digest.alias("digest"))))
-    )
-    rows = found.groupBy("block", "place").agg(
-        F.split(F.max(F.when(F.col("form") == 2, F.get("terms", F.lit(0)))), "\\|").alias("about"),
-        of_form(0).alias("own"),
-        of_form(1).alias("changed"),
     )
 
-    def parts(digests: str, fallback: int) -> Column:
-        whole = F.coalesce(F.try_element_at(digests, F.lit(0)), F.get("about", F.lit(fallback)))
-        numbers = F.sequence(F.lit(1), F.lit(len(_SUBSETS)))
-        subsets = F.transform(numbers, lambda k: F.coalesce(F.try_element_at(digests, k), F.lit(_EMPTY)))
-        return F.concat(F.array(whole), subsets)
+    # each step is a column of its own, as an expression used by others would be worked out anew by each
+    for step in (_by_part, _terms_of_parts):
+        rows = rows.select("block", "place", "about", step("own").alias("own"), step("changed").alias("changed"))
+
+    def parts(found: str, fallback: int) -> Column:
+        def digest(part: Column) -> Column:
+            return F.substring(F.md5(F.try_element_at(found, part)), 1, 8)
+
+        whole = F.coalesce(digest(F.lit("0")), F.get("about", F.lit(fallback)))
+        numbers = F.split(F.lit(",".join(str(k + 1) for k in range(len(_SUBSETS)))), ",")
+        return F.concat(F.array(whole), F.transform(numbers, lambda k: F.coalesce(digest(k), F.lit(_EMPTY))))
 
     parted = rows.select(
         "block",

@@ -286,6 +286,16 @@ def test_fingerprints_of_edits(docs, no_docs):
     assert imatch.fingerprint_edits(no_docs).count() == 0
 
 
+def test_lexicon_band_and_draws(spark):
+    # of 8,000 texts three hold a rare term, 3 % a common one, 6 % one that is too common
+    at = lambda k: f"own{k} " + "rare " * (k < 3) + "common " * (k < 240) + "frequent " * (k < 480) + f"pair{k // 2}"
+    texts = spark.createDataFrame([(at(k),) for k in range(8000)], "t string")
+    band = {r.term: r.drawn for r in imatch.lexicon(texts).collect()}
+    assert {"rare", "common"} <= set(band) and "frequent" not in band and "own1" not in band
+    # few terms lie in no subset at all
+    assert np.mean([r == [0] for r in band.values()]) < 0.1
+
+
 def test_packing(docs, no_docs, tokenizer):
     rows = packing.pack(docs, BPE_FILE, with_ids=True).collect()
     ids = defaultdict(list)
