@@ -736,11 +736,32 @@ def _shout(context, event):
 )
 def body_path_query(spark, folder):
     """The whole way of a body: chunks, assembled, decompressed, handled, replaced."""
+    return _body_path(table(spark, folder, "documents").filter(F.col("doc_id") % 3 < 2))
+
+
+@query(
+    "body_path_all",
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS stream_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 5 END AS phase,
+           doc_id % 3 <> 1 AS decompressed,
+           CASE WHEN doc_id % 3 = 1 THEN 'unsupported encoding/compression strategy' END AS decode_error,
+           CASE WHEN octet_length(encode(text)) = 0 THEN 'immediate' ELSE 'replace' END AS decision,
+           md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS body,
+           octet_length(encode(text))::INTEGER AS content_length
+    FROM documents
+    """,
+)
+def body_path_all_query(spark, folder):
+    """The whole way of every body: gzip, an encoding that is not known, and bodies that are not encoded."""
+    return _body_path(table(spark, folder, "documents"))
+
+
+def _body_path(documents):
     pick = F.col("doc_id") % 3
-    packed = table(spark, folder, "documents").filter(pick < 2).select(
+    packed = documents.select(
         F.col("doc_id").cast("string").alias("stream_id"),
         F.when(F.col("doc_id") % 2 == 0, 2).otherwise(5).alias("phase"),
-        F.when(pick == 0, "gzip").otherwise("br").alias("encoding"),
+        F.when(pick == 0, "gzip").when(pick == 1, "br").otherwise("none").alias("encoding"),
         F.when(pick == 0, _pack("text")).otherwise(F.col("text").cast("binary")).alias("bytes"),
     )
     count = F.greatest(F.ceil(F.octet_length("bytes") / F.lit(CHUNK)), F.lit(1)).cast("long")
@@ -753,7 +774,7 @@ def body_path_query(spark, folder):
         (F.col("at") == F.col("n") - 1).alias("end_of_stream"),
     )
     whole = bodies.assemble_bodies(chunks).join(packed.select("stream_id", "encoding"), "stream_id")
-    opened = bodies.decode_bodies(whole.withColumn("compressed", F.lit(True)))
+    opened = bodies.decode_bodies(whole.withColumn("compressed", F.col("encoding") != "none"))
     seen = opened.withColumns({"has_body": F.lit(True), "seq": F.col("segment"), "original": F.col("body")})
     decided = handlers.apply_operator(seen, _shout, "wrapprocessor")
     answered = http.replace_body(decided.withColumn("replacement", F.col("new_body")), body="original")
