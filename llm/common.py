@@ -55,10 +55,11 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``df`` written and read back, with a folder for each value of ``by`` if one is named."""
         path = f"{self.root}/{self.made:03d}-{name}"
         self.made += 1
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -177,4 +177,104 @@ def op8_sql(shards: list[str]) -> str:
     """
 
 
-ORACLE = {"op2_secrets": OP2, "op3_cosine_groups": OP3, "op7_repeats": OP7, "op9_imatch": OP9}
+OP11 = """
+with recursive
+field as (
+  select doc_id, text, coalesce('=' || source, '') as tree,
+         strlen(doc_id::varchar) || ':' || doc_id
+         || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(length(n_chars::varchar) || ':' || n_chars, '-') as head,
+         -- the last bit of CRC-32, which is inverted at the end
+         list_reduce(
+           list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint),
+           lambda crc, c: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384::bigint), xor(crc, c)),
+           4294967295::bigint) % 2 = 1 as tampered
+  from documents),
+forms as (select *, case when tampered then replace(text, chr(10), '') else text end as claim from field),
+leaves as (
+  select doc_id, tree,
+         sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+         sha256(head || coalesce(strlen(claim) || ':' || claim, '-')) as claimed
+  from forms),
+placed as (
+  select *, row_number() over (partition by tree order by doc_id) - 1 as idx, count(*) over (partition by tree) as n from leaves),
+up as (
+  select tree, 0 as level, idx, n, leaf as node from placed
+  union all
+  select tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(node, '' order by idx)) from up
+  where n > 1 group by tree, level, idx // 3, n),
+subroots as (
+  select tree, node as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as n from up where up.n = 1),
+over_all as (
+  select '*' as tree, 0 as level, place as idx, n, subroot as node from subroots
+  union all
+  select tree, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(node, '' order by idx)) from over_all
+  where n > 1 group by tree, level, idx // 3, n),
+nodes as (select * from up union all select * from over_all),
+steps as (
+  select nodes.tree, level, idx,
+         coalesce(lag(node, 2) over run, '') || coalesce(lag(node, 1) over run, '') as l,
+         coalesce(lead(node, 1) over run, '') || coalesce(lead(node, 2) over run, '') as r,
+         nodes.n <= 3 and nodes.tree <> '*' as last, place
+  from nodes left join subroots s on s.tree = nodes.tree
+  where nodes.n > 1
+  window run as (partition by nodes.tree, level, idx // 3 order by idx)),
+walk as (
+  select doc_id, 0 as step, case when p.n = 1 then '*' else p.tree end as tree, 0 as level,
+         case when p.n = 1 then place else idx end as idx, claimed as digest, '' as way
+  from placed p join subroots s on s.tree = p.tree
+  union all
+  select doc_id, step + 1, case when last then '*' else w.tree end, case when last then 0 else w.level + 1 end,
+         case when last then place else w.idx // 3 end, sha256(l || digest || r), way || l || r
+  from walk w join steps s on s.tree = w.tree and s.level = w.level and s.idx = w.idx),
+ends as (select doc_id, arg_max(digest, step) as folded_root, arg_max(way, step) as way from walk group by doc_id)
+select p.doc_id, leaf, subroot, root, sha256(way) as proof_sha256, folded_root, folded_root = root as verified
+from placed p join subroots s on s.tree = p.tree join ends e on e.doc_id = p.doc_id
+cross join (select node as root from over_all where n = 1)
+"""
+
+OP12 = r"""
+with texts as (
+  select doc_id, length(coalesce(text, '')) as n_chars,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t
+  from documents),
+grouped as (
+  select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, sha256(t) as text_sha256
+  from texts window w as (partition by t order by n_chars desc, doc_id))
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from grouped
+"""
+
+OP13 = r"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+counts as (select doc_id, term, count(*) as tf from words group by all),
+sizes as (select doc_id, sum(tf)::bigint as n from counts group by doc_id),
+totals as (select count(*) as docs, sum(n)::bigint as terms from sizes),
+weights as (
+  select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from counts cross join totals group by term),
+asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+scored as (
+  select item_id, c.doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * docs) // terms)))))::bigint as score
+  from asked a join counts c on c.term = a.term join weights x on x.term = a.term
+  join sizes s on s.doc_id = c.doc_id cross join totals
+  group by item_id, c.doc_id),
+placed as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, rank::integer as rank, doc_id, score from placed where rank <= 20
+"""
+
+ORACLE = {
+    "op2_secrets": OP2,
+    "op3_cosine_groups": OP3,
+    "op7_repeats": OP7,
+    "op9_imatch": OP9,
+    "op11_merkle": OP11,
+    "op12_exact": OP12,
+    "op13_search": OP13,
+}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cosine, extraction, imatch, packing, quality, repeats, secrets, sharding, simhash
+from . import bpe, cosine, exact, extraction, imatch, merkle, packing, quality, repeats, search, secrets, sharding, simhash
 from .common import slices
 from .oracles import ORACLE, op8_sql
 
@@ -101,11 +101,26 @@ def op10_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), BPE_FILE, capacity=2048, end_id=1)
 
 
+def op11_merkle(spark, sf_dir):
+    """Leaf, proof and folded root of every document."""
+    return merkle.manifest(merkle.document_leaves(_table(spark, sf_dir, "documents")))
+
+
+def op12_exact(spark, sf_dir):
+    """Group of equal texts of every document."""
+    return exact.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark, sf_dir):
+    """The twenty best documents for every benchmark item."""
+    return search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_secrets, op3_cosine_groups, op4_resample, op5_main_text, op6_simhash, op7_repeats, op8_slots,
-        op9_imatch, op10_packing,
+        op9_imatch, op10_packing, op11_merkle, op12_exact, op13_search,
     )
 }
 ORACLE = ORACLE | {"op8_slots": op8_sql(SHARDS)}
