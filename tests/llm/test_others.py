@@ -221,10 +221,71 @@ def test_main_text(spark):
     assert extraction.extract(table.filter("false")).count() == 0
 
 
-def test_pages_without_names():
-    """Where no container is named, neighbours and the text's shape decide."""
-    blocks = extraction.read_blocks(re.sub(r"</?(article|nav|footer|aside|header|section)[^>]*>", "", PAGE))
-    assert {b.standing for b in blocks} == {extraction._NEUTRAL, extraction._BESIDE, extraction._MAYBE}
+PARAGRAPHS = [f"This is paragraph {k} of the article, and it has words enough. It says two things." for k in range(4)]
+BODY = "<h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+NAV = "<nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>"
+FOOT = "<footer>&copy; us all, since ever.</footer>"
+TALK = (
+    "<section id=comments><article class=comment><p>I liked it. It was long though, was it not? Yes it was.</p></article>"
+    "<div class=reply><p>No it was not. I read it all in one go.</p></div></section>"
+)
+LAYOUTS = {
+    "form around all": f"<form id=aspnet>{NAV}<article>{BODY}</article>{TALK}{FOOT}</form>",
+    "form, no article": f"<form>{NAV}{BODY}{TALK}{FOOT}</form>",
+    "with-banner": f"<div class='site with-banner'>{NAV}<main><article>{BODY}</article></main>{TALK}{FOOT}</div>",
+    "banner": f"<div class=banner><div class=page>{NAV}<article>{BODY}</article>{TALK}</div></div>{FOOT}",
+    "comments-open": f"{NAV}<article class='post comments-open'>{BODY}</article>{TALK}{FOOT}",
+    "widget": f"{NAV}<div class='elementor-widget'>{BODY}</div>{TALK}{FOOT}",
+    "overflow-hidden": f"{NAV}<div class='overflow-hidden'>{BODY}</div>{TALK}{FOOT}",
+    "header-fixed": f"<div class='layout header-fixed'>{NAV}<div>{BODY}</div>{TALK}{FOOT}</div>",
+    "menu wrapper": f"<div id='menu-wrapper-main'>{NAV}<article>{BODY}</article>{TALK}{FOOT}</div>",
+    "search page": f"<div class=search>{NAV}<div class=x>{BODY}</div>{FOOT}</div>",
+    "hidden until loaded": f"<div style='display:none'>{NAV}<main>{BODY}</main>{TALK}{FOOT}</div>",
+    "wrapped menu": f"<div><div class='main-menu'><div><a href=x>Home</a> <a href=y>About</a></div></div><div>{BODY}</div>{TALK}{FOOT}</div>",
+    "wrapped comments": f"{NAV}<div class=page><div>{BODY}</div><div class='comments-area'><div><div>{TALK}</div></div></div></div>{FOOT}",
+    "sidebar": f"<div class='has-sidebar'>{NAV}<div class=post>{BODY}</div><div class='left-sidebar'><p>We write about all things. Read us on every day.</p></div></div>",
+    "cookies": f"<div id=cookie-notice><p>We use cookies to improve your time here. By going on you agree to all of them.</p></div>{NAV}{BODY}{FOOT}",
+    "no names": f"{NAV}<div>{BODY}</div>{FOOT}",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_keep_their_article(layout):
+    """Whatever a page's containers are called its article stays, and menus and comments go."""
+    page = f"<html><body class='with-comments'>{LAYOUTS[layout]}</body></html>"
+    assert extraction.main_text(page, extraction.UNFITTED)[0].split("\n") == ["Title of it", *PARAGRAPHS]
+
+
+def test_classifier_is_fitted_by_tags(spark):
+    """Fitted on articles and menus it tells text from links where no container has a name."""
+    rows = [(k, f"u{k}", f"<html><body>{NAV}<header><a href=/>Home</a></header><article>{BODY}</article>{FOOT}</body></html>") for k in range(50)]
+    weights = extraction.fit(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    page = f"<div><div><a href=/x>One</a> <a href=/y>Two</a></div><div>{BODY}</div></div>"
+    assert extraction.main_text(page, weights)[0].split("\n")[-4:] == PARAGRAPHS
+    blocks, containers = extraction.read_blocks(rows[0][2])
+    assert set(extraction.taught(blocks, containers)) == {0, 1}
+    nothing = spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")
+    assert (extraction.fit(nothing) == extraction.UNFITTED).all()
+
+
+def test_unclosed_tags_cost_no_more_than_closed_ones():
+    import time
+    import tracemalloc
+
+    for page in ("<div>text one. And two, as it is. " * 20_000, "<div>a" * 20_000 + "</span></p></li>" * 20_000):
+        began = time.process_time()
+        _, blocks, _ = extraction.main_text(page, extraction.UNFITTED)
+        assert blocks == 20_000 and time.process_time() - began < 4
+    tracemalloc.start()
+    extraction.main_text("<div>text one. And two, as it is. " * 20_000, extraction.UNFITTED)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_edges_join_neighbours_and_children_of_one_container():
+    blocks, containers = extraction.read_blocks("<div><p>a</p><div class=ad>b</div><p>c</p></div><div><p>d</p></div>")
+    edges = extraction.smoothness_edges(blocks, containers, extraction.evidence(blocks, containers))
+    assert {(a, b): w for a, b, w in edges} == {(0, 1): 1.0, (1, 2): 1.0, (0, 2): 2.0, (2, 3): 0.5}
 
 
 def brute_table(names, slots):
