@@ -722,23 +722,6 @@ def _shout(context, event):
     return event.body.upper() if event.body else context.Response(status_code=403)
 
 
-@query(
-    "body_path",
-    """
-    SELECT CAST(doc_id AS VARCHAR) AS stream_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 5 END AS phase,
-           doc_id % 3 = 0 AS decompressed,
-           CASE WHEN doc_id % 3 = 1 THEN 'unsupported encoding/compression strategy' END AS decode_error,
-           CASE WHEN octet_length(encode(text)) = 0 THEN 'immediate' ELSE 'replace' END AS decision,
-           md5(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS body,
-           octet_length(encode(text))::INTEGER AS content_length
-    FROM documents WHERE doc_id % 3 < 2
-    """,
-)
-def body_path_query(spark, folder):
-    """The whole way of a body: chunks, assembled, decompressed, handled, replaced."""
-    return _body_path(table(spark, folder, "documents").filter(F.col("doc_id") % 3 < 2))
-
-
 @query(
     "body_path_all",
     """

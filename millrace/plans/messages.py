@@ -505,16 +505,14 @@ def snapshots_query(spark, folder):
 
 @query("w2_rolling_snapshots_stream", _SNAPSHOTS)
 def snapshots_stream_query(spark, folder):
-    """The same snapshots from a stream: it sums up the ticks, the bytes come from the table."""
-    sent = _byte_streams(spark, folder)
-    ticks = run_table_as_stream(
-        sent.select("stream_id", "seq", "ts", "data"),
-        lambda stream: rolling.stream_tick_bytes(stream, "20 seconds", "1 second"),
-        "ticks",
-        ("20 seconds", "1 second"),
-    )
+    """The same snapshots, written by the stream itself as its ticks close."""
     return _snapshot_columns(
-        rolling.snapshots_of_ticks(ticks, sent, _CHUNK, _LIMIT, _TRIM, "20 seconds")
+        run_table_as_stream(
+            _byte_streams(spark, folder).select("stream_id", "seq", "ts", "data"),
+            lambda stream: rolling.live_snapshots(stream, _CHUNK, _LIMIT, _TRIM, "20 seconds", "1 second"),
+            "snapshots",
+            ("20 seconds", "1 second"),
+        )
     )
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.timing import micros
 from ..session import remove_path, scratch_path
 
-#: Files of one micro-batch: what a stateful operator orders at a time is bounded by them.
-FILES_PER_BATCH = 8
+#: Files that a core reads in one micro-batch.
+FILES_A_CORE = 8
 
 
 def _data_files(spark, path):
@@ -58,7 +58,9 @@ def stage(df, label, wait, order="seq", files=None):
 
 
 def read_staged(spark, path, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+    """The staged files as a stream; a micro-batch gives every core of the cluster its share of files."""
+    files = FILES_A_CORE * spark.sparkContext.defaultParallelism
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def dropped_rows(progress):

@@ -1,6 +1,7 @@
 """Rolling byte snapshots: a stream cut into chunks, kept in a trimmed buffer, emitted per tick."""
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Row, Window, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.numbers import divided
 from ..functions.timing import micros, tick_of
@@ -205,3 +206,106 @@ def snapshots_of_ticks(
     )
     placed, _ = _placed(messages, interval)
     return _with_content(ranges, placed, max_bytes)
+
+
+class _Ring(StatefulProcessor):
+    """The buffer of one stream: blocks of its last bytes, and messages whose tick is still open."""
+
+    def __init__(self, chunk_bytes, max_bytes, trim_bytes):
+        self.chunk, self.most, self.trim = chunk_bytes, max_bytes, trim_bytes
+        self.block = max(chunk_bytes, -(-max_bytes // 16))
+
+    def init(self, handle):
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "tick long, seq long, data binary")
+        self.place = handle.getValueState("place", "total long, chunks long")
+        self.blocks = handle.getMapState("blocks", "block long", "data binary")
+
+    def close(self):
+        pass
+
+    def start(self, chunks):
+        """As :func:`buffer_start`."""
+        if self.trim >= self.chunk:
+            return max(0, -(-(chunks * self.chunk - self.most) // self.trim)) * self.trim
+        return max(0, chunks - self.most // self.chunk) * self.trim
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(r.tick, r.seq, bytes(r.data)) for r in rows if r.data]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(tick for tick, _, _ in new))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # the first timer that fires settles all ticks the watermark has passed
+        now = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(r) for r in self.waiting.get()]
+        due = sorted(r for r in held if r[0] <= now)
+        if not due:
+            return
+        open_ = [r for r in held if r[0] > now]
+        self.waiting.clear()
+        if open_:
+            self.waiting.appendList(open_)
+            self.handle.registerTimer(min(tick for tick, _, _ in open_))
+        total, chunks = self.place.get() if self.place.exists() else (0, 0)
+        first = self.start(chunks) // self.block
+        kept = [bytes(self.blocks.getValue((k,))[0]) for k in range(first, -(-total // self.block))]
+        base, buffer, written = first * self.block, bytearray(b"".join(kept)), total
+        for at, (tick, _, data) in enumerate(due):
+            buffer += data
+            total += len(data)
+            if at + 1 < len(due) and due[at + 1][0] == tick or total // self.chunk == chunks:
+                continue
+            chunks = total // self.chunk
+            low, high = self.start(chunks), chunks * self.chunk
+            yield Row(
+                stream_id=key[0], tick_ms=tick, buffer_start=low, buffer_end=high, body=bytes(buffer[low - base : high - base])
+            )
+            gone = low // self.block * self.block - base
+            if gone >= self.most:
+                del buffer[:gone]
+                base += gone
+        low = self.start(chunks) // self.block
+        for k in range(first, min(low, -(-written // self.block))):
+            self.blocks.removeKey((k,))
+        for k in range(max(low, written // self.block), -(-total // self.block)):
+            self.blocks.updateValue((k,), (bytes(buffer[k * self.block - base : (k + 1) * self.block - base]),))
+        self.place.update((total, chunks))
+
+
+def live_snapshots(
+    df,
+    chunk_bytes=MESSAGE_BUFFER[0],
+    max_bytes=MESSAGE_BUFFER[1],
+    trim_bytes=MESSAGE_BUFFER[2],
+    interval=DEFAULT_INTERVAL,
+    delay="10 seconds",
+):
+    """The snapshots of :func:`rolling_snapshots` from a running stream, each given out as its tick closes.
+
+    State of a stream: its buffer in blocks of which only new ones are written and trimmed ones
+    removed, at most ``max_bytes``, a chunk and a block; and the messages that came before the
+    watermark passed their tick. Within a tick messages are ordered by ``seq``. ``interval`` is
+    whole milliseconds. A stream is one key, and its bytes pass one task in order; a table at rest
+    whose streams are too large for that goes through :func:`rolling_snapshots`.
+    """
+    _check(chunk_bytes, max_bytes, trim_bytes)
+    step = micros(interval)
+    if step % 1000:
+        raise ValueError("interval must be whole milliseconds")
+    # empty messages move the watermark too: a filter here would be pushed below it
+    rows = df.withWatermark("ts", delay)
+    kind = df.schema["stream_id"].dataType.simpleString()
+    out = (
+        rows.select("stream_id", "ts", ((tick_of(F.col("ts"), interval) + 1) * (step // 1000)).cast("long").alias("tick"), "seq", "data")
+        .groupBy("stream_id")
+        .transformWithState(
+            _Ring(chunk_bytes, max_bytes, trim_bytes),
+            f"stream_id {kind}, tick_ms long, buffer_start long, buffer_end long, body binary",
+            "append",
+            "eventTime",
+        )
+    )
+    return out.select("stream_id", F.timestamp_millis("tick_ms").alias("tick"), "buffer_start", "buffer_end", "body")

@@ -124,6 +124,21 @@ def test_rolling_stream_equals_batch(spark, tmp_path):
     assert shown(got, 2) == fold(rows, 5, 20, 12, 2)
 
 
+def test_snapshots_of_a_running_stream(spark, tmp_path):
+    """The stream itself writes the buffers, and keeps no more of a stream than its buffer."""
+    rows = random_rows(random.Random(5))
+    end = max(t for _, _, t, _ in rows)
+    rows += [(s, 10_000, end + 600, b"") for s in ("s0", "s1", "s2")]
+    df = messages(spark, rows)
+    for settings in ((5, 20, 12), (7, 5, 3)):
+        got = run_to_table(rolling.live_snapshots(as_stream(spark, df, tmp_path / f"in{settings[0]}", 6), *settings, "2 seconds", "1 second"), "live")
+        assert shown(got, 2) == fold(rows, *settings, 2)
+        # a tick is given out by the micro-batch after which the watermark has passed it
+        assert got.schema.simpleString() == rolling.rolling_snapshots(df, *settings, "2 seconds").schema.simpleString()
+    with pytest.raises(ValueError, match="milliseconds"):
+        rolling.live_snapshots(as_stream(spark, df, tmp_path / "x"), 5, 20, 12, "2500 microseconds")
+
+
 def scattered(spark, df, tmp_path, files=40):
     """The same rows in many files, in no order."""
     path = str(tmp_path / "scattered")
@@ -147,6 +162,11 @@ def test_streams_over_forty_files_are_complete(spark, tmp_path):
     )
     ordered = [(s, q, t, d) for s, q, t, d in sorted(rows, key=lambda r: (r[2], r[1]))]
     renumbered = messages(spark, [(s, k, t, d) for k, (s, _, t, d) in enumerate(ordered)])
+    live = run_table_as_stream(
+        scattered(spark, renumbered, tmp_path / "again"),
+        lambda s: rolling.live_snapshots(s, 5, 20, 12, "1 minute", "1 second"), "live", ("1 minute", "1 second"), files=30,
+    )
+    assert shown(live, 60) == fold([(s, k, t, d) for k, (s, _, t, d) in enumerate(ordered)], 5, 20, 12, 60)
     got = rolling.snapshots_of_ticks(ticks, renumbered, 5, 20, 12, "1 minute")
     assert shown(got, 60) == fold([(s, k, t, d) for k, (s, _, t, d) in enumerate(ordered)], 5, 20, 12, 60)
 
@@ -245,6 +265,38 @@ def test_exchange_state(spark, tmp_path):
     assert (b.outcome, b.response_headers, bytes(b.request_body)) == ("timeout", None, b"")
 
 
+def test_an_ended_exchange_leaves_in_the_batch_of_its_end(spark, tmp_path):
+    """Rows by micro-batch: an end is given out at once, a late message gives no second row, state expires."""
+    schema = exchange_rows(spark).schema
+    head, reply = {":path": "/a", "x-a": "1"}, {":status": "200", "x-b": "2"}
+    batches = [
+        [("a", 0, 1, head, None, False, at(0), 5), ("b", 0, 1, head, None, True, at(1), 7)],
+        [("a", 1, 4, reply, None, False, at(2), 5), ("a", 2, 5, None, b"x", True, at(3), 5)],
+        [("a", 3, 6, None, None, False, at(4), 9)],  # a trailer after the end
+        [("z", 0, 1, head, None, True, at(200), 1)],  # the watermark passes all before
+        [("a", 4, 1, head, None, True, at(205), 1), ("a", 5, 4, reply, None, True, at(206), 1)],  # the id is free again
+    ]
+    path, seen = str(tmp_path / "in"), []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).drop("chunk").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    query = (
+        exchange_state(stream.drop("chunk"), "1 minute", "1 second")
+        .writeStream.foreachBatch(lambda df, n: seen.extend((n, r) for r in df.collect()))
+        .option("checkpointLocation", str(tmp_path / "state"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    found = [(n, r.stream_id, r.outcome, r.messages, r.duration_ns) for n, r in seen]
+    a, again = [x for x in found if x[1] == "a"]
+    assert a == (1, "a", "ended", 3, 15) and again[2:] == ("ended", 2, 2)
+    assert [x[1:] for x in found if x[1] == "b"] == [("b", "timeout", 1, 7)] and {x[1] for x in found} == {"a", "b"}
+    (row,) = [r for n, r in seen if n == 1]
+    assert (row.request_headers, row.response_headers, row.first_ts, row.last_ts) == ({"x-a": "1"}, {"x-b": "2"}, at(0), at(3))
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 2  # "z" and the later "a"
+
+
 def test_trailers_end_an_exchange_and_late_messages_join_it(spark):
     rows = [
         ("t", 0, 1, {":path": "/", "x-a": "1"}, None, False, at(0), 5),
