@@ -155,17 +155,47 @@ def _summaries(cut, keys, names, order, values):
     )
 
 
+#: Keys whose share of the facts is looked for, and counters of the sketch that finds them.
+HEAVY_KEYS, SKETCH_COUNTERS = 512, 1 << 14
+
+
+def heavy_keys(facts, keys, parts):
+    """{hash of the key: salts} for the keys that hold more than a ``parts``-th of the facts.
+
+    A frequent-items sketch of the hashed keys, one row with at most ``HEAVY_KEYS`` items, so
+    what it costs is a pass over the key columns. The salts are a key's share in ``parts``.
+    """
+    sketch = facts.select(F.xxhash64(*keys).alias("__key")).agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(__key, {HEAVY_KEYS}, {SKETCH_COUNTERS})").alias("top")
+    )
+    found = sketch.first()
+    return {
+        item["item"]: -(-item["count"] * parts // found["n"]) for item in found["top"] or [] if item["count"] * parts > found["n"]
+    }
+
+
 def salted_join(facts, lookup, keys, salt_by, how="inner", salts=None):
     """Equi join of a large table with a smaller one on keys that may be hot.
 
-    The lookup is copied ``salts`` times and the facts of one key are spread over the copies
-    by ``salt_by``, so no task receives a hot key whole. There are as many copies as shuffle
-    partitions unless ``salts`` says otherwise. No broadcast is forced: adaptive execution
-    turns this into one by itself when the lookup's measured size allows it.
+    Only lookup rows of heavy keys are copied, as often as the key's share of the facts fills
+    shuffle partitions, and the facts of that key are spread over the copies by ``salt_by``; all
+    copies together are at most twice the partitions times the rows a heavy key has. Where no key
+    is heavy this is a plain join. Which keys are heavy only decides where rows go, so a sketch is
+    enough to tell. ``salts`` says how many partitions to spread over, else as many as there are
+    for a shuffle. No broadcast is forced on the lookup: adaptive execution turns this into one
+    by itself when its measured size allows it.
     """
-    salts = salts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
-    return (
-        facts.withColumn("__salt", salt).join(spread, [*keys, "__salt"], how).drop("__salt")
-    )
+    parts = salts or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    heavy = heavy_keys(facts, keys, parts) if parts > 1 else {}
+    if not heavy:
+        return facts.join(lookup, keys, how)
+
+    def numbers(values):  # one literal, not an expression for each
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    one = F.lit(1).cast("long")
+    place = F.array_position(numbers(heavy), F.xxhash64(*keys)).cast("int")
+    copies = F.when(place > 0, F.get(numbers(heavy.values()), place - 1)).otherwise(one)
+    spread = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - one)))
+    salted = facts.withColumn("__salt", F.when(place > 0, F.pmod(F.xxhash64(*salt_by), copies)).otherwise(F.lit(0).cast("long")))
+    return salted.join(spread, [*keys, "__salt"], how).drop("__salt")

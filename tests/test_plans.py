@@ -133,6 +133,40 @@ def test_a_hot_lookup_key_is_spread(spark, no_broadcast):
     assert sum(sizes) == 60_000 and max(sizes) < 60_000 / 4
 
 
+@pytest.mark.parametrize("share, copies", [(0, 1), (3, 2)])
+def test_lookup_rows_are_copied_by_need(spark, no_broadcast, share, copies):
+    """2,000 partitions: no copies where no key is hot, at most one a partition and row where one is."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators.scans import heavy_keys, salted_join
+
+    key = F.concat(F.lit("u"), F.col("id") % 20_000)
+    rows = spark.range(60_000).select((F.when(F.col("id") % share == 0, "u1").otherwise(key) if share else key).alias("k"), "id")
+    lookup = spark.range(20_000).select(F.concat(F.lit("u"), F.col("id")).alias("k"), F.col("id").alias("v"))
+    heavy = heavy_keys(rows, ["k"], 2000)
+    made = lookup.count() + sum(heavy.values()) - len(heavy)
+    assert bool(heavy) == bool(share) and made <= copies * 20_000
+    joined = salted_join(rows, lookup, ["k"], ["id"], salts=2000)
+    assert joined.count() == 60_000 and joined.filter(F.col("k") != F.concat(F.lit("u"), "v")).count() == 0
+    if share:
+        sizes = spread(spark, lambda: salted_join(rows, lookup, ["k"], ["id"], salts=2000), 200)
+        assert max(sizes) < 3 * 60_000 / 200
+
+
+def test_salted_join_keeps_rows_without_a_match_or_a_key(spark, no_broadcast):
+    from pyspark.sql import functions as F
+
+    from millrace.operators.scans import salted_join
+
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("k"), "id")
+    lookup = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (None, "d")], "k long, v string")
+    for how in ("inner", "left", "left_anti"):
+        plain = rows.join(lookup, "k", how)
+        got = salted_join(rows, lookup, ["k"], ["id"], how)
+        assert got.columns == plain.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_a_hot_capture_is_spread(spark, no_broadcast):
     """All segments of one path: written ones are read by many tasks."""
     from pyspark.sql import functions as F
