@@ -33,6 +33,13 @@ def declared_length(headers):
     return 0
 
 
+def header_field(headers, line):
+    """Take one header line into ``headers``; a line without a colon says nothing."""
+    name, colon, value = line.partition(b":")
+    if colon:
+        headers[_text(name)] = _text(value)
+
+
 class PartReader:
     """Takes a multipart stream apart as its bytes come in, holding at most one part."""
 
@@ -64,9 +71,7 @@ class PartReader:
                 # anything before a line that contains the mark is skipped
                 self.headers = {} if self.mark in line else None
             elif line.strip():
-                name, colon, value = line.strip().partition(b":")
-                if colon:
-                    self.headers[_text(name)] = _text(value)
+                header_field(self.headers, line.strip())
             else:
                 self.length = declared_length(self.headers)
                 if not self.length:
@@ -87,34 +92,32 @@ def demux_frames(captures, boundary=None):
 
     Segments that come with their number of ``frames``, as :func:`mux_frames` writes them,
     begin at a part: they are read each on its own, by any task, and numbered from the frames
-    before them. Raw recordings may be cut anywhere: their segments are read one after
-    another, and only the part that is being read is held.
+    before them. Raw recordings may be cut anywhere: :func:`.recordings.demux_ranges` reads
+    them by ranges, so a long one is no single task.
     """
     named, counted = "content_type" in captures.columns, {"segment", "frames"} <= set(captures.columns)
-    cut = "segment" in captures.columns and not counted
+    if "segment" in captures.columns and not counted:
+        from .recordings import demux_ranges
+
+        return demux_ranges(captures, boundary)
     columns = ["path", "content"] + (["content_type"] if named else [])
     if counted:
         sizes = captures.select("path", "segment", F.col("frames").cast("long").alias("frames"))
         summed = running(sizes, ["path"], "segment", {"upto": running_sum(F.col("frames"))})
         before = summed.select("path", "segment", (F.col("upto") - F.col("frames")).alias("before"))
         rows = captures.join(before, ["path", "segment"]).select(*columns, "before")
-    elif cut:
-        rows = captures.select(*columns, "segment").repartition("path").sortWithinPartitions("path", "segment")
     else:
         rows = captures.select(*columns)
 
     def run(batches):
-        path, reader, number, block = None, None, 0, []
+        block = []
         for batch in batches:
             types = batch["content_type"] if named else [None] * len(batch)
             starts = batch["before"] if counted else [0] * len(batch)
-            for here, content, kind, start in zip(batch["path"], batch["content"], types, starts):
-                if reader is None or not cut or here != path:
-                    path, number = here, int(start)
-                    reader = PartReader(boundary or boundary_of(kind) or DEFAULT_BOUNDARY)
-                for headers, body in reader.feed(content):
-                    number += 1
-                    block.append((here, number, headers, body))
+            for path, content, kind, start in zip(batch["path"], batch["content"], types, starts):
+                reader = PartReader(boundary or boundary_of(kind) or DEFAULT_BOUNDARY)
+                for number, (headers, body) in enumerate(reader.feed(content), int(start) + 1):
+                    block.append((path, number, headers, body))
                     # a few frames at a time: a capture may be larger than one Arrow batch
                     if len(block) == 256:
                         yield pd.DataFrame(block, columns=FRAME_COLUMNS)
@@ -128,8 +131,8 @@ def demux_frames(captures, boundary=None):
 def demux_captures(spark, glob, boundary=None):
     """Frames of capture files, one file per row and files spread over the tasks.
 
-    Spark reads a file as one value, so a file may hold up to 2 GB; a longer capture comes
-    as a table of segments, which is how :func:`mux_frames` writes it.
+    Spark reads a file as one value, so a file may hold up to 2 GB; longer recordings are read
+    in ranges by :func:`.recordings.read_recordings`.
     """
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
     return demux_frames(files, boundary)

@@ -89,6 +89,60 @@ def test_mux_then_demux_is_the_identity(spark):
     assert [(r.frame_num, bytes(r.body)) for r in back.orderBy("frame_num").collect()] == [(n, b) for _, n, b in rows]
 
 
+def test_ranges_give_the_frames_of_one_pass(spark, tmp_path):
+    """Whatever lies at a range's border, frames and numbers are those of a reader that starts at the first byte."""
+    import random
+
+    from millrace.sources import recordings
+
+    rng = random.Random(3)
+    parts = [b"some data\nbefore --x\n"]
+    for n in range(120):
+        body = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 90))) + rng.choice([b"", b"\n--b\nContent-Length: 5\n\n", b"--b\r\n\r\n", b"\n"])
+        extra = rng.choice(["", "Content-Type: image/jpeg\r\n", f"X-N: {n}\r\nno colon\r\n", "--b: 1\r\n"])
+        parts.append(part(body, f"{extra}Content-Length: {len(body)}\r\n" if n % 9 else "Content-Length: none\r\n"))
+        if n % 11 == 0:
+            parts.append(b"noise --b in a line --b\r\nContent-length: 3\r\n\r\n--b--b\r\n")
+    ends = [b"", b"--b\r\nContent-Length: 99\r\n\r\ncut short", b"--b\r\nContent-Length: 3", b"--b\r\nContent-Length: 3\r\n\r\nabc", b"--b"]
+    whole = {f"c{k}": b"".join(parts[: 20 + 25 * k]) + end for k, end in enumerate(ends)} | {"none": b"\n\n", "empty": b""}
+    expected = sorted(
+        (path, n, body, headers)
+        for path, data in whole.items()
+        for n, (headers, body) in enumerate(multipart.PartReader("b").feed(data), 1)
+    )
+    size = -(-max(map(len, whole.values())) // 16)
+    rows = [(p, i, d[at : at + size]) for p, d in whole.items() for i, at in enumerate(range(0, max(len(d), 1), size))]
+    table = spark.createDataFrame(rows, "path string, segment bigint, content binary").repartition(5)
+    for range_bytes in (97, 1000, 1 << 20):
+        got = recordings.demux_ranges(table, "b", range_bytes, 300).collect()
+        assert sorted((r.url, r.frame_num, bytes(r.body), r.headers) for r in got) == expected
+    # the same files, split by Spark inside of bodies and headers
+    for path, data in whole.items():
+        (tmp_path / path).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        segments = recordings.read_recordings(spark, str(tmp_path / "*"), 200)
+        found = {}
+        for r in segments.orderBy("path", "segment").collect():
+            found.setdefault(r.path.rsplit("/", 1)[1], []).append(bytes(r.content))
+        assert {p: b"".join(x) for p, x in found.items()} == {p: d for p, d in whole.items() if d}
+        assert max(map(len, found.values())) >= 16
+        got = multipart.demux_frames(segments, "b").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.url.rsplit("/", 1)[1], r.frame_num, bytes(r.body), r.headers) for r in got) == expected
+
+
+def test_header_beyond_the_look_ahead_is_an_error(spark):
+    from millrace.sources import recordings
+
+    data = b"--b\r\nX: " + b"y" * 500 + b"\r\nContent-Length: 2\r\n\r\nok" + b"z" * 500
+    table = spark.createDataFrame([("u", 0, data)], "path string, segment bigint, content binary")
+    assert bytes(recordings.demux_ranges(table, "b", 100, 600).first().body) == b"ok"
+    with pytest.raises(Exception, match="looks ahead"):
+        recordings.demux_ranges(table, "b", 100, 50).collect()
+
+
 def test_factor(spark):
     df = spark.createDataFrame([("u", 10 * i) for i in range(11)], "url string, seq bigint")
     for factor in (1, 2, 10):
