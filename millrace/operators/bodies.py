@@ -1,5 +1,6 @@
 """Streamed bodies: assembly, running view, decompression."""
 
+import hashlib
 import zlib
 
 import pyarrow as pa
@@ -161,6 +162,35 @@ def body_so_far(seen, bodies):
     )
 
 
+def prefix_digests(chunks):
+    """(stream_id, phase, seq, body_end, digest): length and MD5 of the body up to every chunk.
+
+    What tells one prefix from another without writing prefixes out: a body's chunks pass one
+    task in order, which holds the digest's state only, so every byte is moved and hashed once.
+    """
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in (*_KEY, "seq")) + ", body_end long, digest string"
+
+    def walk(batches):
+        key, state, end = None, None, 0
+        for batch in batches:
+            ends, digests = [], []
+            for stream, phase, chunk in zip(*(batch.column(c) for c in (*_KEY, "chunk"))):
+                here = (stream.as_py(), phase.as_py())
+                if here != key or state is None:
+                    key, state, end = here, hashlib.md5(usedforsecurity=False), 0
+                if chunk.is_valid:
+                    state.update(chunk.as_buffer())
+                    end += len(chunk.as_buffer())
+                ends.append(end)
+                digests.append(state.hexdigest())
+            known = [batch.column(c) for c in (*_KEY, "seq")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array(ends, pa.int64()), pa.array(digests)], [*_KEY, "seq", "body_end", "digest"])
+
+    ordered = chunks.select(*_KEY, "seq", "chunk").repartition(*_KEY).sortWithinPartitions(*_KEY, "seq")
+    return ordered.mapInArrow(walk, schema)
+
+
 class Inflater:
     """Inflates a gzip stream piece by piece, member after member."""
 

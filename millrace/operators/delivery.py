@@ -57,6 +57,20 @@ def save_outputs(df, path, kinds, mode="append"):
     checked_kinds(df, kinds).write.mode(mode).partitionBy("sink_kind").parquet(path)
 
 
+def save_stream(df, path, kinds, checkpoint):
+    """Write all routed rows of a stream, each micro-batch in one pass; returns the unstarted writer.
+
+    A micro-batch has a folder of its own, with one for each sink kind in it, and is committed as a
+    whole: an unknown kind fails it before any of its rows is there, and a batch that is given
+    again replaces what it wrote. Read the folder back with its ``batch`` and ``sink_kind``.
+    """
+
+    def write(batch, batch_id):
+        save_outputs(batch, f"{path}/batch={batch_id}", kinds, "overwrite")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def stream_outputs(df, routes, checkpoint):
     """Route every micro-batch of a stream; returns the unstarted writer.
 

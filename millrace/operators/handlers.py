@@ -1,18 +1,21 @@
 """User functions over events."""
 
 import asyncio
+import hashlib
 import inspect
 import json
 import logging
 import sys
 import time
 import traceback
+import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from types import SimpleNamespace
 from typing import Any, Iterator, Tuple
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F, types as T
 
 from .bodies import PIECE_ERROR
@@ -98,6 +101,11 @@ def _row(response):
     }
 
 
+def _failure(exc):
+    text = 'Exception caught in handler - "{0}": {1}'.format(exc, traceback.format_exc())
+    return _row(Response(body=text, status_code=500))
+
+
 def call_handler(fn, context, event):
     """(responses, start, duration) of one call; an exception becomes one response 500."""
     start = time.time()
@@ -107,8 +115,7 @@ def call_handler(fn, context, event):
             value = asyncio.run(value)
         rows = [_row(as_response(v)) for v in (value if isinstance(value, list) else [value])]
     except Exception as exc:
-        text = 'Exception caught in handler - "{0}": {1}'.format(exc, traceback.format_exc())
-        rows = [_row(Response(body=text, status_code=500))]
+        rows = [_failure(exc)]
     # a clock too coarse for the call still gives a positive duration
     duration = max(time.time() - start, 0.0) or sys.float_info.min
     return rows, start, duration
@@ -234,6 +241,74 @@ def flatten_batched(df, responses="responses"):
     )
 
 
+#: Answers that are given out together, and about how many bytes of them.
+ANSWERS_AT_ONCE, ANSWER_BYTES = 1 << 12, 8 << 20
+
+
+def apply_answers(df, fn, init=None):
+    """One row per answer of ``fn(context, event)``, given out as the handler makes them.
+
+    A handler may return one value or a list, or be a generator: its answers are passed on a few
+    thousand at a time, so one event may have any number of them. Appended are ``response_pos``
+    from 0 and the response's columns; an empty answer gives no row. An exception becomes a
+    response 500 behind the answers that came before it. All columns of the table pass through
+    Python; drop those that are not needed before the call.
+    """
+    names = [f.name for f in df.schema]
+    seen = [c for c in EVENT_COLUMNS if c in names]
+    added = pa.schema(
+        [
+            ("response_pos", pa.int32()), ("status", pa.int32()), ("response_headers", pa.map_(pa.string(), pa.string())),
+            ("response_body", pa.binary()), ("response_type", pa.string()),
+        ]
+    )
+
+    def run(batches):
+        context = Context()
+        if init is not None:
+            init(context)
+        for batch in batches:
+            held, size = [], 0
+            for k, event in enumerate(batch.select(seen).to_pylist()):
+                for name in ("headers", "fields"):
+                    event[name] = dict(event.get(name) or {})
+                for at, row in enumerate(_answers(fn, context, SimpleNamespace(**event))):
+                    held.append((k, at, row["status"], row["headers"], row["body"], row["content_type"]))
+                    size += len(row["body"])
+                    if len(held) == ANSWERS_AT_ONCE or size >= ANSWER_BYTES:
+                        yield given(batch, held)
+                        held, size = [], 0
+            if held:
+                yield given(batch, held)
+
+    def given(batch, held):
+        place, *columns = zip(*held)
+        own = batch.take(pa.array(place, pa.int64()))
+        answers = [pa.array(c, f.type) for c, f in zip(columns, added)]
+        return pa.RecordBatch.from_arrays([*own.columns, *answers], [*names, *added.names])
+
+    schema = T.StructType(
+        [
+            *df.schema.fields, T.StructField("response_pos", T.IntegerType()), T.StructField("status", T.IntegerType()),
+            T.StructField("response_headers", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("response_body", T.BinaryType()), T.StructField("response_type", T.StringType()),
+        ]
+    )
+    return df.mapInArrow(run, schema)
+
+
+def _answers(fn, context, event):
+    """Response rows of one call, one after another."""
+    try:
+        value = fn(context, event)
+        if inspect.iscoroutine(value):
+            value = asyncio.run(value)
+        for one in value if isinstance(value, list) or inspect.isgenerator(value) else [value]:
+            yield _row(as_response(one))
+    except Exception as exc:
+        yield _failure(exc)
+
+
 def _by_name(fn):
     """Call with ``context`` and ``event`` where the function names them."""
     wanted = [p for p in inspect.signature(fn).parameters if p in ("context", "event")]
@@ -282,7 +357,42 @@ def observe(df, fn, content=False, init=None):
     )
 
 
-def run_job(fn, inputs, save, params=None, run_id="job", stored_status=None):
+def stored_statuses(spark, path):
+    """The status table at ``path``: one row a run, empty where no run has ended yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(_STATUS).parquet(path) if there else spark.createDataFrame([], _STATUS)
+
+
+def store_status(spark, path, status):
+    """Add a run's status to the table at ``path`` and return what is stored of that run.
+
+    A run has one file, named by its id. The row is written aside and renamed, which fails where
+    the file is there already: of two runs with one id the status stored first stays, and no
+    reader sees half a row.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    name = hashlib.sha256(status["run_id"].encode()).hexdigest()
+    aside = f"{path}/_aside-{uuid.uuid4().hex}"
+    status_row(spark, status).coalesce(1).write.parquet(aside)
+    here = jvm.org.apache.hadoop.fs.Path(aside)
+    fs = here.getFileSystem(conf)
+    (written,) = [f.getPath() for f in fs.listStatus(here) if f.getPath().getName().startswith("part-")]
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    try:
+        files.rename(fs.makeQualified(written), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.parquet")), options)
+    except Py4JJavaError as exc:
+        if "FileAlreadyExistsException" not in str(exc.java_exception):
+            raise
+    finally:
+        fs.delete(here, True)
+    row = stored_statuses(spark, path).filter(F.col("run_id") == status["run_id"]).first().asDict()
+    return {k: v for k, v in row.items() if v is not None}
+
+
+def run_job(fn, inputs, save, params=None, run_id="job", stored_status=None, status_path=None):
     """Run a batch job: named input tables and parameters to named output tables.
 
     ``fn`` gets what it names of the inputs and parameters and returns a dict of DataFrames
@@ -290,7 +400,8 @@ def run_job(fn, inputs, save, params=None, run_id="job", stored_status=None):
     read back; writing is part of the run, so COMPLETED means that everything was computed.
     Returns (outputs, status); the status already stored wins over the new one. An exception,
     in ``fn`` or while an output is computed, fails the run: it is raised with the status as
-    its ``status`` attribute, end time included.
+    its ``status`` attribute, end time included. With ``status_path`` the status of a run, also
+    of one that fails, goes to the table there, see :func:`store_status`.
     """
     now = lambda: datetime.now(timezone.utc)
     status = {"run_id": run_id, "state": "RUNNING", "started": now()}
@@ -309,6 +420,9 @@ def run_job(fn, inputs, save, params=None, run_id="job", stored_status=None):
         raise
     finally:
         status["ended"] = now()
+        if status_path:
+            spark = next(iter(inputs.values())).sparkSession
+            status.update(store_status(spark, status_path, {**status, **(stored_status or {})}))
     return outputs, {**status, **(stored_status or {})}
 
 

@@ -61,8 +61,10 @@ def apply_query(spark, folder):
 
 
 def _sentences(context, event):
-    """One response per sentence."""
-    return [part for part in event.body.decode().split(".") if part.strip()]
+    """One response per sentence, as it is found."""
+    for part in event.body.decode().split("."):
+        if part.strip():
+            yield part
 
 
 @query(
@@ -74,8 +76,7 @@ def _sentences(context, event):
     """,
 )
 def batched_query(spark, folder):
-    batched = handlers.apply_batched(_turns(spark, folder), _sentences)
-    return handlers.flatten_batched(batched).select(
+    return handlers.apply_answers(_turns(spark, folder), _sentences).select(
         "conv_id", "turn", "response_pos", "status", digest("response_body").alias("body")
     )
 
@@ -123,23 +124,29 @@ def _broken(orders):
     """,
 )
 def job_query(spark, folder):
-    """A run with its status beside every row it wrote, and one that fails while it is computed."""
+    """A run with its status beside every row it wrote, and one that fails while it is computed.
+
+    Both are in the status table. The one that failed is run again under its id and
+    succeeds, which changes nothing of what is stored.
+    """
     path = scratch_path(spark, "job")
 
     def save(name, df):
-        df.write.parquet(f"{path}/{name}")
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     tables = {"orders": table(spark, folder, "orders"), "customers": table(spark, folder, "customer")}
-    outputs, done = handlers.run_job(
-        orders_by_segment, tables, save, {"state": "F", "unused": 1}, run_id="by-segment"
+    known = {"status_path": f"{path}/runs"}
+    outputs, _ = handlers.run_job(
+        orders_by_segment, tables, save, {"state": "F", "unused": 1}, run_id="by-segment", **known
     )
     try:
-        handlers.run_job(_broken, tables, lambda name, df: save("broken", df), run_id="broken")
+        handlers.run_job(_broken, tables, lambda name, df: save("broken", df), run_id="broken", **known)
         raise AssertionError("the broken run must fail")
-    except PySparkException as failed:
-        broken = failed.status
-    runs = handlers.status_row(spark, done).unionByName(handlers.status_row(spark, broken)).select(
+    except PySparkException:
+        pass
+    handlers.run_job(lambda customers: {"regions": customers.limit(0)}, tables, save, run_id="broken", **known)
+    runs = handlers.stored_statuses(spark, f"{path}/runs").select(
         "run_id", "state", F.array_join("outputs", ",").alias("outputs")
     )
     written = outputs["output"].withColumn("run_id", F.lit("by-segment"))

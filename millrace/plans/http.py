@@ -639,15 +639,9 @@ def assemble_limited_query(spark, folder):
 def running_bodies_query(spark, folder):
     """What a handler sees at each chunk: with buffering the body up to there, else the chunk."""
     chunks = doc_chunks(spark, folder)
-    seen = bodies.running_bodies(chunks)
-    return bodies.body_so_far(seen, bodies.assemble_bodies(chunks)).select(
-        "stream_id",
-        "phase",
-        "seq",
-        digest("chunk").alias("unbuffered"),
-        F.col("body_end").alias("buffered_end"),
-        digest("body").alias("buffered"),
-    )
+    alone = chunks.select("stream_id", "phase", "seq", digest("chunk").alias("unbuffered"))
+    so_far = bodies.prefix_digests(chunks).withColumnsRenamed({"body_end": "buffered_end", "digest": "buffered"})
+    return alone.join(so_far, ["stream_id", "phase", "seq"])
 
 
 @F.pandas_udf(T.BinaryType())

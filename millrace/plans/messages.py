@@ -6,7 +6,7 @@ from ..operators import delivery, events as ev, frames
 from ..operators.http import parse_query
 from ..sources.captures import job_events, load_messages
 from ..session import scratch_path
-from ..streaming import rolling, windows
+from ..streaming import at_rest, rolling, windows
 from ..streaming.at_rest import run_table_as_stream
 from .inputs import digest, events, invocations, map_text, messages, page_frames, requests, table
 from .inputs import INVOCATIONS, PAGE_FRAMES
@@ -582,30 +582,47 @@ def metadata_query(spark, folder):
     )
 
 
-@query(
-    "k1_route_outputs",
-    """
+_ROUTED = """
     SELECT event_id, CASE event_type WHEN 'click' THEN 'webhook' WHEN 'view' THEN 'websocket'
                                      WHEN 'purchase' THEN 'mjpeg' ELSE 'rtsp' END AS sink_kind
     FROM events WHERE event_type <> 'error'
-    """,
-)
-def route_query(spark, folder):
-    """Written in one pass, a folder per sink, and read back."""
+    """
+_SINKS = ["mjpeg", "rtsp", "webhook", "websocket"]
+
+
+def _routed(spark, folder):
     kind = F.col("event_type")
-    df = events(spark, folder).select(
+    return events(spark, folder).select(
         "event_id",
         F.when(kind == "click", "webhook")
         .when(kind == "view", "websocket")
         .when(kind == "purchase", "mjpeg")
         .when(kind == "signup", "rtsp")
         .alias("sink_kind"),
+        "ts",
     )
+
+
+@query("k1_route_outputs", _ROUTED)
+def route_query(spark, folder):
+    """Written in one pass, a folder per sink, and read back."""
+    df = _routed(spark, folder).drop("ts")
     path = scratch_path(spark, "routed")
-    delivery.save_outputs(df, path, ["mjpeg", "rtsp", "webhook", "websocket"])
+    delivery.save_outputs(df, path, _SINKS)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@query("k1_route_outputs_stream", _ROUTED)
+def route_stream_query(spark, folder):
+    """The same from a stream, a micro-batch at a time."""
+    df = _routed(spark, folder)
+    source, path = scratch_path(spark, "sent"), scratch_path(spark, "routed")
+    df.write.parquet(source)
+    stream = at_rest.read_staged(spark, source, df.schema)
+    delivery.save_stream(stream, path, _SINKS, f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("event_id", "sink_kind")
+
+
 @query(
     "k3_delivery_outcomes",
     """

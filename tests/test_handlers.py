@@ -71,6 +71,64 @@ def test_batched_answers(spark):
     ]
 
 
+def test_answers_as_they_come(spark):
+    def words(context, event):
+        for word in event.body.decode().split():
+            if word == "!":
+                raise ValueError("no more")
+            yield word
+
+    table = bodies(spark, "a b", "c ! d", "").withColumn("status", F.lit("own"))
+    with pytest.raises(Exception, match="status"):
+        handlers.apply_answers(table, words).select("status").collect()
+    rows = handlers.apply_answers(table.drop("status"), words).orderBy("seq", "response_pos").collect()
+    assert [(r.seq, r.response_pos, r.status, bytes(r.response_body)[:9]) for r in rows] == [
+        (0, 0, 200, b"a"), (0, 1, 200, b"b"), (1, 0, 200, b"c"), (1, 1, 500, b"Exception"),
+    ]
+    listed = handlers.apply_answers(bodies(spark, "x"), lambda c, e: [c.Response(body=b"1", status_code=202, headers={"k": "v"}), "2"])
+    assert [(r.status, r.response_headers, bytes(r.response_body)) for r in listed.collect()] == [(202, {"k": "v"}, b"1"), (200, {}, b"2")]
+
+
+def test_a_million_answers_are_never_held_together(spark):
+    def many(context, event):
+        import gc
+
+        live = 0
+        for k in range(1_000_000):
+            if k % 100_000 == 50_000:
+                live = max(live, sum(isinstance(x, dict) and "content_type" in x for x in gc.get_objects()))
+            yield f"{k} {live}"
+
+    made = handlers.apply_answers(bodies(spark, "go"), many)
+    row = made.select("response_pos", F.split(F.col("response_body").cast("string"), " ").cast("array<int>").alias("x")).agg(
+        F.count("*").alias("n"), F.max("response_pos").alias("last"), F.sum(F.col("x")[0]).alias("total"), F.max(F.col("x")[1]).alias("live")
+    ).first()
+    assert (row.n, row.last, row.total) == (1_000_000, 999_999, 499_999_500_000) and row.live <= handlers.ANSWERS_AT_ONCE
+
+
+def test_status_table(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    assert handlers.stored_statuses(spark, path).count() == 0
+    tables, save = {"numbers": spark.range(3)}, lambda name, df: df
+    first = {"status_path": path, "run_id": "a/b c"}
+    _, done = handlers.run_job(lambda numbers: numbers, tables, save, **first)
+
+    def fail(numbers):
+        raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError) as caught:
+        handlers.run_job(fail, tables, save, **first)
+    assert caught.value.status["state"] == "COMPLETED"  # what is stored wins
+    with pytest.raises(RuntimeError):
+        handlers.run_job(fail, tables, save, status_path=path, run_id="other")
+    rows = {r.run_id: r for r in handlers.stored_statuses(spark, path).collect()}
+    assert {k: r.state for k, r in rows.items()} == {"a/b c": "COMPLETED", "other": "ERROR"}
+    assert rows["a/b c"].outputs == done["outputs"] and rows["other"].error == "no"
+    assert sorted(x.name for x in (tmp_path / "runs").iterdir() if not x.name.startswith(".")) == sorted(
+        x.name for x in (tmp_path / "runs").glob("*.parquet")
+    )
+
+
 def test_job_run(spark):
     table = spark.range(5)
     saved = {}
@@ -212,6 +270,27 @@ def test_routing(spark, tmp_path):
     assert [r.id for r in spark.read.parquet(out).collect()] == [1]
 
 
+def test_routed_stream_is_written_once(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    df = spark.createDataFrame([(k, ["webhook", "mjpeg", None][k % 3]) for k in range(30)], "id int, sink_kind string")
+    for k in range(3):
+        df.filter(F.floor(F.col("id") % 10 / 4) == k).coalesce(1).write.mode("append").parquet(path)
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run = lambda kinds: delivery.save_stream(read(), out, kinds, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    with pytest.raises(Exception, match="sink factory not found: mjpeg"):
+        run(["webhook"])
+    assert not list((tmp_path / "out").rglob("*.parquet"))  # nothing of the failed batch is there
+    run(["webhook", "mjpeg"])
+    saved = lambda: sorted((r.id, r.sink_kind) for r in spark.read.parquet(out).collect())
+    expected = sorted((r.id, r.sink_kind) for r in df.filter("sink_kind is not null").collect())
+    assert saved() == expected and spark.read.parquet(out).select("batch").distinct().count() == 3
+    # a batch that is given again replaces what it wrote
+    for name in ("commits/2", "commits/.2.crc"):
+        (tmp_path / "cp" / name).unlink(missing_ok=True)
+    run(["webhook", "mjpeg"])
+    assert saved() == expected
+
+
 def test_fan_out(spark):
     frames = spark.createDataFrame([("s", i, AT + timedelta(minutes=10 * i)) for i in range(30)] + [("t", 99, AT)], "stream_id string, seq bigint, ts timestamp")
     clients = spark.createDataFrame(
