@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from ..functions.numbers import divided
+from ..session import scratch_path
 from .scans import running, running_sum
 
 SIZE_ERROR = "appending chunk would violate size limit"
@@ -67,13 +68,15 @@ def _accepted(chunks, max_size):
 
 
 def _segments(chunks, segment_bytes):
-    """(stream_id, phase, seq, segment) of the chunks of bodies larger than one segment.
+    """(stream_id, phase, seq, segment) of the chunks of bodies larger than one segment, None if there is none.
 
     A segment begins with the first chunk past a multiple of ``segment_bytes`` of its own body.
     Only sizes are looked at, and only those of large bodies are summed up in order.
     """
     sizes = chunks.select(*_KEY, "seq", F.coalesce(F.octet_length("chunk"), F.lit(0)).cast("long").alias("n"))
     large = sizes.groupBy(*_KEY).agg(F.sum("n").alias("total")).filter(F.col("total") > segment_bytes)
+    if large.isEmpty():
+        return None
     summed = running(
         sizes.join(large.select(*_KEY), _KEY, "left_semi"), _KEY, "seq", {"upto": running_sum(F.col("n"))}
     )
@@ -84,20 +87,22 @@ def assemble_bodies(chunks, max_size=-1, segment_bytes=SEGMENT_BYTES):
     """Body of every (stream_id, phase), its chunks joined in ``seq`` order.
 
     A body of up to ``segment_bytes`` is one row, wherever its chunks stand in the exchange; a
-    larger one is several ``segments``, cut between chunks by its own bytes. The bytes are
-    shuffled once, by (body, segment); totals and offsets are computed from the sizes alone.
+    larger one is several ``segments``, cut between chunks by its own bytes. One pass sums up the
+    sizes. Where no body is larger than a segment, the bytes are read and shuffled once after
+    that, by body. Where one is, they are joined with their segments, which shuffles them by
+    chunk and then by segment, as a large body must not travel whole, and the segments are
+    written to the shared folder.
 
     ``complete`` tells that the end_of_stream chunk was accepted. With ``max_size`` > 0 a
     chunk that would exceed it is refused, and chunks after it that still fit are kept.
     """
     size = F.coalesce(F.octet_length("chunk"), F.lit(0)).cast("long")
-    cut = (
-        chunks.select(
-            *_KEY, "seq", "chunk", F.coalesce("end_of_stream", F.lit(False)).alias("ends"), size.alias("n")
-        )
-        .join(_segments(chunks, segment_bytes), [*_KEY, "seq"], "left")
-        .withColumn("segment", F.coalesce("segment", F.lit(0).cast("long")))
-    )
+    cut = chunks.select(*_KEY, "seq", "chunk", F.coalesce("end_of_stream", F.lit(False)).alias("ends"), size.alias("n"))
+    placed = _segments(chunks, segment_bytes)
+    if placed is None:
+        cut = cut.withColumn("segment", F.lit(0).cast("long"))
+    else:
+        cut = cut.join(placed, [*_KEY, "seq"], "left").withColumn("segment", F.coalesce("segment", F.lit(0).cast("long")))
     if max_size > 0:
         kept = _accepted(chunks, max_size).withColumn("kept", F.lit(True))
         cut = cut.join(kept, [*_KEY, "seq"], "left").withColumn(
@@ -108,27 +113,40 @@ def assemble_bodies(chunks, max_size=-1, segment_bytes=SEGMENT_BYTES):
     accepted = ~F.col("refused")
 
     # the filter sits inside the aggregate: a segment of empty chunks still is a row
-    parts = cut.groupBy(*_KEY, "segment").agg(
+    parts = cut.groupBy(*_KEY, *([] if placed is None else ["segment"])).agg(
         F.coalesce(
             F.expr("listagg(if(n > 0 and not refused, chunk, null)) within group (order by seq)"),
             F.lit(b""),
         ).alias("body"),
+        # a sum of its own, so that who needs the sizes only moves no bytes
+        F.sum(F.when(accepted, F.col("n")).otherwise(0)).alias("own"),
         F.max(F.col("ends") & accepted).alias("segment_ends"),
         F.sum(F.col("refused").cast("long")).alias("segment_refused"),
     )
-    own = F.octet_length("body").cast("long")
+    error = lambda refused: F.when(refused > 0, F.lit(SIZE_ERROR)).alias("error")
+    if placed is None:
+        zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+        return parts.select(
+            *_KEY, zero.alias("segment"), "body", zero.alias("offset"), F.col("own").alias("body_size"),
+            F.col("segment_ends").alias("complete"), error(F.col("segment_refused")), one.alias("segments"),
+        )
+    # the segments of large bodies are written: what is known of a body comes from rows without bytes
+    path = scratch_path(chunks.sparkSession, "segments")
+    parts.write.parquet(path)
+    parts = chunks.sparkSession.read.schema(parts.schema).parquet(path)
     body = Window.partitionBy(*_KEY)
     before = body.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(
+    told = parts.drop("body").select(
         *_KEY,
         "segment",
-        "body",
-        F.coalesce(F.sum(own).over(before), F.lit(0)).alias("offset"),
-        F.sum(own).over(body).alias("body_size"),
+        F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"),
+        F.sum("own").over(body).alias("body_size"),
         F.max("segment_ends").over(body).alias("complete"),
-        F.when(F.sum("segment_refused").over(body) > 0, F.lit(SIZE_ERROR)).alias("error"),
+        error(F.sum("segment_refused").over(body)),
         F.count("*").over(body).alias("segments"),
     )
+    known = parts.select(*_KEY, "segment", "body").join(told, [*_KEY, "segment"])
+    return known.select(*_KEY, "segment", "body", "offset", "body_size", "complete", "error", "segments")
 
 
 def running_bodies(chunks, buffered=True):

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F, types as T
 
 from ..operators import bodies, handlers, http, joins, metrics
+from ..session import scratch_path
 from ..streaming.at_rest import run_table_as_stream
 from ..streaming.exchanges import exchange_state, with_bodies
 from .inputs import CHUNK, DOC_CHUNKS, PHASES, digest, doc_chunks, map_text, phases, plain_headers, table
@@ -649,6 +650,13 @@ def _pack(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: gzip.compress(text.encode(), mtime=0))
 
 
+def _captured(bodies_):
+    """Bodies as they were recorded, a table of their own: a capture is not packed anew by each reader."""
+    path = scratch_path(bodies_.sparkSession, "captured")
+    bodies_.write.parquet(path)
+    return bodies_.sparkSession.read.schema(bodies_.schema).parquet(path)
+
+
 @query(
     "b1_decode_bodies",
     """
@@ -685,8 +693,10 @@ def decode_query(spark, folder):
 )
 def decode_segments_query(spark, folder):
     """Gzip bodies in several segments, inflated and put together again."""
-    packed = table(spark, folder, "documents").select(
-        F.col("doc_id").cast("string").alias("stream_id"), F.lit(2).alias("phase"), _pack("text").alias("bytes")
+    packed = _captured(
+        table(spark, folder, "documents").select(
+            F.col("doc_id").cast("string").alias("stream_id"), F.lit(2).alias("phase"), _pack("text").alias("bytes")
+        )
     )
     count = F.ceil(F.octet_length("bytes") / F.lit(64)).cast("long")
     chunks = packed.select(
@@ -735,11 +745,13 @@ def body_path_all_query(spark, folder):
 
 def _body_path(documents):
     pick = F.col("doc_id") % 3
-    packed = documents.select(
-        F.col("doc_id").cast("string").alias("stream_id"),
-        F.when(F.col("doc_id") % 2 == 0, 2).otherwise(5).alias("phase"),
-        F.when(pick == 0, "gzip").when(pick == 1, "br").otherwise("none").alias("encoding"),
-        F.when(pick == 0, _pack("text")).otherwise(F.col("text").cast("binary")).alias("bytes"),
+    packed = _captured(
+        documents.select(
+            F.col("doc_id").cast("string").alias("stream_id"),
+            F.when(F.col("doc_id") % 2 == 0, 2).otherwise(5).alias("phase"),
+            F.when(pick == 0, "gzip").when(pick == 1, "br").otherwise("none").alias("encoding"),
+            F.when(pick == 0, _pack("text")).otherwise(F.col("text").cast("binary")).alias("bytes"),
+        )
     )
     count = F.greatest(F.ceil(F.octet_length("bytes") / F.lit(CHUNK)), F.lit(1)).cast("long")
     chunks = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("at"), count.alias("n")).select(
