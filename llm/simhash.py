@@ -20,8 +20,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 from .linking import cell_blocks, components, scan_units
@@ -61,17 +62,20 @@ def _vote(h: np.ndarray) -> int:
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """One row per input row: ``doc_id``, ``fp`` (long, the 64 bits). Null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = 4, also: dict[str, Column] | None = None) -> DataFrame:
+    """One row per input row: ``doc_id``, ``fp`` (long, the 64 bits), and the columns of ``also``. Null texts count as empty."""
+    rows = docs.select("doc_id", "text", *[c.alias(name) for name, c in (also or {}).items()])
+    others = [f for f in rows.schema if f.name != "text"]
 
     def run(batches):
         for batch in batches:
             fps = np.fromiter(
                 (fingerprint(t.as_py(), words) for t in batch.column("text")), np.uint64, batch.num_rows
             )
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            kept = [batch.column(f.name) for f in others]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], [*[f.name for f in others], "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*others, T.StructField("fp", T.LongType())]))
 
 
 def unary_counts(fp: np.ndarray) -> np.ndarray:
@@ -140,9 +144,18 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFr
     linked like any other; rows without a doc_id take part and never give the component its id
     unless all of it lacks one. Repeated rows come out repeated. Extra columns are not read.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    fps = scratch.keep(fingerprints(docs, words), "fingerprints")
+    fps, grouped = _grouped(docs, words, distance)
+    smallest = grouped.groupBy("component").agg(F.min("least_doc").alias("component_id"))
+    named = grouped.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
+    return fps.join(named, "fp").select(
+        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _grouped(docs: DataFrame, words: int, distance: int, also: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and (node, least_doc, component) of the distinct ones; a component goes by its least node."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.keep(fingerprints(docs, words, also), "fingerprints")
     nodes = scratch.keep(fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("least_doc")), "nodes")
     g = axes_for(nodes.count(), distance)
     units = cell_blocks(grid_cells(nodes.select("node"), distance, g))
@@ -151,21 +164,30 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFr
     )
     label = components(links, scratch)
     grouped = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = grouped.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    named = grouped.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    return fps.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return fps, scratch.keep(grouped, "grouped")
 
 
 def keep_one_per_group(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """The documents table without near-duplicates: the smallest doc_id of each group stays.
+    """The documents table without near-duplicates: one row of each group stays, with all its columns.
 
-    Rows that repeat that doc_id are one document, of which one row stays. Groups whose
-    documents all lack a doc_id keep nothing to name them by and stay whole.
+    That is the row of the smallest doc_id. Rows without a doc_id stay only where their whole group
+    lacks one. Of rows that share the doc_id, the one whose text has the smallest SHA-256 stays, and
+    of rows alike in both any one. Null texts count as empty. An empty table gives no rows.
     """
-    groups = simhash_groups(docs, words, distance)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    named = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").withColumn("__turn", turn)
-    return named.filter("__turn = 1").drop("__turn").unionByName(docs.filter("doc_id is null"))
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    fps, grouped = _grouped(docs, words, distance, {"__digest": digest})
+    row = {"__unnamed": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)).cast("long")}
+    order = F.struct(*[c.alias(name) for name, c in row.items()], "__digest")
+    first = (
+        fps.groupBy("fp")  # copies meet in partial sums, not in a join
+        .agg(F.min(order).alias("first"))
+        .join(grouped.select(F.col("node").alias("fp"), "component"), "fp")
+        .groupBy("component")
+        .agg(F.min("first").alias("first"))
+        .select("first.*")
+    )
+    # a row has one group, so what stays is named by its doc_id and text; copies have ids of their own
+    own = [*row, "__digest"]
+    known = docs.withColumns(row | {"__digest": digest}).join(first, own)
+    turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.monotonically_increasing_id()))
+    return known.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)

@@ -178,6 +178,29 @@ def test_simhash_groups(docs, no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0
 
 
+def test_one_row_of_each_group_stays(docs, no_docs, spark):
+    """The smallest doc_id, else one without; one row of a doc_id with several texts or of repeated rows."""
+    far = [" ".join(f"{a}{k * 7 % 40}" for k in range(40)) for a in "pqr"]
+    more = [
+        (50, far[0]), (51, far[0]), (None, far[0]), (50, far[0]), (50, far[1]), (60, far[1]), (None, far[2]), (None, far[2]),
+        (70, None), (71, " "),
+    ]
+    rows = [(i, t, "en", "src", len(t or ""), "r", "s", 1, 2.0) for i, t in more]
+    table = docs.unionByName(spark.createDataFrame(rows, docs.schema)).repartition(3)
+    everything = [(r.doc_id, r.text or "") for r in table.collect()]
+    fps = [brute_fingerprint(t) for _, t in everything]
+    least = smallest_reachable(list(range(len(everything))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    groups = {}
+    for k, root in enumerate(least):
+        groups.setdefault(root, []).append(everything[k])
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())
+    expected = sorted((min(members, key=key) for members in groups.values()), key=key)
+    kept = simhash.keep_one_per_group(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=key) == expected
+    assert simhash.keep_one_per_group(no_docs).count() == 0
+
+
 @pytest.mark.parametrize("axes", [6, 7, 9])
 def test_grid_misses_no_pair(spark, axes, monkeypatch):
     rng = random.Random(axes)
