@@ -1,17 +1,26 @@
 """Importance resampling: a ratio of hashed n-gram models, sampled by Gumbel top-k.
 
-Both models count hashed features of texts: byte 4-grams, and for every word how far back it
+The models count hashed features of texts: byte 4-grams, and for every word how far back it
 stood last (which tells prose from text that repeats itself). The raw model counts all
 documents, labelled or not, and the target model the labelled good rows. A ratio of the two is
 smoothed in two steps, target to labelled rows and labelled rows to raw text: what labels hold
 a little less of by chance costs little, what they hold nothing of counts against a document.
-A document's log ratio is the sum over its features. It is perturbed by Gumbel noise of its doc_id, and the k largest stay,
-where k is the number of documents the models expect to be of the target: the sum of
-min(1, share of the target * ratio).
+The features of a text depend on each other, so a long text counts as ``units`` of them.
+
+Rows that are good but for being toxic differ from the target by a few words only, which the sum
+over a whole text would drown. They have a model of their own: the target's words, of which some
+are more frequent. Those are the words that far more toxic rows hold than the target's rates
+explain, beyond what chance does to any of all buckets. What a document is weighed against is
+the mixture of the raw model and this one. Its log ratio is perturbed by Gumbel noise of its
+doc_id, and the k largest stay, where k is the number of documents the models expect to be of
+the target: the sum of min(1, share of the target * ratio).
 """
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +30,26 @@ from .common import Scratch, kth_largest, slices
 from .words import mix, word_hashes
 
 _GRAM = 4
+#: Independent features a text counts as, at most.
+UNITS = 256
+#: What words are made of: letters in lower case, digits, anything beyond ASCII.
+_PLAIN = bytes(c | 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
+
+class Models(NamedTuple):
+    """What documents are scored with.
+
+    ``ratio`` is the log ratio of target to raw text by bucket, ``odds`` that of toxic rows to the
+    target by word bucket. ``step`` is what a word without odds speaks against toxic, ``lead`` how
+    much more frequent the target is, infinite without toxic rows. ``share`` is the target's share
+    of the labelled rows.
+    """
+
+    ratio: np.ndarray
+    odds: np.ndarray
+    step: float
+    lead: float
+    share: float
 
 
 def features(text: bytes, bits: int = 18) -> np.ndarray:
@@ -40,53 +69,83 @@ def features(text: bytes, bits: int = 18) -> np.ndarray:
     return (mix(every) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def vocabulary(text: bytes, bits: int = 18) -> np.ndarray:
+    """Buckets of a text's distinct words, without case and punctuation of ASCII."""
+    h, _ = word_hashes([text.translate(_PLAIN)])
+    return np.unique((mix(h) >> np.uint64(64 - bits)).astype(np.int64))
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _counts(rows: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(features of all rows, of good rows, rows, good rows) of a table of ``text, good``.
+#: Kinds of labelled rows; a doc_id labelled twice counts by the smaller.
+_BAD, _TOXIC, _GOOD = range(3)
+
+
+def _counts(rows: DataFrame, bits: int, words: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(counts by bucket, rows by kind) of a table of ``text, kind``.
 
-    Tasks sum up before the shuffle, so a task sends 2 ** bits rows at most and no text.
+    The counts have four columns: features of all rows and of good rows, words of toxic rows and of
+    good rows (once a row). Tasks sum up before the shuffle, so a task sends 2 ** bits rows at most
+    and no text.
     """
+    size = 1 << bits
 
     def run(batches):
-        every, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-        n = 0
-        n_good = 0
+        sums = np.zeros((size, 4), np.int64)
+        n = np.zeros(3, np.int64)
         for batch in slices(batches, "text"):
-            for text, is_good in zip(_texts(batch.column("text")), batch.column("good").to_pylist()):
-                f = np.bincount(features(text, bits), minlength=1 << bits) if len(text) > 1 << 14 else features(text, bits)
-                if len(text) > 1 << 14:
-                    every += f
-                    target += f * is_good
+            for text, kind in zip(_texts(batch.column("text")), batch.column("kind").to_pylist()):
+                f = features(text, bits)
+                if len(f) > 1 << 14:
+                    counted = np.bincount(f, minlength=size)
+                    sums[:, 0] += counted
+                    sums[:, 1] += counted * (kind == _GOOD)
                 else:
-                    np.add.at(every, f, 1)
-                    if is_good:
-                        np.add.at(target, f, 1)
-                n += 1
-                n_good += is_good
-        found = np.flatnonzero(every)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(found, -1), pa.int32()),
-                pa.array(np.append(every[found], n)),
-                pa.array(np.append(target[found], n_good)),
-            ],
-            ["bucket", "every", "target"],
-        )
-
-    sums = (
-        rows.mapInArrow(run, "bucket int, every long, target long")
+                    np.add.at(sums[:, 0], f, 1)
+                    if kind == _GOOD:
+                        np.add.at(sums[:, 1], f, 1)
+                if words and kind != _BAD:
+                    sums[vocabulary(text, bits), 2 if kind == _TOXIC else 3] += 1
+                n[kind] += 1
+        found = np.flatnonzero(sums.any(axis=1))
+        columns = [np.append(found, -1)] + [np.append(sums[found, c], n[c] if c < 3 else 0) for c in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["bucket", *names])
+
+    names = ["every", "good", "toxic_words", "good_words"]
+    found = (
+        rows.mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in names))
         .groupBy("bucket")
-        .agg(F.sum("every").alias("every"), F.sum("target").alias("target"))
+        .agg(*[F.sum(c).alias(c) for c in names])
         .toArrow()
     )
-    bucket, e, t = (sums.column(c).to_numpy() for c in ("bucket", "every", "target"))
-    whole = bucket < 0
-    every, target = np.zeros(1 << bits), np.zeros(1 << bits)
-    every[bucket[~whole]], target[bucket[~whole]] = e[~whole], t[~whole]
-    return every, target, int(e[whole].sum()), int(t[whole].sum())
+    bucket = found.column("bucket").to_numpy()
+    values = np.stack([found.column(c).to_numpy() for c in names], axis=1).reshape(-1, 4)
+    sums = np.zeros((size, 4))
+    sums[bucket[bucket >= 0]] = values[bucket >= 0]
+    return sums, values[bucket < 0].sum(axis=0)[:3]
+
+
+def _toxic_odds(toxic: np.ndarray, good: np.ndarray, bits: int) -> tuple[np.ndarray, float]:
+    """(log odds of each word bucket, log of what they sum to over the target's words).
+
+    Expected is the weighted median rate of toxic to good rows over the words of toxic ones, which
+    is that of ordinary words in whatever languages toxic rows are in. A bucket stands out if its
+    deviance from that is beyond what one in 2 ** bits buckets has by chance.
+    """
+    both = np.flatnonzero((toxic > 0) & (good > 0))
+    odds = np.zeros(len(toxic))
+    if not len(both):
+        return odds, 0.0
+    rate = toxic[both] / good[both]
+    order = np.argsort(rate, kind="stable")
+    mass = np.cumsum(toxic[both][order])
+    expected = rate[order][np.searchsorted(mass, mass[-1] / 2)] * (good + 1)
+    deviance = 2 * (toxic * np.log(np.maximum(toxic, 1) / expected) - (toxic - expected))
+    out = (toxic > expected) & (deviance > 2 * bits * math.log(2))
+    odds[out] = np.log((toxic[out] + 1) / (expected[out] + 1))
+    return odds, float(np.log1p((good / good.sum() * np.expm1(odds)).sum()))
 
 
 def fit(
@@ -96,48 +155,60 @@ def fit(
     prior: float = 4.0,
     sample: int | None = None,
     raw_prior: float = 1000.0,
-) -> tuple[np.ndarray, float]:
-    """(log ratio of each bucket, share of the target among labelled rows).
+) -> Models:
+    """The models of a corpus and its labels.
 
     The raw model counts every row of ``docs``. The labelled rows are all counted too, or about
     ``sample`` of them, chosen by a hash of doc_id. ``prior`` smooths target to labelled rows,
     ``raw_prior`` labelled rows to raw text; both are counts a bucket.
 
     ``labels`` has doc_id, quality and toxic; the target are rows of quality 1 that are not
-    toxic. Rows without a label, or whose label is null, count for the raw model alone; a doc_id
-    labelled twice counts by its worse label. Without labels every ratio is 1. What reaches the
-    driver are twice 2 ** bits pairs of counts, whatever the size of the table.
+    toxic. Rows without a label, or whose quality is null, count for the raw model alone; a doc_id
+    labelled twice counts by its worse label. Without good rows every ratio is 1. What reaches the
+    driver are twice 2 ** bits rows of counts, whatever the size of the table.
     """
-    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
-    kind = (
-        labels.filter("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min(good.cast("int")).alias("good"))
-    )
+    toxic = F.coalesce("toxic", F.lit(0)) != 0
+    mark = F.when(F.col("quality") != 1, _BAD).when(toxic, _TOXIC).otherwise(_GOOD)
+    kind = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(mark).alias("kind"))
     if sample is not None:
         share = min(1.0, sample / max(kind.count(), 1))
         kind = kind.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32))))
     # the labels are hashed, so that texts are not sorted
-    marked = docs.select("doc_id", "text").join(kind.hint("shuffle_hash"), "doc_id").select("text", "good")
-    labelled, target, n, n_good = _counts(marked, bits)
-    ratio = np.zeros(1 << bits)
-    if target.sum():
-        raw, *_ = _counts(docs.select("text", F.lit(0).alias("good")), bits)
-        of_good, of_raw = target.sum() / labelled.sum(), labelled.sum() / raw.sum()
-        ratio = np.log((target + prior * of_good) / ((labelled + prior) * of_good))
-        ratio += np.log((labelled + raw_prior * of_raw) / ((raw + raw_prior) * of_raw))
-    return ratio, (n_good / n if n else 1.0)
-
-
-def _scores(texts: pa.Array, table: np.ndarray) -> pa.Array:
-    bits = len(table).bit_length() - 1
-    found = (features(t, bits) for t in _texts(texts))
-    return pa.array([float(table[f].sum()) if len(f) else None for f in found], pa.float64())
-
-
-def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+    marked = docs.select("doc_id", "text").join(kind.hint("shuffle_hash"), "doc_id").select("text", "kind")
+    sums, n = _counts(marked, bits)
+    labelled, target, toxic_words, good_words = sums.T
+    if not target.sum():
+        return Models(np.zeros(1 << bits), np.zeros(1 << bits), 0.0, math.inf, n[_GOOD] / n.sum() if n.sum() else 1.0)
+    raw = _counts(docs.select("text", F.lit(_BAD).alias("kind")), bits, words=False)[0][:, 0]
+    of_good, of_raw = target.sum() / labelled.sum(), labelled.sum() / raw.sum()
+    ratio = np.log((target + prior * of_good) / ((labelled + prior) * of_good))
+    ratio += np.log((labelled + raw_prior * of_raw) / ((raw + raw_prior) * of_raw))
+    odds, step = _toxic_odds(toxic_words, good_words, bits)
+    lead = math.log(n[_GOOD] / n[_TOXIC]) if n[_TOXIC] else math.inf
+    return Models(ratio, odds, step, lead, n[_GOOD] / n.sum())
+
+
+def log_ratio(text: bytes, models: Models) -> float | None:
+    """Log ratio of the target to the mixture of raw and toxic text; null without words."""
+    bits = len(models.ratio).bit_length() - 1
+    f = features(text, bits)
+    if not len(f):
+        return None
+    raw = float(models.ratio[f].sum()) * min(1.0, UNITS / len(f))
+    if models.lead == math.inf:
+        return raw
+    words = vocabulary(text, bits)
+    toxic = models.lead + models.step * len(words) - float(models.odds[words].sum())
+    return float(-np.logaddexp(-raw, -toxic))
+
+
+def _scores(texts: pa.Array, models: Models) -> pa.Array:
+    return pa.array([log_ratio(t, models) for t in _texts(texts)], pa.float64())
+
+
+def score(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, log_ratio), one row per input row: null for a text without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -147,9 +218,9 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_ratio double")
 
 
-def with_score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
+def with_score(docs: DataFrame, models: Models) -> DataFrame:
     """(row, log_ratio): ``row`` is the whole input row."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def run(batches):
@@ -175,14 +246,14 @@ def _at_least(key: Column, least: float | None) -> Column:
 
 
 def _sampled(docs, labels, bits, prior, seed, share, sample):
-    """(ratio of the models, table of log ratios and keys, smallest key that is kept)."""
-    ratio, target = fit(docs, labels, bits, prior, sample)
+    """(models, table of log ratios and keys, smallest key that is kept, scratch)."""
+    models = fit(docs, labels, bits, prior, sample)
     scratch = Scratch(docs.sparkSession, "quality")
-    keyed = scratch.keep(score(docs, ratio).withColumn("gumbel_key", _key("doc_id", seed)), "keys")
-    likely = F.least(F.lit(1.0), F.lit(target) * F.exp(F.least("log_ratio", F.lit(50.0))))
+    keyed = scratch.keep(score(docs, models).withColumn("gumbel_key", _key("doc_id", seed)), "keys")
+    likely = F.least(F.lit(1.0), F.lit(float(models.share)) * F.exp(F.least("log_ratio", F.lit(50.0))))
     n, expected = keyed.agg(F.count(F.lit(1)), F.sum(likely)).first()
     k = round(share * n) if share is not None else round(expected or 0)
-    return ratio, keyed, kth_largest(keyed, "gumbel_key", k), scratch
+    return models, keyed, kth_largest(keyed, "gumbel_key", k), scratch
 
 
 def resample(
@@ -197,8 +268,8 @@ def resample(
     """``doc_id, log_ratio, gumbel_key, kept``, one row per input row.
 
     Kept are the k largest of log ratio + Gumbel noise; k follows from the models, or is
-    ``share`` of the rows. ``sample`` is that of :func:`fit`. The noise hangs on the doc_id alone: repeated rows are kept or
-    rejected together, and all rows tied with the k-th are kept. Null texts and texts without
+    ``share`` of the rows. ``sample`` is that of :func:`fit`. The noise hangs on the doc_id alone:
+    repeated rows are kept or rejected together, and all rows tied with the k-th are kept. Null texts and texts without
     words have a null log_ratio and are rejected. Rows without a doc_id are scored, share one
     noise and are kept like any other. Extra columns are not read.
     """
@@ -219,6 +290,6 @@ def keep_target(
 
     The texts are scored again where they lie, which costs less than to shuffle them to their keys.
     """
-    ratio, keyed, least, scratch = _sampled(docs, labels, bits, prior, seed, share, sample)
+    models, keyed, least, scratch = _sampled(docs, labels, bits, prior, seed, share, sample)
     scratch.drop(keyed)
-    return with_score(docs, ratio).filter(_at_least(_key("row.doc_id", seed), least)).select("row.*")
+    return with_score(docs, models).filter(_at_least(_key("row.doc_id", seed), least)).select("row.*")

@@ -160,11 +160,74 @@ def test_raw_model_counts_unlabelled_documents(spark):
     assert max(rows[k].log_ratio for k, _ in other) < -10 and not any(rows[k].kept for k, _ in other)
     assert np.mean([rows[k].kept for k in range(400) if k % 5]) > 0.98
     # all labelled rows are counted unless a sample is asked for
-    ratio, _ = quality.fit(table, marks)
-    some, _ = quality.fit(table, marks, sample=60)
-    assert np.abs(ratio - some).max() > 0.1
+    every, some = quality.fit(table, marks), quality.fit(table, marks, sample=60)
+    assert np.abs(every.ratio - some.ratio).max() > 0.1
     sampled = {r.doc_id: r.log_ratio for r in quality.resample(table, marks, sample=60).collect()}
-    assert sampled[3] == pytest.approx(some[quality.features(docs[3][1].encode())].sum())
+    f = quality.features(docs[3][1].encode())
+    assert sampled[3] == pytest.approx(some.ratio[f].sum() * min(1, quality.UNITS / len(f)))
+
+
+def test_toxic_rows_and_the_sample_against_plain_python(spark):
+    """Models, ratios, k and keys counted one by one; held-out toxic rows go, good ones stay."""
+    docs, labels = quality_rows()
+    rng = random.Random(21)
+    toxic = set(rng.sample([k for k, _ in docs if k % 5], 90))
+    docs = [(k, t + " Zounds! " + t[:9] + (" ZOUNDS" if k % 2 else " gadzooks,") if k in toxic else t) for k, t in docs]
+    labels = [(k, q, int(k in toxic)) for k, q, _ in labels] + [(7, None, 1), (None, 1, 1), (12, 1, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.resample(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    from collections import Counter
+    from math import exp, inf, log
+
+    text = {k: t.encode() for k, t in docs}
+    kinds = {}
+    for k, q, x in labels:
+        if k is not None and q is not None:
+            kinds[k] = min(kinds.get(k, 2), 0 if q != 1 else 1 if x else 2)
+    grams = {k: quality.features(t).tolist() for k, t in text.items()}
+    words = {k: set(quality.vocabulary(t).tolist()) for k, t in text.items()}
+    raw, labelled, target, wx, wg = (Counter() for _ in range(5))
+    for k in text:
+        raw.update(grams[k])
+        if k in kinds:
+            labelled.update(grams[k])
+            target.update(grams[k] if kinds[k] == 2 else [])
+            wx.update(words[k] if kinds[k] == 1 else [])
+            wg.update(words[k] if kinds[k] == 2 else [])
+    of_good, of_raw = target.total() / labelled.total(), labelled.total() / raw.total()
+    n = Counter(kinds.values())
+
+    def ratio(b):
+        first = (target[b] + 4 * of_good) / ((labelled[b] + 4) * of_good)
+        return log(first) + log((labelled[b] + 1000 * of_raw) / ((raw[b] + 1000) * of_raw))
+
+    rates, half, rate = sorted((wx[b] / wg[b], wx[b]) for b in wx if wg[b]), 0, None
+    for rate, c in rates:
+        half += c
+        if half >= sum(c for _, c in rates) / 2:
+            break
+    odds = {}
+    for b, c in wx.items():
+        e = rate * (wg[b] + 1)
+        if c > e and 2 * (c * log(c / e) - (c - e)) > 36 * log(2):
+            odds[b] = log((c + 1) / (e + 1))
+    assert 1 <= len(odds) < 10
+    step = log(1 + sum(wg[b] / wg.total() * (exp(o) - 1) for b, o in odds.items()))
+    keys, expected = {}, 0.0
+    for k in text:
+        s = sum(map(ratio, grams[k])) * min(1, quality.UNITS / len(grams[k]))
+        t = log(n[2] / n[1]) + step * len(words[k]) - sum(odds.get(b, 0) for b in words[k])
+        value = -log(exp(-s) + exp(-t))
+        assert rows[k].log_ratio == pytest.approx(value, abs=1e-6)
+        expected += min(1, n[2] / n.total() * exp(min(value, 50)))
+        keys[k] = rows[k].gumbel_key
+        assert -4 < keys[k] - value < inf
+    largest = sorted(keys, key=keys.get, reverse=True)[: round(expected)]
+    assert {k for k, r in rows.items() if r.kept} == set(largest)
+    held = [k for k in text if k not in kinds]
+    assert np.mean([rows[k].kept for k in held if k in toxic]) < 0.2
+    assert np.mean([rows[k].kept for k in held if k not in toxic and k % 5]) > 0.95
 
 
 def test_kth_largest_is_exact(spark):
