@@ -96,13 +96,9 @@ def dimensions(df, attributes="attributes"):
     )
 
 
-def active_requests(df, dims=ACTIVE_DIMS, slice_width="1 minute"):
-    """Requests in flight after every instant something started or ended, by dimensions.
-
-    Starts and ends are netted per instant before anything is ordered, so a slice of time
-    holds at most one row per microsecond however busy a dimension is.
-    """
-    deltas = df.select(
+def request_changes(df, dims=ACTIVE_DIMS):
+    """(dimensions, ts, delta): a row for every start, 1, and every end, -1."""
+    return df.select(
         *dims,
         F.inline(
             F.array(
@@ -111,8 +107,17 @@ def active_requests(df, dims=ACTIVE_DIMS, slice_width="1 minute"):
             )
         ),
     ).filter(F.col("ts").isNotNull())
+
+
+def active_requests(df, dims=ACTIVE_DIMS, slice_width="1 minute"):
+    """Requests in flight after every instant something started or ended, by dimensions.
+
+    Starts and ends are netted per instant before anything is ordered, so a slice of time
+    holds at most one row per microsecond however busy a dimension is.
+    """
     net = (
-        deltas.groupBy(*dims, "ts")
+        request_changes(df, dims)
+        .groupBy(*dims, "ts")
         .agg(F.sum("delta").cast("long").alias("delta"))
         .withColumn("__at", F.unix_micros("ts"))
     )

@@ -6,7 +6,7 @@ from ..operators import delivery, events as ev, frames
 from ..operators.http import parse_query
 from ..sources.captures import job_events, load_messages
 from ..session import scratch_path
-from ..streaming import at_rest, rolling, windows
+from ..streaming import at_rest, counters, rolling, windows
 from ..streaming.at_rest import run_table_as_stream
 from .inputs import digest, events, invocations, map_text, messages, page_frames, requests, table
 from .inputs import INVOCATIONS, PAGE_FRAMES
@@ -530,41 +530,60 @@ def ack_query(spark, folder):
     return frames.ack_text(df).select("seq", "ack")
 
 
-@query(
-    "n1_number_frames",
-    """
+_NUMBERED = """
     SELECT event_id AS seq, 'cam-' || user_id AS url,
            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_num
     FROM events
-    """,
-)
+    """
+
+
+@query("n1_number_frames", _NUMBERED)
 def number_query(spark, folder):
     return _cameras(spark, folder).select("seq", "url", "frame_num")
 
 
-def _cameras(spark, folder):
-    seen = events(spark, folder).select(
+@query("n1_number_frames_stream", _NUMBERED)
+def number_stream_query(spark, folder):
+    """The same numbers, given out by a running stream."""
+    return _live_cameras(spark, folder).select("seq", "url", "frame_num")
+
+
+def _frames_seen(spark, folder):
+    return events(spark, folder).select(
         F.concat(F.lit("cam-"), "user_id").alias("url"),
         F.col("event_id").alias("seq"),
         "ts",
         F.col("event_type").cast("binary").alias("body"),
     )
-    return frames.number_frames(seen)
 
 
-@query(
-    "n2_sample_every",
-    """
-    SELECT seq, url, frame_num FROM (
-      SELECT event_id AS seq, 'cam-' || user_id AS url,
-             row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_num
-      FROM events) WHERE frame_num % 5 = 0
-    """,
-)
+def _cameras(spark, folder):
+    return frames.number_frames(_frames_seen(spark, folder))
+
+
+def _live_cameras(spark, folder, factor=1):
+    return run_table_as_stream(
+        _frames_seen(spark, folder),
+        lambda stream: counters.live_frame_numbers(stream, factor=factor, delay="1 second"),
+        "frames",
+        ("1 second",),
+    )
+
+
+_EVERY_FIFTH = f"SELECT seq, url, frame_num FROM ({_NUMBERED}) WHERE frame_num % 5 = 0"
+
+
+@query("n2_sample_every", _EVERY_FIFTH)
 def sample_query(spark, folder):
     return frames.sample_every(_cameras(spark, folder), 5).select("seq", "url", "frame_num")
 
 
+@query("n2_sample_every_stream", _EVERY_FIFTH)
+def sample_stream_query(spark, folder):
+    """The same frames, given out by a running stream."""
+    return _live_cameras(spark, folder, 5).select("seq", "url", "frame_num")
+
+
 @query(
     "j4_attach_frame_metadata",
     f"""

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import metrics
+from ..streaming import counters
+from ..streaming.at_rest import run_table_as_stream
 from .inputs import INVOCATIONS, invocations
 from .registry import query
 
@@ -83,9 +85,7 @@ def stats_query(spark, folder):
     return metrics.invocation_stats(invocations(spark, folder))
 
 
-@query(
-    "n5_active_requests",
-    f"""
+_ACTIVE = f"""
     WITH {INVOCATIONS},
     d AS (SELECT method, scheme, server_address, server_port, start_us AS ts_us, 1 AS delta FROM invocations
           UNION ALL SELECT method, scheme, server_address, server_port, end_us, -1 FROM invocations),
@@ -93,8 +93,36 @@ def stats_query(spark, folder):
     SELECT method, scheme, server_address, server_port, ts_us,
            CAST(sum(delta) OVER (PARTITION BY method, scheme, server_address, server_port ORDER BY ts_us) AS BIGINT) AS active
     FROM n
-    """,
-)
+    """
+
+
+@query("n5_active_requests", _ACTIVE)
 def active_query(spark, folder):
     told = metrics.active_requests(invocations(spark, folder))
     return told.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+
+
+_ACTIVE_AT_TICKS = f"""
+    SELECT method, scheme, server_address, server_port, (ts_us // 60000000 + 1) * 60000000 AS tick_us,
+           arg_max(active, ts_us) AS active
+    FROM ({_ACTIVE}) WHERE ts_us IS NOT NULL GROUP BY ALL
+    """
+
+
+@query("n5_active_at_ticks", _ACTIVE_AT_TICKS)
+def active_ticks_query(spark, folder):
+    told = counters.active_at_ticks(metrics.active_requests(invocations(spark, folder)))
+    return told.withColumn("tick_us", F.unix_micros("tick")).drop("tick")
+
+
+@query("n5_active_at_ticks_stream", _ACTIVE_AT_TICKS)
+def active_stream_query(spark, folder):
+    """The same levels, given out by a running stream as its ticks close."""
+    told = run_table_as_stream(
+        metrics.request_changes(invocations(spark, folder)),
+        lambda stream: counters.live_active_requests(stream, delay="1 second"),
+        "active",
+        ("1 minute", "1 second"),
+        order="delta",
+    )
+    return told.withColumn("tick_us", F.unix_micros("tick")).drop("tick")

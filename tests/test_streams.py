@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.envelope import MESSAGE
 from millrace.operators.joins import correlate, correlate_streams
 from millrace.sources.captures import load_messages
-from millrace.streaming import rolling, windows
+from millrace.operators import frames, metrics
+from millrace.streaming import counters, rolling, windows
 from millrace.streaming.at_rest import run_table_as_stream, run_to_table
 from millrace.streaming.exchanges import exchange_state, with_bodies
 
@@ -181,6 +182,56 @@ def test_dropped_rows_are_an_error(spark, tmp_path):
         run_to_table(windows.conflate_latest(stream, "1 second", delay="1 second"), "late")
 
 
+def test_numbers_of_a_running_stream(spark, tmp_path):
+    """Frames shuffled over files, some behind others by less than the delay; numbers go on over connections and batches."""
+    rng = random.Random(31)
+    rows = [(rng.choice(["a", "b", None]), f"c{k // 70}", k, at(k * 0.37), bytes([k % 256])) for k in range(210)]
+    schema = "url string, conn string, seq long, ts timestamp, body binary"
+    df = spark.createDataFrame(rows, schema)
+    late = sorted(rows, key=lambda r: r[2] + rng.random() * 20)  # by up to 7.4 seconds
+    path = str(tmp_path / "shuffled")
+    for k in range(0, 210, 30):
+        spark.createDataFrame(late[k : k + 30], schema).coalesce(1).write.mode("append").parquet(path)
+    end = [(None, None, None, at(10_000), None)]
+    spark.createDataFrame(end, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def stream():
+        return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    numbered = run_to_table(counters.live_frame_numbers(stream(), delay="10 seconds"), "numbers")
+    assert numbered.columns == [*df.columns, "frame_num"]
+    assert sorted(map(repr, numbered.collect())) == sorted(map(repr, frames.number_frames(df).collect()))
+    every = run_to_table(counters.live_frame_numbers(stream(), factor=7, delay="10 seconds"), "seventh")
+    assert sorted(map(repr, every.collect())) == sorted(map(repr, frames.sample_every(df, 7).collect()))
+    with pytest.raises(ValueError):
+        counters.live_frame_numbers(stream(), factor=0)
+
+
+def test_requests_in_flight_of_a_running_stream(spark):
+    rng = random.Random(37)
+    rows = []
+    for _ in range(300):
+        start = rng.randrange(4000)
+        end = None if rng.random() < 0.1 else at(start + rng.randrange(200))
+        rows.append((rng.choice(["GET", "PUT", None]), "https", rng.choice(["x", "y"]), 443, at(start), end))
+    df = spark.createDataFrame(
+        rows, "method string, scheme string, server_address string, server_port int, start timestamp, end timestamp"
+    )
+    told = run_table_as_stream(
+        metrics.request_changes(df),
+        lambda s: counters.live_active_requests(s, delay="1 second"), "active", ("1 minute", "1 second"), order="delta", files=20,
+    )
+    levels = {}
+    for dims in {r[:4] for r in rows}:
+        mine = [r for r in rows if r[:4] == dims]
+        moments = [t for r in mine for t in r[4:] if t is not None]
+        for tick in {at(60 * (int((t - START).total_seconds()) // 60 + 1)) for t in moments}:
+            levels[*dims, tick] = sum(r[4] < tick for r in mine) - sum(r[5] is not None and r[5] < tick for r in mine)
+    assert {tuple(r)[:5]: r.active for r in told.collect()} == levels
+    batch = counters.active_at_ticks(metrics.active_requests(df)).select(told.columns)
+    assert sorted(map(repr, batch.collect())) == sorted(map(repr, told.collect()))
+
+
 def test_latest_per_tick(spark):
     df = messages(
         spark,
