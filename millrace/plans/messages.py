@@ -7,7 +7,7 @@ from ..operators.http import parse_query
 from ..sources.captures import job_events, load_messages
 from ..session import scratch_path
 from ..streaming import at_rest, counters, rolling, windows
-from ..streaming.at_rest import run_table_as_stream
+from ..streaming.at_rest import KEYED_STATE, run_table_as_stream
 from .inputs import digest, events, invocations, map_text, messages, page_frames, requests, table
 from .inputs import INVOCATIONS, PAGE_FRAMES
 from .registry import query
@@ -567,6 +567,7 @@ def _live_cameras(spark, folder, factor=1):
         lambda stream: counters.live_frame_numbers(stream, factor=factor, delay="1 second"),
         "frames",
         ("1 second",),
+        settings=KEYED_STATE,
     )
 
 

@@ -8,15 +8,21 @@ stream still holds open. Rows dropped all the same are counted, and any is an er
 """
 
 import time
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
-from ..session import remove_path, scratch_path
+from ..session import DEFAULTS, remove_path, scratch_path
 
 #: Files that a core reads in one micro-batch.
 FILES_A_CORE = 8
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: What operators with states of their own by key (``transformWithState``) need of the session they start in.
+#: Spark's default store keeps one state an operator and fails at their start.
+KEYED_STATE = {_STORE: DEFAULTS[_STORE]}
+
 
 def _data_files(spark, path):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,18 +74,29 @@ def dropped_rows(progress):
     return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
 
 
-def run_to_table(stream, label, mode="append"):
+@contextmanager
+def _settings(spark, wanted):
+    """Session settings for as long as the block runs; afterwards they are as before, unset ones unset."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_to_table(stream, label, mode="append", settings=None):
     """Run a stream over everything there is and read what it wrote.
 
+    ``settings`` hold for this run only: :data:`KEYED_STATE` for operators that need it.
     Raises if the watermark dropped rows. The stream's state is removed when it has ended; its
     output stays in the shared folder for whoever reads the returned table.
     """
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, label), scratch_path(spark, f"{label}-state")
-    key = "spark.sql.streaming.numRecentProgressUpdates"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(1 << 30))
-    try:
+    with _settings(spark, {"spark.sql.streaming.numRecentProgressUpdates": str(1 << 30)} | (settings or {})):
         query = (
             stream.writeStream.format("parquet")
             .outputMode(mode)
@@ -89,8 +106,6 @@ def run_to_table(stream, label, mode="append"):
             .start()
         )
         query.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
     lost = dropped_rows(query.recentProgress)
     if lost:
         raise RuntimeError(f"{label}: {lost} rows came behind the watermark and were dropped")
@@ -98,13 +113,14 @@ def run_to_table(stream, label, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_table_as_stream(df, operator, label, wait, order="seq", files=None):
+def run_table_as_stream(df, operator, label, wait, order="seq", files=None, settings=None):
     """``operator(stream)`` over all rows of a table, complete.
 
-    ``wait`` lists the intervals that must pass after the last event, as texts.
+    ``wait`` lists the intervals that must pass after the last event, as texts; ``settings`` as
+    :func:`run_to_table`.
     """
     spark = df.sparkSession
     path, schema = stage(df, label, sum(micros(w) for w in wait), order, files)
-    result = run_to_table(operator(read_staged(spark, path, schema)), label)
+    result = run_to_table(operator(read_staged(spark, path, schema)), label, settings=settings)
     remove_path(spark, path)
     return result

@@ -1,9 +1,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from millrace.envelope import MESSAGE
 from millrace.operators.joins import correlate, correlate_streams
 from millrace.sources.captures import load_messages
@@ -11,6 +13,7 @@ from millrace.operators import frames, metrics
 from millrace.streaming import counters, rolling, windows
 from millrace.streaming.at_rest import run_table_as_stream, run_to_table
 from millrace.streaming.exchanges import exchange_state, with_bodies
+from tests.oracle import compare, connect
 
 START = datetime(2024, 1, 1)
 
@@ -392,3 +395,38 @@ def test_message_loader_streams_and_maps_columns(spark, tmp_path):
     stream = load_messages(spark, path, streaming=True, columns=columns)
     assert stream.isStreaming
     assert run_to_table(stream, "loaded").first().stream_id == "x"
+
+
+@pytest.fixture(scope="module")
+def small_tables(spark, tmp_path_factory):
+    """A few events, documents and conversations of their own."""
+    folder, rng = str(tmp_path_factory.mktemp("small")), random.Random(53)
+    events = [
+        (k, at(rng.randrange(4000)), rng.randrange(5), rng.choice(["click", "view", "error"]), float(rng.randrange(9000)), "{}")
+        for k in range(300)
+    ]
+    texts = [(k, "word " * rng.randrange(400), "en", rng.choice(["web", "book"]), 0) for k in range(60)]
+    turns = [
+        (c, t, role, f"turn {t} of {c}")
+        for c in range(12)
+        for t, role in enumerate(["system", "user", "assistant", "user"][: rng.randrange(2, 5)])
+    ]
+    for name, rows, schema in (
+        ("events", events, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"),
+        ("documents", texts, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        ("conversations", turns, "conv_id bigint, turn bigint, role string, text string"),
+    ):
+        pq.write_table(spark.createDataFrame(rows, schema).toArrow(), f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["n1_number_frames_stream"])
+def test_keyed_state_in_a_session_with_default_settings(spark, small_tables, name):
+    """The queries bring the state store they need and leave the session's setting as it was."""
+    session, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    session.conf.set(key, default)
+    query, sql = driver.queries()[name], driver.oracle_sql()[name]
+    assert compare(session, connect(small_tables), small_tables, query, sql) == []
+    assert query(session, small_tables).count() > 0
+    assert session.conf.get(key) == default
