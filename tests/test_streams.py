@@ -420,7 +420,7 @@ def small_tables(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["n1_number_frames_stream", "n2_sample_every_stream", "n5_active_at_ticks_stream", "w2_rolling_snapshots_stream"])
+@pytest.mark.parametrize("name", ["n1_number_frames_stream", "n2_sample_every_stream", "n5_active_at_ticks_stream", "w2_rolling_snapshots_stream", "w5_exchange_state"])
 def test_keyed_state_in_a_session_with_default_settings(spark, small_tables, name):
     """The queries bring the state store they need and leave the session's setting as it was."""
     session, key = spark.newSession(), "spark.sql.streaming.stateStore.providerClass"
