@@ -2,10 +2,12 @@
 
 import hashlib
 import zlib
+from typing import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
+from ..functions.batches import bounded
 from ..functions.numbers import divided
 from ..session import scratch_path
 from .scans import running, running_sum
@@ -257,12 +259,14 @@ def gunzip(data, limit=INFLATED_BYTES):
 
 def _inflate(limit):
     @F.arrow_udf("body binary, outcome string")
-    def inflate(bodies: pa.Array) -> pa.Array:
-        found = [(None, None) if b is None else gunzip(b, limit) for b in bodies.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array([b for b, _ in found], pa.binary()), pa.array([o for _, o in found], pa.string())],
-            names=["body", "outcome"],
-        )
+    def inflate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for bodies in batches:
+            opened = (gunzip(b.as_py(), limit) if b.is_valid else (None, None) for b in bodies)
+            for found in bounded(opened, lambda one: len(one[0] or b"")):
+                yield pa.StructArray.from_arrays(
+                    [pa.array([b for b, _ in found], pa.binary()), pa.array([o for _, o in found], pa.string())],
+                    names=["body", "outcome"],
+                )
 
     return inflate
 
@@ -288,14 +292,7 @@ def inflate_segments(df, piece_bytes=INFLATED_BYTES):
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def walk(batches):
-        held, size = [], 0
-        for row in rows_of(batches):
-            held.append(row)
-            size += len(row[4])
-            if size >= max(piece_bytes, 8 << 20) or len(held) == 10_000:
-                yield block(held)
-                held, size = [], 0
-        if held:
+        for held in bounded(rows_of(batches), lambda row: len(row[4])):
             yield block(held)
 
     def rows_of(batches):

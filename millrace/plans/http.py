@@ -1,10 +1,12 @@
 """HTTP exchanges: headers, targets, phases, bodies."""
 
 import gzip
+from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
+from ..functions.batches import bounded
 from ..operators import bodies, handlers, http, joins, metrics
 from ..session import scratch_path
 from ..streaming.at_rest import KEYED_STATE, run_table_as_stream
@@ -645,9 +647,12 @@ def running_bodies_query(spark, folder):
     return alone.join(so_far, ["stream_id", "phase", "seq"])
 
 
-@F.pandas_udf(T.BinaryType())
-def _pack(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda text: gzip.compress(text.encode(), mtime=0))
+@F.arrow_udf(T.BinaryType())
+def _pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        packed = (gzip.compress(text.as_py().encode(), mtime=0) for text in texts)
+        for some in bounded(packed, len):
+            yield pa.array(some, pa.binary())
 
 
 def _captured(bodies_):

@@ -1,9 +1,13 @@
 import gzip
+import random
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from millrace.functions.batches import BYTES_AT_ONCE
 from millrace.operators import bodies, handlers, http
+from millrace.plans import http as queries
 
 
 def exchange(spark, headers, raw=None):
@@ -184,6 +188,40 @@ def test_inflated_pieces_are_bounded(spark):
         bodies.decode_bodies(whole.drop("segments", "segment").limit(1).withColumn("body", F.lit(data)), 1000).collect()
 
 
+class _Handed:
+    """A table that hands back the function it is given."""
+
+    schema = T.StructType([T.StructField("stream_id", T.StringType()), T.StructField("phase", T.IntegerType())])
+    select = repartition = sortWithinPartitions = lambda self, *_: self
+
+    def mapInArrow(self, fn, schema):
+        return fn
+
+
+def test_inflated_bodies_leave_python_a_few_at_a_time(spark):
+    """40 MB inflated out of one small batch never stand in one."""
+    texts = [b"%03d" % k * 350_000 for k in range(40)]
+    packed = pa.array([gzip.compress(t) for t in texts], pa.binary())
+    keys = [pa.array([f"s{k:02}" for k in range(40)]), pa.array([2] * 40, pa.int32()), pa.array([0] * 40, pa.int64())]
+    batch = pa.RecordBatch.from_arrays([*keys, packed], ["stream_id", "phase", "segment", "body"])
+    most = BYTES_AT_ONCE + len(texts[0]) + 4096
+    pieces = list(bodies.inflate_segments(_Handed())(iter([batch])))
+    assert [b for p in pieces for b in p["body"].to_pylist()] == texts and all(v for p in pieces for v in p["ok"].to_pylist())
+    assert max(p.nbytes for p in pieces) <= most
+    pieces = list(bodies._inflate(1 << 20 << 3).func(iter([packed])))
+    assert [r["body"] for p in pieces for r in p.to_pylist()] == texts
+    assert max(p.nbytes for p in pieces) <= most
+
+
+def test_packed_texts_leave_python_a_few_at_a_time():
+    rng = random.Random(59)
+    texts = ["".join(map(chr, rng.choices(range(32, 1 << 15), k=400_000))) for _ in range(16)]
+    pieces = list(queries._pack.func(iter([pa.array(texts)])))
+    packed = [b for p in pieces for b in p.to_pylist()]
+    assert packed == [gzip.compress(t.encode(), mtime=0) for t in texts] and len(pieces) > 1
+    assert max(p.nbytes for p in pieces) <= BYTES_AT_ONCE + max(map(len, packed)) + 4096
+
+
 def test_decompression_outcomes(spark):
     whole = gzip.compress(b"test")
     cases = [
