@@ -18,6 +18,7 @@ import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F, types as T
 
+from ..functions.batches import bounded
 from .bodies import PIECE_ERROR
 from .http import apply_response, handles_phase, resolve_status
 from .metrics import request_attributes, response_attributes
@@ -144,18 +145,23 @@ def _calls(fn, init):
         if init is not None:
             init(context)
         for events, called in batches:
-            answers = []
-            for event, wanted in zip(events.to_pylist(), called.to_pylist()):
-                if not wanted:
-                    answers.append(None)
-                    continue
-                for name in ("headers", "fields"):
-                    event[name] = dict(event.get(name) or {})
-                rows, start, duration = call_handler(fn, context, SimpleNamespace(**event))
-                answers.append(
-                    {"responses": rows, "start": int(start * 1e6), "duration": duration}
-                )
-            yield pa.array(answers, answer_type)
+            # a batch is neither taken apart nor answered whole: its events and answers come one by one
+            for answers in bounded(answered(context, events, called), answer_size):
+                yield pa.array(answers, answer_type)
+
+    def answered(context, events, called):
+        for seen, wanted in zip(events, called.to_pylist()):
+            if not wanted:
+                yield None
+                continue
+            event = seen.as_py()
+            for name in ("headers", "fields"):
+                event[name] = dict(event.get(name) or {})
+            rows, start, duration = call_handler(fn, context, SimpleNamespace(**event))
+            yield {"responses": rows, "start": int(start * 1e6), "duration": duration}
+
+    def answer_size(answer):
+        return sum(len(row["body"]) for row in answer["responses"]) if answer else 0
 
     def annotated(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield from run(batches)

@@ -1,8 +1,10 @@
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.batches import BYTES_AT_ONCE
 from millrace.operators import delivery, events, handlers, metrics
 from millrace.sources.captures import job_events
 
@@ -13,6 +15,18 @@ def bodies(spark, *texts):
     return spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "seq bigint, body binary")
 
 
+def test_answers_leave_python_a_few_at_a_time():
+    """Answers to one batch of 40 MB never stand in one; rows that are not handled keep their places."""
+    sent = [bytes([k]) * (1 << 20) for k in range(40)]
+    events = pa.array([{"seq": k, "body": b} for k, b in enumerate(sent)], pa.struct([("seq", pa.int64()), ("body", pa.binary())]))
+    called = pa.array([k % 8 != 3 for k in range(40)])
+    calls = handlers._calls(lambda context, event: event.body, None).func
+    pieces = list(calls(iter([(events, called)])))
+    got = [a and a["responses"][0]["body"] for p in pieces for a in p.to_pylist()]
+    assert got == [b if k % 8 != 3 else None for k, b in enumerate(sent)]
+    assert max(p.nbytes for p in pieces) <= BYTES_AT_ONCE + (1 << 20) + 4096
+
+
 def test_text_and_json_echo(spark):
     greeted = handlers.apply_handler(bodies(spark, "John"), lambda c, e: f"Hello, {e.body.decode()}!")
     row = greeted.first()
