@@ -563,11 +563,17 @@ def _cameras(spark, folder):
 
 
 def _live_cameras(spark, folder, factor=1):
+    """Frames without an event time or number come last, as in the SQL; a stream would leave them out."""
+    seen = _frames_seen(spark, folder)
+    # watermarks begin at the epoch: without any event time, a second after it
+    behind = seen.agg(F.timestamp_micros(F.coalesce(F.unix_micros(F.max("ts")) + 1, F.lit(1_000_000)))).scalar()
+    placed = seen.withColumns({"ts": F.coalesce("ts", behind), "place": F.coalesce("seq", F.lit((1 << 63) - 1))})
     return run_table_as_stream(
-        _frames_seen(spark, folder),
-        lambda stream: counters.live_frame_numbers(stream, factor=factor, delay="1 second"),
+        placed,
+        lambda stream: counters.live_frame_numbers(stream, order="place", factor=factor, delay="1 second"),
         "frames",
         ("1 second",),
+        order="place",
         settings=KEYED_STATE,
     )
 

@@ -430,3 +430,24 @@ def test_keyed_state_in_a_session_with_default_settings(spark, small_tables, nam
     assert compare(session, connect(small_tables), small_tables, query, sql) == []
     assert query(session, small_tables).count() > 0
     assert session.conf.get(key) == default
+
+
+@pytest.mark.parametrize("timed", [True, False])
+@pytest.mark.parametrize("name", ["n1_number_frames_stream", "n2_sample_every_stream"])
+def test_numbers_of_frames_without_event_time_or_number(spark, tmp_path, name, timed):
+    """They are the last of their stream, as in the SQL, and none is left out."""
+    rng = random.Random(67)
+    events = [
+        (
+            None if k % 17 == 0 else k,
+            at(rng.randrange(60)) if timed and k % 7 else None,
+            rng.choice([None, 1, 2, 3]),
+            "view", 1.0, "{}",
+        )
+        for k in range(400)
+    ]
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    pq.write_table(spark.createDataFrame(events, schema).toArrow(), f"{tmp_path}/events.parquet")
+    query, sql = driver.queries()[name], driver.oracle_sql()[name]
+    assert compare(spark, connect(str(tmp_path)), str(tmp_path), query, sql) == []
+    assert name.startswith("n2") or query(spark, str(tmp_path)).count() == len(events)
