@@ -73,6 +73,16 @@ class Scratch:
                 fs.delete(path, True)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join of two large tables in which neither side may be broadcast.
+
+    Spark sizes a table that comes straight from files or from Python by its compressed files and
+    by the width of its rows, however many rows are made of one; a broadcast of what it takes for
+    small then goes through the driver. Behind a shuffle sizes are measured.
+    """
+    return df.hint("merge")
+
+
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> float | None:
     """The k-th largest value of a column, exactly; null where there are fewer.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, group_ids, whole_groups
+from .common import Scratch, group_ids, shuffled, whole_groups
 
 #: Rows of a cell that one block holds.
 BLOCK = 2048
@@ -29,7 +29,7 @@ def cell_blocks(members: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     sizes = members.groupBy("cell").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return (
-        members.join(sizes, "cell")
+        shuffled(members).join(sizes, "cell")
         .withColumn("blocks", F.ceil(F.col("size") / F.lit(float(block))).cast("int"))
         .withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -145,7 +145,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         while True:
             over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
             nxt = scratch.keep(
-                up.join(over, "root").select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")),
+                shuffled(up).join(over, "root").select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")),
                 "pointers",
             )
             moved = nxt.filter("moved").limit(1).count()
@@ -159,14 +159,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         else:
             step = roots.select(F.col("node").alias("component"), "root")
             new = scratch.keep(
-                label.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")),
+                shuffled(label).join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")),
                 "labels",
             )
             scratch.drop(label)
         label = new
         rest = scratch.keep(
-            live.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a")
-            .join(roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+            shuffled(live)
+            .join(shuffled(roots.select(F.col("node").alias("a"), F.col("root").alias("x"))), "a")
+            .join(shuffled(roots.select(F.col("node").alias("b"), F.col("root").alias("y"))), "b")
             .filter("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct(),

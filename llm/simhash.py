@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, shuffled
 from .linking import cell_blocks, components, scan_units
 
 _LOW = np.uint64(0x5555555555555555)
@@ -146,8 +146,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFr
     """
     fps, grouped = _grouped(docs, words, distance)
     smallest = grouped.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-    named = grouped.join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
-    return fps.join(named, "fp").select(
+    named = shuffled(grouped).join(smallest, "component").select(F.col("node").alias("fp"), "component_id")
+    return shuffled(fps).join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -163,7 +163,7 @@ def _grouped(docs: DataFrame, words: int, distance: int, also: dict[str, Column]
         F.col("node").alias("a"), F.col("root").alias("b")
     )
     label = components(links, scratch)
-    grouped = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = shuffled(nodes).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     return fps, scratch.keep(grouped, "grouped")
 
 
@@ -181,13 +181,14 @@ def keep_one_per_group(docs: DataFrame, words: int = 4, distance: int = 4) -> Da
     first = (
         fps.groupBy("fp")  # copies meet in partial sums, not in a join
         .agg(F.min(order).alias("first"))
-        .join(grouped.select(F.col("node").alias("fp"), "component"), "fp")
+        .join(shuffled(grouped.select(F.col("node").alias("fp"), "component")), "fp")
         .groupBy("component")
         .agg(F.min("first").alias("first"))
         .select("first.*")
     )
     # a row has one group, so what stays is named by its doc_id and text; copies have ids of their own
     own = [*row, "__digest"]
-    known = docs.withColumns(row | {"__digest": digest}).join(first, own)
+    # a semi join, in which the documents can't be the side that is broadcast
+    known = docs.withColumns(row | {"__digest": digest}).join(first, own, "left_semi")
     turn = F.row_number().over(Window.partitionBy(*own).orderBy(F.monotonically_increasing_id()))
     return known.withColumn("__turn", turn).filter("__turn = 1").select(*docs.columns)

@@ -201,6 +201,19 @@ def test_one_row_of_each_group_stays(docs, no_docs, spark):
     assert simhash.keep_one_per_group(no_docs).count() == 0
 
 
+def test_groups_broadcast_nothing_that_spark_sizes_too_low(spark):
+    """A row of the nodes' small files becomes many cells; no join may send those through the driver."""
+    session, n = spark.newSession(), 6000
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+    session.conf.set("spark.sql.maxBroadcastTableSize", str(3 << 20))  # the least relation has one already
+    rows = [(k, f"text{k} " + " ".join(f"w{k * j % 6007}" for j in range(3))) for k in range(1, n)]
+    table = session.createDataFrame(rows + [(n + k, t) for k, t in rows[:500]], "doc_id long, text string")
+    assert table.count() < n + 500  # 90,000 cells, which are more than 3 MB when broadcast
+    got = {r.doc_id: r.component_id for r in simhash.simhash_groups(table).collect()}
+    assert got == {k: k for k, _ in rows} | {n + k: k for k, _ in rows[:500]}
+    assert sorted(r.doc_id for r in simhash.keep_one_per_group(table).collect()) == [k for k, _ in rows]
+
+
 @pytest.mark.parametrize("axes", [6, 7, 9])
 def test_grid_misses_no_pair(spark, axes, monkeypatch):
     rng = random.Random(axes)
