@@ -512,7 +512,8 @@ def snapshots_stream_query(spark, folder):
             lambda stream: rolling.live_snapshots(stream, _CHUNK, _LIMIT, _TRIM, "20 seconds", "1 second"),
             "snapshots",
             ("20 seconds", "1 second"),
-            settings=KEYED_STATE,
+            settings=at_rest.HEAVY_STATE,
+            bytes_a_core=at_rest.BYTES_A_CORE,
         )
     )
 

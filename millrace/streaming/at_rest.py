@@ -22,6 +22,18 @@ _STORE = "spark.sql.streaming.stateStore.providerClass"
 #: What operators with states of their own by key (``transformWithState``) need of the session they start in.
 #: Spark's default store keeps one state an operator and fails at their start.
 KEYED_STATE = {_STORE: DEFAULTS[_STORE]}
+#: For operators whose state holds the bytes of messages too. What a run has done with leaves memory and disk, as nothing
+#: goes back to it: shuffles, versions of the state, and stores between micro-batches. Rows go to Python some megabytes at a time.
+HEAVY_STATE = KEYED_STATE | {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": DEFAULTS["spark.sql.execution.arrow.maxRecordsPerBatch"],
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+}
+#: Bytes of files that a core reads in one micro-batch for such operators.
+BYTES_A_CORE = 32 << 20
 
 
 def _data_files(spark, path):
@@ -63,10 +75,17 @@ def stage(df, label, wait, order="seq", files=None):
     return path, df.schema
 
 
-def read_staged(spark, path, schema):
-    """The staged files as a stream; a micro-batch gives every core of the cluster its share of files."""
-    files = FILES_A_CORE * spark.sparkContext.defaultParallelism
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_staged(spark, path, schema, bytes_a_core=None):
+    """The staged files as a stream; a micro-batch gives every core of the cluster its share of files.
+
+    With ``bytes_a_core`` that share is counted in bytes, a file at least in all, and files that have been read are deleted.
+    """
+    reader, cores = spark.readStream.schema(schema), spark.sparkContext.defaultParallelism
+    if bytes_a_core:
+        reader = reader.option("maxBytesPerTrigger", bytes_a_core * cores).option("cleanSource", "delete")
+    else:
+        reader = reader.option("maxFilesPerTrigger", FILES_A_CORE * cores)
+    return reader.parquet(path)
 
 
 def dropped_rows(progress):
@@ -113,14 +132,15 @@ def run_to_table(stream, label, mode="append", settings=None):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_table_as_stream(df, operator, label, wait, order="seq", files=None, settings=None):
+def run_table_as_stream(df, operator, label, wait, order="seq", files=None, settings=None, bytes_a_core=None):
     """``operator(stream)`` over all rows of a table, complete.
 
     ``wait`` lists the intervals that must pass after the last event, as texts; ``settings`` as
-    :func:`run_to_table`.
+    :func:`run_to_table`, ``bytes_a_core`` as :func:`read_staged`.
     """
     spark = df.sparkSession
-    path, schema = stage(df, label, sum(micros(w) for w in wait), order, files)
-    result = run_to_table(operator(read_staged(spark, path, schema)), label, settings=settings)
+    with _settings(spark, settings or {}):
+        path, schema = stage(df, label, sum(micros(w) for w in wait), order, files)
+    result = run_to_table(operator(read_staged(spark, path, schema, bytes_a_core)), label, settings=settings)
     remove_path(spark, path)
     return result

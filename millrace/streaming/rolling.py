@@ -1,6 +1,8 @@
 """Rolling byte snapshots: a stream cut into chunks, kept in a trimmed buffer, emitted per tick."""
 
-from pyspark.sql import Row, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.numbers import divided
@@ -12,6 +14,9 @@ MESSAGE_BUFFER = (160_000, 1_440_000, 1_120_000)
 MEDIA_BUFFER = (16_000, 1_440_000, 1_120_000)
 DEFAULT_INTERVAL = "2 seconds"
 
+#: Columns of the snapshots that a running stream gives out, and their bytes after which they leave Python.
+SNAPSHOT, OUT_BYTES = ["stream_id", "tick_ms", "buffer_start", "buffer_end", "body"], 8 << 20
+
 
 def _check(chunk_bytes, max_bytes, trim_bytes):
     if min(chunk_bytes, max_bytes, trim_bytes) < 1:
@@ -209,7 +214,12 @@ def snapshots_of_ticks(
 
 
 class _Ring(StatefulProcessor):
-    """The buffer of one stream: blocks of its last bytes, and messages whose tick is still open."""
+    """The buffer of one stream: blocks of its last bytes, and the messages of every tick still open.
+
+    Messages wait in pages, one for each tick of a frame of rows, and are read again tick by tick; snapshots
+    leave after ``OUT_BYTES``. So what is in memory is a frame, a tick, the buffer and some snapshots,
+    however many rows a micro-batch has.
+    """
 
     def __init__(self, chunk_bytes, max_bytes, trim_bytes):
         self.chunk, self.most, self.trim = chunk_bytes, max_bytes, trim_bytes
@@ -217,7 +227,8 @@ class _Ring(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "tick long, seq long, data binary")
+        self.open = handle.getValueState("open", "ticks binary, pages binary")
+        self.waiting = handle.getMapState("waiting", "tick long, page long", "seqs binary, sizes binary, data binary")
         self.place = handle.getValueState("place", "total long, chunks long")
         self.blocks = handle.getMapState("blocks", "block long", "data binary")
 
@@ -230,49 +241,86 @@ class _Ring(StatefulProcessor):
             return max(0, -(-(chunks * self.chunk - self.most) // self.trim)) * self.trim
         return max(0, chunks - self.most // self.chunk) * self.trim
 
+    def open_ticks(self):
+        """The number of pages of every open tick."""
+        if not self.open.exists():
+            return {}
+        ticks, pages = (np.frombuffer(x, np.int64).tolist() for x in self.open.get())
+        return dict(zip(ticks, pages))
+
+    def keep_open(self, pages):
+        if not pages:
+            self.open.clear()
+            return
+        self.open.update(tuple(np.array(list(x), np.int64).tobytes() for x in (pages.keys(), pages.values())))
+        self.handle.registerTimer(min(pages))
+
+    def messages(self, tick, pages):
+        """The messages of a tick by number, which are forgotten."""
+        found = []
+        for page in range(pages):
+            seqs, sizes, data = self.waiting.getValue((tick, page))
+            self.waiting.removeKey((tick, page))
+            at = 0
+            for seq, size in zip(np.frombuffer(seqs, np.int64).tolist(), np.frombuffer(sizes, np.int64).tolist()):
+                found.append((seq, data[at : at + size]))
+                at += size
+        return sorted(found)
+
     def handleInputRows(self, key, rows, timerValues):
-        new = [(r.tick, r.seq, bytes(r.data)) for r in rows if r.data]
+        pages, new = self.open_ticks(), False
+        for frame in rows:
+            data, seqs, places = frame["data"].tolist(), frame["seq"].to_numpy(np.int64), {}
+            for k, tick in enumerate(frame["tick"].tolist()):
+                if data[k]:
+                    places.setdefault(tick, []).append(k)
+            for tick, at in places.items():
+                page = pages.get(tick, 0)
+                found = [data[k] for k in at]
+                sizes = np.array([len(x) for x in found], np.int64)
+                self.waiting.updateValue((tick, page), (seqs[at].tobytes(), sizes.tobytes(), b"".join(found)))
+                pages[tick], new = page + 1, True
         if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(min(tick for tick, _, _ in new))
+            self.keep_open(pages)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # the first timer that fires settles all ticks the watermark has passed
-        now = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(r) for r in self.waiting.get()]
-        due = sorted(r for r in held if r[0] <= now)
+        now, pages = timerValues.getCurrentWatermarkInMs(), self.open_ticks()
+        due = sorted(tick for tick in pages if tick <= now)
         if not due:
             return
-        open_ = [r for r in held if r[0] > now]
-        self.waiting.clear()
-        if open_:
-            self.waiting.appendList(open_)
-            self.handle.registerTimer(min(tick for tick, _, _ in open_))
         total, chunks = self.place.get() if self.place.exists() else (0, 0)
         first = self.start(chunks) // self.block
         kept = [bytes(self.blocks.getValue((k,))[0]) for k in range(first, -(-total // self.block))]
         base, buffer, written = first * self.block, bytearray(b"".join(kept)), total
-        for at, (tick, _, data) in enumerate(due):
-            buffer += data
-            total += len(data)
-            if at + 1 < len(due) and due[at + 1][0] == tick or total // self.chunk == chunks:
+        made, held = [], 0
+        for tick in due:
+            for _, data in self.messages(tick, pages.pop(tick)):
+                buffer += data
+                total += len(data)
+            if total // self.chunk == chunks:
                 continue
             chunks = total // self.chunk
             low, high = self.start(chunks), chunks * self.chunk
-            yield Row(
-                stream_id=key[0], tick_ms=tick, buffer_start=low, buffer_end=high, body=bytes(buffer[low - base : high - base])
-            )
+            made.append((key[0], tick, low, high, bytes(buffer[low - base : high - base])))
+            held += high - low
             gone = low // self.block * self.block - base
             if gone >= self.most:
                 del buffer[:gone]
                 base += gone
+            if held >= OUT_BYTES:
+                yield pd.DataFrame(made, columns=SNAPSHOT)
+                made, held = [], 0
         low = self.start(chunks) // self.block
         for k in range(first, min(low, -(-written // self.block))):
             self.blocks.removeKey((k,))
         for k in range(max(low, written // self.block), -(-total // self.block)):
             self.blocks.updateValue((k,), (bytes(buffer[k * self.block - base : (k + 1) * self.block - base]),))
         self.place.update((total, chunks))
+        self.keep_open(pages)
+        if made:
+            yield pd.DataFrame(made, columns=SNAPSHOT)
 
 
 def live_snapshots(
@@ -287,9 +335,11 @@ def live_snapshots(
 
     State of a stream: its buffer in blocks of which only new ones are written and trimmed ones
     removed, at most ``max_bytes``, a chunk and a block; and the messages that came before the
-    watermark passed their tick. Within a tick messages are ordered by ``seq``. ``interval`` is
-    whole milliseconds. A stream is one key, and its bytes pass one task in order; a table at rest
-    whose streams are too large for that goes through :func:`rolling_snapshots`.
+    watermark passed their tick, which wait in the store tick by tick. Within a tick messages are
+    ordered by ``seq``, those without one last; a task holds the messages of one tick at once.
+    ``interval`` is whole milliseconds. Messages without an event time are left out. A stream is one
+    key, and its bytes pass one task in order; a table at rest whose streams are too large for that
+    goes through :func:`rolling_snapshots`.
     """
     _check(chunk_bytes, max_bytes, trim_bytes)
     step = micros(interval)
@@ -297,15 +347,29 @@ def live_snapshots(
         raise ValueError("interval must be whole milliseconds")
     # empty messages move the watermark too: a filter here would be pushed below it
     rows = df.withWatermark("ts", delay)
-    kind = df.schema["stream_id"].dataType.simpleString()
+    kind, tick = df.schema["stream_id"].dataType, (tick_of(F.col("ts"), interval) + 1) * (step // 1000)
+    # frames of rows turn numbers with a null among them to doubles: there are none of these, and keys are text
+    text = isinstance(kind, (T.StringType, T.BinaryType))
     out = (
-        rows.select("stream_id", "ts", ((tick_of(F.col("ts"), interval) + 1) * (step // 1000)).cast("long").alias("tick"), "seq", "data")
+        rows.select(
+            F.col("stream_id") if text else F.col("stream_id").cast("string").alias("stream_id"),
+            "ts",
+            F.coalesce(tick.cast("long"), F.lit(0)).alias("tick"),
+            F.coalesce(F.col("seq").cast("long"), F.lit((1 << 63) - 1)).alias("seq"),
+            F.when(F.col("ts").isNotNull(), F.col("data")).alias("data"),
+        )
         .groupBy("stream_id")
-        .transformWithState(
+        .transformWithStateInPandas(
             _Ring(chunk_bytes, max_bytes, trim_bytes),
-            f"stream_id {kind}, tick_ms long, buffer_start long, buffer_end long, body binary",
+            f"stream_id {kind.simpleString() if text else 'string'}, tick_ms long, buffer_start long, buffer_end long, body binary",
             "append",
             "eventTime",
         )
     )
-    return out.select("stream_id", F.timestamp_millis("tick_ms").alias("tick"), "buffer_start", "buffer_end", "body")
+    return out.select(
+        F.col("stream_id").cast(kind).alias("stream_id"),
+        F.timestamp_millis("tick_ms").alias("tick"),
+        "buffer_start",
+        "buffer_end",
+        "body",
+    )

@@ -1,6 +1,11 @@
+import hashlib
+import pickle
 import random
+import tracemalloc
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +15,7 @@ from millrace.envelope import MESSAGE
 from millrace.operators.joins import correlate, correlate_streams
 from millrace.sources.captures import load_messages
 from millrace.operators import frames, metrics
-from millrace.streaming import counters, rolling, windows
+from millrace.streaming import at_rest, counters, rolling, windows
 from millrace.streaming.at_rest import run_table_as_stream, run_to_table
 from millrace.streaming.exchanges import exchange_state, with_bodies
 from tests.oracle import compare, connect
@@ -143,6 +148,103 @@ def test_snapshots_of_a_running_stream(spark, tmp_path):
         rolling.live_snapshots(as_stream(spark, df, tmp_path / "x"), 5, 20, 12, "2500 microseconds")
 
 
+class Stored:
+    """States of one key, kept in files."""
+
+    def __init__(self, folder):
+        self.folder, self.timers = folder, set()
+
+    def getValueState(self, name, schema):
+        kept = Stored(self.folder / name)
+        kept.exists = (self.folder / name / "()").exists
+        kept.get, kept.update, kept.clear = (lambda: kept.getValue(())), (lambda v: kept.updateValue((), v)), (lambda: kept.removeKey(()))
+        return kept
+
+    def getMapState(self, name, key, value):
+        return Stored(self.folder / name)
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def updateValue(self, key, value):
+        self.folder.mkdir(parents=True, exist_ok=True)
+        (self.folder / str(key)).write_bytes(pickle.dumps(value))
+
+    def getValue(self, key):
+        return pickle.loads((self.folder / str(key)).read_bytes())
+
+    def removeKey(self, key):
+        (self.folder / str(key)).unlink(missing_ok=True)
+
+
+def test_snapshots_of_a_large_micro_batch_in_little_memory(tmp_path):
+    """Neither the messages of a stream in one micro-batch nor its snapshots are held at once."""
+    rng, n, size = random.Random(71), 1500, 32 << 10
+    body = lambda k: bytes([k % 251]) * (size - k % 7)
+    when = list(range(n))
+    rng.shuffle(when)  # any order within the micro-batch
+
+    def frames():
+        for at in range(0, n, 50):
+            part = when[at : at + 50]
+            yield pd.DataFrame({"stream_id": "s", "tick": [(k // 3 + 1) * 2000 for k in part], "seq": part, "data": [body(k) for k in part]})
+
+    store = Stored(tmp_path)
+    ring = rolling._Ring(20_000, 200_000, 120_000)
+    ring.init(store)
+    due = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9)
+    got, parts = [], 0
+    tracemalloc.start()
+    assert list(ring.handleInputRows(("s",), frames(), due)) == []
+    for timer in sorted(store.timers):
+        for made in ring.handleExpiredTimer(("s",), due, None):
+            parts += 1
+            got += [(r.stream_id, r.tick_ms // 2000 - 1, hashlib.md5(r.body).digest()) for r in made.itertuples()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 49 MB of messages, 100 MB of snapshots
+    assert peak < 40 << 20 and parts > 5
+    expected = fold([("s", k, k // 3 * 2, body(k)) for k in range(n)], 20_000, 200_000, 120_000, 2)
+    assert got == [(s, tick, hashlib.md5(b).digest()) for s, tick, b in expected]
+    assert not [*(tmp_path / "waiting").iterdir()] and not (tmp_path / "open" / "()").exists()
+    kept = sum(len(pickle.loads(p.read_bytes())[0]) for p in (tmp_path / "blocks").iterdir())
+    assert kept < 200_000 + 2 * 20_000
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_snapshots_of_streams_and_messages_without_name_or_number(spark, tmp_path, kind):
+    """A stream without a name is one like any other; a message without a number is the last of its tick; 2^53 + 1 is no double."""
+    big = (1 << 53) + 1
+    rows = [
+        (None, big, 0, b"bb"), (None, big - 1, 0, b"aa"), (None, None, 1, b"cc"), (7, None, 0, b"zz"), (7, 5, 0, b"yy"),
+        (None, 1, 2, b"dd"), (7, 3, 2, None), (None, None, 600, None),
+    ]
+    df = spark.createDataFrame([(s, q, at(t), d) for s, q, t, d in rows], "stream_id bigint, seq bigint, ts timestamp, data binary")
+    df = df.withColumn("stream_id", F.col("stream_id").cast(kind))
+    got = run_table_as_stream(
+        df, lambda s: rolling.live_snapshots(s, 2, 8, 2, "2 seconds", "1 second"), "odd", ("2 seconds", "1 second"),
+        settings=at_rest.HEAVY_STATE, bytes_a_core=at_rest.BYTES_A_CORE,
+    )
+    assert dict(got.dtypes)["stream_id"] == kind
+    assert sorted((str(r.stream_id), r.buffer_end, bytes(r.body)) for r in got.collect()) == [
+        ("7", 4, b"yyzz"), ("None", 6, b"aabbcc"), ("None", 8, b"aabbccdd"),
+    ]
+
+
+def test_a_byte_limited_stream_takes_all_files_in_small_batches(spark, tmp_path):
+    rows = [(f"s{i % 3}", i, i * 7, b"x" * (i % 9)) for i in range(400)]
+    df = messages(spark, rows)
+    path, schema = at_rest.stage(df, "few", 30_000_000, files=12)
+    batches = []
+    query = (
+        at_rest.read_staged(spark, path, schema, bytes_a_core=1)
+        .writeStream.foreachBatch(lambda part, k: batches.append(part.count()))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sum(batches) == 401 and len(batches) >= 12 and max(batches) < 100
+
+
 def scattered(spark, df, tmp_path, files=40):
     """The same rows in many files, in no order."""
     path = str(tmp_path / "scattered")
